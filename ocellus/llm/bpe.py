@@ -202,3 +202,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         }
 
     return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers), lossless (the ids decode to the text)."""
+    shared = _shared(docs, path, pattern)
+
+    def run(texts: list[bytes]) -> dict[str, object]:
+        codec = shared.value
+        ids = codec.encode([t.decode() for t in texts])
+        return {
+            "n_tokens": pa.array(map(len, ids), pa.int64()),
+            "ids": pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+            "lossless": pa.array([codec.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()),
+        }
+
+    return map_texts(docs, run, "n_tokens long, ids binary, lossless boolean")

@@ -69,6 +69,20 @@ def map_texts(docs: DataFrame, func: Callable[[list[bytes]], dict[str, object]],
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {schema}")
 
 
+def keep_texts(docs: DataFrame, test: Callable[[list[bytes]], list[bool]], text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text passes; no shuffle."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for _, texts in chunks(iter([pa.RecordBatch.from_arrays([batch.column(text)] * 2, names=["key", "text"])])):
+                yield batch.slice(at, len(texts)).filter(pa.array(test(texts), pa.bool_()))
+                at += len(texts)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

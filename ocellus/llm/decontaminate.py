@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ship
+from .common import chunks, keep_texts, ship
 
 WINDOW = 10
 PART_BYTES = 16 << 20
@@ -172,3 +172,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     more = ", items array<string>, spans array<struct<start:long,end:long>>" if spans else ""
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{more}")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of docs, all columns, in which no test string occurs."""
+    shared = [ship(docs.sparkSession).sparkContext.broadcast(m) for m in matchers(benchmark, item_key, item_text, window, part_bytes)]
+
+    def clean(texts: list[bytes]) -> list[bool]:
+        found = np.zeros(len(texts), bool)
+        for one in shared:
+            hit, sizes, _ = one.value.hits(texts)
+            total = np.r_[0, np.cumsum(hit)]
+            stops = np.cumsum(sizes)
+            found |= total[stops] > total[stops - sizes]
+        return (~found).tolist()
+
+    return keep_texts(docs, clean, text)

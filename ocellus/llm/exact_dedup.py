@@ -88,3 +88,11 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     groups = staged(rows.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
     return rows.select("*", copy).join(groups, ["n", "name"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = BLOCK) -> DataFrame:
+    """The rows of docs, all columns, that stay; of rows that repeat both id and text one."""
+    stay = exact_dedup(docs, key, text, size).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    marked = docs.withColumn("_sha256", F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256))
+    found = marked.join(stay, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_sha")), "left_semi")
+    return found.dropDuplicates([key, "_sha256"]).select(*(F.col(f"`{c}`") for c in docs.columns))

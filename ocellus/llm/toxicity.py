@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_texts, ship
+from .common import fold, keep_texts, map_texts, ship
 from .training import fit_logistic, labelled_sample, sigmoid
 
 PER_CLASS, SAMPLE_BYTES, FOLDS, THRESHOLD = 4000, 64 << 10, 5, 0.5
@@ -176,3 +176,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, p
         return {"score": pa.array(s, pa.float64()), "predicted": pa.array((s >= threshold).astype(np.int32))}
 
     return map_texts(docs, run, "score double, predicted int").select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = PER_CLASS, folds: int = FOLDS) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold."""
+    shared = ship(docs.sparkSession).sparkContext.broadcast(fit(docs, labels, per_class, folds))
+    return keep_texts(docs, lambda texts: (shared.value.scores([t.decode() for t in texts]) < threshold).tolist())
