@@ -32,7 +32,7 @@ from .common import byte_texts, chunks, ship
 
 WINDOW = 50
 #: Bytes hashed at once, windows packed at once, and bytes of text per hash range.
-PIECE, FLUSH, RANGE_BYTES = 2 << 20, 2_000_000, 24 << 20
+PIECE, FLUSH, RANGE_BYTES = 1 << 20, 1_000_000, 12 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _RNG = np.random.default_rng(20240501)
