@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 
 
 def rays(centres: DataFrame, key: str, length: int, angles: Sequence[int] | None = None) -> DataFrame:
-    """Pixels (key, angle, step, x, y) on rays from the centre (cx, cy); a pixel counts at its first step."""
+    """Pixels (key, angle, step, x, y, nth) on rays from the centre (cx, cy); a pixel counts at its first step, nth numbers a ray's pixels."""
     angle = F.explode(F.sequence(F.lit(0), F.lit(359)) if angles is None else F.array(*map(F.lit, angles))).alias("angle")
     t = F.radians(F.col("angle").cast("double"))
     at = centres.select(key, "cx", "cy", angle).select("*", F.explode(F.sequence(F.lit(1), F.lit(length))).alias("step"))
     at = at.select(key, "angle", "step", F.floor(F.col("cx") + F.col("step") * F.cos(t)).cast("int").alias("x"), F.floor(F.col("cy") + F.col("step") * F.sin(t)).cast("int").alias("y"))
-    return at.groupBy(key, "angle", "x", "y").agg(F.min("step").alias("step"))
+    once = at.groupBy(key, "angle", "x", "y").agg(F.min("step").alias("step"))
+    return once.withColumn("nth", F.row_number().over(Window.partitionBy(key, "angle").orderBy("step")))
 
 
 def ray_hits(pixels: DataFrame, rayed: DataFrame, key: str, level: float = 0.0) -> DataFrame:
     """Bright runs along each ray: weighted mean radius, mean intensity and number of pixels of every run."""
     on = rayed.join(pixels.filter(F.col("v") > level), [key, "x", "y"])
-    run = F.col("step") - F.row_number().over(Window.partitionBy(key, "angle").orderBy("step"))
+    run = F.col("nth") - F.row_number().over(Window.partitionBy(key, "angle").orderBy("step"))
     return on.withColumn("run", run).groupBy(key, "angle", "run").agg((F.sum(F.col("v") * F.col("step")) / F.sum("v")).alias("radius"), F.avg("v").alias("intensity"), F.count("*").alias("n")).drop("run")
 
 
@@ -115,7 +116,8 @@ def ring_components(points: DataFrame, edges: DataFrame, key: str, least: int =
         return left[left.groupby("component")["id"].transform("size") >= least]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + ", component long"
-    return points.groupBy(key).cogroup(edges.groupBy(key)).applyInPandas(run, schema)
+    links = edges.select(F.col(key).alias("_picture"), "a", "b")
+    return points.groupBy(key).cogroup(links.groupBy("_picture")).applyInPandas(run, schema)
 
 
 def majority_ring(df: DataFrame, keys: Sequence[str], component: str = "component", ring: str = "mire_num") -> DataFrame:
@@ -148,15 +150,15 @@ def shift_corrected(df: DataFrame, key: str) -> DataFrame:
 def ring_walk(mask: DataFrame, centres: DataFrame, key: str, length: int, rings: int) -> DataFrame:
     """Radii of alternating rings and gaps on an instance mask: along each ray the ring i is the next run of label i
     beyond ring i - 1; a ray that misses one goes on with the next. Columns key, angle, mire_num, radius."""
-    labelled = rays(centres, key, length).join(mask.filter("label > 0"), [key, "x", "y"]).select(key, "angle", "step", "label")
+    labelled = rays(centres, key, length).join(mask.filter("label > 0"), [key, "x", "y"]).select(key, "angle", "step", "nth", "label")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
-        step, label, out, beyond = pdf["step"].to_numpy(), pdf["label"].to_numpy(), [], 0
+        step, nth, label, out, beyond = pdf["step"].to_numpy(), pdf["nth"].to_numpy(), pdf["label"].to_numpy(), [], 0
         for ring in range(1, rings + 1):
             at = np.flatnonzero((label == ring) & (step > beyond))
             if at.size:
-                stop = at[0] + int(np.argmax(np.r_[np.diff(at) != 1, True]))
+                stop = at[0] + int(np.argmax(np.r_[np.diff(nth[at]) != 1, True]))
                 out.append((ring, float(step[at[0] : stop + 1].mean())))
                 beyond = step[stop]
         return pd.DataFrame({key: pdf[key].iloc[0], "angle": pdf["angle"].iloc[0], "mire_num": [r for r, _ in out], "radius": [r for _, r in out]})
