@@ -390,7 +390,7 @@ def test_picture_source(spark, tmp_path):
     (tmp_path / "normal/a.png").write_bytes(png(a))
     (tmp_path / "normal/._a.png").write_bytes(b"\x00\x05\x16\x07")
     (tmp_path / "normal/b.png").write_bytes(b"junk")
-    df = readers.class_folders(spark, str(tmp_path), ["normal", "pterygium"])
+    df = readers.class_folders(spark, str(tmp_path), ["normal", "lesion"])
     got = {r["name"]: r for r in readers.decoded(df.select("name", "label", "content")).collect()}
     assert set(got) == {"a.png", "b.png"} and bytes(got["a.png"]["image"]["data"]) == a.tobytes() and got["a.png"]["label"] == 0 and got["b.png"]["error"] == "not a PNG"
     cells = readers.pixels(readers.decoded(df.select("name", "content")), "name")
