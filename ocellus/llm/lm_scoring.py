@@ -11,7 +11,7 @@ context classes are one matrix product, and a token's log-probability is three l
 other words a word has the probability of its discounted count, and the discounts are what all unseen words share:
 the model is a distribution over the training words and one unseen type, as the base score is.
 
-Counts of the LOOKUP most frequent words are broadcast (a bounded table); the other words of a document are
+Counts of the most frequent words, LOOKUP at most, are broadcast (a bounded table); the other words of a document are
 joined with the counts by word, pre-aggregated per document. Null texts count as empty: one end token. Every row
 gives a row, also of repeated ids. Other columns are not read. Without training rows every word is unseen.
 """
@@ -88,8 +88,21 @@ class Vocabulary:
         return np.log10(np.where(c > 0, c - self.discount, self.discount * self.rare_distinct) / self.rare_total)
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """Rows of the most frequent words, `most` of them or somewhat fewer: all words down to a level of frequency, of
+    sixteen levels to a doubling. Only the levels' sizes and these rows come to the driver; nothing is sorted."""
+    level = F.floor(F.log2(F.col("c").cast("double")) * 16)
+    lowest, held = None, 0
+    for row in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        held += row["n"]
+        if held > most:
+            break
+        lowest = row["level"]
+    return [] if lowest is None else counts.filter(level >= lowest).collect()
+
+
 def vocabulary(counts: DataFrame, classes: int, lookup: int) -> Vocabulary:
-    rows = counts.orderBy(F.desc("c"), "word").limit(lookup).collect()
+    rows = most_frequent(counts, lookup)
     if not any(r["word"] == "" for r in rows):
         rows = [*counts.filter("word = ''").collect(), *rows]
     rows.sort(key=lambda r: (r["word"] != "", -r["c"], r["word"]))  # the end token is always a class
