@@ -3,8 +3,8 @@
 Rules name a host and a path prefix; a rule fits its host and all subdomains, and the longest fitting rule
 decides. Redirect edges (an html refresh to another address, a location assigned by script) and canonical-link
 edges make pages and addresses aliases of each other. Connected components over these edges, found by distributed
-stars, carry block decisions to aliases that no rule decides: such a page is blocked if a page of its component
-is blocked by a rule. An explicit allow rule keeps its page allowed, whatever its aliases. Pages without a
+stars, carry block decisions to aliases that no rule decides: such a page is blocked if an address of its component,
+whether a page of the table or not, is blocked by a rule. An explicit allow rule keeps its page allowed, whatever its aliases. Pages without a
 fitting rule and without a blocked alias are allowed.
 
 Rules are a short list in the caller's hands and become one CASE expression per rule; edges are extracted in the
@@ -83,6 +83,8 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", ur
     edges = pages.select(address(F.col(url)).alias("a"), F.explode(_targets(F.coalesce(F.col(html), F.lit("")))).alias("to")).select("a", address(F.col("to")).alias("b"))
     edges = staged(edges.filter("a <> b").distinct(), "aliases")
     roots = staged(components(edges), "alias-roots")
-    named = judged.select("address", "verdict").join(roots, judged["address"] == roots["node"]).select("root", "verdict")
-    blocked = staged(named.filter("verdict = 'block'").select("root").distinct().join(roots, "root").select(F.col("node").alias("address"), F.lit("block").alias("alias")), "blocked-aliases")
+    at = F.regexp_extract("node", r"(?s)^([^/?]*)([^?]*)", 1), F.regexp_extract("node", r"(?s)^([^/?]*)([^?]*)", 2)
+    named = roots.withColumn("verdict", fitting_rule(*at, rules)["verdict"])
+    blocked = named.filter("verdict = 'block'").select("root").distinct().join(roots, "root").select(F.col("node").alias("address"), F.lit("block").alias("alias"))
+    blocked = staged(blocked, "blocked-aliases")
     return judged.join(blocked, "address", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "alias", F.lit("allow")).alias("verdict"))

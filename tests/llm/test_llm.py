@@ -232,12 +232,13 @@ def test_url_filter(spark):
         (1, "https://A.Example.COM/en/1?q=/x", ""), (2, "http://www.example.com/en/2#f", None), (3, "http://a.net/es/1", '<link rel="canonical" href="http://b.org/p">'),
         (4, "http://b.org/p", ""), (5, "http://c.org/q", '<meta http-equiv="refresh" content="0; url=http://b.org/p">'), (6, "http://ok.com/", '<link href="http://b.org/p" rel=canonical>'),
         (7, None, "x"), (8, "no scheme", "x"), (9, "http://host.com", ""), (10, "http://d.org/z", '<script>location.href = "http://e.org/";</script>'), (11, "http://notexample.com/en/", ""), (12, "x?http://u.net/es/://y", ""),
+        (13, "http://f.org/", "<meta content='3; url=http://Q.net/es/gone' http-equiv=refresh>"),
     ]
     got = {r["page_id"]: tuple(r)[1:] for r in url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
     assert got == {
         1: ("a.example.com", "/en/1", "example.com/en/", "block"), 2: ("www.example.com", "/en/2", "www.example.com/en/", "allow"), 3: ("a.net", "/es/1", "net/es/", "block"), 4: ("b.org", "/p", None, "block"),
         5: ("c.org", "/q", None, "block"), 6: ("ok.com", "/", "com/", "allow"), 7: ("", "", None, "allow"), 8: ("", "", None, "allow"), 9: ("host.com", "", None, "allow"), 10: ("d.org", "/z", None, "allow"),
-        11: ("notexample.com", "/en/", "com/", "allow"), 12: ("u.net", "/es/://y", "net/es/", "block"),
+        11: ("notexample.com", "/en/", "com/", "allow"), 12: ("u.net", "/es/://y", "net/es/", "block"), 13: ("f.org", "/", None, "block"),
     }
 
 
