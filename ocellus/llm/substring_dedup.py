@@ -8,8 +8,8 @@ A map task collects a few million windows at a time, keeps one entry per window
 document; the other documents' entries are decided on the spot, as a smaller document is at hand), sorts the
 entries by hash and packs each hash range into one binary row. Spark shuffles these rows by range and each range
 finds the smallest document of every window; any other document that has the window gets it flagged. So a
-window that a third of all documents share costs an entry per map step, not per document. Flags go back to
-their documents in a join by doc_id, where covered words are merged into maximal intervals and removed.
+window that a third of all documents share costs an entry per map step, not per document. Flags travel
+packed by group of documents and go back in a join by doc_id, one row per document, where covered words are merged into maximal intervals and removed.
 
 The number of ranges follows the input's size, so a range stays at a few million entries. Null texts have no
 words. Rows of one doc_id count as one document; rows with a null doc_id keep all words and are no source of
@@ -109,11 +109,26 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h1, h2, names[np.frombuffer(blob, "<u2" if docs <= 1 << 16 else "<u4", n, at + 9 * n)]
 
 
-def _by_doc(doc: np.ndarray, h1: np.ndarray) -> tuple[list[int], list[bytes]]:
+def _pack_flags(doc: np.ndarray, h1: np.ndarray, groups: int) -> tuple[list[int], list[bytes]]:
+    """Flagged hashes by group of documents (id mod groups): the groups, and each one's documents and hashes."""
+    group = doc % groups
+    order = np.argsort(group, kind="stable")
+    group, doc, h1 = group[order], doc[order], h1[order]
+    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if doc.size else np.zeros(0, np.int64)
+    stops = np.r_[cuts[1:], doc.size]
+    return group[cuts].tolist(), [doc[i:j].astype("<i8").tobytes() + h1[i:j].astype("<u8").tobytes() for i, j in zip(cuts, stops, strict=False)]
+
+
+def _group_side(table: pa.Table) -> pa.Table:
+    """One row per flagged document of a group: its id and all its flagged hashes."""
+    parts = [np.frombuffer(x.as_py(), "<u8").reshape(2, -1) for x in table["packed"]]
+    both = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.uint64)
+    doc, h1 = both[0].astype(np.int64), both[1]
     order = np.argsort(doc, kind="stable")
     doc, h1 = doc[order], h1[order]
     cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if doc.size else np.zeros(0, np.int64)
-    return doc[cuts].tolist(), [x.tobytes() for x in np.split(h1.astype("<u8"), cuts[1:])] if doc.size else []
+    flags = [x.tobytes() for x in np.split(h1.astype("<u8"), cuts[1:])] if doc.size else []
+    return pa.table({"doc_id": pa.array(doc[cuts].tolist(), pa.int64()), "flags": pa.array(flags, pa.binary())})
 
 
 def _firsts(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,15 +151,14 @@ def _map_side(window: int, ranges: int):
             h1, h2, ref = h1[order], h2[order], ref[order]
             owner = ref[np.maximum.accumulate(np.where(first, np.arange(first.size), 0))]
             late = ~first & (owner != ref)
-            docs, flags = _by_doc(names[ref[late]], h1[late])
+            groups, flags = _pack_flags(names[ref[late]], h1[late], ranges)
             h1, h2, ref = h1[first], h2[first], ref[first]
             part = ((h1 >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             stops = np.r_[cuts[1:], part.size]
             blobs = [_pack(h1[a:b], h2[a:b], ref[a:b], names) for a, b in zip(cuts, stops, strict=True)]
-            spread = [d % ranges for d in docs]
             return pa.RecordBatch.from_arrays(
-                [pa.array([*part[cuts].tolist(), *spread], pa.int32()), pa.array([None] * len(blobs) + docs, pa.int64()), pa.array(blobs + flags, pa.binary())], names=["part", "doc_id", "packed"]
+                [pa.array([*part[cuts].tolist(), *groups], pa.int32()), pa.array([None] * len(blobs) + groups, pa.int32()), pa.array(blobs + flags, pa.binary())], names=["part", "docs", "packed"]
             )
 
         for ids, texts in chunks(batches, PIECE):
@@ -164,20 +178,25 @@ def _map_side(window: int, ranges: int):
     return run
 
 
-def _range_side(table: pa.Table) -> pa.Table:
-    """Flags of one hash range: every document that has a window of a smaller one, with the window's hash."""
-    parts = [_unpack(x.as_py()) for x in table["packed"].filter(pc.is_null(table["doc_id"]))]
-    ready = table.filter(pc.is_valid(table["doc_id"]))
-    docs, flags = ready["doc_id"].to_pylist(), ready["packed"].to_pylist()
-    if parts:
-        h1, h2, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, first = _firsts(h1, h2, doc)
-        h1, doc = h1[order], doc[order]
-        owner = doc[np.maximum.accumulate(np.where(first, np.arange(first.size), 0))]
-        late = owner != doc
-        more, packed = _by_doc(doc[late], h1[late])
-        docs, flags = docs + more, flags + packed
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "flags": pa.array(flags, pa.binary())})
+def _range_side(ranges: int):
+    """Flags of one hash range, by group of documents: every document that has a window of a smaller one. Rows that
+    are flags already pass."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_unpack(x.as_py()) for x in table["packed"].filter(pc.is_null(table["docs"]))]
+        ready = table.filter(pc.is_valid(table["docs"]))
+        groups, flags = ready["docs"].to_pylist(), ready["packed"].to_pylist()
+        if parts:
+            h1, h2, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order, first = _firsts(h1, h2, doc)
+            h1, doc = h1[order], doc[order]
+            owner = doc[np.maximum.accumulate(np.where(first, np.arange(first.size), 0))]
+            late = owner != doc
+            more, packed = _pack_flags(doc[late], h1[late], ranges)
+            groups, flags = groups + more, flags + packed
+        return pa.table({"docs": pa.array(groups, pa.int32()), "packed": pa.array(flags, pa.binary())})
+
+    return run
 
 
 def flagged_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -185,8 +204,9 @@ def flagged_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     spark = ship(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(_map_side(window, ranges), "part int, doc_id long, packed binary")
-    return rows.groupBy("part").applyInArrow(_range_side, "doc_id long, flags binary")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(_map_side(window, ranges), "part int, docs int, packed binary")
+    grouped = rows.groupBy("part").applyInArrow(_range_side(ranges), "docs int, packed binary")
+    return grouped.groupBy("docs").applyInArrow(_group_side, "doc_id long, flags binary")
 
 
 def _remove(window: int, texts_too: bool):
@@ -199,7 +219,7 @@ def _remove(window: int, texts_too: bool):
                 words = text.split()
                 kept, removed, spans = words, 0, []
                 if flags:
-                    wanted = np.unique(np.concatenate([np.frombuffer(f, "<u8") for f in flags]))
+                    wanted = np.unique(np.frombuffer(flags, "<u8"))
                     hits = np.isin(np.concatenate([hasher([p], False)[0] for p in pieces(text, window)]), wanted)
                     edge = np.zeros(len(words) + 1, np.int64)
                     at = np.flatnonzero(hits)
@@ -231,7 +251,7 @@ def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, texts_too: bool = False) -> DataFrame:
     """One row per row: doc_id, n_words, n_removed, kept_sha256; with texts_too also kept_text and spans (removed word intervals)."""
-    flags = flagged_windows(docs, key, text, window).groupBy("doc_id").agg(F.collect_list("flags").alias("flags"))
+    flags = flagged_windows(docs, key, text, window)
     packed = docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(_zip, "doc_id long, packed binary")
     more = ", kept_text string, spans array<struct<start:long,end:long>>" if texts_too else ""
     return packed.join(flags, "doc_id", "left").select("doc_id", "packed", "flags").mapInArrow(_remove(window, texts_too), f"doc_id long, n_words long, n_removed long, kept_sha256 string{more}")
