@@ -9,11 +9,12 @@ distance is verified in the join. Only distinct fingerprints take part, so copie
 fingerprint has at most 43,744 others within distance 3 whatever the corpus: links stay linear in it.
 
 `similar_groups` serves where documents count as near copies at a given Jaccard similarity of their shingle sets
-(0.8 of five-word shingles, say), which is many more than 3 bits of 64 apart. It takes several independent
-fingerprints, whose bits together estimate the similarity closely, and uses the home keys of all of them: each is
-one more chance for two similar documents to meet. In a key's bucket all members are compared with its smallest
-and its largest document, so that work stays linear in a bucket's size; with 128 keys a pair at similarity 0.9 is
-missed about once in a hundred times, at 0.8 about one time in four.
+(0.8 of five-word shingles, say), which is many more than 3 bits of 64 apart. Documents meet in buckets of 42 bands
+of six minimum hashes: a pair at 0.8 has no common bucket about three times in a million. The members of a bucket
+are first compared with its smallest one; then every two members that this has not put into one group are compared,
+block by block, so a bucket of any size is whole and one large group of copies costs no pairs. Sketches (a byte of
+each minimum) drop pairs whose estimate is 0.12 or more below, which is over four standard deviations; what is left
+is decided by the exact similarity of the two texts' shingle sets.
 
 Components of the links are found by large and small stars in Spark. Null and empty texts have fingerprint zero,
 which links like any other. Rows that repeat an id give a row each; null ids are never a component's name unless
@@ -22,6 +23,7 @@ it has no other. Other columns are not read. An empty table gives an empty resul
 
 from __future__ import annotations
 
+import hashlib
 from functools import cache
 
 import numpy as np
@@ -34,6 +36,8 @@ from .common import ASCII_LOWER, map_texts, staged
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
+#: Bands of the near-copy keys, and minimum hashes in each.
+BANDS, ROWS = 42, 6
 #: Generator polynomial of the [23, 12, 7] Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0xAE3
 
@@ -162,41 +166,151 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return fps.join(by_fp, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _signatures(tables: int, shingle: int):
-    salts = np.random.default_rng(5).integers(1, 1 << 62, tables, dtype=np.uint64)
+def _signatures(shingle: int):
+    """Per text its SHA-256, the 64-bit keys of BANDS bands of ROWS minimum hashes, and a byte of each minimum."""
+    rng = np.random.default_rng(5)
+    odd = rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    plus = rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
     def run(texts: list[bytes]) -> dict[str, object]:
         hashes = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in texts]
-        sizes = list(map(len, hashes))
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        columns = []
-        for salt in salts:
-            h = (flat ^ salt) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-            columns.append(majority_flat(h * np.uint64(0x9E3779B97F4A7C15), np.array(sizes, np.int64)))
-        flat_sig = np.stack(columns, axis=1).astype(np.int64).ravel() if texts else np.zeros(0, np.int64)
-        return {"sig": pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * tables, pa.int32()), pa.array(flat_sig))}
+        sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
+        flat = (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)).astype(np.uint32)
+        full = np.flatnonzero(sizes)
+        starts = (np.cumsum(sizes) - sizes)[full]
+        least = np.full((len(texts), BANDS * ROWS), 0xFFFFFFFF, np.uint32)
+        h = np.empty_like(flat)
+        for k in range(BANDS * ROWS if full.size else 0):
+            np.multiply(flat, odd[k], out=h)
+            h += plus[k]
+            least[full, k] = np.minimum.reduceat(h, starts)
+        bands = np.zeros((len(texts), BANDS), np.uint64)
+        for row in range(ROWS):
+            bands = (bands ^ least[:, row::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+            bands ^= bands >> np.uint64(29)
+        bands ^= np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        sketch = (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+        keys = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
+        return {"sha": pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), "keys": keys, "sketch": pa.array([x.tobytes() for x in sketch], pa.binary())}
 
     return run
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 16, exact_bits: int = 12) -> DataFrame:
-    """(doc_id, group_id) of documents that are linked to others at about the given similarity or more; group_id is the smallest doc_id of the group."""
-    limit = round(64 * tables * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
-    sigs = staged(map_texts(docs.filter(F.col(key).isNotNull()), _signatures(tables, shingle), "sig array<long>", key, text).withColumnRenamed(key, "doc"), "signatures")
-    kind = sigs.schema["doc"].dataType.simpleString()
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BANDS * ROWS)
 
-    def home(batches):
+
+def _close(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in a part `least` or more of their bytes."""
+
+    def run(batches):
+        for batch in batches:
+            same = (_bytes_of(batch.column(2)) == _bytes_of(batch.column(3))).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same >= least * BANDS * ROWS))
+
+    of = lambda side: sigs.select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the Jaccard similarity or more; exact. Only texts of candidates are moved."""
+    nodes = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(sigs.select("node", "sha"), "node"), "candidate-nodes")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.unhex(F.sha2(whole, 256)).alias("sha"), whole.alias("text")).join(staged(nodes.select("sha").distinct(), "candidate-digests"), "sha", "left_semi").dropDuplicates(["sha"])
+    texts = staged(nodes.join(staged(texts, "distinct-texts"), "sha").select("node", "text"), "candidate-texts")
+
+    def run(batches):
+        held, size = {}, 0
+
+        def shingles(node: int, text: bytes) -> np.ndarray:
+            nonlocal size
+            if node not in held:
+                if size > 1 << 21:
+                    held.clear()
+                    size = 0
+                held[node] = np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
+                size += held[node].size
+            return held[node]
+
+        for batch in batches:
+            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+            fits = []
+            for i in range(len(a)):
+                x, y = shingles(a[i], ta[i].encode()), shingles(b[i], tb[i].encode())
+                both = np.intersect1d(x, y, assume_unique=True).size
+                fits.append(both * (1 + similarity) >= similarity * (x.size + y.size) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(fits, pa.bool_()))
+
+    of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"t{side}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def _across(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: float, block: int) -> DataFrame:
+    """Pairs of every two members of a bucket that are not yet in one group and whose sketches agree enough.
+
+    A bucket is cut into blocks of about `block` members, and each pair of its blocks is a cell that is dealt by itself."""
+    named = staged(members.select("key", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    mixed = named.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("n")).filter("first < last").select("key", F.ceil(F.col("n") / block).alias("blocks"))
+    mixed = staged(mixed, "mixed-buckets")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cells = named.join(mixed, "key").withColumn("own", own).withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "root")
+    cells = cells.join(sigs.select("node", "sketch"), "node").select("key", "i", "j", "second", "node", "root", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def pairs(cell: pa.Table) -> pa.RecordBatch:
+        second, node, root = (cell[c].to_numpy() for c in ("second", "node", "root"))
+        sketch, whole, found = _bytes_of(cell["sketch"]), cell["i"][0] == cell["j"][0], [np.zeros((0, 2), np.int64)]
+        for k in range(node.size):
+            rest = np.flatnonzero((root != root[k]) & (node > node[k] if whole else second & ~second[k]))
+            rest = rest[(sketch[rest] == sketch[k]).sum(1) >= least * BANDS * ROWS]
+            found.append(np.stack([np.minimum(node[rest], node[k]), np.maximum(node[rest], node[k])], axis=1))
+        ab = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+
+    def run(batches):
+        left = None
         for batch in batches:
-            sig = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(-1, tables)
-            for table in range(tables):
-                at, found = keys(np.ascontiguousarray(sig[:, table]), False, exact_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(found | table << 32), batch.column(0).take(pa.array(at))], names=["key", "doc"])
-
-    keyed = sigs.select("doc", "sig").mapInArrow(home, f"key long, doc {kind}")
-    hubs = staged(keyed.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high"), "hubs")
-    ends = F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("doc").alias("b")), F.struct(F.col("doc").alias("a"), F.col("high").alias("b")))).alias("pair")
-    pairs = keyed.join(hubs, "key").select(ends).select("pair.a", "pair.b").filter("a < b").distinct()
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = pairs.join(sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sb")), "b").filter(apart <= limit).select("a", "b")
-    return components(near).select(F.col("node").alias(key), F.col("root").alias("group_id"))
+            table = pa.Table.from_batches([batch])
+            table = table if left is None else pa.concat_tables([left, table])
+            at = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist()]
+            for lo, hi in zip(cuts, cuts[1:]):  # noqa: B905
+                yield pairs(table.slice(lo, hi - lo))
+            left = table.slice(cuts[-1])
+        if left is not None and left.num_rows:
+            yield pairs(left)
+
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 1000) -> DataFrame:
+    """(doc_id, sha, group_id, group_sha) of the rows that are linked to others, a row being known by its id and the
+    SHA-256 of its text; the group's name is its row of the smallest id, a null id counting as the largest."""
+    found = map_texts(docs, _signatures(shingle), "sha binary, keys array<long>, sketch binary", key, text).withColumnRenamed(key, "doc")
+    sigs = staged(found.withColumn("node", F.monotonically_increasing_id()), "signatures")
+    least = similarity - 0.12
+    keyed = sigs.select("node", F.explode("keys").alias("key"))
+    hubs = staged(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low"), "hubs")
+    members = staged(keyed.join(hubs, "key").select("key", "node", "low"), "buckets")
+    first = staged(_close(members.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), sigs, least), "candidates")
+    links = staged(_verified(first, sigs, docs, text, shingle, similarity), "links")
+    labels = staged(components(links), "labels")
+    rest = staged(_across(members, sigs, labels, least, block).join(first, ["a", "b"], "left_anti"), "candidates")
+    more = staged(_verified(rest, sigs, docs, text, shingle, similarity), "links")
+    labels = staged(components(links.unionByName(more)), "labels")
+    rows = staged(labels.join(sigs.select("node", "doc", "sha"), "node"), "similar-rows")
+    names = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "sha")).alias("name"))
+    return rows.join(staged(names, "names"), "root").select(F.col("doc").alias(key), "sha", F.col("name.doc").alias("group_id"), F.col("name.sha").alias("group_sha"))
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, group_id) of documents that are linked to others at the given similarity or more; group_id is the smallest doc_id of the group."""
+    return similar_rows(docs, key, text, shingle, similarity).select(key, "group_id")
+
+
+def without_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, without those of a group but its named one."""
+    same = F.col(key).eqNullSafe(F.col("group_id")) & (F.col("sha") == F.col("group_sha"))
+    gone = similar_rows(docs, key, text, shingle, similarity).filter(~same).select(F.col(key).alias("_id"), F.col("sha").alias("_sha")).distinct()
+    mine = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    return docs.withColumn("_sha256", mine).join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_sha")), "left_anti").drop("_sha256")

@@ -217,6 +217,41 @@ def test_similar_groups(spark):
     assert got == {i + d: i for i in range(12) for d in (0, 12)} | {24: 24, 25: 24}
 
 
+def edited(words, similarity, rnd):
+    """A copy with about the given Jaccard similarity of five-word shingles: single words replaced far apart."""
+    words, n = list(words), len(words) - 4
+    for k in range(round(n * (1 - similarity) / (1 + similarity) / 5)):
+        words[6 + 12 * k] = f"e{rnd.random()}"
+    return words
+
+
+def brute_groups(texts, similarity=0.8):
+    sets = [set(simhash_dedup.shingle_hashes(low(t).encode(), 5)) for t in texts]
+    where = defaultdict(list)
+    for i, s in enumerate(sets):
+        for h in s:
+            where[h].append(i)
+    links = []
+    for i, s in enumerate(sets):
+        shared = Counter(j for h in s for j in where[h] if j < i)
+        links += [(j, i) for j, n in shared.items() if n >= similarity * (len(s) + len(sets[j]) - n) - 1e-9]
+    got = brute_components(links, range(len(texts)))
+    return {i: got[i] for pair in links for i in pair}
+
+
+def test_similar_groups_in_one_template(spark):
+    rng = random.Random(12)
+    template, texts = [f"t{i}" for i in range(200)], []
+    for _ in range(1500):
+        words = template + [f"w{rng.random()}" for _ in range(46)]
+        texts.append(" ".join(words))
+        if rng.random() < 0.1:
+            texts.append(" ".join([*words[:-3], "x", "y", "z"]))
+    rng.shuffle(texts)
+    want = brute_groups(texts)
+    assert {r["doc_id"]: r["group_id"] for r in simhash_dedup.similar_groups(frame(spark, texts)).collect()} == want and len(want) > 200
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(90)] + [(300, i) for i in range(301, 400)] + [(i, i + 1) for i in range(500, 540)]
