@@ -239,6 +239,17 @@ def brute_groups(texts, similarity=0.8):
     return {i: got[i] for pair in links for i in pair}
 
 
+def test_similar_groups_around_the_limit(spark):
+    rng = random.Random(11)
+    texts = []
+    for k in range(400):
+        words = [f"w{rng.random()}" for _ in range(404)]
+        texts += [" ".join(words), " ".join(edited(words, 0.74 + 0.0003 * k, rng))]
+    want = brute_groups(texts)
+    got = {r["doc_id"]: r["group_id"] for r in simhash_dedup.similar_groups(frame(spark, texts)).collect()}
+    assert got == want and 300 < len(want) < 750
+
+
 def test_similar_groups_in_one_template(spark):
     rng = random.Random(12)
     template, texts = [f"t{i}" for i in range(200)], []
