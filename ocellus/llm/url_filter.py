@@ -1,8 +1,8 @@
 """URL filters with redirect equivalence.
 
 Rules name a host and a path prefix; a rule fits its host and all subdomains, and the longest fitting rule
-decides. Redirect edges (an html refresh to another address, a location assigned by script) and canonical-link
-edges make pages and addresses aliases of each other. Connected components over these edges, found by distributed
+decides. Redirect edges (an html refresh to another address, a location assigned or replaced by script) and canonical-link
+edges make pages and addresses aliases of each other; relative targets are resolved against the page's base or url. Connected components over these edges, found by distributed
 stars, carry block decisions to aliases that no rule decides: such a page is blocked if an address of its component,
 whether a page of the table or not, is blocked by a rule. An explicit allow rule keeps its page allowed, whatever its aliases. Pages without a
 fitting rule and without a blocked alias are allowed.
@@ -55,21 +55,51 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _targets(html: Column) -> Column:
-    """Addresses that a page names as its canonical form or redirects to."""
-    quoted = r"[\"']([^\"'<>\s]+)[\"']"
+def resolved(base: Column, ref: Column) -> Column:
+    """The absolute form of a reference on a page at base; null for other schemes, fragments, and where base has no host."""
+    host, path = F.regexp_extract(base, r"(?s)^.*?://([^/?#]*)", 1), url_path(base)
+    root = F.concat(F.lit("http://"), host)
+    return (
+        F.when(ref.rlike(r"(?i)^[a-z][a-z0-9+.\-]*://"), ref)
+        .when(ref.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:") | ref.startswith("#"), F.lit(None))
+        .when(ref.startswith("//"), F.concat(F.lit("http:"), ref))
+        .when(host == "", F.lit(None))
+        .when(ref.startswith("/"), F.concat(root, ref))
+        .when(ref.startswith("?"), F.concat(root, path, ref))
+        .otherwise(F.concat(root, F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", "")), ref))
+    )
+
+
+def _targets(html: Column, url: Column) -> Column:
+    """Absolute addresses that a page names as its canonical form or redirects to."""
+    value, quoted = r"[\"']?\s*([^\"'<>\s]+)", r"[\"']([^\"'<>\s]+)[\"']"
+    script = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>(.*?)</script"), F.lit(1)), "\n")
+    own = r"(?<!\b(?:var|let|const)\s{1,9})(?<![\w.$-])(?:(?:window|document|self|top|parent)\s*\.\s*)*location"
     found = [
-        F.regexp_extract_all(html, F.lit(rf"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*{quoted}"), F.lit(1)),
-        F.regexp_extract_all(html, F.lit(r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?\s*\d+\s*;\s*url\s*=\s*['\"]?([^\"'<>\s]+)"), F.lit(1)),
-        F.regexp_extract_all(html, F.lit(rf"(?is)\blocation(?:\.href)?\s*=\s*{quoted}"), F.lit(1)),
+        F.regexp_extract_all(html, F.lit(rf"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*(?<![\w-])href\s*=\s*{value}"), F.lit(1)),
+        F.regexp_extract_all(html, F.lit(rf"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?\s*\d++(?:\.\d*+)?\s*+[;,]\s*+(?:url\s*=\s*)?{value}"), F.lit(1)),
+        # an attribute may be named location too: outside of scripts only whole addresses count
+        F.filter(F.regexp_extract_all(html, F.lit(rf"(?is)\blocation(?:\.href)?\s*=\s*{quoted}"), F.lit(1)), lambda x: x.rlike(r"(?i)^[a-z][a-z0-9+.\-]*://")),
+        F.regexp_extract_all(script, F.lit(rf"(?is){own}(?:\s*\.\s*href)?\s*=\s*{quoted}"), F.lit(1)),
+        F.regexp_extract_all(html, F.lit(rf"(?is)(?<![\w$-])location\s*\.\s*(?:replace|assign)\s*\(\s*{quoted}"), F.lit(1)),
     ]
-    return F.array_distinct(F.filter(F.flatten(F.array(*found)), lambda x: x.contains("://")))
+    named = F.regexp_extract(html, rf"(?is)<base\b[^>]*(?<![\w-])href\s*=\s*{value}", 1)
+    base = F.when(named != "", F.coalesce(resolved(url, named), url)).otherwise(url)
+    return F.array_distinct(F.filter(F.transform(F.flatten(F.array(*found)), lambda x: resolved(base, x)), lambda x: x.isNotNull()))
+
+
+def _plain(path: Column) -> Column:
+    """The path without its "." and ".." segments."""
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(F.split(path, "/"), start, lambda held, x: F.when(x == ".", held).when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(1)))).otherwise(F.array_append(held, x)))
+    whole = F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), whole).otherwise(path)
 
 
 def address(url: Column) -> Column:
     """The form in which addresses are compared: host and path, and a query if there is one."""
-    query = F.coalesce(F.regexp_extract(url, r"(?s)(\?[^#]*)", 1), F.lit(""))
-    return F.when(url.contains("://"), F.concat(url_host(url), F.regexp_replace(url_path(url), "^$", "/"), query))
+    query = F.coalesce(F.regexp_extract(url, r"(?s)^[^#]*?(\?[^#]*)", 1), F.lit(""))
+    return F.when(url.contains("://"), F.concat(url_host(url), F.regexp_replace(_plain(url_path(url)), "^$", "/"), query))
 
 
 def url_filter(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -80,7 +110,7 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", ur
         .withColumn("fit", fit)
         .select("page_id", "host", "path", "address", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("verdict"))
     )
-    edges = pages.select(address(F.col(url)).alias("a"), F.explode(_targets(F.coalesce(F.col(html), F.lit("")))).alias("to")).select("a", address(F.col("to")).alias("b"))
+    edges = pages.select(address(F.col(url)).alias("a"), F.explode(_targets(F.coalesce(F.col(html), F.lit("")), F.col(url))).alias("to")).select("a", address(F.col("to")).alias("b"))
     edges = staged(edges.filter("a <> b").distinct(), "aliases")
     roots = staged(components(edges), "alias-roots")
     at = F.regexp_extract("node", r"(?s)^([^/?]*)([^?]*)", 1), F.regexp_extract("node", r"(?s)^([^/?]*)([^?]*)", 2)

@@ -288,6 +288,18 @@ def test_url_filter(spark):
     }
 
 
+def test_url_filter_relative_targets(spark):
+    rules = [url_filter.Rule("block", "net", "/es/")]
+    pages = [
+        (1, "http://a.net/", "<meta http-equiv=refresh content='0; url=/es/'>"), (2, "http://b.org/x", '<link rel="canonical" href="//c.net/es/1">'), (3, "http://d.net/es/page", '<link rel=canonical href=http://e.org/q>'),
+        (4, "http://e.org/q", ""), (5, "http://f.net/a/b", "<script>location.replace('../es/gone.html')</script>"), (6, "http://g.net/es/x", '<script>window.location.assign("y.html")</script>'),
+        (7, "http://h.net/a", '<div location="/es/">'), (8, "http://i.net/a", '<script>location = "/es/"</script>'), (9, "http://j.net/a", '<link rel=canonical href="mailto:x"><script>var location = "/es/"</script>'),
+        (10, "http://k.org/a", '<base href="http://k.net/es/"><link rel=canonical href=z>'), (11, None, '<link rel=canonical href="/es/">'), (12, "http://l.net/a", '<link rel=canonical href="/go?u=http://m.net/es/">'),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 8, 10} and len(got) == 12
+
+
 def labelled(spark, n=400):
     rng = random.Random(2)
     texts, labels = [], []
