@@ -263,6 +263,18 @@ def test_similar_groups_in_one_template(spark):
     assert {r["doc_id"]: r["group_id"] for r in simhash_dedup.similar_groups(frame(spark, texts)).collect()} == want and len(want) > 200
 
 
+def test_near_copies_are_rows_not_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    one, two, three = (prose(300, rng).split() for _ in range(3))
+    copy = lambda w: " ".join([*w[:-1], "zz"])
+    rows = [(1, " ".join(one)), (7, copy(one)), (7, " ".join(two)), (8, " ".join(three)), (8, copy(three)), (None, copy(two)), (None, prose(300, rng))]
+    kept = corpus_pipeline.drop_near_copies(spark, frame(spark, [t for _, t in rows], [i for i, _ in rows]), "").collect()
+    texts = {r["text"] for r in kept}
+    assert len(kept) == 4 and rows[0][1] in texts and rows[2][1] in texts and rows[6][1] in texts and len(texts & {rows[3][1], rows[4][1]}) == 1
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(90)] + [(300, i) for i in range(301, 400)] + [(i, i + 1) for i in range(500, 540)]
