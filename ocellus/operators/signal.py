@@ -121,11 +121,22 @@ def background_difference(df: DataFrame, series: str, order: str, value: str, wi
     return both.withColumn("signal", F.col("background") - F.col("local"))
 
 
-def dual_median(df: DataFrame, series: str, order: str, value: str, small: int = 25, large: int = 51, cut: float = 0.05) -> DataFrame:
-    """Circular medians of two widths, nulls left out; where they differ by more than the cut the wider one holds."""
+def _zero_padded(df: DataFrame, series: str, value: str, pad: int) -> DataFrame:
+    """Adds rows of value 0 at positions -pad..-1 and n..n+pad-1; nulls count as 0."""
+    i, n = F.col("i"), F.col("n")
+    none = F.array().cast("array<int>")
+    before = F.when(i == 0, F.sequence(F.lit(-pad), F.lit(-1))).otherwise(none)
+    after = F.when(i == n - 1, F.transform(F.sequence(F.lit(0), F.lit(pad - 1)), lambda k: (k + n).cast("int"))).otherwise(none)
+    out = df.select(series, "i", F.coalesce(F.col(value), F.lit(0.0)).alias("v"), "n", F.explode(F.concat(F.array(i.cast("int")), before, after)).alias("at"))
+    return out.select(series, F.when(F.col("at") == F.col("i"), F.col("v")).otherwise(0.0).alias("v"), "n", F.col("at").alias("i"))
+
+
+def dual_median(df: DataFrame, series: str, order: str, value: str, small: int = 25, large: int = 51, cut: float = 0.05, zero_padded: bool = False) -> DataFrame:
+    """Circular medians of two widths, nulls left out; where they differ by more than the cut the wider one holds.
+    With zero_padded, nulls and what lies beyond the ends count as 0 instead."""
     base = numbered(df, series, order)
     w = Window.partitionBy(series).orderBy("i")
-    wide = _extended(base, series, value, large // 2, True)
+    wide = _zero_padded(base, series, value, large // 2) if zero_padded else _extended(base, series, value, large // 2, True)
     med = lambda k: F.percentile("v", F.lit(0.5)).over(w.rowsBetween(-(k // 2), k // 2))
     found = wide.withColumn("m1", med(small)).withColumn("m2", med(large)).filter("i >= 0 AND i < n")
     out = F.when(F.abs(F.col("m1") - F.col("m2")) / (F.col("m2") + 1e-9) > cut, F.col("m2")).otherwise(F.col("m1"))

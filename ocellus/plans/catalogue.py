@@ -598,3 +598,9 @@ def q63_zernike_fit(spark, sf_dir):
 def q64_cone_location(spark, sf_dir):
     """Steepest-disc index per picture; checked on a planted cone in the tests."""
     return surface.cone_location(pictures(spark, sf_dir), "vec_id", 4, 4, 2, 4)
+
+
+@query()
+def q65_zero_padded_dual_median(spark, sf_dir):
+    """Medians with zeros beyond the ends and for missing values; a numpy oracle is in the tests."""
+    return rounded(signal.dual_median(hourly(spark, sf_dir), "series", "hour", "v", zero_padded=True).select("series", "hour", "median"))

@@ -137,6 +137,16 @@ def series(spark, values):
     return spark.createDataFrame([("s", i, float(v) if v is not None else None) for i, v in enumerate(values)], "s string, t long, v double")
 
 
+def test_zero_padded_dual_median_against_numpy(spark):
+    x = np.random.default_rng(2).random(80) + 3
+    holes = [None if k % 7 == 0 or 30 <= k < 45 else v for k, v in enumerate(x)]
+    filled = np.array([v or 0.0 for v in holes])
+    med = lambda k: np.median(np.lib.stride_tricks.sliding_window_view(np.pad(filled, k // 2), k), axis=1)
+    m1, m2 = med(25), med(51)
+    got = signal.dual_median(series(spark, holes), "s", "t", "v", zero_padded=True).orderBy("t").collect()
+    assert np.allclose([r["median"] for r in got], np.where(np.abs(m1 - m2) / (m2 + 1e-9) > 0.05, m2, m1))
+
+
 def test_windows_against_numpy(spark):
     x = np.random.default_rng(1).random(120)
     df = series(spark, x)
