@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,41 @@ def nearest_reference(df: DataFrame, key: str, code: str, references: DataFrame,
     return df.select(F.col(key), best.alias("m")).select(key, "m.reference", "m.distance")
 
 
+def nearest_of_table(df: DataFrame, key: str, codes: Sequence[str], references: DataFrame, ref_key: str, ref_codes: Sequence[str], skip_same_key: bool = False, block: int = 4096) -> DataFrame:
+    """The nearest row of a reference table of any size, by the distances of all codes in turn, then the smaller key.
+
+    Both tables are cut into blocks by a hash of the key, and every pair of blocks is compared in numpy in a group
+    of its own, so the search is exact; the best of each pair of blocks meet in one aggregate. With skip_same_key a
+    row is not its own reference. Without a reference a row has nulls. Keys are unique, codes not null.
+    """
+    kind, ref_kind = df.schema[key].dataType.simpleString(), references.schema[ref_key].dataType.simpleString()
+    n_df, n_ref = (max(1, -(-x.count() // block)) for x in (df, references))
+    names = [f"d{i}" for i in range(len(codes))]
+    both = lambda x, k, cs, mine, others, n: x.select(F.col(k).alias("k"), F.array(*(F.col(c).cast("long") for c in cs)).alias("c"), F.pmod(F.xxhash64(k), F.lit(n)).alias(mine)).withColumn(others, F.explode(F.sequence(F.lit(0), F.lit((n_ref if mine == "p" else n_df) - 1))))
+    left, right = both(df, key, codes, "p", "q", n_df), both(references, ref_key, ref_codes, "q", "p", n_ref)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"k": a["k"][:0], "reference": b["k"][:0], **{d: np.zeros(0, np.int32) for d in names}})
+        b = b.sort_values("k", kind="stable")
+        keys, refs = a["k"].to_numpy(), b["k"].to_numpy()
+        x, y = np.stack(a["c"].to_numpy()).astype(np.int64).view(np.uint64), np.stack(b["c"].to_numpy()).astype(np.int64).view(np.uint64)
+        at, ok, found = np.zeros(keys.size, int), np.ones(keys.size, bool), np.zeros((keys.size, len(names)), np.int32)
+        for r in range(keys.size):
+            open_ = np.flatnonzero(refs != keys[r]) if skip_same_key else np.arange(refs.size)
+            ok[r] = open_.size > 0
+            for c in range(len(names) if ok[r] else 0):
+                d = np.bitwise_count(y[open_, c] ^ x[r, c])
+                found[r, c] = d.min()
+                open_ = open_[d == d.min()]
+            at[r] = open_[0] if ok[r] else 0
+        return pd.DataFrame({"k": keys[ok], "reference": refs[at[ok]], **{d: found[ok, c] for c, d in enumerate(names)}})
+
+    cells = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(run, f"k {kind}, reference {ref_kind}, " + ", ".join(f"{d} int" for d in names))
+    best = cells.groupBy("k").agg(F.min(F.struct(*names, "reference")).alias("m"))
+    return df.select(F.col(key).alias("_k")).join(best, F.col("_k") == F.col("k"), "left").select(F.col("_k").alias(key), "m.reference", *(f"m.{d}" for d in names))
+
+
 def pair_status(pairs: DataFrame, decisions: DataFrame, exact: Column) -> DataFrame:
     """exact, confirmed, rejected or review_required. `decisions` has a, b, decision in any order of a and b."""
     known = decisions.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "decision").groupBy("a", "b").agg(F.min("decision").alias("decision"))

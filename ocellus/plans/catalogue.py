@@ -604,3 +604,11 @@ def q64_cone_location(spark, sf_dir):
 def q65_zero_padded_dual_median(spark, sf_dir):
     """Medians with zeros beyond the ends and for missing values; a numpy oracle is in the tests."""
     return rounded(signal.dual_median(hourly(spark, sf_dir), "series", "hour", "v", zero_padded=True).select("series", "hour", "median"))
+
+
+@query()
+def q66_nearest_of_table(spark, sf_dir):
+    """The nearest other vector of the whole table by two hashes in turn; brute force is in the tests."""
+    odd = F.filter(F.col("embedding"), lambda _, i: i % 2 == 1)
+    h = table(spark, sf_dir, "embeddings").select("vec_id", neardup.sign_hash(F.col("embedding")).alias("p"), neardup.sign_hash(odd).alias("d"))
+    return neardup.nearest_of_table(h, "vec_id", ["p", "d"], h, "vec_id", ["p", "d"], True)

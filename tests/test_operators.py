@@ -101,6 +101,15 @@ def test_hamming_pairs_are_complete(spark):
     assert got == want
 
 
+def test_nearest_of_table_against_brute_force(spark):
+    rng = random.Random(4)
+    rows_ = [(i, rng.getrandbits(62), rng.getrandbits(62)) for i in range(90)]
+    rows_ += [(100 + i, c, d ^ rng.getrandbits(3)) for i, c, d in rows_[:20]]
+    df = spark.createDataFrame(rows_, "id long, p long, d long")
+    got = {r["id"]: (r["d0"], r["d1"], r["reference"]) for r in neardup.nearest_of_table(df, "id", ["p", "d"], df, "id", ["p", "d"], True, block=40).collect()}
+    assert got == {i: min(((p ^ q).bit_count(), (d ^ e).bit_count(), j) for j, q, e in rows_ if j != i) for i, p, d in rows_}
+
+
 def test_grouping_and_status(spark):
     pairs = spark.createDataFrame([(1, 2, True), (2, 3, False), (5, 6, False)], "a int, b int, same boolean")
     status = neardup.pair_status(pairs, spark.createDataFrame([(3, 2, "confirmed")], "a int, b int, decision string"), F.col("same"))
