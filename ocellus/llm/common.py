@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,21 +37,23 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
-    return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
+    return pc.fill_null(column.cast(pa.large_binary()), b"").to_pylist()
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """(doc_id array, texts) pieces of the batches, each of about `limit` text bytes at most."""
+    """(doc_id array, texts) pieces of the batches, each of about `limit` text bytes at most.
+
+    The pieces are cut by the texts' lengths first; only one piece at a time becomes Python objects.
+    """
     for batch in batches:
-        ids, texts = batch.column(0), byte_texts(batch.column(1))
-        start = held = 0
-        for i, text in enumerate(texts):
-            if held and held + len(text) > limit:
-                yield ids.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += len(text)
-        if start < len(texts):
-            yield ids.slice(start), texts[start:]
+        ids, texts = batch.column(0), batch.column(1)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(texts):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield ids.slice(start, stop - start), byte_texts(texts.slice(start, stop - start))
+            start = stop
 
 
 def map_texts(docs: DataFrame, func: Callable[[list[bytes]], dict[str, object]], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,87 +1,99 @@
 """Substring dedup by Rabin-Karp hashes of every window of 50 tokens, counted in Spark.
 
-Each text's words are laid end to end with one separator, and a prefix sum of byte codes times powers of an odd
-base, modulo 2**64, gives the hash of any window by one subtraction and one multiplication by an inverse power.
-A second, independent hash adds a byte; 72 bits name a window.
+A window's hash is the polynomial of its words' codes in a random base, modulo the prime 2**61 - 1; hashes of 2, 4,
+8, ... words are built from halves, and those that add up to the window's length are joined. Two such hashes, of
+independent word codes and bases, name a window by 96 bits. Modulo a prime no text is bad for every base: two
+different windows share a name with a chance of about 2**-96, so 1e13 windows (100 TB) have less than one false pair
+in a thousand runs by calculation.
 
-A map task collects a few million windows at a time, keeps one entry per window content (that of the smallest
+A map task collects about a million windows at a time, keeps one entry per window content (that of the smallest
 document; the other documents' entries are decided on the spot, as a smaller document is at hand), sorts the
-entries by hash and packs each hash range into one binary row. Spark shuffles these rows by range and each range
-finds the smallest document of every window; any other document that has the window gets it flagged. So a
-window that a third of all documents share costs an entry per map step, not per document. Flags travel
-packed by group of documents and go back in a join by doc_id, one row per document, where covered words are merged into maximal intervals and removed.
-
-The number of ranges follows the input's size, so a range stays at a few million entries. Null texts have no
-words. Rows of one doc_id count as one document; rows with a null doc_id keep all words and are no source of
-removals. Texts of under 50 words keep all words. Other columns are not read. Windows are judged on the input.
+entries by hash and packs each hash part into one binary row. Spark shuffles these rows by part, a few parts per
+shuffle partition whatever the input's size; there they are split into the part's ranges, sorted by range on disk,
+and taken a range at a time: the smallest document of every window is found, and any other document that has the
+window gets it flagged. So a window that a third of all documents share costs an entry per map step, not per
+document. Flags travel packed by group of documents, in the same two steps, and go back in a join by doc_id, one row
+per document, where covered words are merged into maximal intervals and removed.
+
+Null texts have no words. Rows of one doc_id count as one document; rows with a null doc_id keep all words and are no
+source of removals. Texts of under 50 words keep all words; very long texts are hashed in overlapping pieces. Ids may
+be of any type that sorts; those that aren't whole numbers are numbered in their order first, which takes a sort of
+the ids and a join. Other columns are not read. Windows are judged on the input. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import byte_texts, chunks, ship
+from .common import byte_texts, chunks, ship, staged
 
 WINDOW = 50
-#: Bytes hashed at once, windows packed at once, and bytes of text per hash range.
-PIECE, FLUSH, RANGE_BYTES = 1 << 20, 1_000_000, 12 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+#: Bytes hashed at once, windows packed at once, entries split at once, and bytes of text per hash range.
+PIECE, FLUSH, SPLIT, RANGE_BYTES = 1 << 20, 1_000_000, 4_000_000, 12 << 20
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_U = [np.uint64(i) for i in range(64)]
 _RNG = np.random.default_rng(20240501)
-#: For each of the two hashes a random odd base and random codes of the 256 bytes.
-_BASES = [int(x) | 1 for x in _RNG.integers(1 << 32, 1 << 62, 2)]
-_CODES = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class Hasher:
-    """Window hashes of many texts laid end to end."""
-
-    def __init__(self, window: int = WINDOW):
-        self.window, self.tables = window, []
-
-    def _ready(self, n: int) -> None:
-        if not self.tables or self.tables[0][0].size < n:
-            n = max(n, PIECE + (PIECE >> 2))
-            self.tables = [(_powers(b, n), _powers(pow(b, -1, 1 << 64), n)) for b in _BASES]
-
-    def __call__(self, texts: list[bytes], both: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-        """First hashes, second hashes (a byte each) and windows per text, text after text."""
-        raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        space = _SPACE[raw]
-        keep = ~space
-        keep[1:] |= space[1:] & ~space[:-1]
-        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-        flat = np.where(space, np.uint8(32), raw)[keep]
-        stop = np.flatnonzero(flat == 32)
-        words = np.diff(np.r_[0, np.searchsorted(stop, np.cumsum(keep)[ends - 1])])
-        counts = np.maximum(words - self.window + 1, 0)
-        first = np.repeat(np.cumsum(words) - words - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        start = np.r_[0, stop + 1][first]
-        end = stop[first + self.window - 1] + 1
-        self._ready(flat.size + 1)
-        out = []
-        for codes, (power, inverse) in list(zip(_CODES, self.tables, strict=True))[: 1 + both]:
-            prefix = np.zeros(flat.size + 1, np.uint64)
-            np.cumsum(codes[flat] * power[: flat.size], out=prefix[1:])
-            h = (prefix[end] - prefix[start]) * inverse[start]
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            out.append(h ^ h >> np.uint64(29))
-        return out[0], (out[1] >> np.uint64(56)).astype(np.uint8) if both else None, counts
+#: A random base for each of the two hashes, and the seed of the word codes.
+_BASES = [int(x) for x in _RNG.integers(1 << 40, PRIME - 1, 2)]
+_SEED = int(_RNG.integers(1 << 62))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _U[61])
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo 2**61 - 1, from halves of 30 and 31 bits."""
+    bh, bl = np.uint64(b >> 31), np.uint64(b & ((1 << 31) - 1))
+    ah, al = a >> _U[31], a & _LOW31
+    middle = ah * bl + al * bh
+    return _reduced(((ah * bh) << _U[1]) + (middle >> _U[30]) + ((middle & _LOW30) << _U[31]) + al * bl)
+
+
+def word_codes(words: list[bytes]) -> np.ndarray:
+    """Two independent codes below the prime of each word: shape (2, words). Equal words are hashed once."""
+    if not words:
+        return np.zeros((2, 0), np.uint64)
+    coded = pa.array(words, pa.large_binary()).dictionary_encode()
+    raw = b"".join(xxhash.xxh3_128_digest(w, _SEED) for w in coded.dictionary.to_pylist())
+    both = np.frombuffer(raw, "<u8").reshape(-1, 2).T & _P
+    return both[:, coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def window_hashes(codes: np.ndarray, base: int, window: int) -> np.ndarray:
+    """Polynomial hash of the window that starts at each word (those that would pass the end are left out)."""
+    have, piece, size, done, power = None, codes, 1, 0, base  # power: base ** size
+    while True:
+        if window & size:  # what is there, followed by a piece of this size
+            have = piece if have is None else _reduced(times(have[: piece.size - done], power) + piece[done:])
+            done += size
+        size *= 2
+        if size > window:
+            return have[: max(0, codes.size - window + 1)]
+        piece = _reduced(times(piece[: max(0, piece.size - size // 2)], power) + piece[size // 2 :])
+        power = power * power % PRIME
+
+
+def hashed(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window: 64 bits and 32 more of its name, and the number of windows of each text."""
+    words = [t.split() for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    counts = np.maximum(sizes - window + 1, 0)
+    first = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    codes = word_codes([w for x in words for w in x])
+    h, g = (window_hashes(c, base, window)[first] for c, base in zip(codes, _BASES, strict=True))
+    return (h << _U[3]) | (g >> _U[58]), (g >> _U[26]).astype(np.uint32), counts
 
 
 def pieces(text: bytes, window: int) -> list[bytes]:
@@ -92,81 +104,92 @@ def pieces(text: bytes, window: int) -> list[bytes]:
     return [b" ".join(words[i : i + step + window - 1]) for i in range(0, max(1, len(words) - window + 1), step)]
 
 
-def _pack(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, names: np.ndarray) -> bytes:
-    """Sorted hashes in byte planes (the high ones compress well), the second hash, and each one's document."""
+def _pack(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> bytes:
+    """Sorted hashes in byte planes (the high ones compress well), their other bits, and each one's document."""
     used, ref = np.unique(doc, return_inverse=True)
-    ref = ref.astype("<u2" if used.size <= 1 << 16 else "<u4")
+    wide = 1 if used.size <= 1 << 8 else 2 if used.size <= 1 << 16 else 4
     planes = h1.astype(">u8").view(np.uint8).reshape(-1, 8).T
-    return np.array([h1.size, used.size], "<i8").tobytes() + names[used].astype("<i8").tobytes() + planes.tobytes() + h2.tobytes() + ref.tobytes()
+    refs = ref.astype(f">u{wide}").view(np.uint8).reshape(-1, wide).T
+    return np.array([h1.size, used.size], "<i8").tobytes() + used.astype("<i8").tobytes() + planes.tobytes() + h2.astype("<u4").tobytes() + refs.tobytes()
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, docs = np.frombuffer(blob, "<i8", 2).tolist()
     names = np.frombuffer(blob, "<i8", docs, 16)
     at = 16 + 8 * docs
+    wide = 1 if docs <= 1 << 8 else 2 if docs <= 1 << 16 else 4
     h1 = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, at).reshape(8, n).T).view(">u8").ravel().astype(np.uint64)
-    h2 = np.frombuffer(blob, np.uint8, n, at + 8 * n)
-    return h1, h2, names[np.frombuffer(blob, "<u2" if docs <= 1 << 16 else "<u4", n, at + 9 * n)]
+    h2 = np.frombuffer(blob, "<u4", n, at + 8 * n)
+    ref = np.ascontiguousarray(np.frombuffer(blob, np.uint8, wide * n, at + 12 * n).reshape(wide, n).T).view(f">u{wide}").ravel()
+    return h1, h2, names[ref]
 
 
-def _pack_flags(doc: np.ndarray, h1: np.ndarray, groups: int) -> tuple[list[int], list[bytes]]:
-    """Flagged hashes by group of documents (id mod groups): the groups, and each one's documents and hashes."""
-    group = doc % groups
-    order = np.argsort(group, kind="stable")
-    group, doc, h1 = group[order], doc[order], h1[order]
-    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if doc.size else np.zeros(0, np.int64)
-    stops = np.r_[cuts[1:], doc.size]
-    return group[cuts].tolist(), [doc[i:j].astype("<i8").tobytes() + h1[i:j].astype("<u8").tobytes() for i, j in zip(cuts, stops, strict=False)]
+def _pack_flags(h1: np.ndarray, doc: np.ndarray) -> bytes:
+    """Documents, the number of flagged hashes of each, and the hashes."""
+    order = np.argsort(doc, kind="stable")
+    used, many = np.unique(doc, return_counts=True)
+    return np.array([h1.size, used.size], "<i8").tobytes() + used.astype("<i8").tobytes() + many.astype("<u4").tobytes() + h1[order].astype("<u8").tobytes()
 
 
-def _group_side(table: pa.Table) -> pa.Table:
-    """One row per flagged document of a group: its id and all its flagged hashes."""
-    parts = [np.frombuffer(x.as_py(), "<u8").reshape(2, -1) for x in table["packed"]]
-    both = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.uint64)
-    doc, h1 = both[0].astype(np.int64), both[1]
-    order = np.argsort(doc, kind="stable")
-    doc, h1 = doc[order], h1[order]
-    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if doc.size else np.zeros(0, np.int64)
-    flags = [x.tobytes() for x in np.split(h1.astype("<u8"), cuts[1:])] if doc.size else []
-    return pa.table({"doc_id": pa.array(doc[cuts].tolist(), pa.int64()), "flags": pa.array(flags, pa.binary())})
+def _unpack_flags(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, docs = np.frombuffer(blob, "<i8", 2).tolist()
+    at = 16 + 8 * docs
+    return np.frombuffer(blob, "<u8", n, at + 4 * docs), np.repeat(np.frombuffer(blob, "<i8", docs, 16), np.frombuffer(blob, "<u4", docs, at))
+
+
+def _parted(place: np.ndarray, columns: tuple[np.ndarray, ...], pack: Callable) -> tuple[list[int], list[bytes]]:
+    """The places that occur, and what `pack` makes of the rows of each."""
+    order = np.argsort(place, kind="stable")
+    place, columns = place[order], [c[order] for c in columns]
+    cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if place.size else np.zeros(0, np.int64)
+    stops = np.r_[cuts[1:], place.size]
+    return place[cuts].tolist(), [pack(*(c[a:b] for c in columns)) for a, b in zip(cuts, stops, strict=False)]
+
+
+def _share(x: np.ndarray, parts: int) -> np.ndarray:
+    """Which of `parts` equal shares of the 32-bit numbers x is in."""
+    return (x * np.uint64(parts) >> _U[32]).astype(np.int64)
+
+
+def _mixed(doc: np.ndarray) -> np.ndarray:
+    """32 scattered bits of a document's number."""
+    h = doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ h >> _U[29]) * np.uint64(0xD6E8FEB86659FD93) >> _U[32]
 
 
-def _firsts(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort order by (hash, document), and whether an entry there is the first of its hash."""
+def _first(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sort order by (hash, document), which entries there are the first of their hash, and the document of that one."""
     order = np.lexsort((doc, h2, h1))
-    a, b = h1[order], h2[order]
-    return order, np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if a.size else np.zeros(0, bool)
+    a, b, doc = h1[order], h2[order], doc[order]
+    first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if a.size else np.zeros(0, bool)
+    return order, first, doc[np.maximum.accumulate(np.where(first, np.arange(first.size), 0))]
 
 
-def _map_side(window: int, ranges: int):
+ROW = "flag boolean, part int, packed binary"
+SPLIT_ROW = "flag boolean, part int, range int, packed binary"
+
+
+def _map_side(window: int, parts: int):
+    """Entries by part of the hashes, and flags by part of the documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(window)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             h1, h2, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            names, ref = np.unique(doc, return_inverse=True)
-            order, first = _firsts(h1, h2, ref)
-            h1, h2, ref = h1[order], h2[order], ref[order]
-            owner = ref[np.maximum.accumulate(np.where(first, np.arange(first.size), 0))]
-            late = ~first & (owner != ref)
-            groups, flags = _pack_flags(names[ref[late]], h1[late], ranges)
-            h1, h2, ref = h1[first], h2[first], ref[first]
-            part = ((h1 >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            stops = np.r_[cuts[1:], part.size]
-            blobs = [_pack(h1[a:b], h2[a:b], ref[a:b], names) for a, b in zip(cuts, stops, strict=True)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([*part[cuts].tolist(), *groups], pa.int32()), pa.array([None] * len(blobs) + groups, pa.int32()), pa.array(blobs + flags, pa.binary())], names=["part", "docs", "packed"]
-            )
+            order, first, owner = _first(h1, h2, doc)
+            h1, h2, doc = h1[order], h2[order], doc[order]
+            late = ~first & (owner != doc)
+            where, flags = _parted(_share(_mixed(doc[late]), parts), (h1[late], doc[late]), _pack_flags)
+            at, blobs = _parted(_share(h1[first] >> _U[32], parts), (h1[first], h2[first], doc[first]), _pack)
+            return pa.RecordBatch.from_arrays([pa.array([False] * len(at) + [True] * len(where)), pa.array(at + where, pa.int32()), pa.array(blobs + flags, pa.binary())], names=["flag", "part", "packed"])
 
         for ids, texts in chunks(batches, PIECE):
-            named = [(i, t) for i, t in zip(ids.to_pylist(), texts, strict=True) if i is not None]
-            split = [(i, p) for i, t in named for p in pieces(t, window)]
+            split = [(i, p) for i, t in zip(ids.to_pylist(), texts, strict=True) if i is not None for p in pieces(t, window)]
             if not split:
                 continue
-            h1, h2, counts = hasher([p for _, p in split])
+            h1, h2, counts = hashed([p for _, p in split], window)
             held.append((h1, h2, np.repeat(np.array([i for i, _ in split], np.int64), counts)))
             size += h1.size
             if size >= FLUSH:
@@ -178,80 +201,153 @@ def _map_side(window: int, ranges: int):
     return run
 
 
-def _range_side(ranges: int):
-    """Flags of one hash range, by group of documents: every document that has a window of a smaller one. Rows that
-    are flags already pass."""
+def _split(ranges: int, parts: int):
+    """Rows by range of their part. Where a part is one range, rows pass as they are."""
 
-    def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(x.as_py()) for x in table["packed"].filter(pc.is_null(table["docs"]))]
-        ready = table.filter(pc.is_valid(table["docs"]))
-        groups, flags = ready["docs"].to_pylist(), ready["packed"].to_pylist()
-        if parts:
-            h1, h2, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, first = _firsts(h1, h2, doc)
+    def place(h: np.ndarray) -> np.ndarray:  # the same share, finer: which of the part's ranges
+        return _share(h, parts * ranges) % ranges
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[bool, int], list] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (flag, part), some in held.items():
+                columns = tuple(np.concatenate(x) for x in zip(*some, strict=True))
+                where = place(_mixed(columns[1]) if flag else columns[0] >> _U[32])
+                at, blobs = _parted(where, columns, _pack_flags if flag else _pack)
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array([flag] * n), pa.array([part] * n, pa.int32()), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["flag", "part", "range", "packed"])
+
+        for batch in batches:
+            if ranges == 1:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.zeros(len(batch), np.int32)), batch.column(2)], names=["flag", "part", "range", "packed"])
+                continue
+            for flag, part, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault((flag, part), []).append(_unpack_flags(blob) if flag else _unpack(blob))
+                size += held[flag, part][-1][0].size
+                if size >= SPLIT:
+                    yield from flush()
+                    held, size = {}, 0
+        yield from flush()
+
+    return run
+
+
+def _by_range(one: Callable[[int, list[bytes], list[bytes]], pa.RecordBatch]):
+    """Applies `one` to the part, entries and flags of each range, from rows sorted by part and range, one range at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, entries, flags = None, [], []
+        for batch in batches:
+            for flag, part, rng, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (part, rng) != now:
+                    if now is not None:
+                        yield one(now[0], entries, flags)
+                    now, entries, flags = (part, rng), [], []
+                (flags if flag else entries).append(blob)
+        if now is not None:
+            yield one(now[0], entries, flags)
+
+    return run
+
+
+def _late(parts: int) -> Callable[[int, list[bytes], list[bytes]], pa.RecordBatch]:
+    """Flags, by part of the documents, of every document that has a window of a smaller one. Flags pass."""
+
+    def one(part: int, entries: list[bytes], flags: list[bytes]) -> pa.RecordBatch:
+        at, blobs = [part] * len(flags), list(flags)
+        if entries:
+            h1, h2, doc = (np.concatenate(x) for x in zip(*map(_unpack, entries), strict=True))
+            order, _, owner = _first(h1, h2, doc)
             h1, doc = h1[order], doc[order]
-            owner = doc[np.maximum.accumulate(np.where(first, np.arange(first.size), 0))]
             late = owner != doc
-            more, packed = _pack_flags(doc[late], h1[late], ranges)
-            groups, flags = groups + more, flags + packed
-        return pa.table({"docs": pa.array(groups, pa.int32()), "packed": pa.array(flags, pa.binary())})
+            where, more = _parted(_share(_mixed(doc[late]), parts), (h1[late], doc[late]), _pack_flags)
+            at, blobs = at + where, blobs + more
+        return pa.RecordBatch.from_arrays([pa.array([True] * len(at), pa.bool_()), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["flag", "part", "packed"])
 
-    return run
+    return one
+
+
+def _per_document(part: int, entries: list[bytes], flags: list[bytes]) -> pa.RecordBatch:
+    """One row per flagged document of a range: its number and all its flagged hashes."""
+    h1, doc = (np.concatenate(x) for x in zip(*map(_unpack_flags, flags), strict=True))
+    docs, blobs = _parted(doc, (h1,), lambda h: np.unique(h).astype("<u8").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], names=["doc", "flags"])
+
+
+def _dealt(rows: DataFrame, parts: int, ranges: int) -> DataFrame:
+    """Rows dealt by part, split into ranges, and sorted by them within their partition (on disk if need be)."""
+    split = rows.repartition("part").mapInArrow(_split(ranges, parts), SPLIT_ROW)
+    return split.sortWithinPartitions("part", "range")
 
 
-def flagged_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id and the packed 64-bit hashes of its windows that start in a document with a smaller id as well."""
-    spark = ship(docs.sparkSession)
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(_map_side(window, ranges), "part int, docs int, packed binary")
-    grouped = rows.groupBy("part").applyInArrow(_range_side(ranges), "docs int, packed binary")
-    return grouped.groupBy("docs").applyInArrow(_group_side, "doc_id long, flags binary")
+def flagged_windows(numbered: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """doc and the packed 64-bit hashes of its windows that start in a document with a smaller number as well, from
+    columns doc (a long) and text."""
+    spark = ship(numbered.sparkSession)
+    total = numbered.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-total // (RANGE_BYTES * parts)))
+    rows = numbered.select("doc", text).mapInArrow(_map_side(window, parts), ROW)
+    late = _dealt(rows, parts, ranges).mapInArrow(_by_range(_late(parts)), ROW)
+    return _dealt(late, parts, ranges).mapInArrow(_by_range(_per_document), "doc long, flags binary")
 
 
 def _remove(window: int, texts_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, unzip = Hasher(window), zstandard.ZstdDecompressor()
+        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: list[tuple] = []
-            for packed, flags in zip(byte_texts(batch.column("packed")), batch.column("flags").to_pylist(), strict=True):
-                text = unzip.decompress(packed)
-                words = text.split()
-                kept, removed, spans = words, 0, []
-                if flags:
-                    wanted = np.unique(np.frombuffer(flags, "<u8"))
-                    hits = np.isin(np.concatenate([hasher([p], False)[0] for p in pieces(text, window)]), wanted)
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    at = np.flatnonzero(hits)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    gone = np.cumsum(edge)[:-1] > 0
-                    removed = int(gone.sum())
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    turn = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).tolist()
-                    spans = [{"start": a, "end": b} for a, b in zip(turn[::2], turn[1::2], strict=True)]
-                out.append((len(words), removed, b" ".join(kept), spans))
-            n, removed, kept, spans = zip(*out, strict=True) if out else ((), (), (), ())
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array((hashlib.sha256(k).hexdigest() for k in kept), pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            if texts_too:
-                columns += [pa.array([k.decode() for k in kept], pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                names += ["kept_text", "spans"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for at in range(0, len(batch), 256):  # bounds the texts held at once
+                some = batch.slice(at, 256)
+                out: list[tuple] = []
+                for packed, flags in zip(byte_texts(some.column("packed")), some.column("flags").to_pylist(), strict=True):
+                    text = unzip.decompress(packed)
+                    words = text.split()
+                    kept, removed, spans = words, 0, []
+                    if flags:
+                        hits = np.isin(np.concatenate([hashed([p], window)[0] for p in pieces(text, window)]), np.frombuffer(flags, "<u8"))
+                        edge = np.zeros(len(words) + 1, np.int64)
+                        where = np.flatnonzero(hits)
+                        edge[where] += 1
+                        edge[where + window] -= 1
+                        gone = np.cumsum(edge)[:-1] > 0
+                        removed = int(gone.sum())
+                        kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                        turn = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).tolist()
+                        spans = [{"start": a, "end": b} for a, b in zip(turn[::2], turn[1::2], strict=True)]
+                    out.append((len(words), removed, b" ".join(kept), spans))
+                n, removed, kept, spans = zip(*out, strict=True)
+                columns = [some.column("doc"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array((hashlib.sha256(k).hexdigest() for k in kept), pa.string())]
+                names = ["doc", "n_words", "n_removed", "kept_sha256"]
+                if texts_too:
+                    columns += [pa.array([k.decode() for k in kept], pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+                    names += ["kept_text", "spans"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the way through the shuffle."""
-    tool = zstandard.ZstdCompressor(level=1)
+    tool = zstandard.ZstdCompressor(level=3)
     for ids, texts in chunks(batches):
-        yield pa.RecordBatch.from_arrays([ids, pa.array(map(tool.compress, texts), pa.binary())], names=["doc_id", "packed"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(map(tool.compress, texts), pa.binary())], names=["doc", "packed"])
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, texts_too: bool = False) -> DataFrame:
     """One row per row: doc_id, n_words, n_removed, kept_sha256; with texts_too also kept_text and spans (removed word intervals)."""
-    flags = flagged_windows(docs, key, text, window)
-    packed = docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(_zip, "doc_id long, packed binary")
+    whole = isinstance(docs.schema[key].dataType, IntegralType)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    if whole:
+        numbered = rows.select(F.col("key").cast("long").alias("doc"), "text")
+    else:
+        ids = staged(rows.select("key").filter("key IS NOT NULL").distinct().orderBy("key").select("key", F.monotonically_increasing_id().alias("doc")), "ids")
+        numbered = rows.join(ids, "key", "left").select("doc", "text")
+    flags = flagged_windows(numbered, "text", window)
+    packed = numbered.mapInArrow(_zip, "doc long, packed binary")
     more = ", kept_text string, spans array<struct<start:long,end:long>>" if texts_too else ""
-    return packed.join(flags, "doc_id", "left").select("doc_id", "packed", "flags").mapInArrow(_remove(window, texts_too), f"doc_id long, n_words long, n_removed long, kept_sha256 string{more}")
+    out = packed.join(flags, "doc", "left").select("doc", "packed", "flags").mapInArrow(_remove(window, texts_too), f"doc long, n_words long, n_removed long, kept_sha256 string{more}")
+    if whole:
+        return out.withColumnRenamed("doc", "doc_id")
+    return out.join(ids, "doc", "left").drop("doc").withColumnRenamed("key", "doc_id").select("doc_id", *out.columns[1:])

@@ -143,11 +143,16 @@ def test_decontaminate(spark, docs, part_bytes):
     assert decontaminate.decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
-def test_substring_dedup(spark, monkeypatch):
+@pytest.mark.parametrize(("ranges", "kind"), [(12 << 20, "long"), (100, "long"), (12 << 20, "string")])
+def test_substring_dedup(spark, monkeypatch, ranges, kind):
     monkeypatch.setattr(substring_dedup, "PIECE", 4000)
+    monkeypatch.setattr(substring_dedup, "RANGE_BYTES", ranges)
     texts = [*TEXTS, PASSAGE, BASE[-1][40:]]
     ids = [*range(len(texts) - 2), 3, None]
-    got = substring_dedup.substring_dedup(frame(spark, texts, ids).repartition(3), texts_too=True).collect()
+    docs = frame(spark, texts, ids).repartition(3)
+    if kind == "string":
+        docs, ids = docs.withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id"))), [i if i is None else f"k{i}" for i in ids]
+    got = substring_dedup.substring_dedup(docs, texts_too=True).collect()
     first = {}
     for i, t in zip(ids, texts, strict=True):
         w = words_of(t or "")
@@ -160,12 +165,42 @@ def test_substring_dedup(spark, monkeypatch):
         gone = {k + j for k in range(len(w) - 49 if i is not None else 0) if first[tuple(w[k : k + 50])] < i for j in range(50)}
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
-    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[3])
+    key = lambda r: (r[0] is None, str(r[0]), r[1], r[3])
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"]) for r in got), key=key) == sorted(want, key=key)
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in got)
     assert sum(r["n_removed"] for r in got) > 500
 
 
+def test_window_hashes():
+    rng = np.random.default_rng(4)
+    codes = np.r_[np.array([0, 1, substring_dedup.PRIME - 1], np.uint64), rng.integers(0, substring_dedup.PRIME, 120, dtype=np.uint64)]
+    for base in (3, substring_dedup.PRIME - 2, *substring_dedup._BASES):
+        for window in (1, 2, 7, 50, 64):
+            want = []
+            for i in range(codes.size - window + 1):
+                h = 0
+                for x in codes[i : i + window].tolist():
+                    h = (h * base + x) % substring_dedup.PRIME
+                want.append(h)
+            assert substring_dedup.window_hashes(codes, base, window).tolist() == want
+
+
+@pytest.mark.parametrize("unit", ["letters", "words"])
+def test_substring_dedup_of_alternating_texts(spark, unit):
+    """Thue-Morse texts and their complements, on which hashes modulo a power of two agree whatever the base."""
+    bits = [i.bit_count() & 1 for i in range(4096)]
+    if unit == "letters":
+        a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+        texts = [" ".join([*(f"w{i}" for i in range(49)), x]) for x in (a, b)]
+    else:
+        texts = [" ".join("ab"[x ^ flip] for x in bits[n : n + 64]) for n, flip in ((0, 0), (0, 1))]
+    words = [t.split() for t in texts]
+    first = {tuple(words[0][k : k + 50]) for k in range(len(words[0]) - 49)}
+    shared = any(tuple(words[1][k : k + 50]) in first for k in range(len(words[1]) - 49))
+    got = by_id(substring_dedup.substring_dedup(frame(spark, texts, [1, 2])))
+    assert not shared and got[1]["n_removed"] == got[2]["n_removed"] == 0
+
+
 def fingerprint(text):
     w = words_of(low(text))
     shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
