@@ -73,6 +73,8 @@ def word_codes(words: list[bytes]) -> np.ndarray:
 
 def window_hashes(codes: np.ndarray, base: int, window: int) -> np.ndarray:
     """Polynomial hash of the window that starts at each word (those that would pass the end are left out)."""
+    if codes.size < window:
+        return codes[:0]
     have, piece, size, done, power = None, codes, 1, 0, base  # power: base ** size
     while True:
         if window & size:  # what is there, followed by a piece of this size
@@ -80,8 +82,8 @@ def window_hashes(codes: np.ndarray, base: int, window: int) -> np.ndarray:
             done += size
         size *= 2
         if size > window:
-            return have[: max(0, codes.size - window + 1)]
-        piece = _reduced(times(piece[: max(0, piece.size - size // 2)], power) + piece[size // 2 :])
+            return have[: codes.size - window + 1]
+        piece = _reduced(times(piece[: piece.size - size // 2], power) + piece[size // 2 :])
         power = power * power % PRIME
 
 
