@@ -1,13 +1,17 @@
-"""Quality classifier by compression: zstandard dictionaries trained on good and on bad labelled text.
+"""Quality classifier by compression: zstandard dictionaries built from good and bad labelled text.
 
-A text is compressed with either dictionary; the difference of the two sizes, per byte of text, says which kind
-it resembles. A logistic calibration of that difference, together with how far the text compresses at all, turns
-it into a score. Dictionaries and calibration come from separate parts of a bounded sample: PER_CLASS documents
-of either class, of at most SAMPLE_BYTES each. Class weights restore the labels' own proportions.
+A text is compressed with either dictionary, in blocks of BLOCK bytes so that the dictionary and not the text's own
+beginning is what a block is coded by, however long the text. The difference of the two total sizes per byte of text
+is the one quantity that is scored; a rising curve, fitted to labelled documents that the dictionaries have not seen,
+makes it the chance of the good label.
 
-Texts are scored whole. Null counts as empty; an empty text gets the score of its features, all zero before
-scaling. Every row gives a row; other columns are not read. If either class has too few labelled documents for a
-dictionary, every score is the share of good labels (0.5 without labels).
+Dictionaries and curve come from separate parts of a bounded sample of labelled training documents, PER_CLASS of
+either class; a document gives the dictionaries up to SPREAD blocks, evenly spread over the whole text, and the curve
+its whole text. Class weights restore the labels' own proportions.
+
+Texts are scored whole, of any length. Null counts as empty, whose difference is 0. Every row gives a row, also of
+repeated or null ids; other columns are not read. If either class has too few labelled documents for a dictionary,
+every score is the share of good labels (0.5 without labels). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, fold, map_texts, ship
-from .training import fit_logistic, labelled_sample, sigmoid
+from .common import fold, map_texts, ship
+from .training import fit_rising, labelled_sample
 
-PER_CLASS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 2000, 16 << 10, 112_640, 3
+PER_CLASS, DICTIONARY_BYTES, LEVEL = 2000, 32 << 10, 3
+BLOCK, SPREAD = 2048, 8
 FOLDS, THRESHOLD, LEAST = 5, 0.3, 16
 
 
@@ -31,29 +36,26 @@ FOLDS, THRESHOLD, LEAST = 5, 0.3, 16
 class QualityModel:
     good: bytes
     bad: bytes
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    knots: np.ndarray | None
+    chances: np.ndarray | None
     prior: float
 
     def sizes(self, texts: list[bytes]) -> np.ndarray:
-        """Bytes, compressed bytes with the good and with the bad dictionary."""
+        """Bytes, compressed bytes with the good and with the bad dictionary: shape (texts, 3)."""
         if not hasattr(self, "_tools"):
             self._tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(x), write_checksum=False, write_content_size=False) for x in (self.good, self.bad)]
-        good, bad = self._tools
-        return np.array([(len(t), len(good.compress(t)), len(bad.compress(t))) for t in texts], float).reshape(-1, 3)
+        return np.array([(len(t), *(sum(len(tool.compress(t[i : i + BLOCK])) for i in range(0, len(t), BLOCK)) for tool in self._tools)) for t in texts], float).reshape(-1, 3)
 
     @staticmethod
-    def features(sizes: np.ndarray) -> np.ndarray:
-        n, good, bad = np.maximum(sizes, 1).T
-        difference, rate = np.where(sizes[:, 0] > 0, (bad - good) / n, 0), np.log(np.minimum(good / n, 2))
-        return np.stack([difference, (bad - good) / (bad + good), rate, rate**2, difference * rate, np.log1p(n)], axis=1)
+    def difference(sizes: np.ndarray) -> np.ndarray:
+        """By how many bytes per byte of text the bad dictionary does worse."""
+        n, good, bad = sizes.T
+        return (bad - good) / np.maximum(n, 1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        if not self.good:
+        if self.knots is None:
             return np.full(len(texts), self.prior)
-        x = (self.features(self.sizes(texts)) - self.mean) / self.scale
-        return sigmoid(np.c_[x, np.ones(len(x))] @ self.weights)
+        return np.interp(self.difference(self.sizes(texts)), self.knots, self.chances)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_tools"}
@@ -65,29 +67,44 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
     return out
 
 
+def _spread(text: bytes) -> list[bytes]:
+    """Up to SPREAD blocks, the first and the last among them, evenly spaced."""
+    blocks = -(-len(text) // BLOCK)
+    return [text[k * BLOCK : (k + 1) * BLOCK] for k in sorted({round(j * (blocks - 1) / max(1, SPREAD - 1)) for j in range(SPREAD)})] if blocks else []
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = FOLDS) -> QualityModel:
-    rows = sorted(((r["doc_id"], r["y"], r["text"].encode()) for r in labelled_sample(docs, labels, "quality", per_class, folds, SAMPLE_BYTES).toLocalIterator()), key=lambda r: (r[0], r[2]))
+    """At most 2 * per_class * SPREAD blocks, and three numbers of each sampled document, come to the driver."""
     shares = labels.filter(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), folds) != 0)).agg(F.avg("quality")).first()[0]
     prior = 0.5 if shares is None else float(shares)
-    flat = QualityModel(b"", b"", np.zeros(6), np.ones(6), np.zeros(7), prior)
-    part = [crc_fold(i, 3 * folds) // folds for i, _, _ in rows]
-    raw = {}
-    for y in (0, 1):
-        texts = [t for (_, label, t), p in zip(rows, part, strict=True) if label == y and p and t]
-        if len(texts) < LEAST:
-            return flat
-        try:
-            raw[y] = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, texts)) // 4)), texts).as_bytes()
-        except zstandard.ZstdError:  # too little text
+    flat = QualityModel(b"", b"", None, None, prior)
+    sample = labelled_sample(docs, labels, "quality", per_class, folds).withColumn("part", fold(F.col("doc_id"), 3 * folds) >= folds).cache()
+    try:
+        y_of = {r["doc_id"]: r["y"] for r in sample.select("doc_id", "y").collect()}
+        blocks = map_texts(sample.filter("part"), lambda texts: {"blocks": pa.array(map(_spread, texts), pa.list_(pa.binary()))}, "blocks array<binary>")
+        held: dict[int, list[bytes]] = {0: [], 1: []}
+        seen = {0: 0, 1: 0}
+        for r in sorted(blocks.collect(), key=lambda r: r["doc_id"]):
+            held[y_of[r["doc_id"]]] += map(bytes, r["blocks"])
+            seen[y_of[r["doc_id"]]] += bool(r["blocks"])
+        if min(seen.values()) < LEAST:
             return flat
-    model = QualityModel(raw[1], raw[0], np.zeros(6), np.ones(6), np.zeros(7), prior)
-    held = [(label, t) for (_, label, t), p in zip(rows, part, strict=True) if not p]
-    y = np.array([label for label, _ in held], float)
+        raw = {}
+        for y, some in held.items():
+            try:
+                raw[y] = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, some)) // 4)), some).as_bytes()
+            except zstandard.ZstdError:  # too little text
+                return flat
+        model = QualityModel(raw[1], raw[0], None, None, prior)
+        shared = ship(docs.sparkSession).sparkContext.broadcast(model)
+        rows = sorted(map(tuple, map_texts(sample.filter("NOT part"), lambda texts: {"d": pa.array(QualityModel.difference(shared.value.sizes(texts)))}, "d double").collect()))
+        x, y = np.array([d for _, d in rows]), np.array([y_of[i] for i, _ in rows], float)
+    finally:
+        sample.unpersist()
     if not 0 < y.sum() < y.size:
         return flat
-    x = model.features(model.sizes([t for _, t in held]))
-    model.mean, model.scale = x.mean(0), np.maximum(x.std(0), 1e-9)
-    model.weights = fit_logistic((x - model.mean) / model.scale, y, np.where(y == 1, prior / y.sum(), (1 - prior) / (y.size - y.sum())))
+    weight = np.where(y == 1, prior / y.sum(), (1 - prior) / (y.size - y.sum()))
+    model.knots, model.chances = fit_rising(x, y, weight, -2.0, 2.0)
     return model
 
 

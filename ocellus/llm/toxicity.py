@@ -5,15 +5,16 @@ signs used as letters to plain ones. Matches must not be part of a longer word;
 phrase doesn't count. The matched weights, summed and divided by the number of words, become a score through a
 logistic calibration.
 
-Weights are log-odds learned from a bounded sample of labelled training documents (PER_CLASS of either class, of
-at most SAMPLE_BYTES each): a word enters the lexicon if it is in enough toxic documents, is far likelier in toxic
+Weights are log-odds learned from a bounded sample of labelled training documents, PER_CLASS of either class, whole
+whatever their length: a word enters the lexicon if it is in enough toxic documents, is far likelier in toxic
 than in other documents, and is spread over unrelated documents. For the last, near copies are first reduced to
 one document by three min-hashes of their shingles, so that the vocabulary of one much-copied document isn't
 taken for toxic. Exception phrases are word pairs with a lexicon word that only clean documents have. Model size
 is bounded by MAX_WORDS and MAX_PHRASES.
 
-Null counts as empty, which scores as a text without matches. Every row gives a row; other columns are not read.
-Without labels of both classes every score is the share of toxic labels (0 without labels).
+Null counts as empty, which scores as a text without matches. Texts are scored whole, of any length. Every row gives a
+row, also of repeated or null ids; other columns are not read. Without labels of both classes every score is the share
+of toxic labels (0 without labels). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import fold, keep_texts, map_texts, ship
 from .training import fit_logistic, labelled_sample, sigmoid
 
-PER_CLASS, SAMPLE_BYTES, FOLDS, THRESHOLD = 4000, 64 << 10, 5, 0.5
+PER_CLASS, FOLDS, THRESHOLD = 4000, 5, 0.5
 MAX_WORDS, MAX_PHRASES, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 2000, 2000, 4, 0.004, 2.5
 #: Look-alike characters and what they stand for (fixed values).
 LOOK_ALIKE = {
@@ -87,7 +88,7 @@ class ToxicityModel:
         for i, text in enumerate(texts):
             text = folded(text)
             if hits := self.matches(text):
-                out[i] = sum(w for _, _, w in hits) / max(1, text.count(" ") + text.count("\n") + 1)
+                out[i] = sum(w for _, _, w in hits) / max(1, len(text.split()))
         return np.log1p(100 * np.maximum(out, 0))
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -128,6 +129,13 @@ def _with_y(sample: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(sample.select("doc_id", "y").distinct(), "doc_id")
 
 
+def _word_end(text: str, at: int, step: int) -> int:
+    """Where the word's letters and digits end, from `at` on in either direction."""
+    while 0 <= at < len(text) and text[at].isalnum():
+        at += step
+    return at
+
+
 def _phrases(sample: DataFrame, model: ToxicityModel) -> set[str]:
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
@@ -136,10 +144,10 @@ def _phrases(sample: DataFrame, model: ToxicityModel) -> set[str]:
         for text in texts:
             text, near = folded(text.decode()), set()
             for a, b, _ in shared.value.matches(text):
-                if (m := re.search(r"(?:^|[\W_])([^\W_]+ )$", text[max(0, a - 40) : a])) is not None:
-                    near.add(m[1] + text[a:b])
-                if (m := re.match(r" [^\W_]+(?![^\W_])", text[b : b + 40])) is not None:
-                    near.add(text[a:b] + m[0])
+                if a > 1 and text[a - 1] == " " and (before := _word_end(text, a - 2, -1)) < a - 2:
+                    near.add(text[before + 1 : b])
+                if text[b : b + 1] == " " and (after := _word_end(text, b + 1, 1)) > b + 1:
+                    near.add(text[a:after])
             out.append(sorted(near))
         return {"pairs": pa.array(out, pa.list_(pa.string()))}
 
@@ -149,7 +157,7 @@ def _phrases(sample: DataFrame, model: ToxicityModel) -> set[str]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = FOLDS) -> ToxicityModel:
     ship(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "toxic", per_class, folds, SAMPLE_BYTES).cache()
+    sample = labelled_sample(docs, labels, "toxic", per_class, folds).cache()
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     prior = labels.filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), folds) != 0)).agg(F.avg("toxic")).first()[0]
     model = ToxicityModel(prior=float(prior or 0.0))
