@@ -1,23 +1,32 @@
 """LM scoring by a log-bilinear model, trained in numpy with noise-contrastive estimation.
 
-Words are counted over all training rows in Spark. The most frequent ones and one class for all others are the
-model's classes; a class's logit is the product of its vector with the sum of the vectors of the two classes
-before it, plus a bias. Every partition of the training rows trains a copy from the same start on all its tokens,
-with noise from the class frequencies shared by a minibatch, and the copies are averaged, weighted by tokens, in
-a tree of groups in Spark.
-
-For scoring, exp(logit) of two context classes is a product of two factors, so the normalisers of all pairs of
-context classes are one matrix product, and a token's log-probability is three look-ups. Within the class of
-other words a word has the probability of its discounted count, and the discounts are what all unseen words share:
-the model is a distribution over the training words and one unseen type, as the base score is.
+Words are counted over all training rows in Spark. The model predicts units: a head word is a unit of its own, any
+other word belongs to the unit of its last three bytes, which tell much about the words it can follow. A unit's logit
+is the product of its vector with the sum of the vectors of the two context classes before it, plus a bias. Context
+classes are the spelling units and the most frequent head words; a head word that is no class of its own counts as
+its spelling. So every word of the corpus has a probability that depends on its context, through its own vector or
+through its spelling's. The numbers of head words, context classes and spelling units follow the square root of the
+number of distinct words, up to limits that bound the broadcast model (HEAD, CLASSES, SPELLINGS).
+
+Training rows are dealt to shards by a hash of id and text, SHARD tokens each, and put in order by that hash; every
+shard trains a copy from the same start on all its tokens, with noise from the unit frequencies shared by a minibatch,
+and the copies are averaged, weighted by tokens, in a tree of groups in Spark. The result depends on the rows alone,
+not on how they are partitioned or in which order they are read.
+
+For scoring, exp(logit) of two context classes is a product of two factors, so the normalisers of all pairs of context
+classes are one matrix product, summed over the units block by block. Within a spelling unit a word has the
+probability of its discounted count, and the discounts are what all unseen words of that spelling share: the model is
+a distribution over the training words and one unseen type for each spelling.
 
 Counts of the most frequent words, LOOKUP at most, are broadcast (a bounded table); the other words of a document are
-joined with the counts by word, pre-aggregated per document. Null texts count as empty: one end token. Every row
-gives a row, also of repeated ids. Other columns are not read. Without training rows every word is unseen.
+joined with the counts by word, pre-aggregated per document. Texts of any length are scored whole. Null texts count as
+empty: one end token. Every row gives a row, also of repeated or null ids. Other columns are not read. Without training
+rows every word is unseen. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,10 +39,13 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, chunks, fold, ship, staged
 
-CLASSES, LOOKUP, WIDTH, FOLDS = 1023, 200_000, 16, 10
-BATCH, NOISE, NOISE_PER_TOKEN, RATE = 2048, 96, 12, 0.15
-#: Distinct words that a task counts before it hands them on, and models averaged at once.
-COUNTED, FAN_IN = 400_000, 32
+#: Most head words, context classes among them, and spelling units; words whose counts are broadcast.
+HEAD, CLASSES, SPELLINGS, LOOKUP = 16_384, 1024, 1024, 200_000
+WIDTH, FOLDS, SHARD = 16, 10, 8_000_000
+BATCH, NOISE, NOISE_PER_TOKEN, RATE = 512, 96, 12, 0.6
+#: Distinct words that a task counts before it hands them on, tokens shuffled and learned at once, models averaged at
+#: once, and floats of a model in one row.
+COUNTED, LEARNED, FAN_IN, PIECE = 400_000, 500_000, 32, 1 << 16
 END = b""
 
 
@@ -41,14 +53,19 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(ASCII_LOWER).split()
 
 
+def spelling(word: bytes) -> int:
+    """A hash of the last three bytes."""
+    return zlib.crc32(word[-3:])
+
+
 def count_words(train: DataFrame) -> DataFrame:
-    """(word, c) over all rows; the end token is the empty word."""
+    """(word, c, spell) over all rows; the end token is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())], names=["word", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64()), pa.array(map(spelling, held), pa.int64())], names=["word", "c", "spell"])
 
         for _, texts in chunks(batches):
             for text in texts:
@@ -60,65 +77,87 @@ def count_words(train: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return train.select("doc_id", "text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return train.select("doc_id", "text").mapInArrow(run, "word string, c long, spell long").groupBy("word").agg(F.sum("c").alias("c"), F.min("spell").alias("spell"))
 
 
 @dataclass
 class Vocabulary:
-    index: dict[bytes, int]  # rank of the most frequent words; the first `classes` of them are classes 1, 2, ...
-    counts: np.ndarray
-    classes: int
+    """Units are the spellings 0, 1, ... and after them the head words by rank; context classes are the first of them."""
+
+    index: dict[bytes, int]  # rank of the most frequent words
+    counts: np.ndarray  # by rank
+    units: np.ndarray  # by rank
+    spellings: int
+    head: int
+    classes: int  # spellings and head words that are context classes
+    context: np.ndarray  # context class by unit
     total: int  # N
     distinct: int  # V
-    rare_total: int
-    rare_distinct: int
+    rest_total: np.ndarray  # by spelling: tokens and types of the words that are not head words
+    rest_distinct: np.ndarray
     discount: float
 
-    def class_frequency(self) -> np.ndarray:
-        p = np.r_[max(self.rare_total, 0.5), self.counts[: self.classes]].astype(float)
+    def frequency(self) -> np.ndarray:
+        p = np.r_[np.maximum(self.rest_total, 0.5), self.counts[: self.head]].astype(float)
         return p / p.sum()
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
-    def within_rare(self, c: np.ndarray) -> np.ndarray:
-        """log10 probability of a word of count c within the class of other words; c = 0: of the unseen type."""
-        if not self.rare_distinct:
-            return np.zeros(len(c))
-        return np.log10(np.where(c > 0, c - self.discount, self.discount * self.rare_distinct) / self.rare_total)
+    def unit(self, word: bytes) -> int:
+        rank = self.index.get(word, -1)
+        return int(self.units[rank]) if rank >= 0 else spelling(word) % self.spellings
+
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """By spelling, in log10: what a discounted count of 1 is worth within the unit, and the unseen type."""
+        seen = -np.log10(np.maximum(self.rest_total, 1))
+        unseen = np.where(self.rest_distinct > 0, np.log10(self.discount * np.maximum(self.rest_distinct, 1)) + seen, 0.0)
+        return seen, unseen
 
 
 def most_frequent(counts: DataFrame, most: int) -> list:
-    """Rows of the most frequent words, `most` of them or somewhat fewer: all words down to a level of frequency, of
-    sixteen levels to a doubling. Only the levels' sizes and these rows come to the driver; nothing is sorted."""
+    """Rows of the `most` most frequent words, ties by word. Whole levels of frequency, of sixteen to a doubling, are
+    taken first and the rest from the next level; only the levels' sizes and these rows come to the driver."""
     level = F.floor(F.log2(F.col("c").cast("double")) * 16)
-    lowest, held = None, 0
+    lowest, held, partial = None, 0, None
     for row in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
-        held += row["n"]
-        if held > most:
+        if held + row["n"] > most:
+            partial = row["level"]
             break
+        held += row["n"]
         lowest = row["level"]
-    return [] if lowest is None else counts.filter(level >= lowest).collect()
+    rows = [] if lowest is None else counts.filter(level >= lowest).collect()
+    if partial is not None and most > held:
+        rows += counts.filter(level == partial).orderBy(F.desc("c"), "word").limit(most - held).collect()
+    return rows
 
 
-def vocabulary(counts: DataFrame, classes: int, lookup: int) -> Vocabulary:
+def vocabulary(counts: DataFrame, head: int = HEAD, classes: int = CLASSES, spellings: int = SPELLINGS, lookup: int = LOOKUP) -> Vocabulary:
+    total, distinct, once, twice = counts.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
+    side = int(np.sqrt(distinct)) + 1
+    head, classes, spellings = min(head, 16 * side), min(classes, side), min(spellings, side)
     rows = most_frequent(counts, lookup)
     if not any(r["word"] == "" for r in rows):
         rows = [*counts.filter("word = ''").collect(), *rows]
-    rows.sort(key=lambda r: (r["word"] != "", -r["c"], r["word"]))  # the end token is always a class
+    rows.sort(key=lambda r: (r["word"] != "", -r["c"], r["word"]))  # the end token is always a head word and a class
     index = {r["word"].encode(): i for i, r in enumerate(rows)}
-    top = min(classes, len(rows))
-    total, distinct, once, twice = counts.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
-    head = np.array([r["c"] for r in rows], np.int64)
-    once, twice = (int(x or 0) - int((head[:top] == k).sum()) for x, k in ((once, 1), (twice, 2)))
+    head = min(head, len(rows))
+    classes = min(classes, head)
+    count, spell = (np.array([r[k] for r in rows], np.int64) for k in ("c", "spell"))
+    rest = np.zeros((2, spellings), np.int64)
+    for r in counts.groupBy((F.col("spell") % spellings).alias("s")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        rest[:, r["s"]] = r["c"], r["n"]
+    np.subtract.at(rest, (slice(None), spell[:head] % spellings), np.stack([count[:head], np.ones(head, np.int64)]))
+    units = np.r_[spellings + np.arange(head), spell[head:] % spellings]
+    context = np.r_[np.arange(spellings + classes), spell[classes:head] % spellings]
+    once, twice = (int(x or 0) - int((count[:head] == k).sum()) for x, k in ((once, 1), (twice, 2)))
     discount = min(0.9, max(0.05, once / max(1, once + 2 * twice)))
-    total = int(total or 0)
-    return Vocabulary(index, head, top, total, distinct, total - int(head[:top].sum()), distinct - top, discount)
+    return Vocabulary(index, count, units, spellings, head, spellings + classes, context, int(total or 0), distinct, *rest, discount)
 
 
 @dataclass
 class LogBilinear:
-    """Class vectors, context vectors for the class before and the one before that, and biases."""
+    """Unit vectors, vectors of the context class before and of the one before that, and biases of the units."""
 
     out: np.ndarray
     near: np.ndarray
@@ -126,30 +165,32 @@ class LogBilinear:
     bias: np.ndarray
 
     @classmethod
-    def start(cls, frequency: np.ndarray, width: int) -> LogBilinear:
+    def start(cls, frequency: np.ndarray, classes: int, width: int) -> LogBilinear:
         rng = np.random.default_rng(7)
-        shape = (frequency.size, width)
-        return cls(*(rng.normal(0, 0.05, shape).astype(np.float32) for _ in range(3)), np.log(frequency).astype(np.float32))
+        return cls(*(rng.normal(0, 0.05, (n, width)).astype(np.float32) for n in (frequency.size, classes, classes)), np.log(frequency).astype(np.float32))
 
-    def pack(self) -> bytes:
-        return b"".join(np.asarray(x, np.float32).tobytes() for x in (self.out, self.near, self.far, self.bias))
+    def copy(self) -> LogBilinear:
+        return LogBilinear(self.out.copy(), self.near.copy(), self.far.copy(), self.bias.copy())
 
-    @classmethod
-    def unpack(cls, flat: np.ndarray, classes: int) -> LogBilinear:
-        width = (flat.size // classes - 1) // 3
-        out, near, far = flat[: 3 * classes * width].reshape(3, classes, width)
-        return cls(out, near, far, flat[3 * classes * width :])
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (self.out, self.near, self.far, self.bias)])
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 factors of the near and the far context class for each class, and log10 normalisers of all pairs of context classes."""
-        a = self.near.astype(np.float64) @ self.out.T + self.bias
-        b = self.far.astype(np.float64) @ self.out.T
-        z = np.log(np.exp(a) @ np.exp(b).T)
-        return tuple((x / np.log(10)).astype(np.float32) for x in (a, b, z))
+    def filled(self, flat: np.ndarray) -> LogBilinear:
+        """A model of this one's shape."""
+        cuts = np.cumsum([x.size for x in (self.out, self.near, self.far)])
+        return LogBilinear(*(p.reshape(x.shape) for p, x in zip(np.split(flat, cuts), (self.out, self.near, self.far, self.bias), strict=True)))
+
+    def normalisers(self, block: int = 1024) -> np.ndarray:
+        """Log of the summed exponentials for all pairs (near, far) of context classes."""
+        z = np.zeros((len(self.near), len(self.far)), np.float32)
+        for at in range(0, len(self.out), block):
+            some = self.out[at : at + block].T
+            z += np.exp(self.near @ some + self.bias[at : at + block]) @ np.exp(self.far @ some).T
+        return np.log(z)
 
 
 class Trainer:
-    """Noise-contrastive estimation with Adagrad; the noise words are shared by a minibatch."""
+    """Noise-contrastive estimation with Adagrad; the noise units are shared by a minibatch."""
 
     def __init__(self, model: LogBilinear, frequency: np.ndarray, seed: int = 11):
         self.model, self.rng = model, np.random.default_rng(seed)
@@ -171,6 +212,8 @@ class Trainer:
 
     def learn(self, word: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
         m = self.model
+        every = self.rng.permutation(word.size)
+        word, near, far = word[every], near[every], far[every]
         for lo in range(0, word.size, BATCH):
             w, n, f = word[lo : lo + BATCH], near[lo : lo + BATCH], far[lo : lo + BATCH]
             noise = np.searchsorted(self.cumulative, self.rng.random(NOISE)).clip(max=self.cumulative.size - 1)
@@ -189,89 +232,125 @@ class Trainer:
             self.seen += w.size
 
 
-def encode(texts: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Ranks of all tokens end to end (-1: not in the lookup), tokens per text, and each text's words."""
+def encode(texts: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Ranks (-1: not in the lookup) and units of all tokens end to end, tokens per text, and each text's tokens."""
     get = vocab.index.get
-    words = list(map(tokens, texts))
-    sizes = np.fromiter((len(x) + 1 for x in words), np.int64, len(words))
-    end = vocab.index.get(END, -1)
-    ranks = np.fromiter((r for x in words for r in (*(get(w, -1) for w in x), end)), np.int64, int(sizes.sum()))
-    return ranks, sizes, words
-
-
-def contexts(ranks: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each token, of the token before it and of the one before that; texts begin after end tokens."""
-    cls = np.where((ranks >= 0) & (ranks < vocab.classes), ranks + 1, 0)
+    words = [[*tokens(t), END] for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ranks = np.fromiter((get(w, -1) for x in words for w in x), np.int64, int(sizes.sum()))
+    units = vocab.units[np.maximum(ranks, 0)] if vocab.units.size else np.zeros(ranks.size, np.int64)
+    unknown = np.flatnonzero(ranks < 0)
+    if unknown.size:
+        flat = [w for x in words for w in x]
+        units[unknown] = [spelling(flat[i]) % vocab.spellings for i in unknown.tolist()]
+    return ranks, units, sizes, words
+
+
+def contexts(units: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Context class of the token before each token and of the one before that; texts begin after end tokens."""
+    cls = vocab.context[units]
     first = np.zeros(cls.size, bool)
     first[np.cumsum(sizes) - sizes] = True
-    end = 1 if vocab.classes else 0
+    end = vocab.context[vocab.unit(END)]
     near = np.where(first, end, np.r_[end, cls[:-1]])
-    far = np.where(first, end, np.r_[end, near[:-1]])
-    return cls, near, far
-
-
-def train(rows: DataFrame, vocab: Vocabulary, width: int = WIDTH) -> LogBilinear:
-    frequency = vocab.class_frequency()
-    shared = ship(rows.sparkSession).sparkContext.broadcast((vocab, LogBilinear.start(frequency, width)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, begin = shared.value
-        trainer = Trainer(LogBilinear(begin.out.copy(), begin.near.copy(), begin.far.copy(), begin.bias.copy()), vocab.class_frequency())
-        rng = np.random.default_rng(3)
-        for _, texts in chunks(batches, 4 << 20):
-            ranks, sizes, _ = encode(texts, vocab)
-            every = np.stack(contexts(ranks, sizes, vocab))
-            trainer.learn(*every[:, rng.permutation(every.shape[1])])
-        if trainer.seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(trainer.seen)]), pa.array([trainer.model.pack()], pa.binary())], names=["part", "n", "packed"])
+    return near, np.where(first, end, np.r_[end, near[:-1]])
+
+
+def train(rows: DataFrame, vocab: Vocabulary, width: int = WIDTH, shard: int | None = None) -> LogBilinear:
+    frequency = vocab.frequency()
+    start = LogBilinear.start(frequency, vocab.classes, width)
+    shards = max(1, -(-vocab.total // (shard or SHARD)))
+    shared = ship(rows.sparkSession).sparkContext.broadcast((vocab, start))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, texts in chunks(batches):
+            _, units, sizes, _ = encode(texts, shared.value[0])
+            parts = [x.astype("<u2").tobytes() for x in np.split(units, np.cumsum(sizes)[:-1])]
+            yield pa.RecordBatch.from_arrays([place, pa.array(parts, pa.binary())], names=["place", "units"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, start = shared.value
+        now, trainer, held, size = None, None, [], 0
+
+        def flush() -> None:
+            if held:
+                sizes = np.fromiter(map(len, held), np.int64, len(held))
+                units = np.concatenate(held).astype(np.int64)
+                trainer.learn(units, *contexts(units, sizes, vocab))
+
+        def done() -> pa.RecordBatch:
+            flush()
+            flat = trainer.model.flat()
+            parts = [flat[i : i + PIECE].tobytes() for i in range(0, flat.size, PIECE)]
+            n = len(parts)
+            return pa.RecordBatch.from_arrays([pa.array([now] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([float(trainer.seen)] * n), pa.array(parts, pa.binary())], names=["part", "piece", "n", "packed"])
+
+        for batch in batches:
+            for part, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield done()
+                    now, trainer, held, size = part, Trainer(start.copy(), vocab.frequency()), [], 0
+                held.append(np.frombuffer(units, "<u2"))
+                size += held[-1].size
+                if size >= LEARNED:
+                    flush()
+                    held, size = [], 0
+        if now is not None:
+            yield done()
 
     def mean(table: pa.Table) -> pa.Table:
         n = np.array(table["n"].to_pylist())
-        flat = sum(np.frombuffer(x.as_py(), np.float32) * (w / n.sum()) for x, w in zip(table["packed"], n, strict=True))
-        return pa.table({"part": table["part"].slice(0, 1), "n": pa.array([float(n.sum())]), "packed": pa.array([flat.astype(np.float32).tobytes()], pa.binary())})
-
-    models = staged(rows.select("doc_id", "text").mapInArrow(run, "part long, n double, packed binary"), "models")
-    many = models.count()
-    step = 1
-    while many > FAN_IN:  # average groups of FAN_IN copies until few are left
-        step *= FAN_IN
-        models = staged(models.groupBy(F.floor(F.col("part") / step).alias("g")).applyInArrow(mean, "part long, n double, packed binary"), "models")
-        many = models.count()
-    left = models.collect()
-    if not left:
-        return LogBilinear.start(frequency, width)
-    n = np.array([r["n"] for r in left])
-    return LogBilinear.unpack(sum(np.frombuffer(r["packed"], np.float32) * np.float32(w / n.sum()) for r, w in zip(left, n, strict=True)), frequency.size)
+        flat = sum(np.frombuffer(x.as_py(), np.float32) * (w / n.sum()) for x, w in sorted(zip(table["packed"], n, strict=True), key=lambda r: r[0].as_py()))
+        return pa.table({"part": table["part"].slice(0, 1), "piece": table["piece"].slice(0, 1), "n": pa.array([float(n.sum())]), "packed": pa.array([np.asarray(flat, np.float32).tobytes()], pa.binary())})
+
+    model = "part long, piece int, n double, packed binary"
+    place = F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
+    dealt = rows.select(place.alias("place"), "text").mapInArrow(coded, "place long, units binary").withColumn("part", F.pmod(F.xxhash64("place"), F.lit(shards)))
+    models = staged(dealt.repartition("part").sortWithinPartitions("part", "place", "units").select("part", "units").mapInArrow(learn, model), "models")
+    while shards > 1:  # average groups of FAN_IN copies until one is left
+        shards = -(-shards // FAN_IN)
+        models = staged(models.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "piece").applyInArrow(mean, model), "models")
+    left = sorted(models.select("piece", "packed").collect())
+    return start.filled(np.concatenate([np.frombuffer(p, np.float32) for _, p in left])) if left else start
 
 
 class Scorer:
-    def __init__(self, vocab: Vocabulary, model: LogBilinear):
-        self.vocab, (self.near, self.far, self.norm) = vocab, model.tables()
+    def __init__(self, vocab: Vocabulary, model: LogBilinear, norm: np.ndarray):
+        self.vocab, self.model, self.norm = vocab, model, norm
+        self.seen, self.unseen = vocab.shares()
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Counter[bytes]]]:
-        """Per text: tokens, known ones, base and model log10 sums over all tokens in the lookup, and the other words."""
-        v = self.vocab
-        ranks, sizes, words = encode(texts, v)
-        cls, near, far = contexts(ranks, sizes, v)
+        """Per text: tokens, known ones, base and model log10 sums over all tokens as far as the lookup tells, and the
+        words that it doesn't hold."""
+        v, m = self.vocab, self.model
+        ranks, units, sizes, words = encode(texts, v)
+        near, far = contexts(units, sizes, v)
         in_table = ranks >= 0
-        c = np.where(in_table, v.counts[ranks] if v.counts.size else 0, 0)
-        model = (self.near[near, cls] + self.far[far, cls] - self.norm[near, far]).astype(np.float64)
-        model += np.where(in_table & (cls == 0), v.within_rare(np.maximum(c, 1)), 0.0)
+        c = np.where(in_table, v.counts[np.maximum(ranks, 0)] if v.counts.size else 0, 0)
+        model = np.empty(units.size)
+        for lo in range(0, units.size, 1 << 18):  # bounds the vectors held at once
+            some = slice(lo, lo + (1 << 18))
+            n, f, u = near[some], far[some], units[some]
+            model[some] = (np.einsum("ij,ij->i", m.near[n] + m.far[f], m.out[u]) + m.bias[u] - self.norm[n, f]) / np.log(10)
+        rare = np.flatnonzero(in_table & (units < v.spellings))
+        model[rare] += np.log10(np.maximum(c[rare], 1) - v.discount) + self.seen[units[rare]]
         starts = np.cumsum(sizes) - sizes
-        base = np.where(in_table, v.base(c), 0.0)
-        sums = [np.add.reduceat(x, starts) for x in (in_table.astype(np.int64), base, model)]
+        sums = [np.add.reduceat(x, starts) for x in (in_table.astype(np.int64), np.where(in_table, v.base(c), 0.0), model)]
         get = v.index.get
-        return sizes, *sums, [Counter(w for w in x if get(w) is None) if k < len(x) + 1 else Counter() for x, k in zip(words, sums[0].tolist(), strict=True)]
+        return sizes, *sums, [Counter(w for w in x if get(w) is None) if k < len(x) else Counter() for x, k in zip(words, sums[0].tolist(), strict=True)]
 
 
-def lm_scores(docs: DataFrame, classes: int = CLASSES, lookup: int = LOOKUP, width: int = WIDTH, folds: int = FOLDS) -> DataFrame:
+def lm_scores(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, spellings: int = SPELLINGS, lookup: int = LOOKUP, width: int = WIDTH, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    if head + spellings > 1 << 16:
+        raise ValueError("units are numbered in 16 bits")
     spark = ship(docs.sparkSession)
     rows = docs.select("doc_id", "text").filter(fold(F.col("doc_id"), folds) != 0)
     counts = staged(count_words(rows), "word-counts")
-    vocab = vocabulary(counts, classes, lookup)
+    vocab = vocabulary(counts, head, classes, spellings, lookup)
     model = train(rows, vocab, width)
-    shared = spark.sparkContext.broadcast((vocab, model))
+    shared = spark.sparkContext.broadcast((vocab, model, model.normalisers()))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,24 +359,24 @@ def lm_scores(docs: DataFrame, classes: int = CLASSES, lookup: int = LOOKUP, wid
         for ids, texts in chunks(batches):
             sizes, known, base, model, others = score(texts)
             offsets = np.cumsum([0, *map(len, others)])
-            rest = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()),
-                pa.StructArray.from_arrays([pa.array((w for x in others for w in x), pa.binary()).cast(pa.string()), pa.array((n for x in others for n in x.values()), pa.int64())], names=["word", "n"]),
-            )
+            at = np.fromiter((score.vocab.unit(w) for x in others for w in x), np.int64, int(offsets[-1]))
+            fields = {
+                "word": pa.array((w for x in others for w in x), pa.binary()).cast(pa.string()), "n": pa.array((n for x in others for n in x.values()), pa.int64()),
+                "seen": pa.array(score.seen[at]), "unseen": pa.array(score.unseen[at]),
+            }
+            rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(row, row + len(texts))), pa.array(sizes), pa.array(known), pa.array(base), pa.array(model), rest], names=["doc_id", "row", "n_tokens", "known", "base", "model", "rest"])
             row += len(texts)
 
-    parts = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, model double, rest array<struct<word:string,n:long>>")
+    parts = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, model double, rest array<struct<word:string,n:long,seen:double,unseen:double>>")
+    parts = staged(parts, "scored-parts")  # row numbers hold for one reading
     once = F.coalesce(F.col("at"), F.lit(0)) == 0
     open_ = parts.select("doc_id", "row", "n_tokens", "known", "base", "model", F.posexplode_outer("rest").alias("at", "other")).select(
-        "doc_id", "row", *(F.when(once, F.col(x)).alias(x) for x in ("n_tokens", "known", "base", "model")), F.col("other.word").alias("word"), F.coalesce("other.n", F.lit(0)).alias("n")
+        "doc_id", "row", *(F.when(once, F.col(x)).alias(x) for x in ("n_tokens", "known", "base", "model")), F.col("other.word").alias("word"), F.coalesce("other.n", F.lit(0)).alias("n"), F.col("other.seen").alias("seen"), F.col("other.unseen").alias("unseen")
     )
-    joined = open_.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    joined = open_.join(counts.select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     base = F.log10((F.col("c") + 0.1) / (vocab.total + 0.1 * (vocab.distinct + 1)))
-    if vocab.rare_distinct:
-        within = F.log10(F.when(F.col("c") > 0, F.col("c") - vocab.discount).otherwise(vocab.discount * vocab.rare_distinct) / float(vocab.rare_total))
-    else:
-        within = F.lit(0.0)
+    within = F.when(F.col("c") > 0, F.log10(F.col("c") - vocab.discount) + F.col("seen")).otherwise(F.col("unseen"))
     n = F.col("n")
     return (
         joined.groupBy("row", "doc_id")

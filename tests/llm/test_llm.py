@@ -11,10 +11,12 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from ocellus.llm import bpe, decontaminate, exact_dedup, lm_scoring, quality, simhash_dedup, substring_dedup, token_counts, toxicity, url_filter
 from ocellus.llm.components import components
+from ocellus.llm.training import labelled_sample
 
 SCHEMA = "doc_id long, text string, lang string, name string, block string, key string, word string, y string"
 R = random.Random(3)
@@ -389,11 +391,49 @@ def test_quality(spark):
     assert {r["score"] for r in quality.quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_against_brute_force(spark):
+    docs, labels, _ = labelled(spark)
+    long = frame(spark, [prose(3000), prose(700) + "###"], [7000, 7001])
+    docs = docs.unionByName(long)
+    model = quality.fit(docs, labels)
+    got = by_id(quality.quality(docs, labels))
+    tools = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x), write_checksum=False, write_content_size=False) for x in (model.good, model.bad)]
+    for r in docs.collect():
+        t = (r["text"] or "").encode()
+        good, bad = (sum(len(tool.compress(t[i : i + 2048])) for i in range(0, len(t), 2048)) for tool in tools)
+        x = (bad - good) / max(1, len(t))
+        k = max(i for i, knot in enumerate(model.knots) if knot <= x)
+        p = model.chances[k] + (x - model.knots[k]) * (model.chances[k + 1] - model.chances[k]) / (model.knots[k + 1] - model.knots[k])
+        assert abs(got[r["doc_id"]]["score"] - p) < 1e-9
+    assert (np.diff(model.chances) >= 0).all() and (np.diff(model.knots) > 0).all()
+
+
+def test_labelled_sample_has_one_row_per_id(spark):
+    docs = frame(spark, [*(f"text {i}" for i in range(50)), None], [1] * 50 + [2])
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = [labelled_sample(docs.repartition(n), labels, "toxic", 10, 1009).collect() for n in (1, 4)]
+    assert sorted(rows[0]) == sorted(rows[1]) and sorted((r["doc_id"], r["y"]) for r in rows[0]) == [(1, 1), (2, 0)]
+
+
+def test_toxicity_matches_against_brute_force():
+    rng = random.Random(6)
+    model = toxicity.ToxicityModel({"ab": 1.5, "abc": 2.0, "cab": 1.0, "bca": 3.0}, {"a cab", "ab ba", "bca c"})
+    for _ in range(400):
+        text = "".join(rng.choice("abc  ._1Аᴀ\t") for _ in range(rng.randint(0, 60)))
+        folded = toxicity.folded(text)
+        edge = lambda a, b: (a == 0 or not folded[a - 1].isalnum()) and (b == len(folded) or not folded[b].isalnum())
+        spans = lambda words: [(a, a + len(w), w) for w in words for a in range(len(folded)) if folded.startswith(w, a) and edge(a, a + len(w))]
+        excused = spans(model.phrases)
+        want = sorted((a, b, model.words[w]) for a, b, w in spans(model.words) if not any(x <= a and b <= y for x, y, _ in excused))
+        assert sorted(model.matches(folded)) == want
+        assert abs(model.load([text])[0] - np.log1p(100 * sum(w for *_, w in want) / max(1, len(folded.split())))) < 1e-9
+
+
 @pytest.mark.parametrize("lookup", [100_000, 40])
 def test_lm_scores(spark, lookup):
     ids = [*range(len(TEXTS)), None, 7]
     texts = [*TEXTS, "alpha beta", prose(30)]
-    rows = lm_scoring.lm_scores(frame(spark, texts, ids).repartition(3), classes=30, lookup=lookup).collect()
+    rows = lm_scoring.lm_scores(frame(spark, texts, ids).repartition(3), head=30, classes=10, lookup=lookup).collect()
     fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10
     c = Counter(w for i, t in zip(ids, texts, strict=True) if fold(i) for w in [*words_of(low(t)), ""])
     n, v = sum(c.values()), len(c)
@@ -404,21 +444,63 @@ def test_lm_scores(spark, lookup):
     assert len(lm_scoring.lm_scores(frame(spark, ["a b", None], [1, 2]).limit(0)).collect()) == 0
 
 
-def test_lm_is_a_distribution(spark):
-    docs = frame(spark, [prose(60) for _ in range(40)])
+def lm_model(docs, lookup=1000):
     counts = lm_scoring.count_words(docs).cache()
-    vocab = lm_scoring.vocabulary(counts, 20, 1000)
-    scorer = lm_scoring.Scorer(vocab, lm_scoring.train(docs, vocab))
-    words = [r["word"].encode() for r in counts.collect() if r["word"]]
-    prefix = b"%s %s" % (words[0], words[1])
-    log = lambda t: float(scorer([t])[3][0])
-    cls = lambda w: vocab.index[w] + 1 if vocab.index[w] < vocab.classes else 0
-    near, far = cls(words[1]), cls(words[0])
-    p = 10.0 ** (scorer.near[near] + scorer.far[far] - scorer.norm[near, far])
-    assert abs(p.sum() - 1) < 1e-4
-    within = 10.0 ** vocab.within_rare(np.array([0] + [int(r["c"]) for r in counts.collect() if vocab.index[r["word"].encode()] >= vocab.classes]))
-    assert abs(within.sum() - 1) < 1e-9
-    assert log(prefix) < 0
+    vocab = lm_scoring.vocabulary(counts, 20, 12, 6, lookup)
+    model = lm_scoring.train(docs, vocab, shard=900)
+    return vocab, model, {r["word"].encode(): r["c"] for r in counts.collect()}
+
+
+def test_lm_is_a_distribution(spark):
+    vocab, model, counts = lm_model(frame(spark, [prose(60) for _ in range(40)]))
+    norm = model.normalisers()
+    assert len(model.out) == 26 and norm.shape == (18, 18) and len(counts) > 100
+    for near, far in ((0, 3), (17, 6), (4, 4)):
+        p = np.exp((model.near[near] + model.far[far]) @ model.out.T + model.bias - norm[near, far])
+        assert abs(p.sum() - 1) < 1e-4 and (p > 0).all()
+    seen, unseen = vocab.shares()
+    within = 10.0**unseen
+    for w, c in counts.items():
+        if (u := vocab.unit(w)) < 6:
+            within[u] += (c - vocab.discount) * 10 ** seen[u]
+    assert np.allclose(within, 1)
+
+
+@pytest.mark.parametrize("lookup", [1000, 25])
+def test_lm_score_against_brute_force(spark, monkeypatch, lookup):
+    rng = random.Random(8)
+    docs = frame(spark, [prose(rng.randint(0, 80), rng) for _ in range(60)] + ["never seen wordsabc", None])
+    monkeypatch.setattr(lm_scoring, "SHARD", 900)
+    got = by_id(lm_scoring.lm_scores(docs, 20, 12, 6, lookup))
+    learned = docs.filter(lm_scoring.fold(F.col("doc_id"), 10) != 0)
+    vocab, model, counts = lm_model(learned, lookup)
+    logits = lambda n, f: (model.near[n] + model.far[f]).astype(float) @ model.out.T + model.bias
+    rest = {u: [c for w, c in counts.items() if vocab.unit(w) == u] for u in range(6)}
+    for r in docs.collect():
+        units, score = [vocab.unit(b""), vocab.unit(b"")], 0.0
+        for w in [*words_of(low(r["text"])), ""]:
+            u = vocab.unit(w.encode())
+            z = logits(vocab.context[units[-1]], vocab.context[units[-2]])
+            p = np.exp(z[u]) / np.exp(z).sum()
+            if u < 6:
+                c = counts.get(w.encode(), 0)
+                p *= (c - vocab.discount if c else vocab.discount * len(rest[u])) / sum(rest[u]) if rest[u] else 1.0
+            score += np.log10(p)
+            units.append(u)
+        assert abs(got[r["doc_id"]]["score"] - score) < 1e-3 * max(1, abs(score))
+
+
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD", 500)
+    docs = frame(spark, [prose(50) for _ in range(50)])
+    one, other = (by_id(lm_scoring.lm_scores(docs.repartition(n), 20, 12, 6)) for n in (1, 5))
+    assert one.keys() == other.keys() and all(abs(one[i]["score"] - other[i]["score"]) < 1e-9 for i in one)
+
+
+def test_lm_without_training_rows(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    got = by_id(lm_scoring.lm_scores(frame(spark, ["a b", None], held)))
+    assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in (got[i] for i in held)] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
 
 
 def test_empty_tables(spark):
