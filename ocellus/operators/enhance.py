@@ -31,19 +31,6 @@ def smooth(a: np.ndarray, sigma: float) -> np.ndarray:
     return a
 
 
-def rotated(a: np.ndarray, degrees: float) -> np.ndarray:
-    """Turned about its centre, bilinear, edge values beyond the edges."""
-    h, w = a.shape
-    t = np.radians(degrees)
-    y, x = np.mgrid[:h, :w]
-    cy, cx = (h - 1) / 2, (w - 1) / 2
-    sy = np.clip(cy + (y - cy) * np.cos(t) - (x - cx) * np.sin(t), 0, h - 1)
-    sx = np.clip(cx + (y - cy) * np.sin(t) + (x - cx) * np.cos(t), 0, w - 1)
-    y0, x0 = np.minimum(sy.astype(int), max(h - 2, 0)), np.minimum(sx.astype(int), max(w - 2, 0))
-    y1, x1, fy, fx = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1), sy - y0, sx - x0
-    return (a[y0, x0] * (1 - fx) + a[y0, x1] * fx) * (1 - fy) + (a[y1, x0] * (1 - fx) + a[y1, x1] * fx) * fy
-
-
 def block_mask(a: np.ndarray, block: int = 16, threshold: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """The picture scaled by the mean and deviation of its lively part, and that part: blocks (zero-padded at the far
     edges) whose deviation after z-scoring exceeds the threshold."""
@@ -68,52 +55,66 @@ def orientation(a: np.ndarray, gradient: float = 1.0, block: float = 7.0, angles
     return np.pi / 2 + np.arctan2(sin, cos) / 2
 
 
-def block_frequency(a: np.ndarray, direction: np.ndarray, window: int = 5, shortest: float = 5, longest: float = 15) -> float:
-    """Ridges per pixel across one block turned upright, 0 if fewer than two peaks or out of the range."""
-    mean = np.arctan2(np.sin(2 * direction).mean(), np.cos(2 * direction).mean()) / 2
-    turned = rotated(a, np.degrees(mean) + 90)
-    size = int(a.shape[0] / np.sqrt(2))
-    off = (a.shape[0] - size) // 2
-    line = turned[off : off + size, off : off + size].sum(axis=0)
-    top = np.lib.stride_tricks.sliding_window_view(np.pad(line, window // 2, mode="edge"), window).max(axis=1)[: line.size] + 1
-    peaks = np.flatnonzero((np.abs(top - line) < 2) & (line > line.mean()))
-    if peaks.size < 2:
-        return 0.0
-    length = (peaks[-1] - peaks[0]) / (peaks.size - 1)
-    return 1 / length if shortest <= length <= longest else 0.0
+def frequency(a: np.ndarray, mask: np.ndarray, direction: np.ndarray, block: int = 38, shortest: float = 5, longest: float = 15) -> tuple[np.ndarray, float]:
+    """Ridges per pixel of each whole block inside the mask (0 if its strongest period is out of range), and the mean of those above 0.
 
-
-def frequency(a: np.ndarray, mask: np.ndarray, direction: np.ndarray, block: int = 38) -> tuple[np.ndarray, float]:
-    """Frequency of each block inside the mask, and the mean of those above 0 (0 if there are none)."""
+    The sum of a block along its ridges is a signal whose spectrum is, by the projection-slice theorem, the slice of
+    the block's spectrum across the ridges. So the slice is summed directly, at all frequencies up to one in two pixels, for
+    all blocks together; its highest point, refined by a parabola, is the frequency.
+    """
+    rows, columns = a.shape[0] // block, a.shape[1] // block
     out = np.zeros(a.shape)
-    for y in range(0, a.shape[0] - block, block):
-        for x in range(0, a.shape[1] - block, block):
-            at = np.s_[y : y + block, x : x + block]
-            out[at] = block_frequency(a[at], direction[at])
-    out = out * mask
+    if not rows or not columns:
+        return out, 0.0
+    tiles = lambda x: x[: rows * block, : columns * block].reshape(rows, block, columns, block).swapaxes(1, 2).reshape(-1, block, block)
+    twice = 2 * tiles(direction)
+    across = np.arctan2(np.sin(twice).mean((1, 2)), np.cos(twice).mean((1, 2))) / 2 - np.pi / 2
+    window = np.outer(*[np.hanning(block + 2)[1:-1]] * 2)
+    some = tiles(a)
+    some = (some - some.mean((1, 2), keepdims=True)) * window
+    y, x = np.mgrid[:block, :block] - (block - 1) / 2
+    place = x * np.cos(across)[:, None, None] + y * np.sin(across)[:, None, None]
+    tried = np.arange(4, 2 * block + 1) / (4 * block)
+    power = np.stack([np.abs((some * np.exp(-2j * np.pi * f * place)).sum((1, 2))) for f in tried], axis=1)
+    top = power.argmax(1)
+    inner = np.clip(top, 1, tried.size - 2)
+    left, middle, right = (power[np.arange(len(power)), inner + d] for d in (-1, 0, 1))
+    bend = left - 2 * middle + right
+    shift = np.where((top == inner) & (bend < 0), (left - right) / np.where(bend == 0, 1, bend) / 2, 0.0)
+    best = tried[top] + shift * (tried[1] - tried[0])
+    best = np.where((power.max(1) > 0) & (best * longest >= 1) & (best * shortest <= 1), best, 0.0)
+    out[: rows * block, : columns * block] = np.kron(best.reshape(rows, columns), np.ones((block, block)))
+    out *= mask
     return out, float(out[out > 0].mean()) if (out > 0).any() else 0.0
 
 
 def oriented_filter(a: np.ndarray, direction: np.ndarray, freq: np.ndarray, kx: float = 0.65, ky: float = 0.65, step: int = 3) -> np.ndarray:
-    """Gabor response along the ridges: one bank of turned filters for the picture's lowest rounded frequency."""
-    used = np.unique(np.round(freq[freq > 0] * 100) / 100)
+    """Even Gabor response across the ridges: at each pixel the wave exp(-(x / sx)^2 - (y / sy)^2) cos(2 pi f x), turned to
+    the pixel's direction (in steps of `step` degrees), with f its frequency to two places and s = k / f.
+
+    The bank is applied as transfer functions, two Gaussians each, to the picture's spectrum. Pixels without a
+    frequency, or within three widths of an edge, are 0."""
+    rounded = np.round(freq, 2)
+    which = np.round(np.degrees(direction) / step).astype(int) % (180 // step)
     out = np.zeros(a.shape)
-    if not used.size or used[0] <= 0:
-        return out
-    sx, sy = kx / used[0], ky / used[0]
-    n = int(round(3 * max(sx, sy)))
-    y, x = np.mgrid[-n : n + 1, -n : n + 1]
-    first = np.exp(-(x**2 / sx**2 + y**2 / sy**2)) * np.cos(2 * np.pi * used[0] * x)
-    count = 180 // step
-    which = (np.round(np.degrees(direction) / step).astype(int) - 1) % count
-    inner = np.zeros(a.shape, bool)
-    inner[n + 1 : a.shape[0] - n, n + 1 : a.shape[1] - n] = True
-    for k in range(count):
-        at = np.argwhere((freq > 0) & inner & (which == k))
-        if at.size:
-            bank = rotated(first, -(k * step + 90))
-            for r, c in at:
-                out[r, c] = (a[r - n : r + n + 1, c - n : c + n + 1] * bank).sum()
+    for f in np.unique(rounded[rounded > 0]):
+        sx, sy = kx / f, ky / f
+        n = int(round(3 * max(sx, sy)))
+        at = rounded == f
+        at[:n], at[a.shape[0] - n :], at[:, :n], at[:, a.shape[1] - n :] = False, False, False, False
+        if not at.any():
+            continue
+        padded = np.pad(a, n)
+        spectrum = np.fft.rfft2(padded)
+        v, u = np.fft.fftfreq(padded.shape[0])[:, None], np.fft.rfftfreq(padded.shape[1])[None, :]
+        for k in np.unique(which[at]):
+            t = np.radians(k * step) - np.pi / 2  # across the ridges
+            along, beside = u * np.cos(t) + v * np.sin(t), v * np.cos(t) - u * np.sin(t)
+            lobes = sum(np.exp(-((np.pi * sx * (along - sign * f)) ** 2)) for sign in (1, -1))
+            transfer = np.pi * sx * sy / 2 * lobes * np.exp(-((np.pi * sy * beside) ** 2))
+            response = np.fft.irfft2(spectrum * transfer, s=padded.shape)[n : n + a.shape[0], n : n + a.shape[1]]
+            mine = at & (which == k)
+            out[mine] = response[mine]
     return out
 
 

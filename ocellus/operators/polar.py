@@ -127,21 +127,20 @@ def majority_ring(df: DataFrame, keys: Sequence[str], component: str = "componen
 
 
 def shift_corrected(df: DataFrame, key: str) -> DataFrame:
-    """Sets a component's minority ring numbers to its majority and shifts the rings outside it at those angles by the
-    same amount, component after component: an inherently sequential step, one pass per picture."""
+    """Gives each component one ring number, its most frequent (of equals the smallest): at the angles where it has another
+    number, that one and all larger numbers move by the difference. Components follow each other from the smallest
+    radius, each judged by the numbers as they then are: one pass per picture."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["component", "angle", "radius"]).reset_index(drop=True)
-        ring, angle, radius = pdf["mire_num"].to_numpy().copy(), pdf["angle"].to_numpy(), pdf["radius"].to_numpy()
-        for c in pdf["component"].unique():
-            mine = np.flatnonzero(pdf["component"].to_numpy() == c)
+        pdf = pdf.sort_values(["radius", "mire_num", "angle"], kind="stable")
+        ring, angle, component = pdf["mire_num"].to_numpy().copy(), pdf["angle"].to_numpy(), pdf["component"].to_numpy()
+        for c in pd.unique(component):
+            mine = component == c
             values, counts = np.unique(ring[mine], return_counts=True)
-            main = values[np.argmax(counts)]
-            for i in mine[ring[mine] != main]:
-                by = main - ring[i]
-                outside = (angle == angle[i]) & (radius > radius[i])
-                ring[i] = main
-                ring[outside] += by
+            main, *others = values[np.lexsort((values, -counts))]
+            where = [angle[mine & (ring == other)] for other in others]
+            for other, angles in zip(others, where, strict=True):
+                ring[(ring >= other) & np.isin(angle, angles)] += main - other
         return pdf.assign(mire_num=ring)
 
     return df.groupBy(key).applyInPandas(run, df.schema)

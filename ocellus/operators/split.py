@@ -12,19 +12,28 @@ MOST_GROUPS = 200_000
 def choose_groups(groups: list[tuple[str, int]], target: int) -> set[str]:
     """Names of whole groups whose sizes add up to the target, or else to the largest total below it.
 
-    Groups are taken by size, largest first, ties in the given order; of several ways to a total the first found stays.
+    Only how many groups of each size are taken matters for the total. So totals are bits of one integer, widened
+    size by size by powers of two of that size's groups; the counts are read back from the last size to the first,
+    as few of a size as will do, and of one size the groups given first are taken.
     """
-    how: dict[int, tuple[int, str] | None] = {0: None}
-    for name, size in sorted(groups, key=lambda g: -g[1]):
-        for total in sorted(how, reverse=True):
-            if total + size <= target and total + size not in how:
-                how[total + size] = (total, name)
-        if target in how:
-            break
-    total, chosen = max(how), set()
-    while how[total] is not None:
-        total, name = how[total]
-        chosen.add(name)
+    of_size: dict[int, list[str]] = {}
+    for name, size in groups:
+        if size > 0:
+            of_size.setdefault(size, []).append(name)
+    sizes, within = sorted(of_size), (1 << target + 1) - 1
+    totals = [1]
+    for size in sizes:
+        bits, left, share = totals[-1], len(of_size[size]), 1
+        while left:
+            share = min(share, left)
+            bits |= bits << size * share & within
+            left, share = left - share, 2 * share
+        totals.append(bits)
+    total, chosen = totals[-1].bit_length() - 1, set()
+    for size, before in zip(reversed(sizes), reversed(totals[:-1]), strict=True):
+        many = next(n for n in range(len(of_size[size]) + 1) if n * size <= total and before >> total - n * size & 1)
+        chosen.update(of_size[size][:many])
+        total -= many * size
     return chosen
 
 

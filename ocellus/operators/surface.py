@@ -12,50 +12,86 @@ from pyspark.sql import functions as F
 DIOPTRES = 337.5
 
 
-def march(p: float, slopes: np.ndarray, object_z: np.ndarray, object_y: np.ndarray, step: float = 0.01, tolerance: float = 1e-7, most: int = 10_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Heights, distances and radii of curvature of a meridian, ring by ring from the axis.
-
-    A ring's image ray is y = (z - p) * slope. Its surface point is where the angles of incidence and reflection at
-    the surface agree; the surface grows from the last point by a cubic whose last term the point fixes (the first
-    ring fixes the vertex curvature). z moves in steps that turn back to a third each time the cosines cross.
+def _arc(z: np.ndarray, y: np.ndarray, last: np.ndarray, vertex: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Slope dz/dy and second derivative at (z, y) of the arc to it: a parabola from the vertex, or a cubic that leaves
+    the last point with that point's height, distance, slope and second derivative."""
+    z0, y0, s0, q0 = last[..., None] if z.ndim > last.ndim - 1 else last
+    run = y - y0
+    if vertex:
+        return 2 * z / y, 2 * z / y**2
+    rest = z - z0 - s0 * run - 0.5 * q0 * run**2  # what the cubic term has to add
+    return s0 + q0 * run + 3 * rest / run, q0 + 6 * rest / run**2
+
+
+def _lean(z: np.ndarray, ray: np.ndarray, oz: np.ndarray, oy: np.ndarray, p: float, last: np.ndarray, vertex: bool) -> np.ndarray:
+    """By how far the law of reflection fails at height z of an image ray: the surface tangent's part of the unit vectors
+    to the camera and to the object, which cancel where the mirror image is."""
+    y = (z - p) * ray
+    slope, _ = _arc(z, y, last, vertex)
+    camera = (slope * (p - z) - y) / np.hypot(p - z, y)
+    target = (slope * (oz - z) + oy - y) / np.hypot(oz - z, oy - y)
+    return (camera + target) / np.hypot(slope, 1.0)
+
+
+def reflections(p: float, slopes: np.ndarray, object_z: np.ndarray, object_y: np.ndarray, step: float = 0.01, reach: float = 100.0, halvings: int = 44) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Heights, distances and radii of curvature, shape (meridians, rings), of a mirror seen by a camera at p on its axis.
+
+    A ring's image ray is y = (z - p) * slope, and the surface point is where that ray is reflected to the ring's
+    object. Rings follow each other from the axis. All meridians are solved at once: from the height that the last
+    arc foretells, steps are taken, many at a time, towards the side where the failure of the law of reflection changes
+    sign, and that step is halved. NaN slopes mark missing rings at the end of a meridian; where no change of sign is
+    within reach, that ring and those after it are NaN.
     """
-    z0 = y0 = slope0 = quad0 = 0.0
-    heights, distances, radii = [], [], []
-    for ring, (k, oz, oy) in enumerate(zip(slopes, object_z, object_y, strict=True)):
-        z = 0.0 if ring == 0 else z0 + slope0 * ((z0 - p) * k - y0) + 0.5 * quad0 * ((z0 - p) * k - y0) ** 2
-        move, quad, cube = step, quad0, 0.0
-        for _ in range(most):
-            y = (z - p) * k
-            run = y - y0
-            if ring == 0:
-                quad = 2 * z / y**2
-            else:
-                cube = 6 * (z - z0 - slope0 * run - 0.5 * quad * run**2) / run**3
-            tangent = slope0 + quad * run + 0.5 * cube * run**2
-            to_object = (oy - y) / (z - oz)
-            lean = np.sqrt(1 + tangent**2)
-            off = (to_object - tangent) / (np.sqrt(1 + to_object**2) * lean) - (k + tangent) / (np.sqrt(1 + k**2) * lean)
-            if off * move < 0:
-                move = -move / 3
-            z += move
-            if abs(move) <= tolerance:
+    found = np.full((3, *slopes.shape), np.nan)
+    last = np.zeros((4, len(slopes)))  # z, y, slope, second derivative
+    ahead = np.arange(1, 33) * step
+    for ring in range(slopes.shape[1]):
+        live = np.flatnonzero(np.isfinite(slopes[:, ring]) & (np.isfinite(found[0, :, ring - 1]) if ring else True))
+        ray, oz, oy = (a[live, ring] for a in (slopes, object_z, object_y))
+        z0, y0, s0, q0 = held = last[:, live]
+        run = (z0 - p) * ray - y0
+        low = np.zeros(live.size) if ring == 0 else z0 + s0 * run + 0.5 * q0 * run**2
+        at_low = _lean(low, ray, oz, oy, p, held, ring == 0) if ring else np.sign(_lean(np.full(live.size, step * 1e-6), ray, oz, oy, p, held, True))
+        side = np.where(at_low < 0, 1.0, -1.0)
+        open_, high = np.arange(live.size), np.full(live.size, np.nan)
+        for _ in range(int(reach / step / ahead.size)):
+            if not open_.size:
                 break
-        z0, y0, slope0, quad0 = z, y, tangent, quad + cube * run
-        heights.append(z)
-        distances.append(y)
-        radii.append((1 + tangent**2) ** 1.5 / max(abs(quad0), 1e-12))
-    return np.array(heights), np.array(distances), np.array(radii)
+            tried = low[open_, None] + side[open_, None] * ahead
+            turned = _lean(tried, *(x[open_, None] for x in (ray, oz, oy)), p, held[:, open_], ring == 0) * side[open_, None] > 0
+            any_, where = turned.any(1), turned.argmax(1)
+            hit = open_[any_]
+            high[hit] = tried[any_, where[any_]]
+            low[hit] = high[hit] - side[hit] * step
+            low[open_[~any_]] = tried[~any_, -1]
+            open_ = open_[~any_]
+        for _ in range(halvings):
+            middle = (low + high) / 2
+            beyond = _lean(middle, ray, oz, oy, p, held, ring == 0) * side > 0
+            high, low = np.where(beyond, middle, high), np.where(beyond, low, middle)
+        z = (low + high) / 2
+        y = (z - p) * ray
+        slope, bend = _arc(z, y, held, ring == 0)
+        last[:, live] = z, y, slope, bend
+        found[:, live, ring] = z, y, (1 + slope**2) ** 1.5 / np.maximum(np.abs(bend), 1e-12)
+    return tuple(found)
 
 
 def arc_step(points: DataFrame, key: str, p: str = "p") -> DataFrame:
-    """Surface points of each (picture, angle): columns p (camera distance), mire_num, slope, object_z, object_y in; z, y, roc out."""
+    """Surface points of each picture, all its meridians (angle) at once: columns p (camera distance), mire_num, slope,
+    object_z, object_y in; z, y, roc out (null where no point fits). Rows without a slope give no row."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["slope"]).sort_values("mire_num")
-        z, y, roc = march(float(pdf[p].iloc[0]), *(pdf[c].to_numpy(float) for c in ("slope", "object_z", "object_y"))) if len(pdf) else (np.zeros(0),) * 3
+        pdf = pdf.dropna(subset=["slope"]).sort_values(["angle", "mire_num"])
+        row = pdf.groupby("angle", sort=False).ngroup().to_numpy()
+        place = pdf.groupby("angle", sort=False).cumcount().to_numpy()
+        grid = np.full((3, *((row.max() + 1, place.max() + 1) if len(pdf) else (0, 0))), np.nan)
+        grid[:, row, place] = pdf[["slope", "object_z", "object_y"]].to_numpy(float).T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            z, y, roc = (x[row, place] for x in reflections(float(pdf[p].iloc[0]) if len(pdf) else 0.0, *grid))
         return pdf[[key, "angle", "mire_num"]].assign(z=z, y=y, roc=roc)
 
-    return points.groupBy(key, "angle").applyInPandas(run, f"`{key}` {points.schema[key].dataType.simpleString()}, angle {points.schema['angle'].dataType.simpleString()}, mire_num int, z double, y double, roc double")
+    return points.groupBy(key).applyInPandas(run, f"`{key}` {points.schema[key].dataType.simpleString()}, angle {points.schema['angle'].dataType.simpleString()}, mire_num int, z double, y double, roc double")
 
 
 def cloud(surface: DataFrame, key: str, most_z: float = 2.0) -> DataFrame:
@@ -147,9 +183,9 @@ def zernike_fit(points: DataFrame, key: str, degree: int) -> DataFrame:
 
 
 def curvatures(d1: Column, d2: Column, rho: Column, scale: Column) -> tuple[Column, Column]:
-    """Meridional and tangential curvature from the radial derivatives of a surface over the unit disc."""
+    """Meridional and tangential curvature from the radial derivatives of a surface over the unit disc, whose radius is `scale`."""
     slope = d1 / scale
-    return d2 / scale**2 / F.pow(1 + slope**2, 1.5), slope / F.sqrt(1 + slope**2) / (rho * scale / scale + 1e-7)
+    return d2 / scale**2 / F.pow(1 + slope**2, 1.5), slope / F.sqrt(1 + slope**2) / (rho * scale + 1e-7)
 
 
 def simk(meridians: DataFrame, key: str, angle: str, curvature: str, period: int = 180) -> DataFrame:

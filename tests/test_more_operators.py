@@ -33,6 +33,28 @@ def test_ridge_orientation_and_frequency(degrees):
     assert mean == pytest.approx(1 / 8, rel=0.15)
 
 
+@pytest.mark.parametrize(("period", "within"), [(6, True), (14, True), (4, False), (20, False)])
+def test_ridge_frequency_range(period, within):
+    a, mask = enhance.block_mask(stripes(period=period, degrees=30.0))
+    freq, mean = enhance.frequency(a, mask, enhance.orientation(a))
+    assert mean == (pytest.approx(1 / period, rel=0.02) if within else 0.0) and freq.shape == a.shape
+    assert enhance.frequency(a[:20, :20], mask[:20, :20], a[:20, :20])[1] == 0.0
+
+
+def test_oriented_filter_is_the_gabor_sum():
+    a, _ = enhance.block_mask(stripes(120, 9, 30.0))
+    direction, f = enhance.orientation(a), 0.11
+    got = enhance.oriented_filter(a, direction, np.full(a.shape, f))
+    s = 0.65 / f
+    n = int(round(3 * s))
+    y, x = np.mgrid[-n : n + 1, -n : n + 1]
+    for r, c in ((60, 60), (40, 77), (n, n)):
+        t = np.radians(3 * round(np.degrees(direction[r, c]) / 3)) - np.pi / 2
+        wave = np.exp(-((x**2 + y**2) / s**2)) * np.cos(2 * np.pi * f * (x * np.cos(t) + y * np.sin(t)))
+        assert got[r, c] == pytest.approx((a[r - n : r + n + 1, c - n : c + n + 1] * wave).sum(), rel=1e-3, abs=1e-2)
+    assert not got[: n - 1].any() and not enhance.oriented_filter(a, direction, np.zeros(a.shape)).any()
+
+
 def test_ridges_per_picture(spark):
     a = stripes(114)
     df = spark.createDataFrame([("p", 114, 114, a.ravel().tolist())], "id string, width int, height int, data array<double>")

@@ -134,6 +134,11 @@ def test_stratified_split(spark):
         got = {r["split"]: r["total"] for r in split.split_counts(done, "y").collect()}
         assert got == dict(zip(("train", "validation", "test"), targets, strict=True)) and split.split_violations(done, "g").isEmpty()
         assert rows(done) == rows(split.stratified_split(df.repartition(3), "g", "y", {1: targets[:2]}))
+    rng = random.Random(4)
+    for _ in range(100):
+        groups, target = [(f"g{i}", rng.randint(1, 9)) for i in range(rng.randint(0, 8))], rng.randint(0, 30)
+        best = max(n for k in range(len(groups) + 1) for c in itertools.combinations(groups, k) if (n := sum(x[1] for x in c)) <= target)
+        assert sum(n for g, n in groups if g in split.choose_groups(groups, target)) == best
     assert split.choose_groups([("a", 3), ("b", 3)], 5) in ({"a"}, {"b"}) and split.choose_groups([], 4) == set()
     with pytest.raises(ValueError, match="more than one label"):
         split.stratified_split(spark.createDataFrame([("g", 0), ("g", 1)], "g string, y int"), "g", "y", {0: (1, 0)})
@@ -271,6 +276,14 @@ def test_ring_components_and_shift(spark):
     assert {r["ring"] for r in polar.majority_ring(numbered, ["k"]).collect()} == {0, 1}
 
 
+def test_shift_moves_rings_of_larger_number(spark):
+    # ring 1 is missed at angle 10, so ring 2 has number 1 there and ring 3 number 2; a lone larger radius of number 0 stays
+    points = [(a, 10.0 * (m + 1), m - (a == 10.0 and m > 1), m) for a in (0.0, 10.0, 20.0, 30.0) for m in range(4) if not (a == 10.0 and m == 1)] + [(10.0, 99.0, 0, 9)]
+    df = spark.createDataFrame([("p", *p) for p in points], "k string, angle double, radius double, mire_num int, component long")
+    got = {(r["angle"], r["radius"]): r["mire_num"] for r in polar.shift_corrected(df, "k").collect()}
+    assert got == {(a, r): 0 if r == 99.0 else c for a, r, _, c in points}
+
+
 def test_grid_operators(spark):
     rng = np.random.default_rng(2)
     a = rng.random((10, 12))
@@ -335,6 +348,12 @@ def test_arc_step_on_a_sphere(spark):
     df = spark.createDataFrame(points, "id string, angle int, mire_num int, p double, slope double, object_z double, object_y double")
     got = surface.arc_step(df, "id").orderBy("mire_num").collect()
     assert len(got) == 12 and all(np.isfinite(r["roc"]) for r in got)
+    for r, (*_, ring, _, slope, _, _) in zip(got, points, strict=True):
+        y = 0.3 + 0.25 * ring
+        assert r["y"] == pytest.approx(y, abs=1e-4) and r["z"] == pytest.approx(radius - np.sqrt(radius**2 - y**2), abs=1e-4) and r["roc"] == pytest.approx(radius, rel=0.02)
+    blind = df.withColumn("object_y", F.when(F.col("mire_num") < 3, F.col("object_y")).otherwise(F.lit(1e9))).withColumn("slope", F.when(F.col("mire_num") < 3, F.col("slope")).otherwise(F.lit(0.0)))
+    lost = surface.arc_step(blind.unionByName(df.withColumn("angle", F.lit(7))), "id").collect()
+    assert len(lost) == 24 and sum(r["angle"] == 7 and np.isfinite(r["z"]) for r in lost) == 12
 
 
 def test_zernike(spark):
