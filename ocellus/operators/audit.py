@@ -68,10 +68,12 @@ def group_name(members: Column) -> Column:
 
 
 def duplicates(df: DataFrame, key: str, digest: Column, label: str) -> DataFrame:
-    """Groups of two or more equal digests: size, members' common name, conflicting labels."""
-    return df.groupBy(digest.alias("digest")).agg(
-        F.count("*").alias("n"), group_name(F.collect_list(F.col(key).cast("string"))).alias("duplicate_group"), (F.countDistinct(label) > 1).alias("conflict"), F.min(key).alias("first_id")
-    ).filter("n > 1")
+    """Groups of two or more equal digests: size, members' common name, conflicting labels. Sizes are counted first, so only
+    members of such groups are gathered for the name."""
+    rows = df.select(F.col(key).alias("_key"), digest.alias("digest"), F.col(label).alias("_label"))
+    several = rows.groupBy("digest").agg(F.count("*").alias("n"), (F.countDistinct("_label") > 1).alias("conflict"), F.min("_key").alias("first_id")).filter("n > 1")
+    names = rows.join(several.select("digest"), "digest", "left_semi").groupBy("digest").agg(group_name(F.collect_list(F.col("_key").cast("string"))).alias("duplicate_group"))
+    return several.join(names, "digest").select("digest", "n", "duplicate_group", "conflict", "first_id")
 
 
 def first_seen(df: DataFrame, digest: Column, order: str, *keep: str) -> DataFrame:
@@ -84,3 +86,30 @@ def raise_unless(df: DataFrame, holds: Column, message: str) -> DataFrame:
     """The rows, failing the query at the first for which the condition isn't true."""
     bad = F.raise_error(F.lit(message))
     return df.filter(F.when(F.coalesce(holds, F.lit(False)), True).otherwise(bad.cast("boolean")))
+
+
+def contained(path: Column) -> Column:
+    """True for a relative path that stays within its root: no drive or leading separator, and no more steps up than down at
+    any point."""
+    steps = F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda x: (x != "") & (x != "."))
+    depth = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")), lambda acc, x: F.struct((acc["at"] + F.when(x == "..", -1).otherwise(1)).alias("at"), F.least(acc["least"], acc["at"] + F.when(x == "..", -1).otherwise(1)).alias("least")))
+    return F.coalesce(~path.rlike(r"^([/\\]|[A-Za-z]:)") & (depth["least"] >= 0) & (F.size(steps) > 0), F.lit(False))
+
+
+def locked_split(df: DataFrame, key: str, group: str, label: str, expected: dict[tuple[str, int], int]) -> DataFrame:
+    """The rows of a split, after three checks that raise: keys are unique, each (split, label) has exactly the expected
+    number of rows, and no group is in two splits. One aggregate each; only the counts come to the driver."""
+    if not df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("the split repeats a name")
+    found = {(r["split"], r[label]): r["n"] for r in df.groupBy("split", label).agg(F.count("*").alias("n")).limit(len(expected) + 1).collect()}
+    if found != expected:
+        raise ValueError(f"locked split counts changed: {found}")
+    if not df.groupBy(group).agg(F.countDistinct("split").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("a group crosses splits")
+    return df
+
+
+def by_prefix(names: DataFrame, labels: DataFrame, name: str, prefix: str, separator: str = "_") -> DataFrame:
+    """Rows joined with the labels whose name equals what comes before the last separator of theirs: an equality join."""
+    cut = F.regexp_replace(F.col(name), rf"\{separator}[^\{separator}]*$", "")
+    return names.withColumn("_prefix", cut).join(labels.withColumnRenamed(prefix, "_prefix"), "_prefix").drop("_prefix")

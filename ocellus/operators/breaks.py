@@ -30,7 +30,7 @@ def supports(df: DataFrame, key: str, outermost: int = 15, least: int = 3, reach
     inner = df.filter((F.col("mire_num") <= outermost) & (F.col("mire_num") % 2 == 1))
     left = _ring_peaks(inner.filter("angle > 150 AND angle < 210"), key).withColumn("side", F.lit("left"))
     right = _ring_peaks(inner.filter("angle > 330 OR angle < 30"), key).withColumn("side", F.lit("right")).withColumn("angle", F.when(F.col("angle") > 330, F.col("angle") - 360).otherwise(F.col("angle")))
-    peaks = left.unionByName(right).select(key, "mire_num", "angle", "side").withColumn("id", F.xxhash64(key, "mire_num", "angle", "side"))
+    peaks = left.unionByName(right).select(key, "mire_num", "angle", "side").withColumn("id", F.to_json(F.struct(key, "mire_num", "angle", "side")))
     near = band_pairs(peaks, peaks, [key], "angle", reach, F.abs(F.col("angle") - F.col("r_angle")) < reach).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > least)
     agreed = peaks.join(near, "id").groupBy(key).agg(F.avg(F.when(F.col("side") == "left", F.col("angle"))).alias("l"), F.avg(F.when(F.col("side") == "right", F.col("angle"))).alias("r"))
     return df.select(key).distinct().join(agreed, key, "left").select(key, F.coalesce("l", F.lit(180.0)).alias("left_support"), F.coalesce("r", F.lit(0.0)).alias("right_support"))
@@ -54,7 +54,7 @@ def break_candidates(df: DataFrame, key: str, jump: float = 0.5, gap: float = 10
     far = lambda x, y: F.coalesce(F.hypot(F.col("x") - x, F.col("y") - y) > gap, F.lit(False))
     torn = arc.filter("mire_num % 2 = 1").withColumn("torn", far(F.lag("x").over(w), F.lag("y").over(w)) | far(F.lead("x").over(w), F.lead("y").over(w))).filter("torn").select(key, "mire_num", "angle")
     edges = torn.unionByName(torn.withColumn("mire_num", F.col("mire_num") - 2)).distinct()
-    peaks = _ring_peaks(arc, key).join(outer, key).withColumn("id", F.xxhash64(key, "mire_num", "angle"))
+    peaks = _ring_peaks(arc, key).join(outer, key).withColumn("id", F.to_json(F.struct(key, "mire_num", "angle")))
     judged = peaks.filter("mire_num % 2 = 1 AND mire_num >= complete")
     hit = band_pairs(judged.select("id", key, "mire_num", "angle"), edges, [key, "mire_num"], "angle", reach)
     return peaks.join(hit.select("id").distinct(), "id", "left_anti").select(key, "mire_num", "angle")

@@ -1,12 +1,14 @@
 """Classification metrics, threshold search and ROC.
 
 Everything that needs scores in order works on distinct scores with their class counts. Running totals over them
-are made in two levels: within fixed score bands, and over the at most BANDS + 1 band totals, which is a bounded
-table. So no window holds all rows.
+are made in two levels: within score bands, and over the at most BANDS band totals, which is a bounded table. So no window holds all rows.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,15 +42,19 @@ def full_metrics(df: DataFrame, label: str, score: str, threshold: float) -> Dat
 
 
 def by_score(df: DataFrame, score: str, flags: dict[str, Column]) -> DataFrame:
-    """Distinct scores; of each flag its count there (name) and at and above (name_ge); the next lower distinct score."""
-    at = df.groupBy(F.col(score).cast("double").alias("score")).agg(*(F.count_if(c).cast("long").alias(n) for n, c in flags.items()))
-    at = at.withColumn("band", F.greatest(F.lit(0), F.least(F.lit(BANDS), F.floor(F.col("score") * BANDS))).cast("int"))
+    """Distinct scores; of each flag its count there (name) and at and above (name_ge); the next lower distinct score.
+    Rows without a score don't count. Bands are cut at approximate quantiles of the distinct scores, so that they are
+    about equally full however the scores are spread."""
+    at = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(*(F.count_if(c).cast("long").alias(n) for n, c in flags.items()))
+    cuts = at.agg(F.percentile_approx("score", [k / BANDS for k in range(1, BANDS)], 4 * BANDS).alias("q")).first()["q"] or []
+    edges = [-math.inf, *sorted(set(cuts)), math.inf]
+    at = Bucketizer(splits=edges if len(edges) > 2 else [-math.inf, 0.0, math.inf], inputCol="score", outputCol="band").transform(at).withColumn("band", F.col("band").cast("int"))
     above = Window.orderBy(F.desc("band"))
     bands = at.groupBy("band").agg(*(F.sum(n).alias(n) for n in flags), F.max("score").alias("top"))
     before = above.rowsBetween(Window.unboundedPreceding, -1)
     bands = bands.select("band", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in flags), F.lead("top").over(above).alias("below"))
     inner = Window.partitionBy("band").orderBy(F.desc("score"))
-    both = at.join(F.broadcast(bands), "band")  # BANDS + 1 rows at most
+    both = at.join(F.broadcast(bands), "band")  # BANDS rows at most
     return both.select("score", *flags, *((F.col(f"_{n}") + F.sum(n).over(inner)).cast("long").alias(f"{n}_ge") for n in flags), F.coalesce(F.lead("score").over(inner), F.col("below")).alias("lower"))
 
 
@@ -118,3 +124,16 @@ def parity(df: DataFrame, left: str, right: str, threshold: float) -> DataFrame:
     gap = F.abs(F.col(left) - F.col(right))
     agree = ((F.col(left) >= threshold) == (F.col(right) >= threshold)).cast("double")
     return df.agg(F.count("*").alias("n"), F.max(gap).alias("max_difference"), F.avg(gap).alias("mean_difference"), F.avg(agree).alias("agreement"))
+
+
+def best_stage(stages: DataFrame, stage: str = "stage", auc: str = "auc", loss: str = "log_loss") -> DataFrame:
+    """The stage with the largest AUC, of equals the one with the smallest loss, of those the first by name."""
+    order = F.struct(F.col(auc), -F.col(loss))
+    best = stages.groupBy().agg(F.max(order).alias("m"))
+    return stages.join(F.broadcast(best), order == F.col("m")).groupBy().agg(F.min(F.struct(stage, auc, loss)).alias("r")).select("r.*")  # one row
+
+
+def smallest_accepted(candidates: DataFrame, name: str, size: str, accepted: str = "accepted") -> DataFrame:
+    """The smallest candidate that passed; an error if none did."""
+    best = candidates.filter(F.col(accepted)).groupBy().agg(F.min_by(F.struct(name, size), F.struct(size, name)).alias("r"))
+    return best.select(F.coalesce("r", F.raise_error(F.lit("no candidate passed")).cast(best.schema["r"].dataType)).alias("r")).select("r.*")

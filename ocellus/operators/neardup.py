@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .audit import group_name
+from ..functions.scalars import number_distance
+from .audit import group_name, raise_unless
 
 
 def sign_hash(values: Column) -> Column:
@@ -23,25 +26,57 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _probes(width: int, radius: int) -> int:
+    return sum(comb(width, k) for k in range(radius + 1))
+
+
+def bands_for(rows: int, most: int, bits: int = 64, most_probes: int = 2000) -> list[tuple[int, int, int]]:
+    """Bands (first bit, width, radius) of the bits: two codes at most `most` bits apart differ by the radius or less in one of
+    them. Of all numbers of bands, that with the least work a row: its probes, and the rows that they meet if the codes were random."""
+    best = None
+    for n in range(1, min(bits, most + 1) + 1):
+        edges, radius = [round(i * bits / n) for i in range(n + 1)], most // n
+        widths = [hi - lo for lo, hi in zip(edges, edges[1:], strict=False)]
+        if sum(_probes(w, min(radius, w)) for w in widths) <= most_probes:
+            work = sum(_probes(w, min(radius, w)) * (1 + rows / 2**w) for w in widths)
+            if best is None or work < best[0]:
+                best = work, [(lo, w, min(radius, w)) for lo, w in zip(edges, widths, strict=False)]
+    return best[1]
+
+
 def hamming_pairs(df: DataFrame, key: str, code: str, most: int, bits: int = 64) -> DataFrame:
     """Pairs a < b at most `most` bits apart, each once.
 
-    A pair that close agrees in one of most + 1 bands of the bits, so an equality join on (band, its bits) finds
-    all of them and the distance is verified in the join.
+    The bits are cut into bands; a pair that close differs in one band by few bits only. So one side is keyed by its
+    bands and the other by all words near its bands, an equality join finds all pairs, the distance is verified in the
+    join, and a pair counts in the first band that finds it. How many bands there are follows the number of rows:
+    about log2(rows) bits each, so that a key holds a few unrelated rows whatever the size of the table.
     """
-    edges = [round(i * bits / (most + 1)) for i in range(most + 2)]
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(F.col(code), 64 - hi), 64 - (hi - lo)).alias("part")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo))
-    cut = df.select(F.col(key).alias("k"), F.col(code).alias("c"), F.explode(bands).alias("e")).select("k", "c", "e.band", "e.part")
-    a, b = cut.select(F.col("k").alias("a"), F.col("c").alias("ca"), "band", "part"), cut.select(F.col("k").alias("b"), F.col("c").alias("cb"), "band", "part")
-    near = a.join(b, ["band", "part"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("ca"), F.col("cb")) <= most))
-    return near.select("a", "b", hamming(F.col("ca"), F.col("cb")).alias("distance")).distinct()
-
-
-def nearest_reference(df: DataFrame, key: str, code: str, references: DataFrame, ref_key: str, ref_code: str, most_references: int = 10_000) -> DataFrame:
-    """The nearest of a stated reference list (checked to be small), ties to the smaller key."""
+    cut = bands_for(df.count(), most, bits)
+    part = lambda c, lo, w: F.shiftrightunsigned(F.shiftleft(c, 64 - lo - w), 64 - w) if w < 64 else c
+    masks = lambda w, r: [sum(1 << i for i in some) for k in range(r + 1) for some in combinations(range(w), k)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    near = lambda c, lo, w, r: F.transform(F.array(*(F.lit(signed(m)).cast("long") for m in masks(w, r))), lambda m: part(c, lo, w).bitwiseXOR(m))
+    c = F.col(code)
+    home = F.array(*(F.struct(F.lit(i).alias("band"), part(c, lo, w).alias("part")) for i, (lo, w, _) in enumerate(cut)))
+    a = df.select(F.col(key).alias("a"), c.alias("ca"), F.explode(home).alias("e")).select("a", "ca", "e.band", "e.part")
+    named = lambda i: lambda x: F.struct(F.lit(i).alias("band"), x.alias("part"))
+    probes = F.flatten(F.array(*(F.transform(near(c, lo, w, r), named(i)) for i, (lo, w, r) in enumerate(cut))))
+    b = df.select(F.col(key).alias("b"), c.alias("cb"), F.explode(probes).alias("e")).select("b", "cb", "e.band", "e.part")
+    apart = F.col("ca").bitwiseXOR(F.col("cb"))
+    first = None
+    for i, (lo, w, r) in enumerate(cut):
+        hit = F.bit_count(part(apart, lo, w)) <= r
+        first = F.when(hit, i) if first is None else first.when(hit, i)
+    joined = a.join(b, ["band", "part"]).filter((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most) & (F.col("band") == first))
+    return joined.select("a", "b", F.bit_count(apart).alias("distance"))
+
+
+def nearest_reference(df: DataFrame, key: str, code: str, references: DataFrame, ref_key: str, ref_code: str, most_references: int = 1000) -> DataFrame:
+    """The nearest reference, ties to the smaller key: by a list in the plan where there are few, else by nearest_of_table."""
     refs = references.select(F.col(ref_key).alias("reference"), F.col(ref_code).alias("rc")).limit(most_references + 1).collect()
-    if len(refs) > most_references:
-        raise ValueError(f"more than {most_references} references; use hamming_pairs")
+    if not refs or len(refs) > most_references:
+        return nearest_of_table(df, key, [code], references, ref_key, [ref_code]).withColumnRenamed("d0", "distance")
     listed = F.array(*(F.struct(F.lit(r["rc"]).alias("rc"), F.lit(r["reference"]).alias("reference")) for r in refs))
     best = F.array_min(F.transform(listed, lambda r: F.struct(hamming(F.col(code), r["rc"]).alias("distance"), r["reference"].alias("reference"))))
     return df.select(F.col(key), best.alias("m")).select(key, "m.reference", "m.distance")
@@ -88,33 +123,42 @@ def pair_status(pairs: DataFrame, decisions: DataFrame, exact: Column) -> DataFr
     return pairs.join(known, ["a", "b"], "left").withColumn("status", F.when(exact, "exact").otherwise(F.coalesce("decision", F.lit("review_required")))).drop("decision")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    local = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+    folder = spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints" if local else None)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return folder.rstrip("/")
+
+
 def connected(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """Smallest member of each node's component; nodes without pairs are their own.
 
-    Each round takes the least label of a node's neighbours and then that of the label itself; labels only fall, and
-    the loop ends when none does. Every round is written to spark.checkpoint.dir (or the local default), so lineage
-    stays short and a lost executor loses nothing.
+    Each round takes the least label of a node's neighbours and then that of the label itself, among the nodes that have
+    pairs; labels only fall, and the loop ends when none does. Every round is written to spark.checkpoint.dir (or the
+    local default) in place of the one before, so lineage stays short and a lost executor loses nothing.
     """
     spark = pairs.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints" if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master else None)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    folder = _shared_folder(spark)
+    files = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def written(df: DataFrame) -> DataFrame:
-        path = f"{folder.rstrip('/')}/connected-{uuid.uuid4().hex}"
+    def written(df: DataFrame) -> tuple[DataFrame, str]:
+        path = f"{folder}/connected-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
 
-    edges = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(nodes.select(F.col(key).alias("node"), F.col(key).alias("root")).distinct())
+    edges, _ = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, at = written(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     while True:
         around = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
-        lower = labels.join(around, labels["node"] == around["a"], "left").select("node", F.least("root", F.coalesce("m", "root")).alias("mid"))
+        lower = labels.join(around, labels["node"] == around["a"]).select("node", F.col("root").alias("old"), F.least("root", "m").alias("mid"))
         of = labels.select(F.col("node").alias("mid"), F.col("root").alias("beyond"))
-        nxt = written(lower.join(of, "mid").select("node", F.least("mid", "beyond").alias("root")))
-        if nxt.join(labels.withColumnRenamed("root", "old"), "node").filter("root <> old").isEmpty():
-            return nxt.select(F.col("node").alias(key), "root")
-        labels = nxt
+        after, new = written(lower.join(of, "mid").select("node", "old", F.least("mid", "beyond").alias("root")))
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(at), True)
+        labels, at = after.select("node", "root"), new
+        if after.filter("root <> old").isEmpty():
+            every = nodes.select(F.col(key).alias("node")).distinct()
+            return every.join(labels, "node", "left").select(F.col("node").alias(key), F.coalesce("root", "node").alias("root"))
 
 
 def named_groups(labels: DataFrame, key: str) -> DataFrame:
@@ -141,3 +185,43 @@ def shifted_correlation(pairs: DataFrame, first: str, second: str, side: int, re
         return pd.Series(out)
 
     return pairs.withColumn("correlation", best(F.col(first), F.col(second)))
+
+
+def duplicate_candidates(rows: DataFrame, decisions: DataFrame, key: str, codes: Sequence[str], digest: str, label: str, preview: str, side: int, bounds: Sequence[int] = (8, 10), least_correlation: float = 0.97) -> DataFrame:
+    """Pairs to group or to review, one row each: a < b, d0, d1 (distances of the two codes), number_distance, correlation,
+    exact, same_label, status.
+
+    Pairs of equal digest are exact; pairs with a manual decision count as such; other pairs count if both codes are within
+    their bounds and the names are consecutive numbers or the shifted correlation of the previews is high enough.
+    Alike codes alone group nothing. A decision on a name that isn't there, or two different ones on a pair, is an error.
+    Exact pairs are linked through the group's smallest key, so a large group of copies gives one pair a member.
+    """
+    names = decisions.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    if not names.join(rows.select(key), key, "left_anti").isEmpty():
+        raise ValueError("a decision names an unknown row")
+    manual = decisions.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "decision").groupBy("a", "b").agg(F.min("decision").alias("decision"), F.max("decision").alias("_other"))
+    if not manual.filter("decision <> _other").isEmpty():
+        raise ValueError("a pair is both confirmed and rejected")
+    least = rows.groupBy(digest).agg(F.min(key).alias("a"), F.count("*").alias("_n")).filter("_n > 1")
+    same = rows.join(least, digest).filter(F.col("a") < F.col(key)).select("a", F.col(key).alias("b"), F.lit(True).alias("exact"), F.lit(None).cast("string").alias("decision"))
+    alike = hamming_pairs(rows, key, codes[0], bounds[0]).select("a", "b", F.lit(False).alias("exact"), F.lit(None).cast("string").alias("decision"))
+    judged = manual.select("a", "b", F.lit(False).alias("exact"), "decision")
+    pairs = same.unionByName(alike).unionByName(judged).groupBy("a", "b").agg(F.bool_or("exact").alias("linked"), F.max("decision").alias("decision"))
+    of = lambda k: rows.select(F.col(key).alias(k), *(F.col(c).alias(f"{k}_{c}") for c in (*codes, digest, label, preview)))
+    full = pairs.join(of("a"), "a").join(of("b"), "b").withColumns({f"d{i}": hamming(F.col(f"a_{c}"), F.col(f"b_{c}")) for i, c in enumerate(codes)})
+    full = full.withColumn("exact", F.col(f"a_{digest}") == F.col(f"b_{digest}")).filter(F.col("linked") | F.col("decision").isNotNull() | (~F.col("exact") & (F.col("d1") <= bounds[1])))
+    stem = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.[^.]*$", "")
+    full = shifted_correlation(full, f"a_{preview}", f"b_{preview}", side).withColumn("number_distance", number_distance(stem("a"), stem("b")))
+    close = (F.col("d0") <= bounds[0]) & (F.col("d1") <= bounds[1]) & (F.coalesce(F.col("number_distance") == 1, F.lit(False)) | (F.col("correlation") >= least_correlation))
+    status = F.when(F.col("exact"), "exact_grouped").when(F.col("decision") == "confirmed", "confirmed_grouped").when(F.col("decision") == "rejected", "reviewed_not_grouped").otherwise("review_required")
+    kept = full.filter(F.col("exact") | F.col("decision").isNotNull() | close)
+    return kept.select("a", "b", "d0", "d1", "number_distance", F.round("correlation", 6).alias("correlation"), "exact", (F.col(f"a_{label}") == F.col(f"b_{label}")).alias("same_label"), status.alias("status"))
+
+
+def similarity_groups(rows: DataFrame, candidates: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, similarity_group, size) from the grouped candidates; a group of two labels is an error."""
+    linked = candidates.filter(F.col("status").isin("exact_grouped", "confirmed_grouped"))
+    labels = connected(linked, rows, key).join(rows.select(key, label), key)
+    names = labels.groupBy("root").agg(group_name(F.collect_list(F.col(key).cast("string"))).alias("similarity_group"), F.count("*").alias("size"), F.countDistinct(label).alias("_labels"))
+    names = raise_unless(names, F.col("_labels") <= 1, "a similarity group has more than one label")
+    return labels.join(names, "root").select(key, "similarity_group", "size")

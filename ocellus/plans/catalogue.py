@@ -382,9 +382,9 @@ def q37_persistence(spark, sf_dir):
         AND NOT (value >= 10 AND EXISTS (SELECT 1 FROM e b WHERE a.hour = b.hour AND a.event_type = b.event_type AND a.event_id <> b.event_id AND abs(a.value - b.value) BETWEEN 2 AND 20))""")
 def q38_anti_bands(spark, sf_dir):
     e = timed(spark, sf_dir)
-    first = events.without_neighbours(e, "event_id", ["hour"], "value", 6.0, F.col("event_type") != F.col("r_event_type"))
-    near = events.band_pairs(e.filter("value >= 10"), e, ["hour", "event_type"], "value", 20.0, (F.abs(F.col("value") - F.col("r_value")) >= 2) & (F.col("event_id") != F.col("r_event_id")))
-    return rounded(first.join(near.select("event_id").distinct(), "event_id", "left_anti").select("event_id", "event_type", "hour", "value"))
+    first = events.without_neighbours(e, "event_id", ["hour"], "value", 6.0, unlike="event_type")
+    near = events.near_rows(e.filter("value >= 10"), e, "event_id", ["hour", "event_type"], "value", 20.0, 2.0)
+    return rounded(first.join(near, "event_id", "left_anti").select("event_id", "event_type", "hour", "value"))
 
 
 @query(f"""
