@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .audit import issue_list
+from .audit import issue_list, raise_unless
 
 
 def from_array(df: DataFrame, key: str, values: str, width: int) -> DataFrame:
@@ -149,3 +149,26 @@ def bottom_crop(pixels: DataFrame, key: str, columns: tuple[int, int] = (13, 115
     bottom = F.least(F.lit(1.0), (F.col("last") + 1) / 128 + 0.12)
     keep = (F.col("peak") >= F.col("low") + 1.5) & (F.col("t") > 0) & (bottom >= 0.75) & (1 - bottom >= 0.12) & (F.col("rg") >= 48) & (F.col("gb") >= 15)
     return last.join(margin, key).select(key, F.when(keep, bottom).otherwise(1.0).alias("bottom"))
+
+
+def mean_sharpness(pixels: DataFrame, key: str) -> DataFrame:
+    """Mean of the pictures' sharpness; an error if there is no picture."""
+    out = laplacian(pixels, key).agg(F.avg("sharpness").alias("sharpness"))
+    return raise_unless(out, F.col("sharpness").isNotNull(), "there is no frame")
+
+
+def cropped(pixels: DataFrame, key: str, bottom: Column) -> DataFrame:
+    """The rows of each picture above the fraction `bottom` of its height, rounded half up."""
+    height = F.max("y").over(Window.partitionBy(key)) + 1
+    return pixels.withColumn("_h", height).filter(F.col("y") < F.floor(F.col("_h") * bottom + 0.5)).drop("_h")
+
+
+def overlay(pixels: DataFrame, value: str, heat: str, part: float = 0.58) -> DataFrame:
+    """A picture's values mixed with its heat-map's."""
+    return pixels.withColumn(value, part * F.col(value) + (1 - part) * F.col(heat)).drop(heat)
+
+
+def attention_by_class(df: DataFrame, key: str, label: str, value: str) -> DataFrame:
+    """Means of a value over rows of label 1 and of label 0, and the largest of label 0."""
+    of = lambda y: F.when(F.col(label) == y, F.col(value))
+    return df.groupBy(key).agg(F.avg(of(1)).alias("positive"), F.avg(of(0)).alias("negative"), F.max(of(0)).alias("worst"))

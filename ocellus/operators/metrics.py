@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio, wilson
+from .audit import raise_unless
 
 BANDS = 1024
 
@@ -135,5 +136,5 @@ def best_stage(stages: DataFrame, stage: str = "stage", auc: str = "auc", loss:
 
 def smallest_accepted(candidates: DataFrame, name: str, size: str, accepted: str = "accepted") -> DataFrame:
     """The smallest candidate that passed; an error if none did."""
-    best = candidates.filter(F.col(accepted)).groupBy().agg(F.min_by(F.struct(name, size), F.struct(size, name)).alias("r"))
-    return best.select(F.coalesce("r", F.raise_error(F.lit("no candidate passed")).cast(best.schema["r"].dataType)).alias("r")).select("r.*")
+    best = candidates.filter(F.col(accepted)).groupBy().agg(F.min(F.struct(F.col(size).alias("_size"), F.col(name).alias("_name"))).alias("r"))
+    return raise_unless(best, F.col("r").isNotNull(), "no candidate passed").select(F.col("r._name").alias(name), F.col("r._size").alias(size))

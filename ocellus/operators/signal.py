@@ -198,3 +198,9 @@ def blurred_edge_peaks(df: DataFrame, series: str, order: str, x: str, y: str, j
     back = F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)) > jump
     ahead = F.hypot(F.lead(x).over(w) - F.col(x), F.lead(y).over(w) - F.col(y)) > jump
     return df.withColumn("edge", F.coalesce(back, F.lit(False)) | F.coalesce(ahead, F.lit(False))).filter("edge").drop("edge")
+
+
+def sampled_frames(df: DataFrame, frame: str, rate: int, after: int = 0, until: int | None = None) -> DataFrame:
+    """Every rate-th frame (frames count from 0, so frame n is the (n + 1)-th) beyond `after` and up to `until`."""
+    nth = F.col(frame) + 1
+    return df.filter((nth % rate == 0) & (nth > after) & (nth <= until if until is not None else F.lit(True)))

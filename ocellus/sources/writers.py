@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ def csv(df: DataFrame, path: str, fields: Sequence[str], mode: str = "overwrite"
     if extra := [c for c in df.columns if c not in fields]:
         raise ValueError(f"unexpected columns: {', '.join(extra)}")
     out = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in fields))
-    out.write.mode(mode).csv(path, header=True, emptyValue="")
+    out.write.mode(mode).csv(path, header=True, emptyValue="", escape='"')
 
 
 def json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -26,15 +27,23 @@ def frames(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").csv(path, header=True)
+    df.write.mode("append").csv(path, header=True, escape='"')
 
 
 def locked(spark, path: str, fingerprint: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """The stored result of this fingerprint, computed and stored only if there is none."""
+    """The stored result of this fingerprint, computed and stored only if there is none.
+
+    It is written beside its place and renamed when it is whole, so a reader never sees a part; of two writers at once the
+    first to rename stays, and both read its result.
+    """
     place = f"{path.rstrip('/')}/fingerprint={fingerprint}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        compute().write.mode("overwrite").parquet(place)
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    files = paths(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(paths(f"{place}/_SUCCESS")):
+        made = f"{path.rstrip('/')}/_made-{uuid.uuid4().hex}"
+        compute().write.parquet(made)
+        if files.exists(paths(place)) or not files.rename(paths(made), paths(place)):
+            files.delete(paths(made), True)
     return spark.read.parquet(place)
 
 
