@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .signal import dual_median, gap_outliers, local_fill, repaired
+
 
 def rays(centres: DataFrame, key: str, length: int, angles: Sequence[int] | None = None) -> DataFrame:
     """Pixels (key, angle, step, x, y, nth) on rays from the centre (cx, cy); a pixel counts at its first step, nth numbers a ray's pixels."""
@@ -163,3 +165,33 @@ def ring_walk(mask: DataFrame, centres: DataFrame, key: str, length: int, rings:
         return pd.DataFrame({key: pdf[key].iloc[0], "angle": pdf["angle"].iloc[0], "mire_num": [r for r, _ in out], "radius": [r for _, r in out]})
 
     return labelled.groupBy(key, "angle").applyInPandas(run, f"`{key}` {mask.schema[key].dataType.simpleString()}, angle int, mire_num int, radius double")
+
+
+def clean_rings(points: DataFrame, centres: DataFrame, key: str, rings: int, angles: Sequence[int]) -> DataFrame:
+    """The whole clean-up of a picture's ring points (key, mire_num, angle, x, y): one row for each ring from 1 on, numbered
+    from 0, and each angle, with radius, x, y and flagged (missing, or an outlier along its ray).
+
+    Radii are smoothed around each ring by the dual circular median, outliers of the gaps along each ray are replaced
+    by what the gaps so far foretell, and what is missing is filled from the angles beside it, else from the ring.
+    """
+    every = centres.select(key, "cx", "cy", F.explode(F.sequence(F.lit(0), F.lit(rings - 1))).alias("mire_num")).withColumn("angle", F.explode(F.array(*map(F.lit, angles))))
+    found = points.groupBy(key, F.col("mire_num").cast("int").alias("mire_num"), F.col("angle").cast("int").alias("angle")).agg(F.min(F.struct("x", "y")).alias("p"))
+    grid = every.join(found, [key, "mire_num", "angle"], "left").withColumn("radius", F.hypot(F.col("p.x") - F.col("cx"), F.col("p.y") - F.col("cy"))).withColumn("_ring", F.to_json(F.struct(key, "mire_num"))).withColumn("_ray", F.to_json(F.struct(key, "angle")))
+    smooth = dual_median(grid, "_ring", "angle", "radius").filter("mire_num > 0").drop("i", "n")
+    gaps = gap_outliers(smooth.filter("median IS NOT NULL"), "_ray", "mire_num", "median").select("_ray", "mire_num", "inner_mean", "outlier")
+    judged = smooth.join(gaps, ["_ray", "mire_num"], "left").withColumn("outlier", F.coalesce("outlier", F.lit(False)))
+    filled = local_fill(repaired(judged, "_ray", "mire_num", "median"), "_ring", "angle", "repaired")
+    t = F.radians(F.col("angle").cast("double"))
+    return filled.select(key, (F.col("mire_num") - 1).alias("mire_num"), "angle", F.col("filled").alias("radius"), (F.col("cx") + F.col("filled") * F.cos(t)).alias("x"), (F.col("cy") + F.col("filled") * F.sin(t)).alias("y"), (F.col("radius").isNull() | F.col("outlier")).alias("flagged"))
+
+
+def ring_locations(pixels: DataFrame, centres: DataFrame, key: str, length: int, rings: int, least: int = 10) -> DataFrame:
+    """Ring points of pictures, from pixels to cleaned ring numbers: radial scan, neighbour graph, components that hold an angle
+    once, shifts to each component's number, and only numbers that a ray has once. Columns key, mire_num, angle, radius,
+    x, y, intensity, component; the key must not be called id."""
+    t = F.radians(F.col("angle").cast("double"))
+    hits = radial_scan(pixels, centres, key, length, rings).join(centres.select(key, "cx", "cy"), key)
+    points = hits.withColumn("x", F.col("cx") + F.col("radius") * F.cos(t)).withColumn("y", F.col("cy") + F.col("radius") * F.sin(t)).drop("cx", "cy", "n")
+    points = points.withColumn("id", F.col("angle").cast("long") * rings + F.col("mire_num")).withColumn("mire_num", F.col("mire_num").cast("int"))
+    numbered = shift_corrected(ring_components(points, neighbour_graph(points, key), key, least), key)
+    return unique_only(numbered, [key, "mire_num", "angle"]).select(key, "mire_num", "angle", "radius", "x", "y", "intensity", "component")

@@ -466,3 +466,12 @@ def q118_attention_by_class(spark, sf_dir):
     return rounded(grid.attention_by_class(e, "event_type", "label", "value"))
 
 
+
+
+@query("SELECT l_linenumber::BIGINT AS frame, l_orderkey AS key, round(l_quantity, 2) AS time FROM lineitem")
+def q119_frame_tables(spark, sf_dir):
+    path = shared(spark, "collated")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.round(F.col("l_quantity").cast("double"), 2).alias("time"), "l_linenumber")
+    for frame in range(1, 8):  # line numbers are 1 to 7
+        writers.csv(li.filter(F.col("l_linenumber") == frame).select("key", "time"), f"{path}/frame_{frame}", ["key", "time"])
+    return rounded(readers.frame_tables(spark, path, "part-*").select("frame", F.col("key").cast("long").alias("key"), F.col("time").cast("double").alias("time")))

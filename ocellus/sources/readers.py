@@ -25,6 +25,14 @@ def csv(spark: SparkSession, path: str | list[str], required: Sequence[str] = ()
     return require_columns(df, required)
 
 
+def frame_tables(spark: SparkSession, folder: str, name: str = "*", order: Sequence[str] = ("time",)) -> DataFrame:
+    """The header CSVs frame_<number>/<name> of a folder as one table with the frame's number, in order of `order` and then of the
+    frame; frames without a file are left out."""
+    df = spark.read.csv(f"{folder.rstrip('/')}/frame_*/{name}", header=True, escape='"', inferSchema=True)
+    frame = F.regexp_extract(F.col("_metadata.file_path"), r"/frame_(\d+)/", 1).cast("long")
+    return df.select("*", frame.alias("frame")).orderBy(*order, "frame")
+
+
 def annotations(spark: SparkSession, path: str) -> DataFrame:
     """Typed annotation rows; malformed JSON, a missing lesion or region, a non-integer count or an unsafe name fails the read."""
     raw = csv(spark, path, ANNOTATION_COLUMNS)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from ocellus.operators import audit, events, grid, metrics, neardup, signal
+from ocellus.operators import audit, events, grid, metrics, neardup, polar, signal
 from ocellus.plans import catalogue
 from ocellus.sources import writers
 
@@ -139,6 +139,36 @@ def test_locked_results_are_whole(spark, tmp_path):
     assert writers.markdown({"a": 1}, "T").startswith("# T") and catalogue.QUERIES
 
 
+def test_clean_rings(spark):
+    centre, rng = (50.0, 40.0), random.Random(4)
+    points = []
+    for ring in range(9):
+        for angle in range(0, 360, 2):
+            r = 5.0 + 4 * ring + 0.1 * rng.random()
+            if (ring, angle) in {(3, 100), (5, 40), (5, 42)}:
+                continue
+            if (ring, angle) == (4, 200):
+                r = 90.0
+            points.append(("p", ring, angle, float(centre[0] + r * np.cos(np.radians(angle))), float(centre[1] + r * np.sin(np.radians(angle)))))
+    df = spark.createDataFrame(points, "id string, mire_num int, angle int, x double, y double")
+    got = polar.clean_rings(df, spark.createDataFrame([("p", *centre)], "id string, cx double, cy double"), "id", 9, range(0, 360, 2)).collect()
+    assert len(got) == 8 * 180
+    for r in got:
+        assert r["radius"] == pytest.approx(5.05 + 4 * (r["mire_num"] + 1), abs=0.3) and np.hypot(r["x"] - centre[0], r["y"] - centre[1]) == pytest.approx(r["radius"])
+    assert {(r["mire_num"] + 1, r["angle"]) for r in got if r["flagged"]} >= {(3, 100), (5, 40), (5, 42)}
+
+
+def test_ring_locations(spark):
+    y, x = np.mgrid[:81, :81]
+    d = np.hypot(x - 40, y - 40)
+    light = np.where((np.abs(d - 12) <= 2) | (np.abs(d - 24) <= 2), 255.0, 0.0)
+    pixels = spark.createDataFrame([("p", int(j), int(i), float(v)) for j, i, v in zip(y.ravel(), x.ravel(), light.ravel(), strict=True)], "k string, y int, x int, v double")
+    got = polar.ring_locations(pixels, spark.createDataFrame([("p", 40.0, 40.0)], "k string, cx double, cy double"), "k", 36, 4).toPandas()
+    assert set(got["mire_num"]) <= {0, 1, 2, 3} and len(got) > 1000 and not got.duplicated(["mire_num", "angle"]).any()
+    for ring, radius in ((1, 12), (3, 24)):  # dark, light, dark, light from the centre out
+        assert abs(got[got["mire_num"] == ring]["radius"].median() - radius) < 1
+
+
 OWN = sorted(k for k in __spark_entry__.oracle_sql() if k.startswith("q"))
 
 
