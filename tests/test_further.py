@@ -1,5 +1,6 @@
 """Pairs, intervals, checks that raise, and the SQL of all queries on the smallest tables."""
 
+import hashlib
 import itertools
 import random
 
@@ -9,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from ocellus.operators import audit, events, grid, metrics, neardup, polar, signal
+from ocellus.operators import audit, events, grid, metrics, neardup, polar, signal, surface
 from ocellus.plans import catalogue
-from ocellus.sources import writers
+from ocellus.sources import readers, writers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -169,6 +170,21 @@ def test_ring_locations(spark):
         assert abs(got[got["mire_num"] == ring]["radius"].median() - radius) < 1
 
 
+def test_small_formulas_and_pairs(spark):
+    points = spark.createDataFrame([("p", 0, 1.0, 0.5), ("p", 90, 2.0, 1.5), ("p", 180, 3.0, 2.5)], "id string, angle int, y double, z double")
+    got = surface.cloud(points, "id", 2.0).collect()
+    assert [(round(r["x"], 9), round(r["y"], 9), r["z"]) for r in got] == [(1.0, 0.0, 0.5), (0.0, 2.0, 1.5)]
+    slope = surface.pixel_slope(F.lit(30.0), F.lit(40.0), (6.4, 4.8), (640, 480), 5.0)
+    assert spark.range(1).select(slope).first()[0] == pytest.approx(0.1)
+    files = lambda rows: spark.createDataFrame(rows, "name string, content binary")
+    pairs = readers.paired_by_stem(files([("a.png", b"1"), ("b.c.png", b"2"), ("d.png", b"3")]), files([("a.jpg", b"4"), ("b.c.tif", b"5"), ("e.png", b"6")]))
+    assert rows(pairs) == [("a", b"1", b"4"), ("b.c", b"2", b"5")]
+    digest = spark.range(1).select(readers.pixel_digest(F.lit(2), F.lit(1), F.lit(bytes(range(6))))).first()[0]
+    assert digest == hashlib.sha256(b"2x1:RGB:" + bytes(range(6))).hexdigest()
+    union = spark.createDataFrame([(1, 2)], "a int, b int").unionByName(spark.createDataFrame([(4, 3)], "b int, a int"))
+    assert rows(union) == [(1, 2), (3, 4)]
+
+
 OWN = sorted(k for k in __spark_entry__.oracle_sql() if k.startswith("q"))
 
 
