@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one Python step holds at a time; a single longer text is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table that lower-cases A-Z and nothing else.
 ASCII_LOWER = bytes(range(65)) + LOWER.encode() + bytes(range(91, 256))
@@ -25,8 +26,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Session setting that bounds the bytes of a batch on its way to a Python worker.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when the driver found it by sys.path; on a cluster use --py-files."""
+    """Let Python workers import this package when the driver found it by sys.path; on a cluster use --py-files. Batches
+    on their way to the workers are bounded to CHUNK_BYTES (one row at least), unless the session has a smaller bound."""
+    held = re.fullmatch(r"(\d+)b?", spark.conf.get(BATCH_BYTES))
+    if held is None or int(held[1]) > CHUNK_BYTES:
+        spark.conf.set(BATCH_BYTES, str(CHUNK_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
@@ -73,17 +82,18 @@ def map_texts(docs: DataFrame, func: Callable[[list[bytes]], dict[str, object]],
 
 
 def keep_texts(docs: DataFrame, test: Callable[[list[bytes]], list[bool]], text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text passes; no shuffle."""
+    """The rows, with all their columns, whose text passes; no shuffle. Columns go through by place, whatever their names."""
     ship(docs.sparkSession)
+    at_text, placed = docs.columns.index(text), docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for _, texts in chunks(iter([pa.RecordBatch.from_arrays([batch.column(text)] * 2, names=["key", "text"])])):
+            for _, texts in chunks(iter([pa.RecordBatch.from_arrays([batch.column(at_text)] * 2, names=["key", "text"])])):
                 yield batch.slice(at, len(texts)).filter(pa.array(test(texts), pa.bool_()))
                 at += len(texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -111,15 +121,46 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and cut the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write as a Parquet table in the shared folder and read it again: compact, pruned by column, free of lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for table in tables:
+        if path := getattr(table, "staged_at", None):
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def labels(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n partitions that Spark's hash puts there, so that parts and partitions are one to one."""
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    found = spark.range(0, 40 * n + 200, 1, 1).groupBy(place.alias("place")).agg(F.min("id").alias("id")).collect()
+    first = {r["place"]: r["id"] for r in found}
+    free = iter(range(40 * n + 200, 42 * n + 200))
+    return [first[p] if p in first else next(free) for p in range(n)]
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of docs, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")

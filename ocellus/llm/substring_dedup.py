@@ -1,14 +1,14 @@
 """Substring dedup by Rabin-Karp hashes of every window of 50 tokens, counted in Spark.
 
-A window's hash is the polynomial of its words' codes in a random base, modulo the prime 2**61 - 1; hashes of 2, 4,
-8, ... words are built from halves, and those that add up to the window's length are joined. Two such hashes, of
-independent word codes and bases, name a window by 96 bits. Modulo a prime no text is bad for every base: two
+A window's hash is the polynomial of its words' codes in a random base, modulo the prime 2**61 - 1: prefix sums of code
+times power, a difference, and one multiplication by an inverse power. Two such hashes, of independent word codes and
+bases, name a window by 96 bits. Modulo a prime no text is bad for every base: two
 different windows share a name with a chance of about 2**-96, so 1e13 windows (100 TB) have less than one false pair
 in a thousand runs by calculation.
 
-A map task collects about a million windows at a time, keeps one entry per window content (that of the smallest
+A map task collects about half a million windows at a time, keeps one entry per window content (that of the smallest
 document; the other documents' entries are decided on the spot, as a smaller document is at hand), sorts the
-entries by hash and packs each hash part into one binary row. Spark shuffles these rows by part, a few parts per
+entries by hash and packs each hash part into one binary row. Spark shuffles these rows by part, one part per
 shuffle partition whatever the input's size; there they are split into the part's ranges, sorted by range on disk,
 and taken a range at a time: the smallest document of every window is found, and any other document that has the
 window gets it flagged. So a window that a third of all documents share costs an entry per map step, not per
@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import byte_texts, chunks, ship, staged
+from .common import byte_texts, chunks, labels, ship, staged
 
 WINDOW = 50
 #: Bytes hashed at once, windows packed at once, entries split at once, and bytes of text per hash range.
-PIECE, FLUSH, SPLIT, RANGE_BYTES = 1 << 20, 1_000_000, 4_000_000, 12 << 20
+PIECE, FLUSH, SPLIT, RANGE_BYTES = 1 << 19, 500_000, 1_000_000, 24 << 20
 PRIME = (1 << 61) - 1
 _P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 _U = [np.uint64(i) for i in range(64)]
@@ -50,15 +50,48 @@ _SEED = int(_RNG.integers(1 << 62))
 
 def _reduced(x: np.ndarray) -> np.ndarray:
     x = (x & _P) + (x >> _U[61])
-    return np.where(x >= _P, x - _P, x)
+    x -= _P * (x >= _P)
+    return x
 
 
-def times(a: np.ndarray, b: int) -> np.ndarray:
-    """a * b modulo 2**61 - 1, from halves of 30 and 31 bits."""
-    bh, bl = np.uint64(b >> 31), np.uint64(b & ((1 << 31) - 1))
-    ah, al = a >> _U[31], a & _LOW31
-    middle = ah * bl + al * bh
-    return _reduced(((ah * bh) << _U[1]) + (middle >> _U[30]) + ((middle & _LOW30) << _U[31]) + al * bl)
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x >> _U[31], x & _LOW31
+
+
+def times(a: np.ndarray, b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """a * b modulo 2**61 - 1, b given as its high 30 and low 31 bits."""
+    (ah, al), (bh, bl) = _halves(a), b
+    middle = ah * bl
+    middle += al * bh
+    ah *= bh
+    ah <<= _U[1]
+    ah += middle >> _U[30]
+    middle &= _LOW30
+    middle <<= _U[31]
+    ah += middle
+    al *= bl
+    ah += al
+    return _reduced(ah)
+
+
+class Powers:
+    """Powers of a base modulo the prime, and of its inverse, grown as they are needed."""
+
+    def __init__(self, base: int):
+        self.bases = base, pow(base, -1, PRIME)
+        self.tables = [_halves(np.ones(1, np.uint64))] * 2
+
+    def __call__(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        for i, base in enumerate(self.bases):
+            while self.tables[i][0].size < n:
+                high, low = self.tables[i]
+                whole = high << _U[31] | low
+                step = np.uint64(pow(base, whole.size, PRIME))
+                self.tables[i] = _halves(np.r_[whole, times(whole, _halves(step))])
+        return [(high[:n], low[:n]) for high, low in self.tables]
+
+
+_POWERS = [Powers(b) for b in _BASES]
 
 
 def word_codes(words: list[bytes]) -> np.ndarray:
@@ -71,20 +104,19 @@ def word_codes(words: list[bytes]) -> np.ndarray:
     return both[:, coded.indices.to_numpy(zero_copy_only=False)]
 
 
-def window_hashes(codes: np.ndarray, base: int, window: int) -> np.ndarray:
-    """Polynomial hash of the window that starts at each word (those that would pass the end are left out)."""
+def window_hashes(codes: np.ndarray, powers: Powers, window: int) -> np.ndarray:
+    """The sum of code times base ** place over each window, from prefix sums modulo the prime. Windows that would pass the end
+    are left out."""
     if codes.size < window:
         return codes[:0]
-    have, piece, size, done, power = None, codes, 1, 0, base  # power: base ** size
-    while True:
-        if window & size:  # what is there, followed by a piece of this size
-            have = piece if have is None else _reduced(times(have[: piece.size - done], power) + piece[done:])
-            done += size
-        size *= 2
-        if size > window:
-            return have[: codes.size - window + 1]
-        piece = _reduced(times(piece[: piece.size - size // 2], power) + piece[size // 2 :])
-        power = power * power % PRIME
+    up, down = powers(codes.size)
+    high, low = _halves(times(codes, up))
+    high, low = (np.cumsum(x, dtype=np.uint64) for x in (high, low))  # no overflow below 2**33 words
+    sums = np.zeros(codes.size + 1, np.uint64)
+    high = _reduced(high)
+    sums[1:] = _reduced(_reduced((high >> _U[30]) + ((high & _LOW30) << _U[31])) + _reduced(low))
+    gap = sums[window:] + (_P - sums[:-window])
+    return times(_reduced(gap), tuple(x[: gap.size] for x in down))
 
 
 def hashed(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +126,7 @@ def hashed(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.nda
     counts = np.maximum(sizes - window + 1, 0)
     first = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     codes = word_codes([w for x in words for w in x])
-    h, g = (window_hashes(c, base, window)[first] for c, base in zip(codes, _BASES, strict=True))
+    h, g = (window_hashes(c, powers, window)[first] for c, powers in zip(codes, _POWERS, strict=True))
     return (h << _U[3]) | (g >> _U[58]), (g >> _U[26]).astype(np.uint32), counts
 
 
@@ -106,37 +138,55 @@ def pieces(text: bytes, window: int) -> list[bytes]:
     return [b" ".join(words[i : i + step + window - 1]) for i in range(0, max(1, len(words) - window + 1), step)]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' bytes, all first ones first: what is alike in many numbers lies together."""
+    return np.ascontiguousarray(x.astype(x.dtype.newbyteorder(">")).view(np.uint8).reshape(x.size, -1).T).tobytes()
+
+
+def _from_planes(raw: bytes, n: int, kind: str, at: int) -> tuple[np.ndarray, int]:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T).view(f">{kind}").ravel().astype(kind), at + size * n
+
+
+def _rises(x: np.ndarray) -> np.ndarray:
+    """Differences of rising numbers."""
+    return np.diff(x.astype(np.uint64), prepend=np.uint64(0))
+
+
 def _pack(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> bytes:
-    """Sorted hashes in byte planes (the high ones compress well), their other bits, and each one's document."""
+    """Entries in order of hash: rises of the first 64 bits, the other bits, and each one's document, compressed."""
+    if (h1[1:] < h1[:-1]).any():
+        order = np.argsort(h1, kind="stable")
+        h1, h2, doc = h1[order], h2[order], doc[order]
     used, ref = np.unique(doc, return_inverse=True)
-    wide = 1 if used.size <= 1 << 8 else 2 if used.size <= 1 << 16 else 4
-    planes = h1.astype(">u8").view(np.uint8).reshape(-1, 8).T
-    refs = ref.astype(f">u{wide}").view(np.uint8).reshape(-1, wide).T
-    return np.array([h1.size, used.size], "<i8").tobytes() + used.astype("<i8").tobytes() + planes.tobytes() + h2.astype("<u4").tobytes() + refs.tobytes()
+    ref = ref.astype("u2" if used.size <= 1 << 16 else "u4")
+    raw = np.array([h1.size, used.size], "<i8").tobytes() + _planes(_rises(used.view(np.uint64))) + _planes(_rises(h1)) + _planes(ref) + h2.astype("<u4").tobytes()
+    return zstandard.compress(raw, 1)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, docs = np.frombuffer(blob, "<i8", 2).tolist()
-    names = np.frombuffer(blob, "<i8", docs, 16)
-    at = 16 + 8 * docs
-    wide = 1 if docs <= 1 << 8 else 2 if docs <= 1 << 16 else 4
-    h1 = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, at).reshape(8, n).T).view(">u8").ravel().astype(np.uint64)
-    h2 = np.frombuffer(blob, "<u4", n, at + 8 * n)
-    ref = np.ascontiguousarray(np.frombuffer(blob, np.uint8, wide * n, at + 12 * n).reshape(wide, n).T).view(f">u{wide}").ravel()
-    return h1, h2, names[ref]
+    raw = zstandard.decompress(blob)
+    n, docs = np.frombuffer(raw, "<i8", 2).tolist()
+    used, at = _from_planes(raw, docs, "u8", 16)
+    rises, at = _from_planes(raw, n, "u8", at)
+    ref, at = _from_planes(raw, n, "u2" if docs <= 1 << 16 else "u4", at)
+    return np.cumsum(rises, dtype=np.uint64), np.frombuffer(raw, "<u4", n, at), np.cumsum(used, dtype=np.uint64).view(np.int64)[ref]
 
 
 def _pack_flags(h1: np.ndarray, doc: np.ndarray) -> bytes:
-    """Documents, the number of flagged hashes of each, and the hashes."""
-    order = np.argsort(doc, kind="stable")
+    """Documents, the number of flagged hashes of each, and the hashes, each document's in order; compressed."""
+    order = np.lexsort((h1, doc))
     used, many = np.unique(doc, return_counts=True)
-    return np.array([h1.size, used.size], "<i8").tobytes() + used.astype("<i8").tobytes() + many.astype("<u4").tobytes() + h1[order].astype("<u8").tobytes()
+    raw = np.array([h1.size, used.size], "<i8").tobytes() + _planes(_rises(used.view(np.uint64))) + many.astype("<u4").tobytes() + _planes(h1[order])
+    return zstandard.compress(raw, 1)
 
 
 def _unpack_flags(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, docs = np.frombuffer(blob, "<i8", 2).tolist()
-    at = 16 + 8 * docs
-    return np.frombuffer(blob, "<u8", n, at + 4 * docs), np.repeat(np.frombuffer(blob, "<i8", docs, 16), np.frombuffer(blob, "<u4", docs, at))
+    raw = zstandard.decompress(blob)
+    n, docs = np.frombuffer(raw, "<i8", 2).tolist()
+    used, at = _from_planes(raw, docs, "u8", 16)
+    many = np.frombuffer(raw, "<u4", docs, at)
+    return _from_planes(raw, n, "u8", at + 4 * docs)[0], np.repeat(np.cumsum(used, dtype=np.uint64).view(np.int64), many)
 
 
 def _parted(place: np.ndarray, columns: tuple[np.ndarray, ...], pack: Callable) -> tuple[list[int], list[bytes]]:
@@ -171,8 +221,9 @@ ROW = "flag boolean, part int, packed binary"
 SPLIT_ROW = "flag boolean, part int, range int, packed binary"
 
 
-def _map_side(window: int, parts: int):
-    """Entries by part of the hashes, and flags by part of the documents."""
+def _map_side(window: int, named: list[int]):
+    """Entries by part of the hashes, and flags by part of the documents; parts by their labels."""
+    parts, label = len(named), np.array(named, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -185,7 +236,7 @@ def _map_side(window: int, parts: int):
             late = ~first & (owner != doc)
             where, flags = _parted(_share(_mixed(doc[late]), parts), (h1[late], doc[late]), _pack_flags)
             at, blobs = _parted(_share(h1[first] >> _U[32], parts), (h1[first], h2[first], doc[first]), _pack)
-            return pa.RecordBatch.from_arrays([pa.array([False] * len(at) + [True] * len(where)), pa.array(at + where, pa.int32()), pa.array(blobs + flags, pa.binary())], names=["flag", "part", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array([False] * len(at) + [True] * len(where)), pa.array(label[at + where], pa.int32()), pa.array(blobs + flags, pa.binary())], names=["flag", "part", "packed"])
 
         for ids, texts in chunks(batches, PIECE):
             split = [(i, p) for i, t in zip(ids.to_pylist(), texts, strict=True) if i is not None for p in pieces(t, window)]
@@ -254,8 +305,9 @@ def _by_range(one: Callable[[int, list[bytes], list[bytes]], pa.RecordBatch]):
     return run
 
 
-def _late(parts: int) -> Callable[[int, list[bytes], list[bytes]], pa.RecordBatch]:
+def _late(named: list[int]) -> Callable[[int, list[bytes], list[bytes]], pa.RecordBatch]:
     """Flags, by part of the documents, of every document that has a window of a smaller one. Flags pass."""
+    parts, label = len(named), np.array(named, np.int64)
 
     def one(part: int, entries: list[bytes], flags: list[bytes]) -> pa.RecordBatch:
         at, blobs = [part] * len(flags), list(flags)
@@ -265,7 +317,7 @@ def _late(parts: int) -> Callable[[int, list[bytes], list[bytes]], pa.RecordBatc
             h1, doc = h1[order], doc[order]
             late = owner != doc
             where, more = _parted(_share(_mixed(doc[late]), parts), (h1[late], doc[late]), _pack_flags)
-            at, blobs = at + where, blobs + more
+            at, blobs = at + label[where].tolist(), blobs + more
         return pa.RecordBatch.from_arrays([pa.array([True] * len(at), pa.bool_()), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["flag", "part", "packed"])
 
     return one
@@ -289,11 +341,11 @@ def flagged_windows(numbered: DataFrame, text: str = "text", window: int = WINDO
     columns doc (a long) and text."""
     spark = ship(numbered.sparkSession)
     total = numbered.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, -(-total // (RANGE_BYTES * parts)))
-    rows = numbered.select("doc", text).mapInArrow(_map_side(window, parts), ROW)
-    late = _dealt(rows, parts, ranges).mapInArrow(_by_range(_late(parts)), ROW)
-    return _dealt(late, parts, ranges).mapInArrow(_by_range(_per_document), "doc long, flags binary")
+    named = labels(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(1, -(-total // (RANGE_BYTES * len(named))))
+    rows = numbered.select("doc", text).mapInArrow(_map_side(window, named), ROW)
+    late = _dealt(rows, len(named), ranges).mapInArrow(_by_range(_late(named)), ROW)
+    return _dealt(late, len(named), ranges).mapInArrow(_by_range(_per_document), "doc long, flags binary")
 
 
 def _remove(window: int, texts_too: bool):
