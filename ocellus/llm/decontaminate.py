@@ -8,26 +8,30 @@ none, as is any block with a word outside the benchmark). Where the shift is 0,
 of test strings that end with such a block, and word by word comparison confirms occurrences. All documents of a
 chunk are searched in lock-step with numpy, long ones in segments, so one very long text is no slower.
 
-The benchmark is collected on the driver only in parts of at most PART_BYTES of text, each broadcast as one
-matcher; a larger benchmark is searched part after part in the same pass over the documents. Nulls have no words;
-an item without words matches nothing. Items that share a test string are all counted. Items with a null id hit
-words but are not counted or listed. Other columns are not read. Every document row gives one row.
+The benchmark is collected on the driver only in parts of about PART_BYTES of text (an item is in one part, whole), each
+broadcast as one matcher. PARTS_AT_ONCE of them are searched in one pass over the documents and then given up, so
+neither the driver nor a worker holds more, however large the benchmark; a benchmark of more parts takes more passes, and
+the passes' hits, which are few, meet by document. Nulls have no words; an item without words matches nothing. Items that
+share a test string are all counted. Items with a null id hit words but are not counted or listed. Texts of any length are
+searched whole. Other columns are not read. Every document row gives one row, also of repeated or null ids. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, keep_texts, ship
+from .common import chunks, keep_texts, ship, staged
 
 WINDOW = 10
-PART_BYTES = 16 << 20
+PART_BYTES, PARTS_AT_ONCE = 4 << 20, 2
 BLOCK, SEGMENT, TABLE_BITS = 3, 512, 20
 #: A-Z lower-cased; of the rest of ASCII all but 0-9 and a-z separates words.
 WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -134,57 +138,101 @@ class Matcher:
         return np.cumsum(edge)[:-1] > 0, sizes, items
 
 
-def matchers(benchmark: DataFrame, key: str, text: str, window: int, part_bytes: int) -> list[Matcher]:
-    """Matchers of benchmark parts of bounded size, built on the driver one part at a time."""
+def passes(benchmark: DataFrame, key: str, text: str, window: int, part_bytes: int, at_once: int = PARTS_AT_ONCE) -> Iterator[list[Matcher]]:
+    """Matchers of benchmark parts of bounded size, built on the driver for one pass at a time; at least one pass."""
     total = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(1, -(-2 * total // part_bytes)) if total > part_bytes else 1
-    out = []
-    for part in range(parts):
-        rows = benchmark.filter(F.pmod(F.xxhash64(text), F.lit(parts)) == part) if parts > 1 else benchmark
-        out.append(Matcher(((r[0], (r[1] or "").encode()) for r in rows.select(key, text).toLocalIterator()), window))
+    for first in range(0, parts, at_once):
+        out = []
+        for part in range(first, min(first + at_once, parts)):
+            rows = benchmark.filter(F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(parts)) == part) if parts > 1 else benchmark
+            out.append(Matcher(((r[0], (r[1] or "").encode()) for r in rows.select(key, text).toLocalIterator()), window))
+        yield out
+
+
+def _turns(hit: np.ndarray) -> list[int]:
+    """Where runs of hit words begin and end, in turn."""
+    return np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
+
+
+def _hits(matchers: list[Matcher], texts: list[bytes]) -> tuple[list[int], list[list[int]], list[list[str]]]:
+    """Of each text: its number of words, the ends of its hit intervals, and its items."""
+    hit, sizes, items = matchers[0].hits(texts)
+    for more in matchers[1:]:
+        also, _, others = more.hits(texts)
+        hit |= also
+        items = [a | b for a, b in zip(items, others, strict=True)]
+    return sizes.tolist(), [_turns(x) for x in np.split(hit, np.cumsum(sizes)[:-1])] if texts else [], [sorted(x) for x in items]
+
+
+def _merged(turns: list[int]) -> list[int]:
+    """The ends of the union of intervals, given as pairs of ends in any order."""
+    out: list[int] = []
+    for a, b in sorted(zip(turns[::2], turns[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES, spans: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with spans also items and the hit word intervals."""
     spark = ship(docs.sparkSession)
-    shared = [spark.sparkContext.broadcast(m) for m in matchers(benchmark, item_key, item_text, window, part_bytes)]
     kind = docs.schema[key].dataType.simpleString()
+    more = ", items array<string>, spans array<struct<start:long,end:long>>" if spans else ""
+    result = f"`{key}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{more}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches):
-            hit, sizes, items = shared[0].value.hits(texts)
-            for more in shared[1:]:
-                also, _, others = more.value.hits(texts)
-                hit |= also
-                items = [a | b for a, b in zip(items, others, strict=True)]
-            stops = np.cumsum(sizes)
-            total = np.r_[0, np.cumsum(hit)]
-            n_hit = total[stops] - total[stops - sizes]
-            named = [sorted(x) for x in items]
-            columns = [ids, pa.array(sizes), pa.array(n_hit, pa.int64()), pa.array(map(len, named), pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named], pa.string()), pa.array(n_hit > 0)]
-            names = [key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-            if spans:
-                turns = [np.flatnonzero(np.diff(np.r_[0, hit[b - n : b].astype(np.int8), 0])).tolist() for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
-                columns += [pa.array(named, pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in zip(t[::2], t[1::2], strict=True)] for t in turns], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                names += ["items", "spans"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+    def columns(ids: pa.Array, sizes: list[int], turns: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
+        n_hit = [sum(t[1::2]) - sum(t[::2]) for t in turns]
+        out = [ids, pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())]
+        if spans:
+            out += [pa.array(items, pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in zip(t[::2], t[1::2], strict=True)] for t in turns], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+        return pa.RecordBatch.from_arrays(out, names=[key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(("items", "spans") if spans else ())])
 
-    more = ", items array<string>, spans array<struct<start:long,end:long>>" if spans else ""
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{more}")
+    every = passes(benchmark, item_key, item_text, window, part_bytes)
+    first, second = next(every), next(every, None)
+    if second is None:  # one pass: no intermediate table
+        shared = spark.sparkContext.broadcast(first)
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, texts in chunks(batches):
+                yield columns(ids, *_hits(shared.value, texts))
+
+        return docs.select(key, text).mapInArrow(whole, result)
+    rows = staged(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = None
+    for held in chain([first, second], every):
+        now = spark.sparkContext.broadcast(held)
+
+        def part(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            for row, texts in chunks(batches):
+                sizes, turns, items = _hits(now.value, texts)
+                yield pa.RecordBatch.from_arrays([row, pa.array(sizes, pa.int64()), pa.array(turns, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["row", "n", "turns", "items"])
+
+        one = staged(rows.select("row", "text").mapInArrow(part, "row long, n long, turns array<long>, items array<string>"), "pass-hits")
+        now.unpersist()
+        found = one if found is None else found.unionByName(one.filter("size(turns) > 0"))
+    met = found.groupBy("row").agg(F.max("n").alias("n"), F.flatten(F.collect_list("turns")).alias("turns"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, turns, items = (c.to_pylist() for c in batch.columns[1:])
+            yield columns(batch.column(0), sizes, [_merged(t) for t in turns], [sorted(x) for x in items])
+
+    return rows.select("key", "row").join(met, "row").select("key", "n", "turns", "items").mapInArrow(union, result)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of docs, all columns, in which no test string occurs."""
-    shared = [ship(docs.sparkSession).sparkContext.broadcast(m) for m in matchers(benchmark, item_key, item_text, window, part_bytes)]
-
-    def clean(texts: list[bytes]) -> list[bool]:
-        found = np.zeros(len(texts), bool)
-        for one in shared:
-            hit, sizes, _ = one.value.hits(texts)
-            total = np.r_[0, np.cumsum(hit)]
-            stops = np.cumsum(sizes)
-            found |= total[stops] > total[stops - sizes]
-        return (~found).tolist()
-
-    return keep_texts(docs, clean, text)
+    spark = ship(docs.sparkSession)
+    every = passes(benchmark, item_key, item_text, window, part_bytes)
+    now, later = next(every), next(every, None)
+    while True:
+        shared = spark.sparkContext.broadcast(now)
+        docs = keep_texts(docs, lambda texts, shared=shared: [not t for t in _hits(shared.value, texts)[1]], text)
+        if later is None:
+            return docs
+        docs = staged(docs, "clean-rows")
+        shared.unpersist()
+        now, later = later, next(every, None)
