@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,14 +25,17 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
     Alternates large and small stars until the edges are stars around the smallest nodes. Each round costs a few
     shuffles of at most as many edges as before, needs about log2(nodes) rounds, and is written to the shared
-    folder. Nulls and loops are ignored. Nothing but a count and a checksum of the edges comes to the driver.
+    folder in place of the one before. Nulls and loops are ignored. Nothing but a count and a checksum of the edges comes to the driver.
     """
     named = edges.select(F.col(left).alias("x"), F.col(right).alias("y")).filter("x <> y")
     edges = staged(named.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
     digest = (F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
     before = edges.agg(*digest).first()
     while before[0]:
-        edges = staged(_star(staged(_star(edges, True), "large-star"), False), "small-star")
+        large = staged(_star(edges, True), "large-star")
+        small = staged(_star(large, False), "small-star")
+        discard(edges, large)
+        edges = small
         after = edges.agg(*digest).first()
         if after == before:
             break

@@ -15,7 +15,8 @@ cannot renumber them.
 
 Null texts count as empty. Of equal texts the row with the largest doc_id stays; a null doc_id counts as the
 smallest, and of rows that repeat both id and text one stays. A row is known by its id and the SHA-256 of its
-text, so rows may share an id. Other columns are not read. An empty table gives an empty result.
+text, so rows may share an id. Texts of any length are cut into as many blocks as they take. Other columns are not
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged
+from .common import ascii_lower, column, staged, unused
 
 #: Characters in a block.
 BLOCK = 2048
@@ -91,8 +92,9 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = BLOCK) -> DataFrame:
-    """The rows of docs, all columns, that stay; of rows that repeat both id and text one."""
-    stay = exact_dedup(docs, key, text, size).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha256", F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256))
-    found = marked.join(stay, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_sha")), "left_semi")
-    return found.dropDuplicates([key, "_sha256"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs, all columns, that stay; of rows that repeat both id and text one. Other columns may have any names."""
+    mark, mine, theirs = unused(docs, "text_sha256", "keep_doc_id", "keep_sha256")
+    stay = exact_dedup(docs, key, text, size).filter("kept").select(F.col("doc_id").alias(mine), F.col("text_sha256").alias(theirs))
+    marked = docs.withColumn(mark, F.sha2(ascii_lower(F.coalesce(column(text), F.lit(""))), 256))
+    found = marked.join(stay, column(key).eqNullSafe(column(mine)) & (column(mark) == column(theirs)), "left_semi")
+    return found.dropDuplicates([key, mark]).select(*map(column, docs.columns))

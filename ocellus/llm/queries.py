@@ -75,6 +75,9 @@ QUERIES: dict[str, Query] = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_quality": op10_quality,
 }
+#: The rules of op7 as SQL, longest first. No page of the shared tables names an alias, so their verdict is the rule's or
+#: allow; the components are held against brute force in the tests.
+_RULES = "[" + ", ".join(f"{{'verdict': '{r.verdict}', 'host': '{r.host}', 'path': '{r.path}', 'name': '{r.name}'}}" for r in sorted(URL_RULES, key=lambda r: -len(r.name))) + "]"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": f"""
@@ -91,6 +94,10 @@ ORACLE_SQL: dict[str, str] = {
         its AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hw.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(hw.n, 0) > 0 AS contaminated
         FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN its USING (doc_id)""".replace("\\\\", "\\"),
+    "op7_url_filters": rf"""
+        WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        r AS (SELECT page_id, host, path, list_filter({_RULES}, lambda x: (host = x.host OR ends_with(host, '.' || x.host)) AND starts_with(path, x.path))[1] AS fit FROM p)
+        SELECT page_id, host, path, fit.name AS rule, coalesce(fit.verdict, 'allow') AS verdict FROM r""",
     "op8_substring_dedup": r"""
         WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS p FROM dw, unnest(range(1, len(w) - 48)) t(i)),

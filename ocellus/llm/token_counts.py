@@ -6,8 +6,9 @@ sequences at the same time; sequences without a mergeable pair leave the array a
 are counted. Memory is bounded by the chunk; the vocabulary is a file of fixed size, which the driver reads
 and broadcasts.
 
-Nulls count as empty texts, which have 0 bytes and 0 tokens. Repeated rows and ids give a row each. Other
-columns are not read. Special strings inside a text are one token each, as the library does by default.
+Nulls count as empty texts, which have 0 bytes and 0 tokens. Texts of any length are counted whole. Repeated rows and
+null or repeated ids give a row each. Other columns are not read. Special strings inside a text are one token each, as
+the library does by default. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from .common import map_texts, ship
 from .pretokens import compile_pattern, distinct
 
 NONE = np.int64(1) << 40
-SLOTS = 1 << 18
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,30 +56,33 @@ class MergeTable:
         first = np.array([vocab[c] for c in byte_alphabet()], np.int64)
         pairs = np.array([[vocab[a], vocab[b]] for a, b in merges], np.uint64).reshape(-1, 2)
         merged = np.array([vocab[a + b] for a, b in merges], np.int64)
-        keys, ranks = np.full(SLOTS, np.uint64(2**64 - 1)), np.full(SLOTS, NONE)
+        size = 1 << max(4, (4 * len(merges)).bit_length())  # a quarter full at most
+        keys, ranks = np.full(size, np.uint64(2**64 - 1)), np.full(size, NONE)
         packed = pairs[:, 0] << np.uint64(32) | pairs[:, 1]
         probes = 1
-        for rank, (key, slot) in enumerate(zip(packed.tolist(), cls.slot(packed).tolist(), strict=True)):
+        for rank, (key, slot) in enumerate(zip(packed.tolist(), cls.slot(packed, size).tolist(), strict=True)):
             step = 0
-            while ranks[(slot + step) % SLOTS] != NONE:
+            while ranks[(slot + step) % size] != NONE:
                 step += 1
-            keys[(slot + step) % SLOTS], ranks[(slot + step) % SLOTS] = key, rank
+            keys[(slot + step) % size], ranks[(slot + step) % size] = key, rank
             probes = max(probes, step + 1)
         return cls(first, merged, keys, ranks, probes, pattern, [t["content"] for t in spec.get("added_tokens", ())])
 
     @staticmethod
-    def slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys * GOLDEN) >> np.uint64(46)).astype(np.int64)
+    def slot(keys: np.ndarray, size: int) -> np.ndarray:
+        """Place of each key in a table of `size`, a power of two."""
+        return ((keys * GOLDEN) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-        slot = self.slot(key)
+        size = self.keys.size
+        slot = self.slot(key, size)
         out = np.where(self.keys[slot] == key, self.ranks[slot], NONE)
         open_ = np.flatnonzero((out == NONE) & (self.ranks[slot] != NONE))
         for step in range(1, self.probes):
             if not open_.size:
                 break
-            at = (slot[open_] + step) % SLOTS
+            at = (slot[open_] + step) % size
             hit = self.keys[at] == key[open_]
             out[open_[hit]] = self.ranks[at[hit]]
             open_ = open_[~hit & (self.ranks[at] != NONE)]

@@ -10,7 +10,8 @@ fitting rule and without a blocked alias are allowed.
 Rules are a short list in the caller's hands and become one CASE expression per rule; edges are extracted in the
 JVM and only pages that have any join the component search. A null url, or one without "://", has an empty host
 and path, fits no rule and is no one's alias by address; a null html has no edges. Rows that repeat an id or a
-url give a row each. Other columns are not read.
+url give a row each. Pages of any length are read whole. Rules that fit equally long go by name. Other columns are not
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def _targets(html: Column, url: Column) -> Column:
     ]
     named = F.regexp_extract(html, rf"(?is)<base\b[^>]*(?<![\w-])href\s*=\s*{value}", 1)
     base = F.when(named != "", F.coalesce(resolved(url, named), url)).otherwise(url)
-    return F.array_distinct(F.filter(F.transform(F.flatten(F.array(*found)), lambda x: resolved(base, x)), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(F.flatten(F.array(*found)), lambda x: resolved(base, F.regexp_replace(x, "(?i)&(amp|#38|#x26);", "&"))), lambda x: x.isNotNull()))
 
 
 def _plain(path: Column) -> Column:
@@ -108,7 +109,7 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", ur
     judged = (
         pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), address(F.col(url)).alias("address"))
         .withColumn("fit", fit)
-        .select("page_id", "host", "path", "address", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("verdict"))
+        .select("page_id", "url", "host", "path", "address", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("verdict"))
     )
     edges = pages.select(address(F.col(url)).alias("a"), F.explode(_targets(F.coalesce(F.col(html), F.lit("")), F.col(url))).alias("to")).select("a", address(F.col("to")).alias("b"))
     edges = staged(edges.filter("a <> b").distinct(), "aliases")
@@ -117,4 +118,7 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", ur
     named = roots.withColumn("verdict", fitting_rule(*at, rules)["verdict"])
     blocked = named.filter("verdict = 'block'").select("root").distinct().join(roots, "root").select(F.col("node").alias("address"), F.lit("block").alias("alias"))
     blocked = staged(blocked, "blocked-aliases")
-    return judged.join(blocked, "address", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "alias", F.lit("allow")).alias("verdict"))
+    # only pages without a rule and with an address are looked up; the others are spread over the join's partitions
+    open_ = F.col("verdict").isNull() & F.col("address").isNotNull()
+    looked_up = F.when(open_, F.col("address")).otherwise(F.concat(F.lit("\n"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("url", F.lit(""))))
+    return judged.withColumn("address", looked_up).join(blocked, "address", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "alias", F.lit("allow")).alias("verdict"))
