@@ -96,3 +96,26 @@ def map_box(box: Column, left: Column, top: Column, right: Column, bottom: Colum
     cut = F.greatest(*(F.abs(bound(v) - v) for v in raw)) > 1e-6
     out = F.struct(F.round(x1, 3).alias("x"), F.round(y1, 3).alias("y"), F.round(x2 - x1, 3).alias("width"), F.round(y2 - y1, 3).alias("height"), cut.alias("cut"))
     return F.when((x2 > x1) & (y2 > y1), out).otherwise(F.raise_error(F.lit("the crop removes a whole box")).cast("struct<x:double,y:double,width:double,height:double,cut:boolean>"))
+
+
+def offset_mm(distance: Column, radius: Column, across: float = 30.0) -> Column:
+    """An offset in pixels in millimetres, by a circle of known diameter and its radius in pixels."""
+    return distance * across / (2 * radius + 1e-6)
+
+
+def json_number(x: Column) -> Column:
+    """NaN and infinite numbers as null, which JSON can hold."""
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def scaled_gap(radius: Column, slope: float, intercept: float, base_focal: float, focal: Column, base_width: float, base_sensor: float, width: Column, sensor: Column) -> Column:
+    """Working gap from a ring's radius in pixels of another camera: the radius is taken to the calibrated camera's pixels
+    (at twice its resolution) and the calibration slope / radius + intercept applied; two decimals."""
+    there = radius / width * sensor * (base_focal / focal) * (base_width / base_sensor) * 2
+    return F.round(slope / there + intercept, 2)
+
+
+def evaluation_name(name: Column, prefix: str) -> Column:
+    """Name of a map for evaluation: prefix, the file's first part, the eye, the kind of map; null for other files."""
+    eye, kind = F.when(name.contains("left"), "OS").otherwise("OD"), F.when(name.contains("tan"), "curv").otherwise("axial")
+    return F.when(name.contains("axial") | name.contains("tan"), F.concat(F.concat_ws("_", F.lit(prefix), F.element_at(F.split(name, "_"), 1), eye, kind), F.lit(".png")))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,10 +97,10 @@ def black_box(pixels: DataFrame, key: str, dark: float = 16.0, reach: float = 0.
 
 
 def neutral_corner(pixels: DataFrame, key: str, fraction: float = 0.2, value: float = 127.0) -> DataFrame:
-    """The top-left corner set to a neutral value."""
+    """The top-left corner, a fraction of either side rounded up and a pixel at least, set to a neutral value."""
     size = Window.partitionBy(key)
-    w, h = F.max("x").over(size) + 1, F.max("y").over(size) + 1
-    return pixels.withColumn("v", F.when((F.col("x") < F.round(w * fraction)) & (F.col("y") < F.round(h * fraction)), F.lit(value)).otherwise(F.col("v")))
+    part = lambda c: F.greatest(F.lit(1), F.ceil((F.max(c).over(size) + 1) * fraction))
+    return pixels.withColumn("v", F.when((F.col("x") < part("x")) & (F.col("y") < part("y")), F.lit(value)).otherwise(F.col("v")))
 
 
 def corner_variants(df: DataFrame, n: int = 4) -> DataFrame:
@@ -172,3 +174,58 @@ def attention_by_class(df: DataFrame, key: str, label: str, value: str) -> DataF
     """Means of a value over rows of label 1 and of label 0, and the largest of label 0."""
     of = lambda y: F.when(F.col(label) == y, F.col(value))
     return df.groupBy(key).agg(F.avg(of(1)).alias("positive"), F.avg(of(0)).alias("negative"), F.max(of(0)).alias("worst"))
+
+
+def resized(pixels: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    """Pictures (key, y, x, v) in another size, bilinear: a triangle filter whose reach grows with the reduction, so that
+    every source pixel counts. Rows and columns are weighted one after the other, each by one join-free pass and one aggregate."""
+
+    def along(df: DataFrame, axis: str, other: str, size: int) -> DataFrame:
+        n = F.max(axis).over(Window.partitionBy(key)) + 1
+        scale = n / F.lit(float(size))
+        reach = F.greatest(F.lit(1.0), scale)
+        at = df.withColumn("_scale", scale).withColumn("_reach", reach)
+        low, high = F.floor((F.col(axis) + 0.5 - F.col("_reach")) / F.col("_scale") - 0.5), F.ceil((F.col(axis) + 0.5 + F.col("_reach")) / F.col("_scale") - 0.5)
+        met = at.withColumn("_to", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), low), F.least(F.lit(size - 1).cast("long"), F.greatest(high, F.lit(0))))))
+        weight = 1 - F.abs(F.col(axis) + 0.5 - (F.col("_to") + 0.5) * F.col("_scale")) / F.col("_reach")
+        met = met.withColumn("_w", weight).filter("_w > 0")
+        return met.groupBy(key, other, F.col("_to").cast("int").alias(axis)).agg((F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("v"))
+
+    return along(along(pixels.select(key, "y", "x", "v"), "x", "y", width), "y", "x", height).select(key, "y", "x", "v")
+
+
+def exposure(histogram: DataFrame, key: str, over: int, over_share: float, under: int, levels: int = 256) -> DataFrame:
+    """over, under or normal of a histogram (key, level, share): the brightest level that occurs, and the share at the top."""
+    top = histogram.groupBy(key).agg(F.max(F.when(F.col("share") > 0, F.col("level"))).alias("brightest"), F.coalesce(F.sum(F.when(F.col("level") == levels - 1, F.col("share"))), F.lit(0.0)).alias("clipped"))
+    return top.withColumn("exposure", F.when((F.col("brightest") >= over) & (F.col("clipped") > over_share), "over").when(F.col("brightest") < under, "under").otherwise("normal"))
+
+
+def glare(histogram: DataFrame, key: str, white: int, share: float, levels: int = 256) -> DataFrame:
+    """Whether the brightest level that occurs is `white` or more, or the top level's share is over `share`."""
+    top = exposure(histogram, key, levels, 1.0, 0, levels)
+    return top.select(key, ((F.col("brightest") >= white) | (F.col("clipped") > share)).alias("glare"))
+
+
+def framing_audit(pixels: DataFrame, key: str, most: int = 40) -> tuple[int, int, DataFrame]:
+    """Pictures, those with a suggested crop, and the first `most` of these with the fraction to keep."""
+    found = bottom_crop(pixels, key)
+    n, cut = found.agg(F.count("*"), F.count_if(F.col("bottom") < 1)).first()
+    return n, cut, found.filter("bottom < 1").orderBy(key).limit(most)
+
+
+def nearest_filled(cells: DataFrame, key: str, value: str = "v", neighbours: int = 9) -> DataFrame:
+    """Missing cells of a picture (key, y, x) filled with the mean of the nearest `neighbours` known ones; of equally distant ones
+    the first row by row. One numpy pass per picture, a block of missing cells at a time."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x"])
+        v = pdf[value].to_numpy(float).copy()
+        at = pdf[["y", "x"]].to_numpy(float)
+        known, missing = np.flatnonzero(~np.isnan(v)), np.flatnonzero(np.isnan(v))
+        for lo in range(0, missing.size if known.size else 0, 512):
+            some = missing[lo : lo + 512]
+            apart = ((at[some, None] - at[known]) ** 2).sum(2)
+            v[some] = pdf[value].to_numpy(float)[known[np.argsort(apart, axis=1, kind="stable")[:, :neighbours]]].mean(1)
+        return pdf.assign(**{value: v})
+
+    return cells.select(key, "y", "x", value).groupBy(key).applyInPandas(run, f"`{key}` {cells.schema[key].dataType.simpleString()}, y int, x int, `{value}` double")

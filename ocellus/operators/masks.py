@@ -66,3 +66,8 @@ def working_gap(radii: DataFrame, key: str, ring: int, slope: float, intercept:
     """Gap from the ring's weighted diameter, (2 max + min) / 3 * 2, by the calibration slope / diameter + intercept."""
     d = (2 * F.max("radius") + F.min("radius")) / 3 * 2
     return radii.filter(F.col("mire_num") == ring).groupBy(key).agg(d.alias("diameter")).withColumn("gap", slope / F.col("diameter") + intercept)
+
+
+def guidance_weight(guide: Column, scale: float) -> Column:
+    """`scale` where there is guidance, else 1."""
+    return F.when(guide != 0, float(scale)).otherwise(1.0)

@@ -204,3 +204,33 @@ def sampled_frames(df: DataFrame, frame: str, rate: int, after: int = 0, until:
     """Every rate-th frame (frames count from 0, so frame n is the (n + 1)-th) beyond `after` and up to `until`."""
     nth = F.col(frame) + 1
     return df.filter((nth % rate == 0) & (nth > after) & (nth <= until if until is not None else F.lit(True)))
+
+
+def gap_curve(df: DataFrame, series: str, order: str, value: str, first: int, last: int, margin: int = 10, period: int = 360, degree: int = 2) -> DataFrame:
+    """A circular series (places 0 to period - 1) with the values from `first` to `last` replaced by the polynomial through the known
+    ones up to `margin` places beside them; 0 and null count as not known. Series with too few known values stay as they are.
+    One small least-squares fit per series; only the places near the gap are read for it."""
+    length = (last - first) % period
+    place = F.pmod(F.col(order) - (first - margin), F.lit(period))
+    inside = (place >= margin) & (place <= margin + length)
+    near = df.withColumn("_p", place).filter((F.col("_p") <= length + 2 * margin) & ~inside & (F.coalesce(F.col(value), F.lit(0.0)) != 0)).select(series, "_p", value)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) <= degree:
+            return pd.DataFrame({series: [], "_c": []})
+        return pd.DataFrame({series: [pdf[series].iloc[0]], "_c": [np.polyfit(pdf["_p"].to_numpy(float), pdf[value].to_numpy(float), degree).tolist()]})
+
+    curves = near.groupBy(series).applyInPandas(fit, f"`{series}` {df.schema[series].dataType.simpleString()}, _c array<double>")
+    at = F.aggregate("_c", F.lit(0.0), lambda acc, c: acc * place + c)
+    return df.join(curves, series, "left").withColumn(value, F.when(inside & F.col("_c").isNotNull(), at).otherwise(F.col(value))).drop("_c")
+
+
+def zoned_median(df: DataFrame, series: str, order: str, value: str, size: int = 11, cut: float = 270.0) -> DataFrame:
+    """Zero-padded median of a partial circle read from beyond the cut on, if the series reaches both its start and beyond the cut."""
+    w = Window.partitionBy(series)
+    wraps = (F.min(F.when(F.col(order) <= cut, F.col(order))).over(w) == 0) & (F.max(order).over(w) > cut)
+    turned = df.withColumn("_at", F.when(wraps & (F.col(order) > cut), F.col(order) - 360).otherwise(F.col(order)))
+    base = numbered(turned, series, "_at")
+    med = F.percentile("v", F.lit(0.5)).over(Window.partitionBy(series).orderBy("i").rowsBetween(-(size // 2), size // 2))
+    found = _zero_padded(base, series, value, size // 2).withColumn("median", med).filter("i >= 0 AND i < n").select(series, "i", "median")
+    return base.join(found, [series, "i"]).drop("_at", "i", "n")

@@ -232,3 +232,45 @@ def axial(grid: DataFrame, key: str, angle: str, radius: str, curvature: str) ->
 
     w = Window.partitionBy(key, angle).orderBy(radius)
     return grid.withColumn("axial", F.avg(curvature).over(w) * DIOPTRES)
+
+
+def turned(coefficients: np.ndarray, angle: float) -> np.ndarray:
+    """Coefficients (Noll order) of a surface turned by an angle in radians: the cosine and sine terms of each order mix."""
+    names = [noll(j) for j in range(1, coefficients.size + 1)]
+    place, out = {nm: i for i, nm in enumerate(names)}, coefficients.astype(float).copy()
+    for (n, m), i in place.items():
+        if m > 0:
+            k = place.get((n, -m))
+            a, b = coefficients[i], coefficients[k] if k is not None else 0.0
+            out[i] = a * np.cos(m * angle) - b * np.sin(m * angle)
+            if k is not None:
+                out[k] = a * np.sin(m * angle) + b * np.cos(m * angle)
+    return out
+
+
+def mirrored(coefficients: np.ndarray, across_x: bool = True) -> np.ndarray:
+    """Coefficients of a surface mirrored across the x axis (theta to -theta), or the y axis (theta to pi - theta)."""
+    out = coefficients.astype(float).copy()
+    for i in range(out.size):
+        m = noll(i + 1)[1]
+        odd = m < 0 if across_x else (m < 0) == (abs(m) % 2 == 0) and m != 0
+        out[i] *= -1 if odd else 1
+    return out
+
+
+def projected(points: DataFrame, key: str, degree: int) -> DataFrame:
+    """Coefficients (key, coefficients array) by inner products with the basis: rho, theta, z and the area that each point stands for.
+    Sums only, combined where the rows are; exact as far as the points and areas integrate the unit disc."""
+    kind = points.schema[key].dataType.simpleString()
+
+    def part(batches):
+        for pdf in batches:
+            for k, g in pdf.groupby(key, dropna=False):
+                b = np.nan_to_num(zernike(g["rho"].to_numpy(float), g["theta"].to_numpy(float), degree))
+                yield pd.DataFrame({key: [k], "sums": [(b.T @ (g["z"].to_numpy(float) * g["area"].to_numpy(float)) / np.pi).tolist()]})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "coefficients": [np.sum(np.stack(pdf["sums"].to_numpy()), axis=0).tolist()]})
+
+    parts = points.select(key, "rho", "theta", "z", "area").mapInPandas(part, f"`{key}` {kind}, sums array<double>")
+    return parts.groupBy(key).applyInPandas(total, f"`{key}` {kind}, coefficients array<double>")

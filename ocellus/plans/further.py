@@ -475,3 +475,61 @@ def q119_frame_tables(spark, sf_dir):
     for frame in range(1, 8):  # line numbers are 1 to 7
         writers.csv(li.filter(F.col("l_linenumber") == frame).select("key", "time"), f"{path}/frame_{frame}", ["key", "time"])
     return rounded(readers.frame_tables(spark, path, "part-*").select("frame", F.col("key").cast("long").alias("key"), F.col("time").cast("double").alias("time")))
+
+
+# ---------------------------------------------------------------- sizes, gates, names
+
+
+def _triangle(axis: str, n: int, to: int) -> str:
+    scale = n / to
+    return f"greatest(0, 1 - abs({axis} + 0.5 - (k + 0.5) * {scale}) / {max(1.0, scale)})"
+
+
+@query(f"""
+    WITH {_GRID}, a AS (SELECT vec_id, y, k AS x, sum(v * w) / sum(w) AS v FROM (SELECT vec_id, y, v, k, {_triangle('x', 8, 3)} AS w FROM g, range(0, 3) t(k)) WHERE w > 0 GROUP BY ALL),
+    b AS (SELECT vec_id, k AS y, x, sum(v * w) / sum(w) AS v FROM (SELECT vec_id, x, v, k, {_triangle('y', 8, 12)} AS w FROM a, range(0, 12) t(k)) WHERE w > 0 GROUP BY ALL)
+    SELECT vec_id, y::INTEGER AS y, x::INTEGER AS x, round(v, 6) AS v FROM b""")
+def q120_resized(spark, sf_dir):
+    return rounded(grid.resized(pictures(spark, sf_dir), "vec_id", 3, 12))
+
+
+_LEVELS = "h AS (SELECT user_id % 50 AS u, least(255, floor(value * 4))::INTEGER AS level, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT u, max(level) AS top, sum(n) FILTER (level = 255) / sum(n)::DOUBLE AS clipped FROM h GROUP BY u)"
+
+
+@query(f"WITH {_LEVELS} SELECT u, top AS brightest, round(coalesce(clipped, 0), 6) AS clipped, CASE WHEN top >= 255 AND coalesce(clipped, 0) > 0.03 THEN 'over' WHEN top < 200 THEN 'under' ELSE 'normal' END AS exposure, top >= 250 OR coalesce(clipped, 0) > 0.05 AS glare FROM t")
+def q121_exposure(spark, sf_dir):
+    h = grid.histogram(table(spark, sf_dir, "events").withColumn("u", F.col("user_id") % 50), "u", F.col("value") * 4)
+    return rounded(grid.exposure(h, "u", 255, 0.03, 200).join(grid.glare(h, "u", 250, 0.05), "u"))
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN 2.5 ELSE 1.0 END AS weight, round(c_custkey * 30 / (2 * (c_nationkey + 1) + 1e-6), 6) AS offset_mm, round(900.0 / ((c_nationkey + 1) / 3000.0 * 6.4 * (4.2 / 5.0) * (4000 / 6.4) * 2) + 7, 2) AS gap,
+        CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS number, CASE c_custkey % 4 WHEN 0 THEN 'map_a_OS_curv.png' WHEN 1 THEN 'map_b_OD_axial.png' WHEN 2 THEN 'map_c_OD_curv.png' END AS name FROM customer""")
+def q122_small_formulas(spark, sf_dir):
+    k, n = F.col("c_custkey"), F.col("c_nationkey") + 1
+    odd = F.when(k % 4 == 0, F.when(k % 8 == 0, float("nan")).otherwise(float("inf"))).otherwise(F.col("c_acctbal").cast("double"))
+    files = F.element_at(F.array(*map(F.lit, ["a_left_tan.png", "b_right_axial.png", "c_tan_x.png", "d.png"])), (k % 4 + 1).cast("int"))
+    gap = scalars.scaled_gap(n, 900.0, 7.0, 4.2, F.lit(5.0), 4000.0, 6.4, F.lit(3000.0), F.lit(6.4))
+    return rounded(table(spark, sf_dir, "customer").select("c_custkey", masks.guidance_weight(k % 3, 2.5).alias("weight"), scalars.offset_mm(k, n).alias("offset_mm"), gap.alias("gap"), scalars.json_number(odd).alias("number"), scalars.evaluation_name(files, "map").alias("name")))
+
+
+@query(f"""
+    WITH {_GRID}, c AS (SELECT vec_id, y, x, CASE WHEN (vec_id + 3 * y + 5 * x) % 4 > 0 THEN v END AS v FROM g),
+    n AS (SELECT a.vec_id, a.y, a.x, b.v, row_number() OVER (PARTITION BY a.vec_id, a.y, a.x ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.y, b.x) AS k FROM c a JOIN c b USING (vec_id) WHERE a.v IS NULL AND b.v IS NOT NULL)
+    SELECT vec_id, y, x, round(v, 6) AS v FROM c WHERE v IS NOT NULL UNION ALL SELECT vec_id, y, x, round(avg(v), 6) FROM n WHERE k <= 9 GROUP BY ALL""")
+def q123_nearest_filled(spark, sf_dir):
+    hole = (F.col("vec_id") + 3 * F.col("y") + 5 * F.col("x")) % 4 == 0
+    return rounded(grid.nearest_filled(pictures(spark, sf_dir).withColumn("v", F.when(~hole, F.col("v"))).withColumn("x", F.col("x").cast("int")), "vec_id"))
+
+
+_DAYS = "d AS (SELECT event_type AS series, (user_id % 360)::INTEGER AS a, avg(value) AS v FROM events GROUP BY ALL)"
+
+
+@query(f"""
+    WITH {_DAYS}, w AS (SELECT *, CASE WHEN min(CASE WHEN a <= 270 THEN a END) OVER p = 0 AND max(a) OVER p > 270 AND a > 270 THEN a - 360 ELSE a END AS place FROM d WINDOW p AS (PARTITION BY series)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY place) AS i, count(*) OVER (PARTITION BY series) AS n FROM w), e AS (SELECT series, i, v FROM n UNION ALL SELECT series, i, 0 FROM (SELECT DISTINCT series, n FROM n), range(-4, 1) t(i) UNION ALL SELECT series, n + i, 0 FROM (SELECT DISTINCT series, n FROM n), range(1, 6) t(i)),
+    m AS (SELECT series, i, median(v) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS median FROM e)
+    SELECT series, a, round(median, 6) AS median FROM n JOIN m USING (series, i)""")
+def q124_zoned_median(spark, sf_dir):
+    d = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series"), (F.col("user_id") % 360).cast("int").alias("a")).agg(F.avg("value").alias("v"))
+    return rounded(signal.zoned_median(d, "series", "a", "v").select("series", "a", "median"))

@@ -185,6 +185,33 @@ def test_small_formulas_and_pairs(spark):
     assert rows(union) == [(1, 2), (3, 4)]
 
 
+def test_gap_curve(spark):
+    places = np.arange(360)
+    for first, last in ((355, 8), (100, 120)):
+        curve = lambda p: 5 + 0.1 * p + 0.02 * p**2
+        rel = (places - (first - 10)) % 360
+        inside = (rel >= 10) & (rel <= 10 + (last - first) % 360)
+        values = np.where(inside, 77.0, curve(rel))
+        values[(first - 3) % 360] = 0.0  # not known
+        df = spark.createDataFrame([("s", int(a), float(v)) for a, v in zip(places, values, strict=True)] + [("short", 3, 1.0)], "s string, a int, v double")
+        got = {r["a"]: r["v"] for r in signal.gap_curve(df, "s", "a", "v", first, last).filter("s = 's'").collect()}
+        assert all(got[int(a)] == pytest.approx(curve(r) if i else v) for a, r, i, v in zip(places, rel, inside, values, strict=True))
+
+
+def test_turned_and_mirrored_surfaces(spark):
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=15)
+    rho, theta = rng.random(200), rng.random(200) * 2 * np.pi
+    z = lambda c, t: surface.zernike(rho, t, 4) @ c
+    assert np.allclose(z(surface.turned(c, 0.7), theta), z(c, theta - 0.7))
+    assert np.allclose(z(surface.mirrored(c), theta), z(c, -theta)) and np.allclose(z(surface.mirrored(c, False), theta), z(c, np.pi - theta))
+    r, t = np.meshgrid((np.arange(200) + 0.5) / 200, np.arange(64) * 2 * np.pi / 64)
+    values = surface.zernike(r.ravel(), t.ravel(), 4) @ c
+    rows_ = [("p", float(a), float(b), float(v), float(a / 200 * 2 * np.pi / 64)) for a, b, v in zip(r.ravel(), t.ravel(), values, strict=True)]
+    got = surface.projected(spark.createDataFrame(rows_, "id string, rho double, theta double, z double, area double").repartition(3), "id", 4).collect()
+    assert np.allclose(got[0]["coefficients"], c, atol=2e-3)
+
+
 OWN = sorted(k for k in __spark_entry__.oracle_sql() if k.startswith("q"))
 
 
