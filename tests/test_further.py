@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import struct
+import zlib
 
 import duckdb
 import numpy as np
@@ -212,6 +214,59 @@ def test_turned_and_mirrored_surfaces(spark):
     assert np.allclose(got[0]["coefficients"], c, atol=2e-3)
 
 
+def png(samples, depth, colour, laced=False, filters=(0, 1, 2, 3, 4), extra=()):
+    """An encoder for tests: samples of shape (height, width, channels), each row with the next filter."""
+    height, width, n = samples.shape
+    body, turn = b"", 0
+    for x0, y0, dx, dy in readers.PASSES if laced else [(0, 0, 1, 1)]:
+        part = samples[y0::dy, x0::dx]
+        if not part.size:
+            continue
+        flat = part.reshape(len(part), -1)
+        if depth == 16:
+            rows_ = [np.ascontiguousarray(r.astype(">u2")).view(np.uint8) for r in flat]
+        else:
+            rows_ = [np.packbits(((r[:, None] >> np.arange(depth)[::-1]) & 1).astype(np.uint8).ravel()) if depth < 8 else r.astype(np.uint8) for r in flat]
+        step, up = max(1, n * depth // 8), np.zeros(len(rows_[0]), int)
+        for r in rows_:
+            kind, r = filters[turn % len(filters)], r.astype(int)
+            left, corner = (np.r_[np.zeros(step, int), x[:-step]] if x.size > step else np.zeros(x.size, int) for x in (r, up))
+            p = left + up - corner
+            paeth = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+            body += bytes([kind]) + ((r - [0, left, up, (left + up) // 2, paeth][kind]) % 256).astype(np.uint8).tobytes()
+            up, turn = r, turn + 1
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, int(laced))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + b"".join(chunk(*e) for e in extra) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("laced", [False, True])
+@pytest.mark.parametrize(("depth", "colour", "n"), [(8, 0, 1), (8, 2, 3), (8, 4, 2), (8, 6, 4), (16, 0, 1), (16, 2, 3), (16, 6, 4), (1, 0, 1), (2, 0, 1), (4, 0, 1)])
+def test_png_forms(depth, colour, n, laced):
+    rng = np.random.default_rng(depth + n)
+    for height, width in ((1, 1), (3, 2), (9, 13)):
+        samples = rng.integers(0, 1 << depth, (height, width, n))
+        w, h, c, out = readers.decode_png(png(samples, depth, colour, laced))
+        assert (w, h, c) == (width, height, n) and (out == (samples >> 8 if depth == 16 else samples * (255 // ((1 << depth) - 1)))).all()
+
+
+def test_png_palette_and_orientation():
+    rng = np.random.default_rng(1)
+    colours, index = rng.integers(0, 256, (16, 3)).astype(np.uint8), rng.integers(0, 16, (5, 7, 1))
+    plte = (b"PLTE", colours.tobytes())
+    assert (readers.decode_png(png(index, 4, 3, extra=[plte]))[3] == colours[index[:, :, 0]]).all()
+    clear = readers.decode_png(png(index, 4, 3, extra=[plte, (b"tRNS", bytes([0, 9]))]))[3]
+    assert clear.shape[2] == 4 and (clear[:, :, 3] == np.r_[0, 9, np.full(14, 255)][index[:, :, 0]]).all()
+    with pytest.raises(ValueError, match="palette"):
+        readers.decode_png(png(index, 4, 3, extra=[(b"PLTE", colours[:3].tobytes())]))
+    a = rng.integers(0, 256, (2, 3, 1))
+    turns = {1: a, 2: a[:, ::-1], 3: a[::-1, ::-1], 4: a[::-1], 5: a.swapaxes(0, 1), 6: a[::-1].swapaxes(0, 1), 7: a[::-1, ::-1].swapaxes(0, 1), 8: a[:, ::-1].swapaxes(0, 1)}
+    for turn, want in turns.items():
+        for order in "<>":
+            exif = (b"II" if order == "<" else b"MM") + struct.pack(order + "HIHHHIHH", 42, 8, 1, 0x0112, 3, 1, turn, 0)
+            assert (readers.decode_png(png(a, 8, 0, extra=[(b"eXIf", exif)]))[3] == want).all()
+
+
 OWN = sorted(k for k in __spark_entry__.oracle_sql() if k.startswith("q"))
 
 
