@@ -30,19 +30,20 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, chunks, fold, ship, staged
+from .common import ASCII_LOWER, chunks, fold, labels, ship, staged
 
 #: Most head words, context classes among them, and spelling units; words whose counts are broadcast.
 HEAD, CLASSES, SPELLINGS, LOOKUP = 16_384, 1024, 1024, 200_000
 WIDTH, FOLDS, SHARD = 16, 10, 8_000_000
-BATCH, NOISE, NOISE_PER_TOKEN, RATE = 512, 96, 12, 0.6
+BATCH, NOISE, NOISE_PER_TOKEN, RATE = 1024, 64, 12, 1.0
 #: Distinct words that a task counts before it hands them on, tokens shuffled and learned at once, models averaged at
 #: once, and floats of a model in one row.
 COUNTED, LEARNED, FAN_IN, PIECE = 400_000, 500_000, 32, 1 << 16
@@ -157,35 +158,46 @@ def vocabulary(counts: DataFrame, head: int = HEAD, classes: int = CLASSES, spel
 
 @dataclass
 class LogBilinear:
-    """Unit vectors, vectors of the context class before and of the one before that, and biases of the units."""
+    """Unit vectors with the unit's bias as last column, and vectors of the context classes before and, after them, of those
+    before that."""
 
     out: np.ndarray
-    near: np.ndarray
-    far: np.ndarray
-    bias: np.ndarray
+    context: np.ndarray
 
     @classmethod
     def start(cls, frequency: np.ndarray, classes: int, width: int) -> LogBilinear:
         rng = np.random.default_rng(7)
-        return cls(*(rng.normal(0, 0.05, (n, width)).astype(np.float32) for n in (frequency.size, classes, classes)), np.log(frequency).astype(np.float32))
+        out = rng.normal(0, 0.05, (frequency.size, width + 1))
+        out[:, -1] = np.log(frequency)
+        return cls(out.astype(np.float32), rng.normal(0, 0.05, (2 * classes, width)).astype(np.float32))
+
+    @property
+    def classes(self) -> int:
+        return len(self.context) // 2
 
     def copy(self) -> LogBilinear:
-        return LogBilinear(self.out.copy(), self.near.copy(), self.far.copy(), self.bias.copy())
+        return LogBilinear(self.out.copy(), self.context.copy())
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.out, self.near, self.far, self.bias)])
+        return np.r_[self.out.ravel(), self.context.ravel()]
 
     def filled(self, flat: np.ndarray) -> LogBilinear:
         """A model of this one's shape."""
-        cuts = np.cumsum([x.size for x in (self.out, self.near, self.far)])
-        return LogBilinear(*(p.reshape(x.shape) for p, x in zip(np.split(flat, cuts), (self.out, self.near, self.far, self.bias), strict=True)))
+        out, context = np.split(flat, [self.out.size])
+        return LogBilinear(out.reshape(self.out.shape), context.reshape(self.context.shape))
+
+    def logits(self, units: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Of each unit after its two context classes."""
+        vector = self.out[units]
+        return np.einsum("ij,ij->i", self.context[near] + self.context[far + self.classes], vector[:, :-1]) + vector[:, -1]
 
     def normalisers(self, block: int = 1024) -> np.ndarray:
         """Log of the summed exponentials for all pairs (near, far) of context classes."""
-        z = np.zeros((len(self.near), len(self.far)), np.float32)
+        near, far = np.split(self.context, 2)
+        z = np.zeros((len(near), len(far)), np.float32)
         for at in range(0, len(self.out), block):
-            some = self.out[at : at + block].T
-            z += np.exp(self.near @ some + self.bias[at : at + block]) @ np.exp(self.far @ some).T
+            some = self.out[at : at + block]
+            z += np.exp(near @ some[:, :-1].T + some[:, -1]) @ np.exp(far @ some[:, :-1].T).T
         return np.log(z)
 
 
@@ -195,55 +207,57 @@ class Trainer:
     def __init__(self, model: LogBilinear, frequency: np.ndarray, seed: int = 11):
         self.model, self.rng = model, np.random.default_rng(seed)
         self.cumulative, self.noise_logit = np.cumsum(frequency), np.log(NOISE_PER_TOKEN * frequency).astype(np.float32)
-        self.sums = [np.full(x.shape, 1e-2, np.float32) for x in (model.out, model.near, model.far, model.bias)]
+        self.sums = [np.full(x.shape, 1e-2, np.float32) for x in (model.out, model.context)]
         self.seen = 0
 
     @staticmethod
-    def _by_class(at: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(at, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
-        return at[order][cuts], np.add.reduceat(grad[order], cuts, axis=0)
-
-    def _step(self, which: int, at: np.ndarray, grad: np.ndarray) -> None:
-        at, grad = self._by_class(at, grad)
-        param = (self.model.out, self.model.near, self.model.far, self.model.bias)[which]
-        self.sums[which][at] += grad**2
-        param[at] -= RATE * grad / np.sqrt(self.sums[which][at])
+    def _step(param: np.ndarray, sums: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+        order = np.argsort(at.astype(np.uint16), kind="stable")  # a radix sort
+        at = at[order]
+        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        at, grad = at[cuts], np.add.reduceat(grad[order], cuts, axis=0)
+        squares = sums[at] + grad * grad
+        sums[at] = squares
+        param[at] -= np.float32(RATE) * grad / np.sqrt(squares)
 
     def learn(self, word: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
-        m = self.model
+        m, classes = self.model, self.model.classes
         every = self.rng.permutation(word.size)
-        word, near, far = word[every], near[every], far[every]
+        word, near, far = word[every], near[every], far[every] + classes
+        per_noise = np.float32(NOISE_PER_TOKEN / NOISE)
         for lo in range(0, word.size, BATCH):
             w, n, f = word[lo : lo + BATCH], near[lo : lo + BATCH], far[lo : lo + BATCH]
             noise = np.searchsorted(self.cumulative, self.rng.random(NOISE)).clip(max=self.cumulative.size - 1)
-            context = m.near[n] + m.far[f]
-            own = np.einsum("ij,ij->i", context, m.out[w]) + m.bias[w] - self.noise_logit[w]
-            other = context @ m.out[noise].T + (m.bias[noise] - self.noise_logit[noise])
+            context = np.ones((w.size, m.out.shape[1]), np.float32)  # the last column meets the bias
+            np.add(m.context[n], m.context[f], out=context[:, :-1])
+            mine, others = m.out[w], m.out[noise]
             # gradients of the logistic loss of data against noise, per token of the batch
-            d_own = -1 / (1 + np.exp(np.clip(own, -30, 30))) / w.size
-            d_other = NOISE_PER_TOKEN / NOISE / (1 + np.exp(-np.clip(other, -30, 30))) / w.size
-            d_context = d_own[:, None] * m.out[w] + d_other @ m.out[noise]
-            at = np.r_[w, noise]
-            self._step(0, at, np.r_[d_own[:, None] * context, d_other.T @ context].astype(np.float32))
-            self._step(3, at, np.r_[d_own, d_other.sum(0)].astype(np.float32))
-            self._step(1, n, d_context.astype(np.float32))
-            self._step(2, f, d_context.astype(np.float32))
+            own = np.einsum("ij,ij->i", context, mine) - self.noise_logit[w]
+            d_own = -1 / ((1 + np.exp(np.clip(own, -30, 30))) * np.float32(w.size))
+            d_other = np.subtract(self.noise_logit[noise], context @ others.T)
+            np.minimum(d_other, 60, out=d_other)
+            np.exp(d_other, out=d_other)
+            d_other += 1
+            np.divide(per_noise / np.float32(w.size), d_other, out=d_other)
+            d_context = (d_own[:, None] * mine + d_other @ others)[:, :-1]
+            self._step(m.out, self.sums[0], np.r_[w, noise], np.r_[d_own[:, None] * context, d_other.T @ context])
+            self._step(m.context, self.sums[1], np.r_[n, f], np.r_[d_context, d_context])
             self.seen += w.size
 
 
-def encode(texts: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Ranks (-1: not in the lookup) and units of all tokens end to end, tokens per text, and each text's tokens."""
+def encode(texts: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Ranks (-1: not in the lookup) and units of all tokens end to end, tokens per text, and the places and words of the
+    tokens that are not in the lookup."""
     get = vocab.index.get
     words = [[*tokens(t), END] for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ranks = np.fromiter((get(w, -1) for x in words for w in x), np.int64, int(sizes.sum()))
+    flat = list(chain.from_iterable(words))
+    ranks = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
     units = vocab.units[np.maximum(ranks, 0)] if vocab.units.size else np.zeros(ranks.size, np.int64)
     unknown = np.flatnonzero(ranks < 0)
-    if unknown.size:
-        flat = [w for x in words for w in x]
-        units[unknown] = [spelling(flat[i]) % vocab.spellings for i in unknown.tolist()]
-    return ranks, units, sizes, words
+    others = [flat[i] for i in unknown.tolist()]
+    units[unknown] = [spelling(w) % vocab.spellings for w in others]
+    return ranks, units, sizes, unknown, others
 
 
 def contexts(units: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -260,11 +274,13 @@ def train(rows: DataFrame, vocab: Vocabulary, width: int = WIDTH, shard: int | N
     frequency = vocab.frequency()
     start = LogBilinear.start(frequency, vocab.classes, width)
     shards = max(1, -(-vocab.total // (shard or SHARD)))
-    shared = ship(rows.sparkSession).sparkContext.broadcast((vocab, start))
+    spark = ship(rows.sparkSession)
+    shared = spark.sparkContext.broadcast((vocab, start))
+    label = F.element_at(F.array(*map(F.lit, labels(spark, shards))), F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int") + 1)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place, texts in chunks(batches):
-            _, units, sizes, _ = encode(texts, shared.value[0])
+            _, units, sizes, *_ = encode(texts, shared.value[0])
             parts = [x.astype("<u2").tobytes() for x in np.split(units, np.cumsum(sizes)[:-1])]
             yield pa.RecordBatch.from_arrays([place, pa.array(parts, pa.binary())], names=["place", "units"])
 
@@ -306,11 +322,12 @@ def train(rows: DataFrame, vocab: Vocabulary, width: int = WIDTH, shard: int | N
 
     model = "part long, piece int, n double, packed binary"
     place = F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
-    dealt = rows.select(place.alias("place"), "text").mapInArrow(coded, "place long, units binary").withColumn("part", F.pmod(F.xxhash64("place"), F.lit(shards)))
-    models = staged(dealt.repartition("part").sortWithinPartitions("part", "place", "units").select("part", "units").mapInArrow(learn, model), "models")
-    while shards > 1:  # average groups of FAN_IN copies until one is left
-        shards = -(-shards // FAN_IN)
-        models = staged(models.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "piece").applyInArrow(mean, model), "models")
+    dealt = rows.select(place.alias("place"), "text").mapInArrow(coded, "place long, units binary").withColumn("part", label.cast("int"))
+    models = staged(dealt.repartition(shards, "part").sortWithinPartitions("part", "place", "units").select("part", "units").mapInArrow(learn, model), "models")
+    many = shards
+    while many > 1:  # average groups of about FAN_IN copies until one is left
+        many = -(-many // FAN_IN)
+        models = staged(models.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(many))).groupBy("part", "piece").applyInArrow(mean, model), "models")
     left = sorted(models.select("piece", "packed").collect())
     return start.filled(np.concatenate([np.frombuffer(p, np.float32) for _, p in left])) if left else start
 
@@ -323,22 +340,22 @@ class Scorer:
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Counter[bytes]]]:
         """Per text: tokens, known ones, base and model log10 sums over all tokens as far as the lookup tells, and the
         words that it doesn't hold."""
-        v, m = self.vocab, self.model
-        ranks, units, sizes, words = encode(texts, v)
+        v = self.vocab
+        ranks, units, sizes, unknown, words = encode(texts, v)
         near, far = contexts(units, sizes, v)
         in_table = ranks >= 0
         c = np.where(in_table, v.counts[np.maximum(ranks, 0)] if v.counts.size else 0, 0)
         model = np.empty(units.size)
-        for lo in range(0, units.size, 1 << 18):  # bounds the vectors held at once
-            some = slice(lo, lo + (1 << 18))
-            n, f, u = near[some], far[some], units[some]
-            model[some] = (np.einsum("ij,ij->i", m.near[n] + m.far[f], m.out[u]) + m.bias[u] - self.norm[n, f]) / np.log(10)
+        for lo in range(0, units.size, 1 << 17):  # bounds the vectors held at once
+            some = slice(lo, lo + (1 << 17))
+            n, f = near[some], far[some]
+            model[some] = (self.model.logits(units[some], n, f) - self.norm[n, f]) / np.log(10)
         rare = np.flatnonzero(in_table & (units < v.spellings))
         model[rare] += np.log10(np.maximum(c[rare], 1) - v.discount) + self.seen[units[rare]]
-        starts = np.cumsum(sizes) - sizes
-        sums = [np.add.reduceat(x, starts) for x in (in_table.astype(np.int64), np.where(in_table, v.base(c), 0.0), model)]
-        get = v.index.get
-        return sizes, *sums, [Counter(w for w in x if get(w) is None) if k < len(x) else Counter() for x, k in zip(words, sums[0].tolist(), strict=True)]
+        stops = np.cumsum(sizes)
+        sums = [np.add.reduceat(x, stops - sizes) for x in (in_table.astype(np.int64), np.where(in_table, v.base(c), 0.0), model)]
+        cuts = [0, *np.searchsorted(unknown, stops).tolist()]
+        return sizes, *sums, [Counter(words[a:b]) for a, b in zip(cuts, cuts[1:])]  # noqa: B905
 
 
 def lm_scores(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, spellings: int = SPELLINGS, lookup: int = LOOKUP, width: int = WIDTH, folds: int = FOLDS) -> DataFrame:
@@ -350,41 +367,42 @@ def lm_scores(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, spellin
     counts = staged(count_words(rows), "word-counts")
     vocab = vocabulary(counts, head, classes, spellings, lookup)
     model = train(rows, vocab, width)
-    shared = spark.sparkContext.broadcast((vocab, model, model.normalisers()))
+    scorer = Scorer(vocab, model, model.normalisers())
+    shared = spark.sparkContext.broadcast(scorer)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(*shared.value)
-        row = TaskContext.get().partitionId() << 33
+        score = shared.value
         for ids, texts in chunks(batches):
             sizes, known, base, model, others = score(texts)
             offsets = np.cumsum([0, *map(len, others)])
-            at = np.fromiter((score.vocab.unit(w) for x in others for w in x), np.int64, int(offsets[-1]))
             fields = {
-                "word": pa.array((w for x in others for w in x), pa.binary()).cast(pa.string()), "n": pa.array((n for x in others for n in x.values()), pa.int64()),
-                "seen": pa.array(score.seen[at]), "unseen": pa.array(score.unseen[at]),
+                "word": pa.array((w for x in others for w in x), pa.binary()).cast(pa.string()), "n": pa.array((n for x in others for n in x.values()), pa.int32()),
+                "unit": pa.array((spelling(w) % score.vocab.spellings for x in others for w in x), pa.int16()),
             }
             rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(row, row + len(texts))), pa.array(sizes), pa.array(known), pa.array(base), pa.array(model), rest], names=["doc_id", "row", "n_tokens", "known", "base", "model", "rest"])
-            row += len(texts)
+            digests = pa.array(map(xxhash.xxh3_128_digest, texts), pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, digests, pa.array(sizes), pa.array(known), pa.array(base), pa.array(model), rest], names=["doc_id", "digest", "n_tokens", "known", "base", "model", "rest"])
 
-    parts = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, model double, rest array<struct<word:string,n:long,seen:double,unseen:double>>")
-    parts = staged(parts, "scored-parts")  # row numbers hold for one reading
+    parts = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, n_tokens long, known long, base double, model double, rest array<struct<word:string,n:int,unit:short>>")
+    # rows of one id and text have the same sums, so they may meet: they are counted, and given back as many
     once = F.coalesce(F.col("at"), F.lit(0)) == 0
-    open_ = parts.select("doc_id", "row", "n_tokens", "known", "base", "model", F.posexplode_outer("rest").alias("at", "other")).select(
-        "doc_id", "row", *(F.when(once, F.col(x)).alias(x) for x in ("n_tokens", "known", "base", "model")), F.col("other.word").alias("word"), F.coalesce("other.n", F.lit(0)).alias("n"), F.col("other.seen").alias("seen"), F.col("other.unseen").alias("unseen")
+    open_ = parts.select("doc_id", "digest", "n_tokens", "known", "base", "model", F.posexplode_outer("rest").alias("at", "other")).select(
+        "doc_id", "digest", *(F.when(once, F.col(x)).alias(x) for x in ("n_tokens", "known", "base", "model")), F.col("other.word").alias("word"), F.coalesce("other.n", F.lit(0)).alias("n"), F.col("other.unit").alias("unit")
     )
     joined = open_.join(counts.select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     base = F.log10((F.col("c") + 0.1) / (vocab.total + 0.1 * (vocab.distinct + 1)))
-    within = F.when(F.col("c") > 0, F.log10(F.col("c") - vocab.discount) + F.col("seen")).otherwise(F.col("unseen"))
+    share = lambda values: F.element_at(F.array(*(F.lit(float(x)) for x in values)), F.col("unit") + 1)
+    within = F.when(F.col("c") > 0, F.log10(F.col("c") - vocab.discount) + share(scorer.seen)).otherwise(share(scorer.unseen))
     n = F.col("n")
-    return (
-        joined.groupBy("row", "doc_id")
-        .agg(
-            F.sum("n_tokens").alias("n_tokens"),
-            (F.sum("known") + F.sum(F.when(F.col("c") > 0, n).otherwise(0))).alias("n_known"),
-            (F.sum("base") + F.sum(F.when(n > 0, n * base).otherwise(0.0))).alias("base_score"),
-            (F.sum("model") + F.sum(F.when(n > 0, n * within).otherwise(0.0))).alias("score"),
-        )
-        .select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), "base_score", "score")
+    sums = joined.groupBy("doc_id", "digest").agg(
+        F.count("n_tokens").alias("copies"),
+        F.sum("n_tokens").alias("n_tokens"),
+        (F.sum("known") + F.sum(F.when(F.col("c") > 0, n).otherwise(0))).alias("n_known"),
+        (F.sum("base") + F.sum(F.when(n > 0, n * base).otherwise(0.0))).alias("base_score"),
+        (F.sum("model") + F.sum(F.when(n > 0, n * within).otherwise(0.0))).alias("score"),
+    )
+    each = lambda x: F.col(x) / F.col("copies")
+    return sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(
+        "doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"), each("base_score").alias("base_score"), each("score").alias("score")
     )

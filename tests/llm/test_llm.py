@@ -130,7 +130,7 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 20, 200])
+@pytest.mark.parametrize("part_bytes", [1 << 20, 1500, 200])
 def test_decontaminate(spark, docs, part_bytes):
     items = [(1, PASSAGE), (10, " ".join(PASSAGE.split()[20:45])), (2, " ".join(BASE[9].split()[5:9])), (3, None), (4, "..."), (5, BASE[9].split()[0]), (6, prose(40)), (7, PASSAGE), (8, " ".join(BASE[10].split()[100:112]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -175,16 +175,22 @@ def test_substring_dedup(spark, monkeypatch, ranges, kind):
 
 def test_window_hashes():
     rng = np.random.default_rng(4)
-    codes = np.r_[np.array([0, 1, substring_dedup.PRIME - 1], np.uint64), rng.integers(0, substring_dedup.PRIME, 120, dtype=np.uint64)]
-    for base in (3, substring_dedup.PRIME - 2, *substring_dedup._BASES):
-        for window in (1, 2, 7, 50, 64):
-            want = []
-            for i in range(codes.size - window + 1):
-                h = 0
-                for x in codes[i : i + window].tolist():
-                    h = (h * base + x) % substring_dedup.PRIME
-                want.append(h)
-            assert substring_dedup.window_hashes(codes, base, window).tolist() == want
+    prime = substring_dedup.PRIME
+    codes = np.r_[np.array([0, 1, prime - 1, prime - 2], np.uint64), rng.integers(0, prime, 120, dtype=np.uint64)]
+    for base in (3, prime - 2, *substring_dedup._BASES):
+        for window in (1, 2, 7, 50, 64, 124, 125):
+            want = [sum(x * pow(base, k, prime) for k, x in enumerate(codes[i : i + window].tolist())) % prime for i in range(codes.size - window + 1)]
+            assert substring_dedup.window_hashes(codes, substring_dedup.Powers(base), window).tolist() == want
+
+
+def test_packed_windows():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 1000, 70_000):
+        h1, h2, doc = rng.integers(0, 1 << 64, n, dtype=np.uint64), rng.integers(0, 1 << 32, n, dtype=np.uint32), rng.integers(-(1 << 40), 1 << 62, n)
+        got = sorted(zip(*(x.tolist() for x in substring_dedup._unpack(substring_dedup._pack(h1, h2, doc))), strict=True))
+        assert got == sorted(zip(h1.tolist(), h2.tolist(), doc.tolist(), strict=True))
+        flags = sorted(zip(*(x.tolist() for x in substring_dedup._unpack_flags(substring_dedup._pack_flags(h1, doc))), strict=True))
+        assert flags == sorted(zip(h1.tolist(), doc.tolist(), strict=True))
 
 
 @pytest.mark.parametrize("unit", ["letters", "words"])
@@ -344,9 +350,32 @@ def test_url_filter_relative_targets(spark):
         (4, "http://e.org/q", ""), (5, "http://f.net/a/b", "<script>location.replace('../es/gone.html')</script>"), (6, "http://g.net/es/x", '<script>window.location.assign("y.html")</script>'),
         (7, "http://h.net/a", '<div location="/es/">'), (8, "http://i.net/a", '<script>location = "/es/"</script>'), (9, "http://j.net/a", '<link rel=canonical href="mailto:x"><script>var location = "/es/"</script>'),
         (10, "http://k.org/a", '<base href="http://k.net/es/"><link rel=canonical href=z>'), (11, None, '<link rel=canonical href="/es/">'), (12, "http://l.net/a", '<link rel=canonical href="/go?u=http://m.net/es/">'),
+        (13, "http://n.org/p?a=1&b=2", ""), (14, "http://o.net/es/q", '<link rel=canonical href="http://n.org/p?a=1&amp;b=2">'), (14, "http://n.org/p?a=1&b=2", None),
     ]
     got = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
-    assert {k for k, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 8, 10} and len(got) == 12
+    assert {k for k, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 8, 10, 13, 14} and len(got) == 14
+
+
+def test_url_filter_against_brute_force(spark):
+    """Random alias graphs with rules of equal length, repeated pages and null urls."""
+    rng = random.Random(17)
+    rules = [url_filter.Rule("block", "net", "/b/"), url_filter.Rule("allow", "net", "/b/ok/"), url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "org", "/x")]
+    urls = [f"http://h{rng.randrange(6)}.{rng.choice(['net', 'com', 'org'])}/{rng.choice(['', 'b/', 'b/ok/', 'x', 'y'])}{rng.randrange(4)}" for _ in range(60)]
+    forms = ['<link rel="canonical" href="{}">', "<meta http-equiv=refresh content='0; url={}'>", "<script>location.replace('{}')</script>", "<p>{}</p>"]
+    pages = [(i, u, rng.choice(forms).format(rng.choice(urls)) if rng.random() < 0.5 else None) for i, u in enumerate([*urls, *urls[:5]])] + [(900, None, forms[0].format(urls[0])), (901, "nothing", None)]
+
+    def rule(url):
+        host, path = url.split("://")[1].partition("/")[::2]
+        fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and ("/" + path).startswith(r.path)]
+        return max(fit, key=lambda r: len(r.name)).verdict if fit else None
+
+    links = [(u, t) for _, u, h in pages if u and "://" in u and h and "<p>" not in h for t in urls if t in h and h.split(t)[1][:1] in "\"'"]
+    names = sorted({*urls, *(x for pair in links for x in pair)})
+    root = brute_components([(names.index(a), names.index(b)) for a, b in links], range(len(names)))
+    bad = {root[i] for i, u in enumerate(names) if rule(u) == "block" and any(u in pair for pair in links)}
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    want = {i: "allow" if u is None or "://" not in u else rule(u) or ("block" if root[names.index(u)] in bad else "allow") for i, u, _ in pages}
+    assert got == want and len(set(want.values())) == 2 and sum(rule(u) is None and want[i] == "block" for i, u, _ in pages if u and "://" in u) > 0
 
 
 def labelled(spark, n=400):
@@ -456,7 +485,7 @@ def test_lm_is_a_distribution(spark):
     norm = model.normalisers()
     assert len(model.out) == 26 and norm.shape == (18, 18) and len(counts) > 100
     for near, far in ((0, 3), (17, 6), (4, 4)):
-        p = np.exp((model.near[near] + model.far[far]) @ model.out.T + model.bias - norm[near, far])
+        p = np.exp(model.logits(np.arange(26), np.full(26, near), np.full(26, far)) - norm[near, far])
         assert abs(p.sum() - 1) < 1e-4 and (p > 0).all()
     seen, unseen = vocab.shares()
     within = 10.0**unseen
@@ -474,7 +503,7 @@ def test_lm_score_against_brute_force(spark, monkeypatch, lookup):
     got = by_id(lm_scoring.lm_scores(docs, 20, 12, 6, lookup))
     learned = docs.filter(lm_scoring.fold(F.col("doc_id"), 10) != 0)
     vocab, model, counts = lm_model(learned, lookup)
-    logits = lambda n, f: (model.near[n] + model.far[f]).astype(float) @ model.out.T + model.bias
+    logits = lambda n, f: (model.context[n] + model.context[18 + f]).astype(float) @ model.out[:, :-1].T + model.out[:, -1]
     rest = {u: [c for w, c in counts.items() if vocab.unit(w) == u] for u in range(6)}
     for r in docs.collect():
         units, score = [vocab.unit(b""), vocab.unit(b"")], 0.0
@@ -509,12 +538,103 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     path = P.path("byte_bpe_50k.tiktoken")
     for df in (
+        token_counts.token_counts(empty, P.path("byte_bpe_50k.json"), P.PATTERN), url_filter.url_filter(empty.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html")), [url_filter.Rule("block", "net", "/")]),
         bpe.round_trip(empty, path, P.PATTERN), exact_dedup.exact_dedup(empty), decontaminate.decontaminate(empty, bench), substring_dedup.substring_dedup(empty), simhash_dedup.simhash_components(empty),
         simhash_dedup.similar_groups(empty), toxicity.toxicity(empty, labels), quality.quality(empty, labels), lm_scoring.lm_scores(empty),
     ):
         assert df.count() == 0
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Planted copies, near copies around the limit, benchmark passages and toxic texts, stage after stage in plain Python."""
+    import corpus_pipeline
+    import tiktoken
+
+    rng = random.Random(31)
+    docs, labels, _ = labelled(spark, 120)
+    base = [prose(rng.randint(150, 260), rng).split() for _ in range(40)]
+    items = [(1, " ".join(base[0][20:50])), (2, " ".join(base[7][5:12])), (3, prose(15, rng))]
+    texts = [" ".join(w) for w in base]
+    texts += [" ".join(edited(w, 0.72 + 0.006 * k, rng)) for k, w in enumerate(base)]
+    texts += [texts[k].upper() for k in (1, 2, 41)] + [texts[3] + " zidiot Zm0ron zidiot zidiot zidiot", f"{prose(60, rng)} {items[1][1]} end", f"{prose(60, rng)} {items[1][1][:-3]}"]
+    every = docs.unionByName(frame(spark, texts, range(1000, 1000 + len(texts))))
+    rows = {r["doc_id"]: r["text"] or "" for r in every.collect()}
+    model = toxicity.fit(every, labels)
+    rows = {i: t for i, t in rows.items() if model.scores([t])[0] < 0.5}
+    last = {}
+    for i in sorted(rows):
+        last[low(rows[i])] = i
+    rows = {i: rows[i] for i in sorted(last.values())}
+    ids = list(rows)
+    groups = brute_groups([rows[i] for i in ids])
+    rows = {i: rows[i] for k, i in enumerate(ids) if groups.get(k, k) == k}
+    assert 3 < len(ids) - len(rows) < 40
+    clean = {i: t for i, t in rows.items() if brute_hits(t, items)[1] == 0}
+    assert len(rows) - len(clean) >= 3
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    every.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: bytes(r["ids"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {i: np.array(enc.encode_ordinary(t), "<u4").tobytes() for i, t in clean.items()}
+
+
+CLASHING = ["_id", "_sha", "_sha256", "text_sha256", "TEXT_SHA256", "keep_doc_id", "keep_id", "gone_sha256", "sha", "root", "node", "key", "row", "a.b", "y", "part"]
+
+
+def clashing(df):
+    return df.select("doc_id", "text", *(F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHING if c != "TEXT_SHA256"))
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    long = prose(300)
+    docs = clashing(frame(spark, [long, long.upper(), long + " tail", PASSAGE, None, "", prose(50)], [1, 2, 3, 4, 5, None, 6]))
+    rows = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    kept = {
+        "copies": exact_dedup.without_copies(docs), "near": simhash_dedup.without_similar(docs), "clean": decontaminate.without_contaminated(docs, bench),
+        "calm": toxicity.without_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int")),
+    }
+    for df in kept.values():
+        assert df.columns == docs.columns and all(tuple(r) == rows[r["doc_id"]] for r in df.collect())
+    ids = {k: {r["doc_id"] for r in df.collect()} for k, df in kept.items()}
+    assert ids == {"copies": {2, 3, 4, 5, 6}, "near": {1, 4, 5, 6}, "clean": {1, 2, 3, 5, None, 6}, "calm": set(rows)}
+    assert [n for n, _ in corpus_pipeline.STAGES][2] == "simhash_dedup"
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null and repeated ids and rows, empty and very long texts, clashing columns; and an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    long, one = " ".join(prose(250, rng) for _ in range(800)), prose(200, rng)
+    rows = [(None, None), (1, None), (1, ""), (2, one), (2, one), (2, prose(200, rng)), (None, prose(90, rng)), (3, long), (4, long + " more"), (5, "   "), (6, "x")]
+    for name, some in (("some", rows), ("none", [])):
+        folder = tmp_path / name
+        clashing(frame(spark, [t for _, t in some], [i for i, _ in some])).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "2", "3", "6", "None"] and all(r["lossless"] for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_repeated_and_null_ids_give_a_row_each(spark):
+    ids, texts = [7, 7, None, None, 8], [prose(30), prose(30), None, prose(12), "very " * 300_000]
+    docs = clashing(frame(spark, texts, ids)).repartition(2)
+    path = P.path("byte_bpe_50k.tiktoken")
+    bench = spark.createDataFrame([(None, "very very very"), (3, texts[0])], "item_id long, text string")
+    labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
+    for df in (
+        token_counts.token_counts(docs, P.path("byte_bpe_50k.json"), P.PATTERN), bpe.round_trip(docs, path, P.PATTERN), exact_dedup.exact_dedup(docs), decontaminate.decontaminate(docs, bench), decontaminate.decontaminate(docs, bench, part_bytes=20),
+        substring_dedup.substring_dedup(docs), simhash_dedup.simhash_components(docs), toxicity.toxicity(docs, labels), quality.quality(docs, labels),
+    ):
+        assert sorted(str(r["doc_id"]) for r in df.collect()) == ["7", "7", "8", "None", "None"]
+
+
 def test_pipeline_keeps_its_promises(spark, tmp_path):
     import corpus_pipeline
 
