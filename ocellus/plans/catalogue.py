@@ -296,12 +296,6 @@ def q28_local_peaks(spark, sf_dir):
     return rounded(signal.local_peaks(graded(spark, sf_dir), "series", "hour", "gradient", 0.5).select("series", "hour", "gradient"))
 
 
-@query()
-def q29_blinks(spark, sf_dir):
-    """The whole detector, with distance suppression in order of height; a numpy oracle is in the tests."""
-    return signal.blinks(hourly(spark, sf_dir), "series", "hour", "v", 30.0)
-
-
 @query(f"""
     WITH {_HOURLY}, {_mirror(25)}, wide AS (SELECT * FROM (SELECT series, i, n, avg(v) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS s FROM ext) WHERE i BETWEEN 0 AND n - 1),
     slim AS (SELECT series, i, hour, sum(v) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS l FROM num)
@@ -394,13 +388,6 @@ def q39_first_dense(spark, sf_dir):
     return rounded(events.first_dense(timed(spark, sf_dir), "event_id", ["user_id"], "t", 3600.0, "event_id", 3), 3)
 
 
-@query()
-def q40_filter_breaks(spark, sf_dir):
-    """The break cascade on events as detections: ring from the user, angle from the value; brute force in the tests."""
-    e = timed(spark, sf_dir).select(F.col("event_type").alias("video_id"), (F.col("user_id") % 22).cast("int").alias("mire_num"), F.col("value").alias("angle"), F.col("hour").alias("frame"), (F.col("hour") / 30.0).alias("time"))
-    return events.filter_breaks(e, 1.0)
-
-
 # ---------------------------------------------------------------- rings
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_linenumber) - 1 AS mire_num FROM lineitem QUALIFY mire_num < 4")
@@ -578,37 +565,9 @@ def q61_upload_queue(spark, sf_dir):
     return review.pending(review.enqueue(marked, ids.select("uri")))
 
 
-@query()
-def q62_shifted_correlation(spark, sf_dir):
-    """Correlation over shifts of the near pairs' 8 x 8 pictures; a numpy oracle is in the tests."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    pairs = near_pairs(spark, sf_dir).join(e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("pa")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("pb")), "b")
-    return rounded(neardup.shifted_correlation(pairs, "pa", "pb", 8, 2).select("a", "b", "correlation"))
-
-
 @query()
 def q63_zernike_fit(spark, sf_dir):
     """Degree-3 surface per picture by distributed normal equations; checked against a direct fit in the tests."""
     g = pictures(spark, sf_dir)
     dx, dy = (F.col("x") - 3.5) / 5, (F.col("y") - 3.5) / 5
     return surface.zernike_fit(g.select("vec_id", F.hypot(dx, dy).alias("rho"), F.atan2(dy, dx).alias("theta"), F.col("v").alias("z")), "vec_id", 3)
-
-
-@query()
-def q64_cone_location(spark, sf_dir):
-    """Steepest-disc index per picture; checked on a planted cone in the tests."""
-    return surface.cone_location(pictures(spark, sf_dir), "vec_id", 4, 4, 2, 4)
-
-
-@query()
-def q65_zero_padded_dual_median(spark, sf_dir):
-    """Medians with zeros beyond the ends and for missing values; a numpy oracle is in the tests."""
-    return rounded(signal.dual_median(hourly(spark, sf_dir), "series", "hour", "v", zero_padded=True).select("series", "hour", "median"))
-
-
-@query()
-def q66_nearest_of_table(spark, sf_dir):
-    """The nearest other vector of the whole table by two hashes in turn; brute force is in the tests."""
-    odd = F.filter(F.col("embedding"), lambda _, i: i % 2 == 1)
-    h = table(spark, sf_dir, "embeddings").select("vec_id", neardup.sign_hash(F.col("embedding")).alias("p"), neardup.sign_hash(odd).alias("d"))
-    return neardup.nearest_of_table(h, "vec_id", ["p", "d"], h, "vec_id", ["p", "d"], True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import audit, breaks, events, grid, masks, metrics, neardup, polar, signal, split, surface
 from ..sources import readers, writers
-from .catalogue import _EV, _GRID, _HASH, _HOURLY, _PAIRS, _SCORED, QUERIES, hourly, pictures, query, rounded, scored, table, timed
+from .catalogue import _EV, _GRADED, _GRID, _HASH, _HOURLY, _PAIRS, _SCORED, hourly, near_pairs, pictures, query, rounded, scored, table, timed
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -60,11 +60,22 @@ def q69_repaired_gaps(spark, sf_dir):
         AND NOT (m >= 13 AND EXISTS (SELECT 1 FROM w y WHERE x.video_id = y.video_id AND x.t = y.t AND x.m = y.m AND abs(x.a - y.a) BETWEEN 2 AND 20))
         AND NOT EXISTS (SELECT 1 FROM w y WHERE x.video_id = y.video_id AND x.t = y.t AND abs(x.m - y.m) = 1 AND abs(x.a - y.a) <= 2)
         AND NOT ((m >= 19 AND a BETWEEN 60 AND 120) OR (m >= 15 AND a >= 60 AND a < 119) OR (m = 11 AND abs(a - 105) <= 6) OR (m = 13 AND abs(a - 106) <= 6))""")
-def q70_break_cascade(spark, sf_dir):
+def q40_filter_breaks(spark, sf_dir):
     e = timed(spark, sf_dir).select(F.col("event_type").alias("video_id"), (F.col("user_id") % 22).cast("int").alias("mire_num"), F.col("value").alias("angle"), F.col("hour").alias("frame"), (F.col("hour") / 30.0).alias("time"))
     return rounded(events.filter_breaks(e, 1.0))
 
 
+@query(f"""
+    WITH RECURSIVE {_GRADED}, w AS (SELECT series, i, g, lag(g) OVER s AS b, lead(g) OVER s AS a FROM graded WHERE g IS NOT NULL WINDOW s AS (PARTITION BY series ORDER BY i)),
+    p AS (SELECT series, i, row_number() OVER (PARTITION BY series ORDER BY g DESC, i DESC) AS k FROM w WHERE g >= 0.5 AND g > b AND g > a),
+    r(series, k, held) AS (SELECT DISTINCT series, 0::BIGINT, []::BIGINT[] FROM p UNION ALL SELECT r.series, p.k, CASE WHEN len(list_filter(held, lambda x: abs(x - p.i) < 5)) = 0 THEN list_append(held, p.i) ELSE held END FROM r JOIN p ON p.series = r.series AND p.k = r.k + 1),
+    t AS (SELECT series, unnest(arg_max(held, k)) AS i FROM r GROUP BY series)
+    SELECT series, hour, round((hour + 1) / 30.0, 6) AS time FROM t JOIN num USING (series, i)""")
+def q29_blinks(spark, sf_dir):
+    """The whole detector, with distance suppression in order of height."""
+    return rounded(signal.blinks(hourly(spark, sf_dir), "series", "hour", "v", 30.0))
+
+
 _INTENSITY = "x AS (SELECT event_type AS video, (user_id % 4)::INTEGER AS m, (floor(value * 2) / 2) AS a, (epoch(ts)::BIGINT // 86400 % 9)::INTEGER AS frame, avg(value * 3) AS v FROM events GROUP BY ALL)"
 
 
@@ -95,7 +106,7 @@ def q73_mean_sharpness(spark, sf_dir):
     WITH {_HOURLY}, ext AS (SELECT series, i, n, v FROM num UNION ALL SELECT series, -k, n, 0.0 FROM num, range(1, 26) t(k) WHERE i = 0 UNION ALL SELECT series, n + k, n, 0.0 FROM num, range(0, 25) t(k) WHERE i = 0),
     m AS (SELECT series, i, n, median(v) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS a, median(v) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS b FROM ext)
     SELECT series, hour, round(CASE WHEN abs(a - b) / (b + 1e-9) > 0.05 THEN b ELSE a END, 6) AS median FROM m JOIN num USING (series, i)""")
-def q74_zero_padded_median(spark, sf_dir):
+def q65_zero_padded_dual_median(spark, sf_dir):
     return rounded(signal.dual_median(hourly(spark, sf_dir), "series", "hour", "v", zero_padded=True).select("series", "hour", "median"))
 
 
@@ -211,8 +222,10 @@ def q87_line_discs(spark, sf_dir):
     WITH e AS (SELECT vec_id, (i // 8)::INTEGER AS y, (i % 8)::INTEGER AS x, v FROM (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)), """ + _PAIRS + """,
     c AS (SELECT a, b, dy, dx, corr(p.v, q.v) AS r FROM pairs, range(-2, 3) s(dy), range(-2, 3) t(dx) JOIN e p ON p.vec_id = a JOIN e q ON q.vec_id = b AND q.y = p.y - dy AND q.x = p.x - dx GROUP BY ALL)
     SELECT a, b, round(max(r), 6) AS correlation FROM c GROUP BY a, b""")
-def q88_shifted_correlation(spark, sf_dir):
-    return QUERIES["q62_shifted_correlation"](spark, sf_dir)
+def q62_shifted_correlation(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    pairs = near_pairs(spark, sf_dir).join(e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("pa")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("pb")), "b")
+    return rounded(neardup.shifted_correlation(pairs, "pa", "pb", 8, 2).select("a", "b", "correlation"))
 
 
 # ---------------------------------------------------------------- surfaces and formulas
@@ -270,6 +283,19 @@ def q95_safe_paths(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", contained.alias("contained"), scalars.safe_name(name).alias("plain"), scalars.number_distance(name, F.col("p_partkey").cast("string")).alias("distance"))
 
 
+@query(f"""
+    WITH {_GRID}, n AS (SELECT vec_id, x, y, v FROM g WHERE (x - 4) ** 2 + (y - 4) ** 2 <= 16),
+    d AS (SELECT p.vec_id, p.x, p.y, avg(q.v) AS m FROM n p JOIN n q ON q.vec_id = p.vec_id AND (q.x - p.x) ** 2 + (q.y - p.y) ** 2 <= 4 GROUP BY ALL),
+    b AS (SELECT vec_id, x, y, sqrt((x - 4) ** 2 + (y - 4) ** 2) AS away, atan2(y - 4, x - 4 + 1e-9) + pi() AS t FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY m DESC, y, x) = 1),
+    o AS (SELECT *, trunc(4 + away * cos(t)) AS ox, trunc(4 + away * sin(t)) AS oy FROM b),
+    e AS (SELECT o.vec_id, o.x, o.y, away, avg(v) FILTER ((n.x - o.x) ** 2 + (n.y - o.y) ** 2 <= 4) - avg(v) FILTER ((n.x - o.x) ** 2 + (n.y - o.y) ** 2 > 4) AS m1, avg(v) FILTER ((n.x - ox) ** 2 + (n.y - oy) ** 2 <= 4) - avg(v) FILTER ((n.x - ox) ** 2 + (n.y - oy) ** 2 > 4) AS m2 FROM o JOIN n USING (vec_id) GROUP BY ALL),
+    i AS (SELECT *, (m1 - CASE WHEN away < 2 THEN away / 2 * m2 ELSE m2 END) * 337.5 AS k FROM e)
+    SELECT vec_id, x::DOUBLE AS cone_x, y::DOUBLE AS cone_y, round(m1, 6) AS m1, round(m2, 6) AS m2, round(k, 2) AS clmi, round(1 / (1 + exp(6.4483 - 2.1319 * k)), 2) AS ppk FROM i""")
+def q64_cone_location(spark, sf_dir):
+    """Steepest-disc index per picture."""
+    return rounded(surface.cone_location(pictures(spark, sf_dir), "vec_id", 4, 4, 2, 4))
+
+
 # ---------------------------------------------------------------- choices, labels, pairs
 
 
@@ -309,8 +335,10 @@ def q100_crossing_groups(spark, sf_dir):
 @query(f"""
     WITH {_HASH}, d AS (SELECT vec_id, list_sum(list_transform(range(0, 31), lambda i: CASE WHEN embedding[2 * i + 4] > embedding[2 * i + 2] THEN 1::HUGEINT << i ELSE 0 END))::BIGINT AS d FROM embeddings), b AS (SELECT vec_id, code, d FROM h JOIN d USING (vec_id))
     SELECT x.vec_id, m.r AS reference, m.p AS d0, m.q AS d1 FROM (SELECT x.vec_id, min({{'p': bit_count(xor(x.code, y.code))::INTEGER, 'q': bit_count(xor(x.d, y.d))::INTEGER, 'r': y.vec_id}}) AS m FROM b x JOIN b y ON x.vec_id <> y.vec_id GROUP BY x.vec_id) x""")
-def q101_nearest_by_two_hashes(spark, sf_dir):
-    return QUERIES["q66_nearest_of_table"](spark, sf_dir)
+def q66_nearest_of_table(spark, sf_dir):
+    odd = F.filter(F.col("embedding"), lambda _, i: i % 2 == 1)
+    h = table(spark, sf_dir, "embeddings").select("vec_id", neardup.sign_hash(F.col("embedding")).alias("p"), neardup.sign_hash(odd).alias("d"))
+    return neardup.nearest_of_table(h, "vec_id", ["p", "d"], h, "vec_id", ["p", "d"], True)
 
 
 # ---------------------------------------------------------------- sources and sinks, written and read again
