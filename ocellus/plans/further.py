@@ -312,9 +312,9 @@ def q97_best_stage(spark, sf_dir):
     return metrics.best_stage(s)
 
 
-@query("SELECT p_partkey, p_size FROM part WHERE p_retailprice > 950 ORDER BY p_size, p_partkey LIMIT 1")
+@query("SELECT p_partkey, p_size FROM part WHERE p_retailprice > 500 ORDER BY p_size, p_partkey LIMIT 1")
 def q98_smallest_accepted(spark, sf_dir):
-    return metrics.smallest_accepted(table(spark, sf_dir, "part").withColumn("accepted", F.col("p_retailprice") > 950), "p_partkey", "p_size")
+    return metrics.smallest_accepted(table(spark, sf_dir, "part").withColumn("accepted", F.col("p_retailprice") > 500), "p_partkey", "p_size")
 
 
 @query("SELECT s.name AS name, q.quality AS quality FROM (SELECT doc_id || '_' || source AS name, doc_id FROM documents) s JOIN (SELECT doc_id, quality FROM labels) q USING (doc_id)")
