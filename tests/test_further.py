@@ -281,7 +281,7 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(c[0] for c in found.description) == order
     places = {c[0]: i for i, c in enumerate(found.description)}
     real = lambda v: isinstance(v, float) or hasattr(v, "normalize")
-    key = lambda row: (repr([v for v in row if not real(v)]), repr([round(float(v), 2) for v in row if real(v)]))
+    key = lambda row: (repr([v for v in row if not real(v)]), [round(float(v), 3) for v in row if real(v)], [float(v) for v in row if real(v)])
     mine = sorted((tuple(r[c] for c in order) for r in got.collect()), key=key)
     theirs = sorted((tuple(r[places[c]] for c in order) for r in found.fetchall()), key=key)
     assert len(mine) == len(theirs)
