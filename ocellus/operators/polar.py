@@ -195,3 +195,9 @@ def ring_locations(pixels: DataFrame, centres: DataFrame, key: str, length: int,
     points = points.withColumn("id", F.col("angle").cast("long") * rings + F.col("mire_num")).withColumn("mire_num", F.col("mire_num").cast("int"))
     numbered = shift_corrected(ring_components(points, neighbour_graph(points, key), key, least), key)
     return unique_only(numbered, [key, "mire_num", "angle"]).select(key, "mire_num", "angle", "radius", "x", "y", "intensity", "component")
+
+
+def by_ray(points: DataFrame, flagged: DataFrame, key: str) -> DataFrame:
+    """One row per ray: key, angle, and its points (mire_num, radius, x, y) in order of ring, without the flagged (key, mire_num, angle)."""
+    kept = points.join(flagged.select(key, "mire_num", "angle").distinct(), [key, "mire_num", "angle"], "left_anti")
+    return kept.groupBy(key, "angle").agg(F.sort_array(F.collect_list(F.struct("mire_num", "radius", "x", "y"))).alias("points"))

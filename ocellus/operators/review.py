@@ -48,10 +48,11 @@ def priority_union(lists: Sequence[tuple[DataFrame, Sequence[Column]]], key: str
     return best.orderBy("priority", "place", key).limit(most)
 
 
-def table_fingerprint(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """SHA-256 over the rows' own digests in order: rows are digested where they are, 32 bytes each are gathered per group of keys, then over groups."""
+def table_fingerprint(df: DataFrame, key: str, *columns: str, digits: int = 2) -> DataFrame:
+    """SHA-256 over the rows' own digests in order: rows are digested where they are, gathered per group of keys, then over groups.
+    There are 16 ** digits groups, so a larger table takes more digits (and then has another fingerprint)."""
     row = F.sha2(F.concat_ws("|", F.col(key).cast("string"), *(F.col(c).cast("string") for c in columns)), 256)
-    part = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2)
+    part = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, digits)
     groups = df.groupBy(part.alias("part")).agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list(row))), 256).alias("d"))
     return groups.agg(F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("part", "d"))), lambda s: s["d"])), 256).alias("fingerprint"))
 

@@ -561,3 +561,18 @@ _DAYS = "d AS (SELECT event_type AS series, (user_id % 360)::INTEGER AS a, avg(v
 def q124_zoned_median(spark, sf_dir):
     d = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series"), (F.col("user_id") % 360).cast("int").alias("a")).agg(F.avg("value").alias("v"))
     return rounded(signal.zoned_median(d, "series", "a", "v").select("series", "a", "median"))
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS angle, string_agg(l_suppkey::VARCHAR, ',' ORDER BY l_partkey, l_quantity, l_suppkey) AS rings FROM lineitem WHERE l_partkey % 5 > 0 GROUP BY ALL")
+def q125_by_ray(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("mire_num"), F.col("l_linenumber").cast("long").alias("angle"), F.col("l_quantity").alias("radius"), F.col("l_suppkey").alias("x"), F.lit(0).alias("y"))
+    rays = polar.by_ray(li, li.filter("mire_num % 5 = 0"), "l_orderkey")
+    return rays.select("l_orderkey", "angle", F.array_join(F.transform("points", lambda p: p["x"].cast("string")), ",").alias("rings"))
+
+
+@query("SELECT c_custkey, c_acctbal AS first, c_nationkey::DOUBLE AS last, 1 AS degree FROM customer")
+def q126_coefficients(spark, sf_dir):
+    path = shared(spark, "coefficients")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.array(F.col("c_acctbal").cast("double"), F.lit(0.0), F.col("c_nationkey").cast("double")).alias("coefficients"))
+    writers.coefficients(c, path, 1)
+    return spark.read.parquet(path).select("c_custkey", F.element_at("coefficients", 1).alias("first"), F.element_at("coefficients", -1).alias("last"), "degree")

@@ -286,3 +286,24 @@ def verified(df: DataFrame, expected: DataFrame) -> DataFrame:
 def pixel_digest(width: Column, height: Column, data: Column) -> Column:
     """SHA-256 over "<width>x<height>:RGB:" and the pixel bytes."""
     return F.sha2(F.concat(F.encode(F.concat(width.cast("string"), F.lit("x"), height.cast("string"), F.lit(":RGB:")), "UTF-8"), data), 256)
+
+
+def gated_threshold(spark: SparkSession, model: str, summary: str) -> float:
+    """The decision threshold that a model's summary (a JSON document) gives, if the summary lets the model pass: an experimental one
+    must name the digest of the model's file, an accepted one must say that the test set was not touched."""
+    rows = spark.read.schema("status STRING, model_sha256 STRING, threshold DOUBLE, corrected STRUCT<threshold: DOUBLE>, test_set_inference_performed BOOLEAN").json(summary, multiLine=True).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("a model has one summary")
+    told = rows[0]
+    if told["status"] == "experimental_research_only":
+        digests = [r["d"] for r in spark.read.format("binaryFile").load(model).select(F.sha2("content", 256).alias("d")).limit(2).collect()]
+        if digests != [told["model_sha256"]]:
+            raise ValueError("the model is not the one of its summary")
+        threshold = told["threshold"]
+    elif told["status"] == "accepted" and told["test_set_inference_performed"] is False:
+        threshold = told["corrected"]["threshold"] if told["corrected"] else None
+    else:
+        raise ValueError("the model has not passed its gate")
+    if threshold is None or not 0 < threshold < 1:
+        raise ValueError("the threshold must be between 0 and 1")
+    return threshold

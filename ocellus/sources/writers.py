@@ -50,3 +50,10 @@ def locked(spark, path: str, fingerprint: str, compute: Callable[[], DataFrame])
 def markdown(row: dict[str, object], title: str) -> str:
     """A one-row result as a report."""
     return "\n".join([f"# {title}", "", "| Field | Value |", "| --- | --- |", *(f"| {k} | {v} |" for k, v in row.items()), ""])
+
+
+def coefficients(df: DataFrame, path: str, degree: int) -> None:
+    """Surface coefficients (key, coefficients) with the degree of their basis, as Parquet."""
+    size = (degree + 1) * (degree + 2) // 2
+    whole = F.when(F.size("coefficients") == size, F.col("coefficients")).otherwise(F.raise_error(F.lit(f"degree {degree} has {size} coefficients")).cast("array<double>"))
+    df.withColumn("coefficients", whole).withColumn("degree", F.lit(degree)).write.parquet(path)

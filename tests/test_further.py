@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 import struct
 import zlib
@@ -267,6 +268,21 @@ def test_png_palette_and_orientation():
             assert (readers.decode_png(png(a, 8, 0, extra=[(b"eXIf", exif)]))[3] == want).all()
 
 
+def test_model_gate(spark, tmp_path):
+    (tmp_path / "m.bin").write_bytes(b"weights")
+    good = {"status": "experimental_research_only", "model_sha256": hashlib.sha256(b"weights").hexdigest(), "threshold": 0.25}
+    accepted = {"status": "accepted", "test_set_inference_performed": False, "corrected": {"threshold": 0.5}}
+    cases = [(good, 0.25), (accepted, 0.5), (good | {"model_sha256": "x"}, "not the one"), (accepted | {"test_set_inference_performed": True}, "gate"), ({"status": "draft"}, "gate"), (good | {"threshold": 1.0}, "between"), (accepted | {"corrected": None}, "between")]
+    for i, (told, want) in enumerate(cases):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(told, indent=1))
+        if isinstance(want, float):
+            assert readers.gated_threshold(spark, str(tmp_path / "m.bin"), str(path)) == want
+        else:
+            with pytest.raises(ValueError, match=want):
+                readers.gated_threshold(spark, str(tmp_path / "m.bin"), str(path))
+
+
 OWN = sorted(k for k in __spark_entry__.oracle_sql() if k.startswith("q"))
 
 
