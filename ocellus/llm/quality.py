@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import fold, map_texts, ship
 from .training import fit_rising, labelled_sample
 
-PER_CLASS, DICTIONARY_BYTES, LEVEL = 2000, 32 << 10, 3
+PER_CLASS, DICTIONARY_BYTES, LEVEL = 2000, 112_640, 3
 BLOCK, SPREAD = 2048, 8
 FOLDS, THRESHOLD, LEAST = 5, 0.3, 16
 
