@@ -5,8 +5,8 @@ pre-token that is an entry as a whole, after comparing its bytes. Tier 2: any ot
 heap of candidate pairs over a doubly linked list of its bytes, in O(n log n). Decoding joins the entries'
 bytes. The rank file has a fixed size; the driver reads it, builds the hash and broadcasts both.
 
-Nulls count as empty texts, which have no ids. Repeated rows and ids give a row each. Other columns are not
-read. Texts are encoded whole; there are no special tokens.
+Nulls count as empty texts, which have no ids. Repeated rows and null or repeated ids give a row each. Other columns are
+not read. Texts of any length are encoded whole; there are no special tokens. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ class PerfectHash:
 
 
 #: Distinct merged pre-tokens that a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 class Codec:
