@@ -10,15 +10,17 @@ fingerprint has at most 43,744 others within distance 3 whatever the corpus: lin
 
 `similar_groups` serves where documents count as near copies at a given Jaccard similarity of their shingle sets
 (0.8 of five-word shingles, say), which is many more than 3 bits of 64 apart. Documents meet in buckets of 42 bands
-of six minimum hashes: a pair at 0.8 has no common bucket about three times in a million. The members of a bucket
-are first compared with its smallest one; then every two members that this has not put into one group are compared,
-block by block, so a bucket of any size is whole and one large group of copies costs no pairs. Sketches (a byte of
+of six minimum hashes: a pair at 0.8 has no common bucket about three times in a million. Each document is first
+compared with the smallest member of one of its buckets, then with those of its other buckets that are not yet in its
+group, then with the few members of its buckets whose sketches are most like its own; last, every two members of a
+bucket that this has not put into one group are compared, block by block. So a bucket of any size is whole, and one large
+group of copies costs a few pairs for each of them. Sketches (a byte of
 each minimum) drop pairs whose estimate is 0.12 or more below, which is over four standard deviations; what is left
 is decided by the exact similarity of the two texts' shingle sets.
 
 Components of the links are found by large and small stars in Spark. Null and empty texts have fingerprint zero,
 which links like any other. Rows that repeat an id give a row each; null ids are never a component's name unless
-it has no other. Other columns are not read. An empty table gives an empty result.
+it has no other. Texts of any length are taken whole. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, map_texts, staged
+from .common import ASCII_LOWER, column, discard, map_texts, staged, unused
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -245,26 +247,41 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, text: str, shi
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: float, block: int) -> DataFrame:
-    """Pairs of every two members of a bucket that are not yet in one group and whose sketches agree enough.
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, node, low, root) of buckets whose members are not yet in one group, with the root of the smallest
+    member and the number of members."""
+    named = staged(members.select("key", "node", "low").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    buckets = named.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.min_by("root", "node").alias("low_root"), F.count("*").alias("n"))
+    return staged(named.join(staged(buckets.filter("first < last").select("key", "low_root", "n"), "mixed-buckets"), "key"), "mixed-members")
+
+
+def _across(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: float, block: int, best: int | None = None) -> DataFrame:
+    """Pairs of every two members of a bucket that are not yet in one group and whose sketches agree enough; with `best` only
+    each member's so many that agree most.
 
     A bucket is cut into blocks of about `block` members, and each pair of its blocks is a cell that is dealt by itself."""
-    named = staged(members.select("key", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
-    mixed = named.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("n")).filter("first < last").select("key", F.ceil(F.col("n") / block).alias("blocks"))
-    mixed = staged(mixed, "mixed-buckets")
+    named = _mixed(members, labels).select("key", "node", "root", F.ceil(F.col("n") / block).alias("blocks"))
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cells = named.join(mixed, "key").withColumn("own", own).withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "root")
+    cells = named.withColumn("own", own).withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "root")
     cells = cells.join(sigs.select("node", "sketch"), "node").select("key", "i", "j", "second", "node", "root", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs(cell: pa.Table) -> pa.RecordBatch:
         second, node, root = (cell[c].to_numpy() for c in ("second", "node", "root"))
-        sketch, whole, found = _bytes_of(cell["sketch"]), cell["i"][0] == cell["j"][0], [np.zeros((0, 2), np.int64)]
+        sketch, whole, found = _bytes_of(cell["sketch"]), cell["i"][0] == cell["j"][0], [np.zeros((0, 3), np.int64)]
         for k in range(node.size):
             rest = np.flatnonzero((root != root[k]) & (node > node[k] if whole else second & ~second[k]))
-            rest = rest[(sketch[rest] == sketch[k]).sum(1) >= least * BANDS * ROWS]
-            found.append(np.stack([np.minimum(node[rest], node[k]), np.maximum(node[rest], node[k])], axis=1))
+            same = (sketch[rest] == sketch[k]).sum(1)
+            rest, same = rest[same >= least * BANDS * ROWS], same[same >= least * BANDS * ROWS]
+            found.append(np.stack([np.minimum(node[rest], node[k]), np.maximum(node[rest], node[k]), same], axis=1))
         ab = np.concatenate(found)
+        if best is not None:
+            of, at, same = np.r_[ab[:, 0], ab[:, 1]], np.tile(np.arange(len(ab)), 2), np.tile(ab[:, 2], 2)
+            order = np.lexsort((at, -same, of))
+            new = np.r_[True, of[order][1:] != of[order][:-1]] if of.size else np.zeros(0, bool)
+            place = np.arange(of.size)
+            nth = place - np.maximum.accumulate(np.where(new, place, 0))
+            ab = ab[np.unique(at[order][nth < best])]
         return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
     def run(batches):
@@ -292,12 +309,20 @@ def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     keyed = sigs.select("node", F.explode("keys").alias("key"))
     hubs = staged(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low"), "hubs")
     members = staged(keyed.join(hubs, "key").select("key", "node", "low"), "buckets")
-    first = staged(_close(members.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), sigs, least), "candidates")
-    links = staged(_verified(first, sigs, docs, text, shingle, similarity), "links")
+    # each node with one smallest member, then with those of its other buckets that are in another group, then any two members
+    tried = staged(_close(members.filter("low < node").groupBy(F.col("node").alias("b")).agg(F.min("low").alias("a")).select("a", "b"), sigs, least), "candidates")
+    links = staged(_verified(tried, sigs, docs, text, shingle, similarity), "links")
+    labels = staged(components(links), "labels")
+    open_ = _mixed(members, labels)
+    hubs = open_.filter("low < node AND root <> low_root").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = staged(_close(hubs, sigs, least), "candidates")
+    tried, links = tried.unionByName(more), links.unionByName(staged(_verified(more, sigs, docs, text, shingle, similarity), "links"))
     labels = staged(components(links), "labels")
-    rest = staged(_across(members, sigs, labels, least, block).join(first, ["a", "b"], "left_anti"), "candidates")
-    more = staged(_verified(rest, sigs, docs, text, shingle, similarity), "links")
-    labels = staged(components(links.unionByName(more)), "labels")
+    for best in (4, None):  # the most alike ones first: they join most groups that will be one, and those need no more pairs
+        rest = staged(_across(open_.select("key", "node", "low"), sigs, labels, least, block, best).join(tried, ["a", "b"], "left_anti"), "candidates")
+        tried, links = tried.unionByName(rest), links.unionByName(staged(_verified(rest, sigs, docs, text, shingle, similarity), "links"))
+        labels = staged(components(links), "labels")
+    discard(members, open_)
     rows = staged(labels.join(sigs.select("node", "doc", "sha"), "node"), "similar-rows")
     names = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "sha")).alias("name"))
     return rows.join(staged(names, "names"), "root").select(F.col("doc").alias(key), "sha", F.col("name.doc").alias("group_id"), F.col("name.sha").alias("group_sha"))
@@ -309,8 +334,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
 
 
 def without_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns, without those of a group but its named one."""
+    """The rows of docs, all columns, without those of a group but its named one. Other columns may have any names."""
+    mark, mine, theirs = unused(docs, "text_sha256", "gone_doc_id", "gone_sha256")
     same = F.col(key).eqNullSafe(F.col("group_id")) & (F.col("sha") == F.col("group_sha"))
-    gone = similar_rows(docs, key, text, shingle, similarity).filter(~same).select(F.col(key).alias("_id"), F.col("sha").alias("_sha")).distinct()
-    mine = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    return docs.withColumn("_sha256", mine).join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_sha")), "left_anti").drop("_sha256")
+    gone = similar_rows(docs, key, text, shingle, similarity).filter(~same).select(F.col(key).alias(mine), F.col("sha").alias(theirs)).distinct()
+    marked = docs.withColumn(mark, F.unhex(F.sha2(F.coalesce(column(text), F.lit("")), 256)))
+    return marked.join(gone, column(key).eqNullSafe(column(mine)) & (column(mark) == column(theirs)), "left_anti").select(*map(column, docs.columns))
