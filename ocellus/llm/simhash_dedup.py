@@ -214,33 +214,48 @@ def _close(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the Jaccard similarity or more; exact. Only texts of candidates are moved."""
-    nodes = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(sigs.select("node", "sha"), "node"), "candidate-nodes")
+class _Shingles:
+    """Shingle sets of texts, the last ones kept."""
+
+    def __init__(self, shingle: int, most: int = 1 << 21):
+        self.shingle, self.most, self.held, self.size = shingle, most, {}, 0
+
+    def __call__(self, node: int, text) -> np.ndarray:
+        if node not in self.held:
+            if self.size > self.most:
+                self.held.clear()
+                self.size = 0
+            self.held[node] = np.unique(np.array(shingle_hashes(text(node).encode(), self.shingle), np.uint64))
+            self.size += self.held[node].size
+        return self.held[node]
+
+    def alike(self, a: int, b: int, text, similarity: float) -> bool:
+        """Whether the sets of two nodes, whose texts `text` gives, have the Jaccard similarity or more."""
+        x, y = self(a, text), self(b, text)
+        both = np.intersect1d(x, y, assume_unique=True).size
+        return both * (1 + similarity) >= similarity * (x.size + y.size) - 1e-9
+
+
+def _texts(nodes: DataFrame, sigs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(node, text) of the nodes. Only texts of these are moved."""
+    nodes = staged(nodes.distinct().join(sigs.select("node", "sha"), "node"), "candidate-nodes")
     whole = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.unhex(F.sha2(whole, 256)).alias("sha"), whole.alias("text")).join(staged(nodes.select("sha").distinct(), "candidate-digests"), "sha", "left_semi").dropDuplicates(["sha"])
-    texts = staged(nodes.join(staged(texts, "distinct-texts"), "sha").select("node", "text"), "candidate-texts")
+    found = docs.select(F.unhex(F.sha2(whole, 256)).alias("sha"), whole.alias("text")).join(staged(nodes.select("sha").distinct(), "candidate-digests"), "sha", "left_semi").dropDuplicates(["sha"])
+    return staged(nodes.join(staged(found, "distinct-texts"), "sha").select("node", "text"), "candidate-texts")
 
-    def run(batches):
-        held, size = {}, 0
-
-        def shingles(node: int, text: bytes) -> np.ndarray:
-            nonlocal size
-            if node not in held:
-                if size > 1 << 21:
-                    held.clear()
-                    size = 0
-                held[node] = np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
-                size += held[node].size
-            return held[node]
 
+def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the Jaccard similarity or more; exact."""
+    texts = _texts(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), sigs, docs, text)
+
+    def run(batches):
+        held = _Shingles(shingle)
         for batch in batches:
             a, b, ta, tb = (c.to_pylist() for c in batch.columns)
             fits = []
             for i in range(len(a)):
-                x, y = shingles(a[i], ta[i].encode()), shingles(b[i], tb[i].encode())
-                both = np.intersect1d(x, y, assume_unique=True).size
-                fits.append(both * (1 + similarity) >= similarity * (x.size + y.size) - 1e-9)
+                of = {a[i]: ta[i], b[i]: tb[i]}
+                fits.append(held.alike(a[i], b[i], of.__getitem__, similarity))
             yield batch.select([0, 1]).filter(pa.array(fits, pa.bool_()))
 
     of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"t{side}"))
@@ -256,23 +271,29 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: float, block: int, best: int | None = None) -> DataFrame:
-    """Pairs of every two members of a bucket that are not yet in one group and whose sketches agree enough; with `best` only
-    each member's so many that agree most.
+    """Every two members of a bucket that are not yet in one group and whose sketches agree enough, in the first bucket that
+    they share: with `best` pairs (a, b), of each member so many that agree most; without, a row (key, i, j, node, partners) for
+    each member of a cell that has or is a partner.
 
     A bucket is cut into blocks of about `block` members, and each pair of its blocks is a cell that is dealt by itself."""
     named = _mixed(members, labels).select("key", "node", "root", F.ceil(F.col("n") / block).alias("blocks"))
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     cells = named.withColumn("own", own).withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "root")
-    cells = cells.join(sigs.select("node", "sketch"), "node").select("key", "i", "j", "second", "node", "root", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    cells = cells.join(sigs.select("node", "sketch", "keys"), "node").select("key", "i", "j", "second", "node", "root", "sketch", "keys").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs(cell: pa.Table) -> pa.RecordBatch:
         second, node, root = (cell[c].to_numpy() for c in ("second", "node", "root"))
+        bands = cell["keys"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        here = (bands == cell["key"][0].as_py()).argmax(1)
         sketch, whole, found = _bytes_of(cell["sketch"]), cell["i"][0] == cell["j"][0], [np.zeros((0, 3), np.int64)]
         for k in range(node.size):
             rest = np.flatnonzero((root != root[k]) & (node > node[k] if whole else second & ~second[k]))
             same = (sketch[rest] == sketch[k]).sum(1)
-            rest, same = rest[same >= least * BANDS * ROWS], same[same >= least * BANDS * ROWS]
+            close = same >= least * BANDS * ROWS
+            rest, same = rest[close], same[close]
+            first = (bands[rest] == bands[k]).argmax(1) == here[k]  # a pair counts in the first bucket that it shares
+            rest, same = rest[first], same[first]
             found.append(np.stack([np.minimum(node[rest], node[k]), np.maximum(node[rest], node[k]), same], axis=1))
         ab = np.concatenate(found)
         if best is not None:
@@ -282,7 +303,20 @@ def _across(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: float
             place = np.arange(of.size)
             nth = place - np.maximum.accumulate(np.where(new, place, 0))
             ab = ab[np.unique(at[order][nth < best])]
-        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+        ab = ab[np.argsort(ab[:, 0], kind="stable")]
+        nodes = np.unique(ab[:, :2])
+        stops = np.searchsorted(ab[:, 0], nodes, side="right")
+        partners = pa.ListArray.from_arrays(pa.array(np.r_[0, stops], pa.int32()), pa.array(ab[:, 1]))
+        place = [pa.array(np.full(nodes.size, cell[c][0].as_py()), pa.int64()) for c in ("key", "i", "j")]
+        return pa.RecordBatch.from_arrays([*place, pa.array(nodes), partners], names=["key", "i", "j", "node", "partners"])
+
+    kind = "a long, b long" if best is not None else "key long, i long, j long, node long, partners array<long>"
+    return cells.mapInArrow(_by_cell(pairs), kind)
+
+
+def _by_cell(one):
+    """Applies `one` to the rows of each cell, from rows sorted by cell (key, i, j), one cell at a time."""
 
     def run(batches):
         left = None
@@ -292,15 +326,31 @@ def _across(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: float
             at = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
             cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist()]
             for lo, hi in zip(cuts, cuts[1:]):  # noqa: B905
-                yield pairs(table.slice(lo, hi - lo))
+                yield one(table.slice(lo, hi - lo))
             left = table.slice(cuts[-1])
         if left is not None and left.num_rows:
-            yield pairs(left)
+            yield one(left)
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return run
+
+
+def _verified_cells(found: DataFrame, sigs: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of members of a cell and their partners whose shingle sets have the similarity or more; exact. A cell's
+    texts are brought to it, one for each member that has or is a partner, so no row is made for a pair."""
+    texts = _texts(found.select("node"), sigs, docs, text)
+    dealt = found.join(texts, "node").select("key", "i", "j", "node", "partners", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def links(cell: pa.Table) -> pa.RecordBatch:
+        held = _Shingles(shingle)
+        node, partners, of = cell["node"].to_pylist(), cell["partners"].to_pylist(), cell["text"]
+        place = {n: k for k, n in enumerate(node)}
+        ab = [(n, p) for n, some in zip(node, partners, strict=True) for p in some if held.alike(n, p, lambda x: of[place[x]].as_py(), similarity)]
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in ab], pa.int64()), pa.array([b for _, b in ab], pa.int64())], names=["a", "b"])
 
+    return dealt.mapInArrow(_by_cell(links), "a long, b long")
 
-def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 1000) -> DataFrame:
+
+def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 500) -> DataFrame:
     """(doc_id, sha, group_id, group_sha) of the rows that are linked to others, a row being known by its id and the
     SHA-256 of its text; the group's name is its row of the smallest id, a null id counting as the largest."""
     found = map_texts(docs, _signatures(shingle), "sha binary, keys array<long>, sketch binary", key, text).withColumnRenamed(key, "doc")
@@ -318,11 +368,15 @@ def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     more = staged(_close(hubs, sigs, least), "candidates")
     tried, links = tried.unionByName(more), links.unionByName(staged(_verified(more, sigs, docs, text, shingle, similarity), "links"))
     labels = staged(components(links), "labels")
-    for best in (4, None):  # the most alike ones first: they join most groups that will be one, and those need no more pairs
-        rest = staged(_across(open_.select("key", "node", "low"), sigs, labels, least, block, best).join(tried, ["a", "b"], "left_anti"), "candidates")
-        tried, links = tried.unionByName(rest), links.unionByName(staged(_verified(rest, sigs, docs, text, shingle, similarity), "links"))
-        labels = staged(components(links), "labels")
-    discard(members, open_)
+    # the most alike ones first: they join most groups that will be one, and those need no more pairs
+    members = open_.select("key", "node", "low")
+    near = staged(_across(members, sigs, labels, least, block, 4).distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+    links = links.unionByName(staged(_verified(near, sigs, docs, text, shingle, similarity), "links"))
+    labels = staged(components(links), "labels")
+    rest = staged(_across(members, sigs, labels, least, block), "cells")
+    links = links.unionByName(staged(_verified_cells(rest, sigs, docs, text, shingle, similarity), "links"))
+    labels = staged(components(links), "labels")
+    discard(open_, rest)
     rows = staged(labels.join(sigs.select("node", "doc", "sha"), "node"), "similar-rows")
     names = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "sha")).alias("name"))
     return rows.join(staged(names, "names"), "root").select(F.col("doc").alias(key), "sha", F.col("name.doc").alias("group_id"), F.col("name.sha").alias("group_sha"))
