@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number_distance
@@ -30,18 +29,34 @@ def _probes(width: int, radius: int) -> int:
     return sum(comb(width, k) for k in range(radius + 1))
 
 
-def bands_for(rows: int, most: int, bits: int = 64, most_probes: int = 2000) -> list[tuple[int, int, int]]:
+def bands_for(rows: int, most: int, bits: int = 64) -> list[tuple[int, int, int]]:
     """Bands (first bit, width, radius) of the bits: two codes at most `most` bits apart differ by the radius or less in one of
     them. Of all numbers of bands, that with the least work a row: its probes, and the rows that they meet if the codes were random."""
-    best = None
-    for n in range(1, min(bits, most + 1) + 1):
-        edges, radius = [round(i * bits / n) for i in range(n + 1)], most // n
-        widths = [hi - lo for lo, hi in zip(edges, edges[1:], strict=False)]
-        if sum(_probes(w, min(radius, w)) for w in widths) <= most_probes:
-            work = sum(_probes(w, min(radius, w)) * (1 + rows / 2**w) for w in widths)
-            if best is None or work < best[0]:
-                best = work, [(lo, w, min(radius, w)) for lo, w in zip(edges, widths, strict=False)]
-    return best[1]
+
+    def cut(n: int) -> list[tuple[int, int, int]]:
+        edges = [round(i * bits / n) for i in range(n + 1)]
+        return [(lo, hi - lo, min(most // n, hi - lo)) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+    return min(map(cut, range(1, min(bits, most + 1) + 1)), key=lambda bands: sum(_probes(w, r) * (1 + rows / 2**w) for _, w, r in bands))
+
+
+def _part(code: Column, first: int, width: int) -> Column:
+    return F.shiftrightunsigned(F.shiftleft(code, 64 - first - width), 64 - width) if width < 64 else code
+
+
+def _flipped(word: Column, width: int, flips: int, start: Column | None = None) -> Column:
+    """All words that differ from `word` in exactly `flips` of `width` bits, made within the row; the plan grows by one
+    nested lambda a flip, however many words there are."""
+    if flips == 0:
+        return F.array(word)
+    bit = lambda i: F.call_function("shiftleft", F.expr("1L"), i.cast("int"))
+    return F.flatten(F.transform(F.sequence(F.lit(0) if start is None else start, F.lit(width - flips)), lambda i: _flipped(word.bitwiseXOR(bit(i)), width, flips - 1, i + 1)))
+
+
+def _keyed(code: Column, bands: Sequence[tuple[int, int, int]], flips: Sequence[int]) -> Column:
+    """(band, part) for each band's words that are as many flips away as `flips` has for the band, one row each when exploded."""
+    named = lambda i: lambda x: F.struct(F.lit(i).alias("band"), x.alias("part"))
+    return F.flatten(F.array(*(F.transform(_flipped(_part(code, lo, w), w, k), named(i)) for (i, (lo, w, _)), k in zip(enumerate(bands), flips, strict=True) if k <= w)))
 
 
 def hamming_pairs(df: DataFrame, key: str, code: str, most: int, bits: int = 64) -> DataFrame:
@@ -49,25 +64,16 @@ def hamming_pairs(df: DataFrame, key: str, code: str, most: int, bits: int = 64)
 
     The bits are cut into bands; a pair that close differs in one band by few bits only. So one side is keyed by its
     bands and the other by all words near its bands, an equality join finds all pairs, the distance is verified in the
-    join, and a pair counts in the first band that finds it. How many bands there are follows the number of rows:
-    about log2(rows) bits each, so that a key holds a few unrelated rows whatever the size of the table.
+    join, and a pair counts in the first band that finds it. How many bands there are follows the number of rows, with
+    no limit: bands of about log2(rows) bits each, so that a key holds a few unrelated rows whatever the size of the table.
     """
-    cut = bands_for(df.count(), most, bits)
-    part = lambda c, lo, w: F.shiftrightunsigned(F.shiftleft(c, 64 - lo - w), 64 - w) if w < 64 else c
-    masks = lambda w, r: [sum(1 << i for i in some) for k in range(r + 1) for some in combinations(range(w), k)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    near = lambda c, lo, w, r: F.transform(F.array(*(F.lit(signed(m)).cast("long") for m in masks(w, r))), lambda m: part(c, lo, w).bitwiseXOR(m))
+    bands = bands_for(df.count(), most, bits)
     c = F.col(code)
-    home = F.array(*(F.struct(F.lit(i).alias("band"), part(c, lo, w).alias("part")) for i, (lo, w, _) in enumerate(cut)))
-    a = df.select(F.col(key).alias("a"), c.alias("ca"), F.explode(home).alias("e")).select("a", "ca", "e.band", "e.part")
-    named = lambda i: lambda x: F.struct(F.lit(i).alias("band"), x.alias("part"))
-    probes = F.flatten(F.array(*(F.transform(near(c, lo, w, r), named(i)) for i, (lo, w, r) in enumerate(cut))))
+    a = df.select(F.col(key).alias("a"), c.alias("ca"), F.explode(_keyed(c, bands, [0] * len(bands))).alias("e")).select("a", "ca", "e.band", "e.part")
+    probes = F.concat(*(_keyed(c, bands, [k if k <= r else 65 for _, _, r in bands]) for k in range(max(r for _, _, r in bands) + 1)))
     b = df.select(F.col(key).alias("b"), c.alias("cb"), F.explode(probes).alias("e")).select("b", "cb", "e.band", "e.part")
     apart = F.col("ca").bitwiseXOR(F.col("cb"))
-    first = None
-    for i, (lo, w, r) in enumerate(cut):
-        hit = F.bit_count(part(apart, lo, w)) <= r
-        first = F.when(hit, i) if first is None else first.when(hit, i)
+    first = F.coalesce(*(F.when(F.bit_count(_part(apart, lo, w)) <= r, i) for i, (lo, w, r) in enumerate(bands)))
     joined = a.join(b, ["band", "part"]).filter((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most) & (F.col("band") == first))
     return joined.select("a", "b", F.bit_count(apart).alias("distance"))
 
@@ -82,39 +88,120 @@ def nearest_reference(df: DataFrame, key: str, code: str, references: DataFrame,
     return df.select(F.col(key), best.alias("m")).select(key, "m.reference", "m.distance")
 
 
+#: A probe of the index costs about as much as comparing a row with so many references in a block.
+PROBE_COST = 256
+
+
+class NearIndex:
+    """Distinct reference codes, each with its two smallest keys, keyed by the bands of the first code; in the shared folder.
+
+    Bands are as wide as log2 of the number of codes, so a word of a band has one unrelated code on average at any size.
+    A row's neighbours are enumerated by growing radius: after all words `flips` or fewer bits from its bands have been
+    probed, every reference nearer than `reach(flips)` has been met.
+    """
+
+    def __init__(self, references: DataFrame, key: str, codes: Sequence[str], bits: int = 64):
+        self.codes = [f"r{i}" for i in range(len(codes))]
+        rows = references.select(F.col(key).alias("k"), *(F.col(c).cast("long").alias(r) for c, r in zip(codes, self.codes, strict=True))).dropna()
+        order = Window.partitionBy(*self.codes).orderBy("k")
+        two = rows.withColumn("n", F.row_number().over(order)).filter("n <= 2").groupBy(*self.codes).agg(F.min("k").alias("k1"), F.max(F.when(F.col("n") == 2, F.col("k"))).alias("k2"))
+        self.table, _ = _written(two, "near-index")
+        self.size = self.table.count()
+        n = max(1, bits // max(1, (max(1, self.size) - 1).bit_length()))
+        edges = [round(i * bits / n) for i in range(n + 1)]
+        self.bands = [(lo, hi - lo, 0) for lo, hi in zip(edges, edges[1:], strict=False)]
+        home = _keyed(F.col(self.codes[0]), self.bands, [0] * n)
+        self.home = self.table.select("*", F.explode(home).alias("e")).select(*self.codes, "k1", "k2", "e.band", "e.part")
+
+    def reach(self, flips: int) -> int:
+        """Codes at most this far apart have a band with `flips` or fewer differing bits."""
+        return len(self.bands) * (flips + 1) - 1
+
+    def probes(self, flips: int) -> int:
+        return sum(comb(w, flips) for _, w, _ in self.bands)
+
+    def met(self, rows: DataFrame, codes: Sequence[str], flips: int) -> DataFrame:
+        """rows (key `q` and codes) with every reference that one of their words at exactly `flips` flips meets."""
+        word = F.explode(_keyed(F.col(codes[0]), self.bands, [flips] * len(self.bands))).alias("e")
+        return rows.select("*", word).select("q", *codes, "e.band", "e.part").join(self.home, ["band", "part"])
+
+
+def _best(found: DataFrame, codes: Sequence[str], others: Sequence[str], names: Sequence[str], skip_same_key: bool) -> DataFrame:
+    """q, m: the least (distances, reference) of each row's candidates."""
+    reference = F.when(F.col("k1") != F.col("q"), F.col("k1")).otherwise(F.col("k2")) if skip_same_key else F.col("k1")
+    told = found.select("q", *(hamming(F.col(c), F.col(r)).alias(d) for c, r, d in zip(codes, others, names, strict=True)), reference.alias("reference"))
+    return told.filter("reference IS NOT NULL").groupBy("q").agg(F.min(F.struct(*names, "reference")).alias("m"))
+
+
 def nearest_of_table(df: DataFrame, key: str, codes: Sequence[str], references: DataFrame, ref_key: str, ref_codes: Sequence[str], skip_same_key: bool = False, block: int = 4096) -> DataFrame:
     """The nearest row of a reference table of any size, by the distances of all codes in turn, then the smaller key.
 
-    Both tables are cut into blocks by a hash of the key, and every pair of blocks is compared in numpy in a group
-    of its own, so the search is exact; the best of each pair of blocks meet in one aggregate. With skip_same_key a
-    row is not its own reference. Without a reference a row has nulls. Keys are unique, codes not null.
+    Rows look their neighbours up in an index of the references by the first code, with a growing radius: a row is
+    done when the best reference met so far is nearer than any that has not been met, and only the rest goes on to
+    the next radius. References of equal codes are one entry, so copies make no hot key. The number of words grows
+    quickly with the radius; where probing them would cost more than comparing a row with all references, the rows
+    that are still open are compared with all references, in blocks: the search is exact at any distance. With
+    skip_same_key a row is not its own reference. Without a reference, or a code of its own, a row has nulls. Keys are unique.
     """
-    kind, ref_kind = df.schema[key].dataType.simpleString(), references.schema[ref_key].dataType.simpleString()
-    n_df, n_ref = (max(1, -(-x.count() // block)) for x in (df, references))
-    names = [f"d{i}" for i in range(len(codes))]
-    both = lambda x, k, cs, mine, others, n: x.select(F.col(k).alias("k"), F.array(*(F.col(c).cast("long") for c in cs)).alias("c"), F.pmod(F.xxhash64(k), F.lit(n)).alias(mine)).withColumn(others, F.explode(F.sequence(F.lit(0), F.lit((n_ref if mine == "p" else n_df) - 1))))
-    left, right = both(df, key, codes, "p", "q", n_df), both(references, ref_key, ref_codes, "q", "p", n_ref)
+    index = NearIndex(references, ref_key, ref_codes)
+    names, own = [f"d{i}" for i in range(len(codes))], [f"c{i}" for i in range(len(codes))]
+    rows = df.select(F.col(key).alias("q"), *(F.col(c).cast("long").alias(o) for c, o in zip(codes, own, strict=True)))
+    left, _ = _written(rows.dropna(), "near-open")
+    done, flips = [], 0
+    empty = F.lit(None).cast(_best(index.met(left, own, 0), own, index.codes, names, skip_same_key).schema["m"].dataType)
+    left = left.withColumn("m", empty)
+    while index.size and index.probes(flips) * PROBE_COST <= max(index.size, PROBE_COST * len(index.bands)):
+        found = _best(index.met(left, own, flips), own, index.codes, names, skip_same_key).withColumnRenamed("m", "new")
+        after, _ = _written(left.join(found, "q", "left").select("q", *own, F.least("m", "new").alias("m")), "near-open")
+        near = F.coalesce(F.col(f"m.{names[0]}") <= index.reach(flips), F.lit(False))
+        done.append(after.filter(near).select("q", "m"))
+        left, flips = after.filter(~near), flips + 1
+        if left.isEmpty():
+            break
+    else:
+        done.append(_compared(left, own, index, names, skip_same_key, block))
+    best = done[0]
+    for x in done[1:]:
+        best = best.unionByName(x)
+    return df.select(F.col(key).alias("_k")).join(best, F.col("_k") == F.col("q"), "left").select(F.col("_k").alias(key), "m.reference", *(f"m.{d}" for d in names))
+
+
+def _compared(rows: DataFrame, own: Sequence[str], index: NearIndex, names: Sequence[str], skip_same_key: bool, block: int) -> DataFrame:
+    """q, m: rows against all references, block by block in numpy; the best of each pair of blocks meet in one aggregate."""
+    n_rows, n_refs = max(1, -(-rows.count() // block)), max(1, -(-index.size // block))
+    dealt = lambda x, by, mine, others, n, m: x.withColumn(mine, F.pmod(F.xxhash64(*by), F.lit(n))).withColumn(others, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left = dealt(rows.select("q", *own), ["q"], "x", "y", n_rows, n_refs)
+    right, others = dealt(index.table, index.codes, "y", "x", n_refs, n_rows), list(index.codes)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"k": a["k"][:0], "reference": b["k"][:0], **{d: np.zeros(0, np.int32) for d in names}})
-        b = b.sort_values("k", kind="stable")
-        keys, refs = a["k"].to_numpy(), b["k"].to_numpy()
-        x, y = np.stack(a["c"].to_numpy()).astype(np.int64).view(np.uint64), np.stack(b["c"].to_numpy()).astype(np.int64).view(np.uint64)
-        at, ok, found = np.zeros(keys.size, int), np.ones(keys.size, bool), np.zeros((keys.size, len(names)), np.int32)
-        for r in range(keys.size):
-            open_ = np.flatnonzero(refs != keys[r]) if skip_same_key else np.arange(refs.size)
-            ok[r] = open_.size > 0
-            for c in range(len(names) if ok[r] else 0):
-                d = np.bitwise_count(y[open_, c] ^ x[r, c])
-                found[r, c] = d.min()
-                open_ = open_[d == d.min()]
-            at[r] = open_[0] if ok[r] else 0
-        return pd.DataFrame({"k": keys[ok], "reference": refs[at[ok]], **{d: found[ok, c] for c, d in enumerate(names)}})
-
-    cells = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(run, f"k {kind}, reference {ref_kind}, " + ", ".join(f"{d} int" for d in names))
-    best = cells.groupBy("k").agg(F.min(F.struct(*names, "reference")).alias("m"))
-    return df.select(F.col(key).alias("_k")).join(best, F.col("_k") == F.col("k"), "left").select(F.col("_k").alias(key), "m.reference", *(f"m.{d}" for d in names))
+        keys, k1 = a["q"].to_numpy(), b["k1"].to_numpy()
+        out = {"q": [], "reference": [], **{d: [] for d in names}}
+        order = np.argsort(k1, kind="stable")
+        b = b.iloc[order]
+        k1, k2 = b["k1"].to_numpy(), b["k2"].to_numpy()
+        mine = [a[c].to_numpy().astype(np.int64).view(np.uint64) for c in own]
+        theirs = [b[c].to_numpy().astype(np.int64).view(np.uint64) for c in others]
+        for start in range(0, keys.size if k1.size else 0, 256):
+            part = slice(start, start + 256)
+            far = np.bitwise_count(mine[0][part, None] ^ theirs[0]).astype(np.int16)
+            same = (keys[part, None] == k1) if skip_same_key else np.zeros(far.shape, bool)
+            lone = same & pd.isna(k2)
+            far[lone] = 999
+            i, j = np.nonzero(far == far.min(axis=1)[:, None])
+            i, j = i[~lone[i, j]], j[~lone[i, j]]
+            d = [np.bitwise_count(x[part][i] ^ y[j]).astype(np.int32) for x, y in zip(mine, theirs, strict=True)]
+            reference = np.where(same[i, j], k2[j], k1[j])
+            by = np.lexsort((pd.Series(reference).rank(method="dense").to_numpy(), *d[::-1], i))
+            first = by[np.r_[True, i[by][1:] != i[by][:-1]]] if by.size else by
+            out["q"].append(keys[part][i[first]])
+            out["reference"].append(reference[first])
+            for name, x in zip(names, d, strict=True):
+                out[name].append(x[first])
+        return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, object) for c, v in out.items()})
+
+    kinds = rows.schema["q"].dataType.simpleString(), index.table.schema["k1"].dataType.simpleString()
+    cells = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(run, f"q {kinds[0]}, reference {kinds[1]}, " + ", ".join(f"{d} int" for d in names))
+    return cells.groupBy("q").agg(F.min(F.struct(*names, "reference")).alias("m"))
 
 
 def pair_status(pairs: DataFrame, decisions: DataFrame, exact: Column) -> DataFrame:
@@ -131,6 +218,13 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A copy of the table in the shared folder, and where it is."""
+    path = f"{_shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def connected(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """Smallest member of each node's component; nodes without pairs are their own.
 
@@ -139,14 +233,8 @@ def connected(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     local default) in place of the one before, so lineage stays short and a lost executor loses nothing.
     """
     spark = pairs.sparkSession
-    folder = _shared_folder(spark)
-    files = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def written(df: DataFrame) -> tuple[DataFrame, str]:
-        path = f"{folder}/connected-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path), path
-
+    files = spark._jvm.org.apache.hadoop.fs.Path(_shared_folder(spark)).getFileSystem(spark._jsc.hadoopConfiguration())
+    written = lambda df: _written(df, "connected")
     edges, _ = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels, at = written(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     while True:

@@ -205,10 +205,14 @@ def q18_hamming_pairs(spark, sf_dir):
 
 
 @query(f"""
-    WITH {_HASH} SELECT vec_id, r.reference, r.distance FROM (SELECT a.vec_id, min({{'distance': bit_count(xor(a.code, b.code))::INTEGER, 'reference': b.vec_id}}) AS r FROM h a, (SELECT * FROM h WHERE vec_id < 50) b GROUP BY a.vec_id)""")
+    WITH {_HASH}, t AS (SELECT label, i, sum(floor(256 * embedding[i]::DOUBLE))::BIGINT AS x FROM embeddings, unnest(range(1, 65)) u(i) GROUP BY ALL), l AS (SELECT label, list(x ORDER BY i) AS x FROM t GROUP BY label),
+    c AS (SELECT label, list_sum(list_transform(range(0, 63), lambda i: CASE WHEN x[i + 2] > x[i + 1] THEN 1::HUGEINT << i ELSE 0 END))::BIGINT AS code FROM l)
+    SELECT vec_id, r.reference, r.distance FROM (SELECT h.vec_id, min({{'distance': bit_count(xor(h.code, c.code))::INTEGER, 'reference': c.label}}) AS r FROM h, c GROUP BY h.vec_id)""")
 def q19_nearest_reference(spark, sf_dir):
-    h = hashed(spark, sf_dir)
-    return neardup.nearest_reference(h, "vec_id", "code", h.filter("vec_id < 50"), "vec_id", "code")
+    """The label whose summed vector's hash is nearest to each row's."""
+    parts = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.sum(F.floor(256 * F.col("x").cast("double"))).alias("x"))
+    sums = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))  # one entry a component
+    return neardup.nearest_reference(hashed(spark, sf_dir), "vec_id", "code", sums.select("label", neardup.sign_hash(F.col("v.x")).alias("code")), "label", "code")
 
 
 @query(f"""

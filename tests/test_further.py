@@ -48,7 +48,42 @@ def test_hamming_bands(spark, n, most, bits):
     assert got == [(i, j, d) for i, j in itertools.combinations(range(len(codes)), 2) if (d := (codes[i] ^ codes[j]).bit_count()) <= most]
     for size in (100, 10**6, 10**9, 10**12):
         cut = neardup.bands_for(size, most, bits)
-        assert sum(w for _, w, _ in cut) == bits and sum(neardup._probes(w, r) for _, w, r in cut) <= 2000 and sum(r + 1 for *_, r in cut) > most
+        assert sum(w for _, w, _ in cut) == bits and sum(r + 1 for *_, r in cut) > most
+        work = sum(neardup._probes(w, r) * (1 + size / 2**w) for _, w, r in cut)
+        assert work <= size or size <= 10**6  # less than all rows, however many
+
+
+@pytest.mark.parametrize("skip", [True, False])
+def test_nearest_by_index_and_blocks(spark, monkeypatch, skip):
+    """Both ways, copies, own keys at other codes, nulls and text keys."""
+    rng = random.Random(5)
+    base = [(rng.getrandbits(63), rng.getrandbits(30)) for _ in range(40)]
+    made = [(p ^ sum(1 << b for b in rng.sample(range(63), k)), d ^ rng.getrandbits(2)) for p, d in base for k in (0, 0, 1, 2, 5)]
+    refs = [(f"k{i % 97}-{i // 97}", p, d) for i, (p, d) in enumerate(made)] + [("none", None, 1)]
+    asked = [(k, p ^ (1 << rng.randrange(63)) if i % 3 else p, d) for i, (k, p, d) in enumerate(refs[:150])] + [("far", rng.getrandbits(63), 0), ("null", None, None)]
+    left, right = (spark.createDataFrame(x, "id string, p long, d int") for x in (asked, refs))
+    want = {}
+    for k, p, d in asked:
+        found = [((p ^ q).bit_count(), (d ^ e).bit_count(), j) for j, q, e in refs if q is not None and not (skip and j == k)] if p is not None else []
+        want[k] = min(found) if found else (None, None, None)
+    for cost in (256, 1):  # blocks after one probe; the index for some radii
+        monkeypatch.setattr(neardup, "PROBE_COST", cost)
+        got = neardup.nearest_of_table(left, "id", ["p", "d"], right, "id", ["p", "d"], skip, block=64)
+        assert {r["id"]: (r["d0"], r["d1"], r["reference"]) for r in got.collect()} == want
+    none = neardup.nearest_of_table(left, "id", ["p", "d"], right.limit(0), "id", ["p", "d"], skip)
+    assert {tuple(r)[1:] for r in none.collect()} == {(None, None, None)}
+
+
+def test_index_meets_few_at_any_size(spark):
+    """Candidates a row stay level from 1e4 to 1e6 references."""
+    met = {}
+    for n in (10**4, 10**6):
+        refs = spark.range(n).select("id", F.xxhash64("id").alias("p"))
+        asked = spark.range(200).select(F.col("id").alias("q"), F.xxhash64("id").bitwiseXOR(F.expr("7L")).alias("c0"))
+        index = neardup.NearIndex(refs, "id", ["p"])
+        met[n] = [index.met(asked, ["c0"], k).count() / 200 for k in (0, 1)]
+        assert met[n][0] < 6 and met[n][1] < 2 * index.probes(1)
+    assert met[10**6][0] < 3 * met[10**4][0] + 3
 
 
 def test_duplicate_candidates(spark):
