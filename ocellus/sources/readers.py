@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.audit import raise_unless, require_columns
+from .jpeg import decode_jpeg
 
 ANNOTATION_COLUMNS = ["filename", "file_size", "annotation_count", "annotation_ID", "attributes", "shape_coordinates"]
 MANIFEST_COLUMNS = ["filename", "image_path", "label", "pixel_sha256", "duplicate_group", "issues"]
@@ -168,6 +169,15 @@ def decode_png(data: bytes) -> tuple[int, int, int, np.ndarray]:
     return out.shape[1], out.shape[0], out.shape[2], out
 
 
+def decode(data: bytes) -> tuple[int, int, int, np.ndarray]:
+    """Width, height, channels and rows of a PNG or JPEG, known by its first bytes, upright by its EXIF orientation."""
+    if data[:2] != b"\xff\xd8":
+        return decode_png(data)
+    rows, exif = decode_jpeg(data)
+    rows = np.ascontiguousarray(upright(rows, orientation(exif)))
+    return rows.shape[1], rows.shape[0], rows.shape[2], rows
+
+
 def decoded(df: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Adds image (width, height, channels, data) or error; an empty, too large or unreadable file has a null image."""
 
@@ -180,7 +190,7 @@ def decoded(df: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
                         raise ValueError("empty file")
                     if len(content) > most_bytes:
                         raise ValueError("file too large")
-                    w, h, c, rows = decode_png(bytes(content))
+                    w, h, c, rows = decode(bytes(content))
                     images.append({"width": w, "height": h, "channels": c, "data": rows.tobytes()})
                     errors.append(None)
                 except (ValueError, struct.error, zlib.error) as e:
