@@ -76,49 +76,61 @@ def nearest_entry(value: Column, entries: Sequence[float]) -> Column:
     return F.array_min(listed)["i"]
 
 
-def neighbour_graph(points: DataFrame, key: str, radial: float = 1.0, least: float = 1.5, degrees: float = 2.0) -> DataFrame:
-    """Edges (a < b) between points (id, angle, radius, x, y) of different angle whose radii differ by at most `radial`
-    and that lie within max(arc of `degrees` at the radius, least). Joined on a grid of cells of the largest reach."""
-    reach = F.greatest(F.radians(F.lit(degrees)) * F.col("radius"), F.lit(least))
-    widest = points.agg(F.max(reach)).first()[0] or 1.0
+def neighbour_graph(points: DataFrame, key: str, radial: float = 1.0, least: float = 1.5, degrees: float = 2.0, centre: tuple[str, str] | None = None) -> DataFrame:
+    """Edges (a < b) between points (id, angle, radius, x, y) of different angle, with the ends whose rule they meet: `ahead` (a's)
+    and `behind` (b's). An end's rule takes the offset to the other point along its own ray and across it: at most `radial` along,
+    and at most the arc of `degrees` at its radius, or `least`, across. Rays start at the `centre` columns, or at (0, 0); a point
+    at the centre has no ray, so no rule of its own. Joined on a grid of cells of the largest reach."""
+    across = F.greatest(F.radians(F.lit(degrees)) * F.col("radius"), F.lit(least))
+    widest = points.agg(F.max(F.hypot(across, F.lit(radial)))).first()[0] or 1.0
     cell = lambda c: F.floor(F.col(c) / widest)
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = points.withColumn("reach", reach).withColumn("gx", cell("x")).withColumn("gy", cell("y")).withColumn("sx", F.explode(step)).withColumn("sy", F.explode(step))
-    a = a.select(key, *(F.col(c).alias(f"a_{c}") for c in ("id", "angle", "radius", "x", "y", "reach")), (F.col("gx") + F.col("sx")).alias("gx"), (F.col("gy") + F.col("sy")).alias("gy"))
-    b = points.select(key, *(F.col(c).alias(f"b_{c}") for c in ("id", "angle", "radius", "x", "y")), cell("x").alias("gx"), cell("y").alias("gy"))
-    close = (F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")) <= F.col("a_reach")) & (F.abs(F.col("a_radius") - F.col("b_radius")) <= radial) & (F.col("a_angle") != F.col("b_angle"))
-    hit = a.join(b, [key, "gx", "gy"]).filter(close)
-    return hit.select(key, F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+    from_x, from_y = (F.col(c) - (F.lit(0.0) if centre is None else F.col(o)) for c, o in zip(("x", "y"), centre or ("", ""), strict=True))
+    away = F.nullif(F.hypot(from_x, from_y), F.lit(0.0))
+    a = points.withColumns({"ux": from_x / away, "uy": from_y / away, "across": across, "gx": cell("x"), "gy": cell("y")}).withColumn("sx", F.explode(step)).withColumn("sy", F.explode(step))
+    a = a.select(key, *(F.col(c).alias(f"a_{c}") for c in ("id", "angle", "x", "y", "ux", "uy", "across")), (F.col("gx") + F.col("sx")).alias("gx"), (F.col("gy") + F.col("sy")).alias("gy"))
+    b = points.select(key, *(F.col(c).alias(f"b_{c}") for c in ("id", "angle", "x", "y")), cell("x").alias("gx"), cell("y").alias("gy"))
+    dx, dy = F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y")
+    along, over = F.abs(dx * F.col("a_ux") + dy * F.col("a_uy")), F.abs(dy * F.col("a_ux") - dx * F.col("a_uy"))
+    hit = a.join(b, [key, "gx", "gy"]).filter((over <= F.col("a_across")) & (along <= radial) & (F.col("a_angle") != F.col("b_angle")))
+    ends = hit.select(key, F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), (F.col("a_id") < F.col("b_id")).alias("ahead"))
+    return ends.groupBy(key, "a", "b").agg(F.bool_or("ahead").alias("ahead"), F.bool_or(~F.col("ahead")).alias("behind"))
 
 
 def ring_components(points: DataFrame, edges: DataFrame, key: str, least: int = 10) -> DataFrame:
-    """Components that hold an angle once: a depth-first walk in order of id that refuses a point whose angle the
-    component already has. Order matters, so one numpy pass per picture. Components under `least` points drop out."""
+    """Components that hold an angle about once: a depth-first walk from the smallest id on, last queued first.
+
+    A step queues the unvisited neighbours whose angle the component had not queued before the step, so two neighbours of one
+    angle come in together. Neighbours are queued in the order in which edges were found going through the points by id:
+    first those with a smaller id whose own rule found the point, then those that its rule found, then the rest. Order
+    matters, so one pass per picture. Components under `least` points drop out."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("id")
         angle = dict(zip(left["id"], left["angle"], strict=True))
-        near: dict[int, list[int]] = {}
-        for a, b in zip(right["a"], right["b"], strict=True):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
+        near: dict[int, list[tuple[int, int]]] = {}
+        for a, b, ahead, behind in zip(right["a"], right["b"], right["ahead"], right["behind"], strict=True):
+            near.setdefault(a, []).append((1 if ahead else 2, b))
+            near.setdefault(b, []).append((0 if ahead else 1 if behind else 2, a))
         found: dict[int, int] = {}
-        for start in left["id"]:
+        queued: set[int] = set()
+        for name, start in enumerate(left["id"]):
             if start in found:
                 continue
-            taken, stack, name = {angle[start]}, [start], len(found)
-            found[start] = name
+            angles, stack = {angle[start]}, [start]
+            queued.add(start)
             while stack:
-                for other in sorted(near.get(stack.pop(), ())):
-                    if other not in found and angle[other] not in taken:
-                        taken.add(angle[other])
-                        found[other] = name
-                        stack.append(other)
+                at = stack.pop()
+                found[at] = name
+                new = [x for _, x in sorted(near.get(at, ())) if x not in queued and angle[x] not in angles]
+                queued.update(new)
+                stack += new
+                angles.update(angle[x] for x in new)
         left["component"] = left["id"].map(found)
         return left[left.groupby("component")["id"].transform("size") >= least]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + ", component long"
-    links = edges.select(F.col(key).alias("_picture"), "a", "b")
+    links = edges.select(F.col(key).alias("_picture"), "a", "b", "ahead", "behind")
     return points.groupBy(key).cogroup(links.groupBy("_picture")).applyInPandas(run, schema)
 
 
@@ -191,9 +203,9 @@ def ring_locations(pixels: DataFrame, centres: DataFrame, key: str, length: int,
     x, y, intensity, component; the key must not be called id."""
     t = F.radians(F.col("angle").cast("double"))
     hits = radial_scan(pixels, centres, key, length, rings).join(centres.select(key, "cx", "cy"), key)
-    points = hits.withColumn("x", F.col("cx") + F.col("radius") * F.cos(t)).withColumn("y", F.col("cy") + F.col("radius") * F.sin(t)).drop("cx", "cy", "n")
+    points = hits.withColumn("x", F.col("cx") + F.col("radius") * F.cos(t)).withColumn("y", F.col("cy") + F.col("radius") * F.sin(t)).drop("n")
     points = points.withColumn("id", F.col("angle").cast("long") * rings + F.col("mire_num")).withColumn("mire_num", F.col("mire_num").cast("int"))
-    numbered = shift_corrected(ring_components(points, neighbour_graph(points, key), key, least), key)
+    numbered = shift_corrected(ring_components(points.drop("cx", "cy"), neighbour_graph(points, key, centre=("cx", "cy")), key, least), key)
     return unique_only(numbered, [key, "mire_num", "angle"]).select(key, "mire_num", "angle", "radius", "x", "y", "intensity", "component")
 
 

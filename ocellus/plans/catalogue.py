@@ -246,9 +246,9 @@ def q23_group_split(spark, sf_dir):
     return split.split_counts(c, "y")
 
 
-@query(f"WITH {_SPLIT} SELECT c_nationkey, count(DISTINCT split) AS splits FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1")
+@query(f"WITH {_SPLIT.replace('c_nationkey', 'c_custkey')} SELECT c_nationkey, count(DISTINCT split) AS splits FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def q24_split_violations(spark, sf_dir):
-    return split.split_violations(split.split_by_fraction(table(spark, sf_dir, "customer"), "c_nationkey"), "c_nationkey")
+    return split.split_violations(split.split_by_fraction(table(spark, sf_dir, "customer"), "c_custkey"), "c_nationkey")
 
 
 @query()
@@ -498,11 +498,14 @@ def q52_quality_issues(spark, sf_dir):
 
 
 @query("""
-    SELECT vec_id, array_to_string(list_filter([CASE WHEN b < 0.08 THEN 'too_dark' WHEN b > 0.11 THEN 'too_bright' END, CASE WHEN c < 0.07 THEN 'low_contrast' END], lambda x: x IS NOT NULL), ';') AS issues
-    FROM (SELECT vec_id, avg(v) AS b, stddev_pop(v) AS c FROM (SELECT vec_id, abs(unnest(embedding)::DOUBLE) AS v FROM embeddings) GROUP BY vec_id)""")
+    SELECT vec_id, array_to_string(list_filter([CASE WHEN least(w, h) < 200 THEN 'too_small' END, CASE WHEN w / h < 0.75 OR w / h > 1.25 THEN 'aspect' END, CASE WHEN b < 0.08 THEN 'too_dark' WHEN b > 0.11 THEN 'too_bright' END, CASE WHEN c < 0.07 THEN 'low_contrast' END, CASE WHEN s < 20 THEN 'blurred' END], lambda x: x IS NOT NULL), ';') AS issues
+    FROM (SELECT vec_id, 180 + vec_id % 90 AS w, 180 + vec_id * 7 % 210 AS h, 10 + vec_id % 37 AS s, avg(v) AS b, stddev_pop(v) AS c FROM (SELECT vec_id, abs(unnest(embedding)::DOUBLE) AS v FROM embeddings) GROUP BY vec_id)""")
 def q53_quality_gate(spark, sf_dir):
-    m = grid.moments(pictures(spark, sf_dir), "vec_id").select("vec_id", F.lit(224).alias("width"), F.lit(224).alias("height"), F.col("brightness_mean").alias("brightness"), F.col("contrast_std").alias("contrast"), F.lit(99.0).alias("sharpness"))
-    return grid.quality_gate(m, {"min_brightness": 0.08, "max_brightness": 0.11, "min_contrast": 0.07}).select("vec_id", F.array_join("issues", ";").alias("issues"))
+    i = F.col("vec_id")
+    sides = (180 + i % 90).alias("width"), (180 + i * 7 % 210).alias("height"), (10 + i % 37).alias("sharpness")
+    m = grid.moments(pictures(spark, sf_dir), "vec_id").select(i, *sides, F.col("brightness_mean").alias("brightness"), F.col("contrast_std").alias("contrast"))
+    limits = {"min_side": 200, "max_aspect": 1.25, "min_brightness": 0.08, "max_brightness": 0.11, "min_contrast": 0.07}
+    return grid.quality_gate(m, limits).select("vec_id", F.array_join("issues", ";").alias("issues"))
 
 
 # ---------------------------------------------------------------- fits, decisions, review, queue

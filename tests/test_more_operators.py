@@ -1,12 +1,13 @@
 """Ridge kernels, frame breaks, masks, heads and cascades."""
 
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ocellus.operators import breaks, enhance, masks
+from ocellus.operators import breaks, enhance, masks, polar
 from ocellus.operators.signal import find_peaks
 
 
@@ -161,3 +162,64 @@ def test_head_and_cascade(spark):
     assert sorted((r["id"], r["stage"], r["status"]) for r in masks.cascade(items, "id", [stage(3), stage(2)]).collect()) == [(0, 0, "ok"), (1, 1, "failed"), (2, 1, "ok"), (3, 0, "ok"), (4, 1, "ok"), (5, 1, "failed")]
 
 
+
+
+# ---------------------------------------------------------------- ring neighbours and components
+
+
+def plain_graph(points, radial=1.0, least=1.5):
+    """Pairs by either end's rule, in the order in which going through the points finds them."""
+    near = {i: [] for i, *_ in points}
+    for i, angle, radius, x, y in points:
+        ux, uy = x / math.hypot(x, y), y / math.hypot(x, y)
+        for j, other, _, u, v in points:
+            dx, dy = u - x, v - y
+            if other != angle and abs(dx * ux + dy * uy) <= radial and abs(dy * ux - dx * uy) <= max(2 * radius * math.pi / 180, least):
+                near[i] += [] if j in near[i] else [j]
+                near[j] += [] if i in near[j] else [i]
+    return near
+
+
+def plain_components(points, near):
+    angle, found, n = {p[0]: p[1] for p in points}, {}, 0
+    for i, *_ in points:
+        if i in found:
+            continue
+        todo, angles, n = [i], [angle[i]], n + 1
+        while todo:
+            at = todo.pop()
+            found[at] = n
+            fresh = [j for j in near[at] if j not in found and j not in todo and angle[j] not in angles]
+            todo += fresh
+            angles += [angle[j] for j in fresh]
+    return {frozenset(i for i in found if found[i] == c) for c in found.values()}
+
+
+def test_ring_neighbours_along_and_across(spark):
+    kind = "k int, id long, angle double, radius double, x double, y double"
+    two = [(1, 1, 0.0, 10.0, 10.0, 0.0), (1, 2, 7.3, math.hypot(10.9, 1.4), 10.9, 1.4)]  # 1.4 across, 0.9 along, 1.66 apart
+    assert [tuple(r)[1:] for r in polar.neighbour_graph(spark.createDataFrame(two, kind), "k").collect()] == [(1, 2, True, False)]
+    step = [(1, 1, 0.0, 10.0, 10.0, 0.0), (1, 2, 2.0, 10.0, 10.0, 0.35), (1, 3, 2.0, 10.6, 10.6, 0.37)]  # two of one angle enter together
+    points = spark.createDataFrame(step, kind)
+    assert len({r["component"] for r in polar.ring_components(points, polar.neighbour_graph(points, "k"), "k", 1).collect()}) == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ring_components_of_pictures(spark, seed):
+    """Four rings of a picture, wobbling, broken and touching, away from the origin."""
+    rnd = random.Random(seed)
+    points = []
+    for ring in range(4):
+        for angle in range(0, 360, rnd.choice((1, 2, 3))):
+            if rnd.random() < 0.93:
+                r = 6 + 5 * ring + rnd.choice((0, 0, 0, 0.7, -0.8)) + (2.5 * math.sin(angle / 9) if ring == 2 else 0)
+                points.append((angle * 4 + ring, float(angle), r, r * math.cos(math.radians(angle)), r * math.sin(math.radians(angle))))
+    points.sort()
+    near = plain_graph(points)
+    df = spark.createDataFrame([(7, *p[:3], p[3] + 50, p[4] + 80, 50.0, 80.0) for p in points], "k int, id long, angle double, radius double, x double, y double, cx double, cy double")
+    edges = polar.neighbour_graph(df, "k", centre=("cx", "cy"))
+    assert {(r["a"], r["b"]) for r in edges.collect()} == {(min(i, j), max(i, j)) for i in near for j in near[i]}
+    got = {}
+    for r in polar.ring_components(df, edges, "k", 1).collect():
+        got.setdefault(r["component"], set()).add(r["id"])
+    assert {frozenset(x) for x in got.values()} == plain_components(points, near)
