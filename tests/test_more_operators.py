@@ -212,7 +212,7 @@ def test_ring_components_of_pictures(spark, seed):
     for ring in range(4):
         for angle in range(0, 360, rnd.choice((1, 2, 3))):
             if rnd.random() < 0.93:
-                r = 6 + 5 * ring + rnd.choice((0, 0, 0, 0.7, -0.8)) + (2.5 * math.sin(angle / 9) if ring == 2 else 0)
+                r = 6.0 + 5 * ring + rnd.choice((0, 0, 0, 0.7, -0.8)) + (2.5 * math.sin(angle / 9) if ring == 2 else 0)
                 points.append((angle * 4 + ring, float(angle), r, r * math.cos(math.radians(angle)), r * math.sin(math.radians(angle))))
     points.sort()
     near = plain_graph(points)
