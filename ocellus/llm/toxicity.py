@@ -9,8 +9,8 @@ Weights are log-odds learned from a bounded sample of labelled training document
 whatever their length: a word enters the lexicon if it is in enough toxic documents, is far likelier in toxic
 than in other documents, and is spread over unrelated documents. For the last, near copies are first reduced to
 one document by three min-hashes of their shingles, so that the vocabulary of one much-copied document isn't
-taken for toxic. Exception phrases are word pairs with a lexicon word that only clean documents have. Model size
-is bounded by MAX_WORDS and MAX_PHRASES.
+taken for toxic. Exception phrases are word pairs with a lexicon word that only clean documents have, three at least.
+All words and phrases that pass are kept: what the sample's texts hold bounds the model, and nothing else does.
 
 Null counts as empty, which scores as a text without matches. Texts are scored whole, of any length. Every row gives a
 row, also of repeated or null ids; other columns are not read. Without labels of both classes every score is the share
@@ -19,6 +19,8 @@ of toxic labels (0 without labels). An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -33,7 +35,7 @@ from .common import fold, keep_texts, map_texts, ship
 from .training import fit_logistic, labelled_sample, sigmoid
 
 PER_CLASS, FOLDS, THRESHOLD = 4000, 5, 0.5
-MAX_WORDS, MAX_PHRASES, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 2000, 2000, 4, 0.004, 2.5
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 4, 0.004, 2.5
 #: Look-alike characters and what they stand for (fixed values).
 LOOK_ALIKE = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ո": "n",
@@ -79,8 +81,9 @@ class ToxicityModel:
         found = [x for x in found if (x[0] == 0 or not text[x[0] - 1].isalnum()) and (x[1] == len(text) or not text[x[1]].isalnum())]
         if not found or not self.phrases:
             return found
-        excused = [x for x in found if x[2] == 0.0]
-        return [x for x in found if x[2] != 0.0 and not any(a <= x[0] and x[1] <= b for a, b, _ in excused)]
+        excused = sorted((a, b) for a, b, w in found if w == 0.0)
+        starts, reach = [a for a, _ in excused], [0, *itertools.accumulate((b for _, b in excused), max)]
+        return [x for x in found if x[2] != 0.0 and reach[bisect.bisect_right(starts, x[0])] < x[1]]
 
     def load(self, texts: list[str]) -> np.ndarray:
         """The feature of each text: log of 1 + 100 times the matched weight per word."""
@@ -120,7 +123,7 @@ def _lexicon(sample: DataFrame) -> dict[str, float]:
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (clean + 1.0))
     counted = unlike.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     best = counted.filter(F.col("a") >= max(LEAST_DOCS, LEAST_SHARE * toxic)).withColumn("w", odds).filter((F.col("w") >= LEAST_ODDS) & (F.length("word") >= 3))
-    out = {r["word"]: r["w"] for r in best.orderBy(F.desc("w"), "word").limit(MAX_WORDS).collect()}
+    out = {r["word"]: r["w"] for r in best.collect()}
     unlike.unpersist()
     return out
 
@@ -152,7 +155,7 @@ def _phrases(sample: DataFrame, model: ToxicityModel) -> set[str]:
         return {"pairs": pa.array(out, pa.list_(pa.string()))}
 
     counted = _with_y(sample, map_texts(sample, pairs, "pairs array<string>")).select("y", F.explode("pairs").alias("pair")).groupBy("pair").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
-    return {r["pair"] for r in counted.filter("a = 0 AND n >= 3").orderBy(F.desc("n"), "pair").limit(MAX_PHRASES).collect()}
+    return {r["pair"] for r in counted.filter("a = 0 AND n >= 3").collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = FOLDS) -> ToxicityModel:
