@@ -71,11 +71,12 @@ def shares(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     totals = vocabulary.select("lang", F.explode("counts").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
     found = docs.select(*(F.coalesce(column(c).cast("string"), F.lit("")).alias(k) for k, c in (("lang", lang), ("source", source)))).distinct()
     groups = staged(found.join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total")), "groups")
-    salt = F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int").alias("salt")
-    terms = vocabulary.join(sizes, "lang").select("lang", salt, "term", share(F.col("n_lang"), F.col("total_lang"), F.col("kept")).alias("q"), "kept", "counts")
-    dealt = groups.select("lang", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "source", "total")
-    full = terms.join(dealt, ["lang", "salt"]).select("lang", "term", "source", F.coalesce(F.try_element_at("counts", F.col("source")), F.lit(0)).alias("n"), "total", "q", "kept")
-    full = staged(full.select("lang", "term", "source", "n", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), "q"), "shares")
+    salt = F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")
+    dealt = groups.join(sizes, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "source", "total", "total_lang", "kept")
+    full = vocabulary.withColumn("salt", salt).join(dealt, ["lang", "salt"])
+    full = full.select("lang", "term", "source", F.coalesce(F.try_element_at("counts", F.col("source")), F.lit(0)).alias("n"), "total", "n_lang", "total_lang", "kept")
+    p, q = share(F.col("n"), F.col("total"), F.col("kept")), share(F.col("n_lang"), F.col("total_lang"), F.col("kept"))
+    full = staged(full.select("lang", "term", "source", "n", p.alias("p"), q.alias("q")), "shares")
     discard(vocabulary)
     return groups, full
 
