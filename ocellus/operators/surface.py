@@ -226,6 +226,33 @@ def kisa(central_k: Column, inferior: Column, superior: Column, astigmatism: Col
     return F.greatest(F.lit(1.0), central_k - 47.2) * F.greatest(F.lit(1.0), DIOPTRES * F.abs(inferior - superior)) * astigmatism * F.greatest(F.lit(1.0), skew) * 0.33
 
 
+#: Angles at which the superior and the inferior half are sampled, 300 twice, and the rings of the steepest radii (fixed values).
+SUPERIOR, INFERIOR, CENTRAL, STEEPEST = (30, 60, 90, 120, 150), (210, 240, 270, 300, 300), (0, 1, 2), (2, 15)
+
+
+def kisa_of_map(grid: DataFrame, rings: DataFrame, eyes: DataFrame, key: str) -> DataFrame:
+    """central_k, srax, i_s and kisa of curvature maps: grid (key, y, x, k), ring points (key, mire_num, angle, x, y as offsets from
+    the centre) and eyes (key, cx, cy, r_3, astigmatism). Positions are cut to whole pixels; points beyond the map are not counted.
+
+    central_k is the mean of the three innermost rings, srax the skew of the steepest points of two rings in the lower (10 to
+    170 degrees) and the upper half (190 to 350), the first of equals by angle and ring; a half without a positive point, or
+    one above -1, counts as angle -1. i_s compares five samples on the circle r_3 of either half."""
+    cut = lambda c: F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("int")
+    at = rings.filter(F.col("mire_num").isin(*CENTRAL, *STEEPEST)).join(eyes.select(key, "cx", "cy"), key)
+    at = at.select(key, "mire_num", "angle", cut(F.col("y") + F.col("cy")).alias("y"), cut(F.col("x") + F.col("cx")).alias("x")).join(grid.select(key, "y", "x", "k"), [key, "y", "x"])
+    steep = lambda lo, hi: F.min_by("angle", F.when(F.col("mire_num").isin(*STEEPEST) & F.col("angle").between(lo, hi) & (F.col("k") > -1), F.struct(-F.col("k"), F.col("angle"), F.col("mire_num"))))
+    found = at.groupBy(key).agg(F.avg(F.when(F.col("mire_num").isin(*CENTRAL), F.col("k"))).alias("_k"), steep(10, 170).alias("_lower"), steep(190, 350).alias("_upper"))
+    far = F.radians(F.col("_a").cast("double"))
+    taken = eyes.select(key, "cx", "cy", "r_3", F.explode(F.array(*map(F.lit, (*SUPERIOR, *INFERIOR)))).alias("_a"))
+    taken = taken.select(key, "_a", cut(F.col("cx") + F.col("r_3") * F.cos(far)).alias("x"), cut(F.col("cy") + F.col("r_3") * F.sin(far)).alias("y")).join(grid.select(key, "y", "x", "k"), [key, "y", "x"])
+    halves = taken.groupBy(key).agg(F.avg(F.when(F.col("_a") < 180, F.col("k"))).alias("_s"), F.avg(F.when(F.col("_a") > 180, F.col("k"))).alias("_i"))
+    apart = F.coalesce("_upper", F.lit(-1)) - F.coalesce("_lower", F.lit(-1))
+    both = eyes.select(key, "astigmatism").join(found, key).join(halves, key)
+    skew = F.greatest(180 - F.least(apart, 360 - apart), F.lit(1)).cast("double")
+    told = both.select(key, F.greatest(F.lit(1.0), DIOPTRES * F.col("_k") - 47.2).alias("central_k"), skew.alias("srax"), F.greatest(F.lit(1.0), DIOPTRES * F.abs(F.col("_i") - F.col("_s"))).alias("i_s"), kisa(DIOPTRES * F.col("_k"), F.col("_i"), F.col("_s"), F.col("astigmatism"), skew).alias("kisa"))
+    return told.withColumn("kisa", F.round("kisa", 2))
+
+
 def axial(grid: DataFrame, key: str, angle: str, radius: str, curvature: str) -> DataFrame:
     """Mean curvature from the centre out to each point along its ray, in dioptres."""
     from pyspark.sql import Window

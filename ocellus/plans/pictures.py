@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sheets, signal
+from ..operators import edges, grid, sheets, signal, surface
 from ..sources import blobs, readers
 from .catalogue import query, table
 from .further import shared
@@ -57,3 +57,69 @@ def q128_video_frames(spark, sf_dir):
     add = lambda a, b: a + b
     zero = F.lit(0).cast("long")
     return told.select("video", "frame", "time", "frames", F.aggregate("v", zero, add).alias("level"), F.aggregate(F.transform("v", lambda x, i: x * i), zero, add).alias("placed"))
+
+
+# ---------------------------------------------------------------- edges, thresholds, masks, the index of a curvature map
+
+#: The same pictures as rows of pixels.
+_PIXELS = f"{_PICTURE}, g AS (SELECT vec_id, (i // 8)::INTEGER AS y, (i % 8)::INTEGER AS x, v[i + 1] AS v FROM e, unnest(range(0, 64)) u(i))"
+
+
+def dots(spark, sf_dir):
+    level = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), 128 + F.floor(256 * x.cast("double"))))
+    e = table(spark, sf_dir, "embeddings").withColumn("p", F.transform("embedding", level))
+    return grid.from_array(e, "vec_id", "p", 8).withColumn("v", F.col("v").cast("long"))
+
+
+@query(f"""
+    WITH RECURSIVE {_PIXELS}, w AS (SELECT vec_id, y, x, v, coalesce(lag(v) OVER r, v) AS l, coalesce(lead(v) OVER r, v) AS q FROM g WINDOW r AS (PARTITION BY vec_id, y ORDER BY x)),
+    s AS (SELECT vec_id, y, x, q - l AS d, l + 2 * v + q AS t FROM w),
+    gr AS (SELECT vec_id, y, x, coalesce(lag(d) OVER c, d) + 2 * d + coalesce(lead(d) OVER c, d) AS gx, coalesce(lead(t) OVER c, t) - coalesce(lag(t) OVER c, t) AS gy FROM s WINDOW c AS (PARTITION BY vec_id, x ORDER BY y)),
+    m AS (SELECT *, abs(gx) + abs(gy) AS m FROM gr),
+    n AS (SELECT m.*, CASE WHEN abs(gy) * 32768 < abs(gx) * 13573 THEN 0 WHEN abs(gy) * 32768 > abs(gx) * (13573 + 65536) THEN 1 WHEN (gx < 0) <> (gy < 0) THEN 2 ELSE 3 END AS way FROM m),
+    k AS (SELECT n.*, coalesce(a.m, 0) AS before, coalesce(b.m, 0) AS behind FROM n
+        LEFT JOIN m a ON a.vec_id = n.vec_id AND a.y = n.y - CASE WHEN way = 0 THEN 0 ELSE 1 END AND a.x = n.x + CASE way WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE -1 END
+        LEFT JOIN m b ON b.vec_id = n.vec_id AND b.y = n.y + CASE WHEN way = 0 THEN 0 ELSE 1 END AND b.x = n.x - CASE way WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE -1 END),
+    h AS (SELECT vec_id, median(v) AS v FROM g GROUP BY vec_id),
+    thin AS (SELECT k.vec_id, y, x, gx, gy, m > floor(least(255.0, 1.33::DOUBLE * h.v)) AS strong FROM k JOIN h USING (vec_id) WHERE m > before AND CASE WHEN way < 2 THEN m >= behind ELSE m > behind END AND m > floor(greatest(0.0, (1 - 0.33::DOUBLE) * h.v))),
+    grown(vec_id, y, x) AS (SELECT vec_id, y, x FROM thin WHERE strong UNION SELECT t.vec_id, t.y, t.x FROM grown o JOIN thin t ON t.vec_id = o.vec_id AND abs(t.y - o.y) <= 1 AND abs(t.x - o.x) <= 1)
+    SELECT vec_id, y, x, gx, gy FROM grown JOIN thin USING (vec_id, y, x)""")
+def q129_canny(spark, sf_dir):
+    return edges.canny(dots(spark, sf_dir), "vec_id").select("vec_id", "y", "x", "gx", "gy")
+
+
+@query(f"""
+    WITH {_PIXELS}, c AS (SELECT vec_id, v, count(*) AS n FROM g GROUP BY ALL), s AS (SELECT vec_id, v, sum(n) OVER u AS c, sum(n * v) OVER u AS s, sum(n) OVER w AS ca, sum(n * v) OVER w AS sa FROM c WINDOW u AS (PARTITION BY vec_id ORDER BY v), w AS (PARTITION BY vec_id)),
+    b AS (SELECT vec_id, v, (sa::DOUBLE * c - s::DOUBLE * ca) ** 2 / (c::DOUBLE * (ca - c)) AS b FROM s WHERE c < ca)
+    SELECT vec_id, arg_min(v, {{'b': -b, 'v': v}})::INTEGER AS threshold FROM b GROUP BY vec_id""")
+def q130_otsu(spark, sf_dir):
+    return edges.otsu(dots(spark, sf_dir), "vec_id")
+
+
+@query(f"""
+    WITH {_PIXELS}, p AS (SELECT vec_id, y, x, v >= 120 AS s FROM g), n AS (SELECT p.vec_id, p.y, p.x, bool_or(q.s) AS wide, bool_and(q.s) AS thin FROM p JOIN p q ON q.vec_id = p.vec_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 GROUP BY ALL)
+    SELECT vec_id, count(*) FILTER (wide) AS dilated, sum(8 * y + x) FILTER (wide)::BIGINT AS dilated_at, count(*) FILTER (thin) AS eroded, coalesce(sum(8 * y + x) FILTER (thin), 0)::BIGINT AS eroded_at FROM n GROUP BY vec_id HAVING bool_or(wide)""")
+def q131_morphology(spark, sf_dir):
+    side, mask = F.lit(8), dots(spark, sf_dir).filter("v >= 120").select("vec_id", "y", "x")
+    told = lambda df, n: df.groupBy("vec_id").agg(F.count("*").alias(n), F.sum(8 * F.col("y") + F.col("x")).cast("long").alias(f"{n}_at"))
+    wide, thin = told(edges.dilated(mask, "vec_id", side, side), "dilated"), told(edges.eroded(mask, "vec_id", side, side), "eroded")
+    return wide.join(thin, "vec_id", "left").select("vec_id", "dilated", "dilated_at", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("eroded", "eroded_at")))
+
+
+@query(f"""
+    WITH {_PIXELS}, k AS (SELECT vec_id, y, x, v / 1000.0::DOUBLE AS k FROM g), o AS (SELECT vec_id, 3 + vec_id % 2 AS cx, 4 AS cy, 1 + vec_id % 3 AS r, 1 + vec_id % 5 AS ast FROM e),
+    ring AS (SELECT m, a, (0.4 + m * 0.15) * cos(radians(a::DOUBLE)) AS x, (0.4 + m * 0.15) * sin(radians(a::DOUBLE)) AS y FROM unnest([0, 1, 2, 15]) t(m), range(0, 360) u(a)),
+    p AS (SELECT o.vec_id, m, a, k FROM o, ring JOIN k ON k.vec_id = o.vec_id AND k.y = trunc(ring.y + o.cy) AND k.x = trunc(ring.x + o.cx)),
+    s AS (SELECT vec_id, avg(k) FILTER (m < 3) AS c, arg_min(a, {{'k': -k, 'a': a, 'm': m}}) FILTER (m IN (2, 15) AND a BETWEEN 10 AND 170) AS lo, arg_min(a, {{'k': -k, 'a': a, 'm': m}}) FILTER (m IN (2, 15) AND a BETWEEN 190 AND 350) AS hi FROM p GROUP BY vec_id),
+    h AS (SELECT o.vec_id, avg(k) FILTER (a < 180) AS s, avg(k) FILTER (a > 180) AS i FROM o, unnest([30, 60, 90, 120, 150, 210, 240, 270, 300, 300]) t(a) JOIN k ON k.vec_id = o.vec_id AND k.x = trunc(o.cx + o.r * cos(radians(a::DOUBLE))) AND k.y = trunc(o.cy + o.r * sin(radians(a::DOUBLE))) GROUP BY o.vec_id),
+    f AS (SELECT vec_id, greatest(1.0, 337.5 * c - 47.2) AS central_k, greatest(180 - least(hi - lo, 360 - (hi - lo)), 1)::DOUBLE AS srax, greatest(1.0, 337.5 * abs(i - s)) AS i_s, ast FROM s JOIN h USING (vec_id) JOIN o USING (vec_id))
+    SELECT vec_id, round(central_k, 8) AS central_k, srax, round(i_s, 6) AS i_s, round(central_k * i_s * ast * srax * 0.33, 1) AS kisa FROM f""")
+def q132_kisa_of_map(spark, sf_dir):
+    """Vectors as curvature maps, with rings of 0.4 + 0.15 m pixels about a centre that moves with the id."""
+    i = F.col("vec_id")
+    maps = dots(spark, sf_dir).withColumn("k", F.col("v") / 1000.0)
+    eyes = table(spark, sf_dir, "embeddings").select(i, (3 + i % 2).alias("cx"), F.lit(4).alias("cy"), (1 + i % 3).alias("r_3"), (1 + i % 5).cast("double").alias("astigmatism"))
+    turn, far = F.radians(F.col("angle").cast("double")), 0.4 + F.col("mire_num") * 0.15
+    rings = eyes.select("vec_id", F.explode(F.array(*map(F.lit, (0, 1, 2, 15)))).alias("mire_num")).select("*", F.explode(F.sequence(F.lit(0), F.lit(359))).alias("angle")).withColumn("x", far * F.cos(turn)).withColumn("y", far * F.sin(turn))
+    out = surface.kisa_of_map(maps, rings, eyes, "vec_id")
+    return out.select("vec_id", F.round("central_k", 8).alias("central_k"), "srax", F.round("i_s", 6).alias("i_s"), F.round(F.col("central_k") * F.col("i_s") * (1 + i % 5) * F.col("srax") * 0.33, 1).alias("kisa"))
