@@ -6,8 +6,10 @@ is the one quantity that is scored; a rising curve, fitted to labelled documents
 makes it the chance of the good label.
 
 Dictionaries and curve come from separate parts of a bounded sample of labelled training documents, PER_CLASS of
-either class; a document gives the dictionaries up to SPREAD blocks, evenly spread over the whole text, and the curve
-its whole text. Class weights restore the labels' own proportions.
+either class; a document gives its whole text to either. The blocks of a class are dealt by hash into shards of about
+SHARD_BYTES, each shard trains a dictionary in a task, and the dictionaries of many shards are the text of the next
+level, until one is left: every block counts, and no task or driver holds a class's text. Class weights restore the
+labels' own proportions.
 
 Texts are scored whole, of any length. Null counts as empty, whose difference is 0. Every row gives a row, also of
 repeated or null ids; other columns are not read. If either class has too few labelled documents for a dictionary,
@@ -16,19 +18,21 @@ every score is the share of good labels (0.5 without labels). An empty table giv
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_texts, ship
+from .common import discard, fold, map_texts, ship, staged
 from .training import fit_rising, labelled_sample
 
 PER_CLASS, DICTIONARY_BYTES, LEVEL = 2000, 112_640, 3
-BLOCK, SPREAD = 2048, 8
+BLOCK, SHARD_BYTES = 2048, 16 << 20
 FOLDS, THRESHOLD, LEAST = 5, 0.3, 16
 
 
@@ -67,34 +71,60 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
     return out
 
 
-def _spread(text: bytes) -> list[bytes]:
-    """Up to SPREAD blocks, the first and the last among them, evenly spaced."""
-    blocks = -(-len(text) // BLOCK)
-    return [text[k * BLOCK : (k + 1) * BLOCK] for k in sorted({round(j * (blocks - 1) / max(1, SPREAD - 1)) for j in range(SPREAD)})] if blocks else []
+def _blocks(text: bytes) -> list[bytes]:
+    return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
+
+
+def _train(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One dictionary of a shard's blocks, in order of their digests, whatever order they came in; none of too little text."""
+    some = sorted(map(bytes, pdf["block"]), key=lambda x: (hashlib.md5(x).digest(), x))
+    try:
+        raw = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, some)) // 4)), some).as_bytes()
+    except zstandard.ZstdError:
+        return pd.DataFrame({"y": [], "dictionary": []})
+    return pd.DataFrame({"y": [pdf["y"].iloc[0]], "dictionary": [raw]})
+
+
+def dictionaries(blocks: DataFrame, shard_bytes: int = SHARD_BYTES) -> dict[int, bytes]:
+    """A dictionary of each class (y) of all blocks (y, place, block): one dictionary a shard, those of a class's shards cut
+    to blocks again for the next level. Shards are dealt by place, a hash of where a block stands, so that copies of one
+    block spread. Two dictionaries come to the driver."""
+    if shard_bytes < 4 * DICTIONARY_BYTES:
+        raise ValueError(f"shards of {shard_bytes} bytes don't hold a few dictionaries")
+    held = []
+    try:
+        while True:
+            sizes = {r["y"]: r["n"] for r in blocks.groupBy("y").agg(F.sum(F.octet_length("block")).alias("n")).collect()}
+            shards = {y: -(-n // shard_bytes) for y, n in sizes.items()}
+            many = F.coalesce(*(F.when(F.col("y") == y, F.lit(n)) for y, n in shards.items()), F.lit(1))
+            trained = blocks.groupBy("y", F.pmod("place", many).alias("shard")).applyInPandas(_train, "y int, dictionary binary")
+            if max(shards.values(), default=1) == 1:
+                return {r["y"]: bytes(r["dictionary"]) for r in trained.collect()}
+            held.append(staged(trained, "dictionaries"))
+            starts = F.sequence(F.lit(0), F.floor((F.octet_length("dictionary") - 1) / BLOCK).cast("int"))
+            cut = F.transform(starts, lambda i: F.substring("dictionary", i * BLOCK + 1, F.lit(BLOCK)))
+            blocks = held[-1].select("y", F.xxhash64("dictionary").alias("name"), F.posexplode(cut).alias("at", "block")).select("y", F.xxhash64("name", "at").alias("place"), "block")
+    finally:
+        discard(*held)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = FOLDS) -> QualityModel:
-    """At most 2 * per_class * SPREAD blocks, and three numbers of each sampled document, come to the driver."""
+    """Two dictionaries and two numbers of each sampled document come to the driver."""
     shares = labels.filter(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), folds) != 0)).agg(F.avg("quality")).first()[0]
     prior = 0.5 if shares is None else float(shares)
     flat = QualityModel(b"", b"", None, None, prior)
     sample = labelled_sample(docs, labels, "quality", per_class, folds).withColumn("part", fold(F.col("doc_id"), 3 * folds) >= folds).cache()
     try:
         y_of = {r["doc_id"]: r["y"] for r in sample.select("doc_id", "y").collect()}
-        blocks = map_texts(sample.filter("part"), lambda texts: {"blocks": pa.array(map(_spread, texts), pa.list_(pa.binary()))}, "blocks array<binary>")
-        held: dict[int, list[bytes]] = {0: [], 1: []}
-        seen = {0: 0, 1: 0}
-        for r in sorted(blocks.collect(), key=lambda r: r["doc_id"]):
-            held[y_of[r["doc_id"]]] += map(bytes, r["blocks"])
-            seen[y_of[r["doc_id"]]] += bool(r["blocks"])
-        if min(seen.values()) < LEAST:
+        blocks = map_texts(sample.filter("part"), lambda texts: {"blocks": pa.array(map(_blocks, texts), pa.list_(pa.binary()))}, "blocks array<binary>")
+        blocks = blocks.join(F.broadcast(sample.select("doc_id", "y")), "doc_id").filter(F.size("blocks") > 0)
+        seen = {r["y"]: r["count"] for r in blocks.groupBy("y").count().collect()}
+        if min(seen.get(0, 0), seen.get(1, 0)) < LEAST:
+            return flat
+        placed = blocks.select("doc_id", "y", F.posexplode("blocks").alias("at", "block"))
+        raw = dictionaries(placed.select("y", F.xxhash64("doc_id", "at").alias("place"), "block"))
+        if raw.keys() != {0, 1}:
             return flat
-        raw = {}
-        for y, some in held.items():
-            try:
-                raw[y] = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, some)) // 4)), some).as_bytes()
-            except zstandard.ZstdError:  # too little text
-                return flat
         model = QualityModel(raw[1], raw[0], None, None, prior)
         shared = ship(docs.sparkSession).sparkContext.broadcast(model)
         rows = sorted(map(tuple, map_texts(sample.filter("NOT part"), lambda texts: {"d": pa.array(QualityModel.difference(shared.value.sizes(texts)))}, "d double").collect()))
