@@ -110,8 +110,8 @@ def eroded(points: DataFrame, key: str, width: Column, height: Column, size: int
     return counted.filter(F.col("_n") == span("y", "_h") * span("x", "_w")).select(key, "y", "x")
 
 
-def circles(edges: DataFrame, key: str, least: int, most: int, top: int = 1) -> DataFrame:
-    """The circles (cx, cy, r, score) that most edge points lie on, `top` a picture: every edge point votes, along its gradient
+def circles(edges: DataFrame, key: str, least: int, most: int, top: int = 1, jump: int | None = None) -> DataFrame:
+    """The circles (cx, cy, r, score) that most edge points lie on, `top` a picture, or with `jump` a band of so many radii: every edge point votes, along its gradient
     and against it, for a centre at each radius, and for the cells beside it; a score is votes by radius. Votes combine where
     they are made, so what is shuffled is cells, and a picture of any size is spread over all tasks."""
     length = F.hypot(F.col("gx").cast("double"), F.col("gy").cast("double"))
@@ -119,5 +119,7 @@ def circles(edges: DataFrame, key: str, least: int, most: int, top: int = 1) ->
     votes = votes.withColumn("way", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("s", F.explode(_around(3)))
     cell = lambda c, u, d: (F.round(F.col(c) + F.col("way") * F.col("r") * F.col(u)) + F.col(f"s.{d}")).cast("int")
     found = votes.groupBy(key, cell("x", "ux", "dx").alias("cx"), cell("y", "uy", "dy").alias("cy"), "r").agg(F.count("*").alias("n"))
-    ranked = found.withColumn("score", F.col("n") / F.col("r")).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "cy", "cx", "r")))
+    band = F.lit(0) if jump is None else F.floor((F.col("r") - least) / jump)
+    within = Window.partitionBy(key, "_band").orderBy(F.desc("score"), "cy", "cx", "r")
+    ranked = found.withColumn("score", F.col("n") / F.col("r")).withColumn("_band", band).withColumn("rank", F.row_number().over(within))
     return ranked.filter(F.col("rank") <= top).select(key, "rank", "cx", "cy", "r", "score")

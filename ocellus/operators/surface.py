@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
 from math import factorial
 
 import numpy as np
@@ -105,6 +107,42 @@ def pixel_slope(x: Column, y: Column, sensor: tuple[float, float], resolution: t
     return F.hypot(x * sensor[0] / resolution[0], y * sensor[1] / resolution[1]) / focal
 
 
+def meridians(points: DataFrame, eyes: DataFrame, objects: DataFrame, key: str, sensor: tuple[float, float], resolution: tuple[int, int], focal: float) -> DataFrame:
+    """What arc_step takes, from ring points (key, mire_num from 0, angle in whole degrees, x, y), eyes (key, cx, cy, distance
+    from the camera to the rings' end, gap behind it) and the rings themselves (mire_num, object_radius, object_height).
+
+    Heights count from the surface towards the camera, so that an eye's are below 0. Ring m stands as m + 1. Before it comes ring 0 with the first ring's object, whose slope is the mean of the first ring's
+    here and half a turn away, so that both halves of a meridian begin alike; where it is the first ring's own slope (to
+    a millionth), or there is no other, the first ring begins. Meridians without a first ring are left out."""
+    from .polar import opposite
+
+    at = points.join(eyes, key).join(objects, "mire_num")
+    slope = pixel_slope(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), sensor, resolution, focal)
+    rows = at.select(key, "angle", (F.col("mire_num") + 1).cast("int").alias("mire_num"), (F.col("distance") + F.col("gap")).alias("p"), (-slope).alias("slope"), (F.col("distance") - F.col("object_height")).alias("object_z"), F.col("object_radius").alias("object_y"), F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")).alias("_far"))
+    first = opposite(rows.filter("mire_num = 1"), [key], "angle", "slope")
+    begun = rows.join(first.select(key, "angle"), [key, "angle"], "left_semi")
+    start = first.filter("abs(balanced - slope) > 1e-6 * abs(slope)").withColumn("slope", F.col("balanced")).withColumn("mire_num", F.lit(0)).drop("balanced")
+    return begun.unionByName(start.select(begun.columns))
+
+
+def reconstructed(points: DataFrame, eyes: DataFrame, objects: DataFrame, key: str, sensor: tuple[float, float], resolution: tuple[int, int], focal: float, skipped: Sequence[tuple[float, float]] = (), most_z: float = 2.0) -> DataFrame:
+    """The surface behind ring points, from pixels to a cloud over the unit disc: slopes, first rings balanced with the other half,
+    the reflection solver, points below most_z. Columns key, angle, mire_num (from 0), x, y (divided by norm), z (depth), roc, norm
+    (the largest distance from the axis) and max_radius (pixels, the even number at or below the farthest ring point), and for
+    each picture the vertex (0, 0, 0) without angle, ring and roc. Angles within `skipped` (from, to; ends included) only
+    balance their opposites. Rings that no surface point fits, and those outside them, are left out."""
+    rows = meridians(points, eyes, objects, key, sensor, resolution, focal)
+    far = points.join(eyes.select(key, "cx", "cy"), key).groupBy(key).agg((2 * F.floor(F.max(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))) / 2)).cast("int").alias("max_radius"))
+    blind = reduce(lambda a, b: a | b, (F.col("angle").between(*s) for s in skipped), F.lit(False))
+    solved = arc_step(rows.filter(~blind).drop("_far"), key).filter((F.col("mire_num") >= 1) & ~F.isnan("z") & F.col("z").isNotNull())
+    t, solved = F.radians(F.col("angle").cast("double")), solved.withColumn("z", -F.col("z"))
+    seen = solved.filter(F.col("z") < most_z).select(key, "angle", (F.col("mire_num") - 1).alias("mire_num"), (F.col("y") * F.cos(t)).alias("x"), (F.col("y") * F.sin(t)).alias("y"), "z", "roc")
+    whole = F.col("norm")
+    norms = seen.groupBy(key).agg(F.max(F.hypot("x", "y")).alias("norm"))
+    vertex = norms.select(key, F.lit(None).cast(seen.schema["angle"].dataType).alias("angle"), F.lit(None).cast("int").alias("mire_num"), *(F.lit(0.0).alias(c) for c in ("x", "y", "z")), F.lit(None).cast("double").alias("roc"))
+    return seen.unionByName(vertex).join(norms, key).join(far, key).withColumn("x", F.col("x") / whole).withColumn("y", F.col("y") / whole)
+
+
 def noll(j: int) -> tuple[int, int]:
     """(n, m) of the Noll index j >= 1."""
     n = 0
