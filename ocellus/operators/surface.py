@@ -109,14 +109,15 @@ def pixel_slope(x: Column, y: Column, sensor: tuple[float, float], resolution: t
 
 def meridians(points: DataFrame, eyes: DataFrame, objects: DataFrame, key: str, sensor: tuple[float, float], resolution: tuple[int, int], focal: float) -> DataFrame:
     """What arc_step takes, from ring points (key, mire_num from 0, angle in whole degrees, x, y), eyes (key, cx, cy, distance
-    from the camera to the rings' end, gap behind it) and the rings themselves (mire_num, object_radius, object_height).
+    from the camera to the rings' end, gap behind it) and the rings themselves (mire_num, object_radius, object_height;
+    with the key too where pictures are of different devices).
 
     Heights count from the surface towards the camera, so that an eye's are below 0. Ring m stands as m + 1. Before it comes ring 0 with the first ring's object, whose slope is the mean of the first ring's
     here and half a turn away, so that both halves of a meridian begin alike; where it is the first ring's own slope (to
     a millionth), or there is no other, the first ring begins. Meridians without a first ring are left out."""
     from .polar import opposite
 
-    at = points.join(eyes, key).join(objects, "mire_num")
+    at = points.join(eyes, key).join(objects, [key, "mire_num"] if key in objects.columns else "mire_num")
     slope = pixel_slope(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), sensor, resolution, focal)
     rows = at.select(key, "angle", (F.col("mire_num") + 1).cast("int").alias("mire_num"), (F.col("distance") + F.col("gap")).alias("p"), (-slope).alias("slope"), (F.col("distance") - F.col("object_height")).alias("object_z"), F.col("object_radius").alias("object_y"), F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")).alias("_far"))
     first = opposite(rows.filter("mire_num = 1"), [key], "angle", "slope")

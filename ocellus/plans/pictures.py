@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import edges, grid, sheets, signal, surface
+from ..operators import edges, framing, grid, sheets, signal, surface
 from ..sources import blobs, readers
 from .catalogue import query, table
 from .further import shared
@@ -123,3 +123,90 @@ def q132_kisa_of_map(spark, sf_dir):
     rings = eyes.select("vec_id", F.explode(F.array(*map(F.lit, (0, 1, 2, 15)))).alias("mire_num")).select("*", F.explode(F.sequence(F.lit(0), F.lit(359))).alias("angle")).withColumn("x", far * F.cos(turn)).withColumn("y", far * F.sin(turn))
     out = surface.kisa_of_map(maps, rings, eyes, "vec_id")
     return out.select("vec_id", F.round("central_k", 8).alias("central_k"), "srax", F.round("i_s", 6).alias("i_s"), F.round(F.col("central_k") * F.col("i_s") * (1 + i % 5) * F.col("srax") * 0.33, 1).alias("kisa"))
+
+
+# ---------------------------------------------------------------- centring, windows of photos and frames, whole surfaces
+
+
+@query(f"""
+    WITH {_PIXELS}, w AS (SELECT vec_id, y, x, v, coalesce(lag(v) OVER r, v) AS l, coalesce(lead(v) OVER r, v) AS q FROM g WINDOW r AS (PARTITION BY vec_id, y ORDER BY x)),
+    s AS (SELECT vec_id, y, x, q - l AS d, l + 2 * v + q AS t FROM w),
+    gr AS (SELECT vec_id, y, x, coalesce(lag(d) OVER c, d) + 2 * d + coalesce(lead(d) OVER c, d) AS gx, coalesce(lead(t) OVER c, t) - coalesce(lag(t) OVER c, t) AS gy FROM s WINDOW c AS (PARTITION BY vec_id, x ORDER BY y)),
+    u AS (SELECT vec_id, y, x, gx / sqrt((gx * gx + gy * gy)::DOUBLE) AS ux, gy / sqrt((gx * gx + gy * gy)::DOUBLE) AS uy FROM gr WHERE gx <> 0 OR gy <> 0),
+    p AS (SELECT vec_id, r, (round(x + way * r * ux) + dx)::INTEGER AS cx, (round(y + way * r * uy) + dy)::INTEGER AS cy FROM u, unnest([1, 2, 3, 4]) a(r), unnest([1, -1]) b(way), unnest([-1, 0, 1]) c(dx), unnest([-1, 0, 1]) d(dy)),
+    n AS (SELECT vec_id, cx, cy, r, count(*) AS votes FROM p GROUP BY vec_id, cx, cy, r), h AS (SELECT *, votes / r::DOUBLE AS score FROM n),
+    k AS (SELECT *, row_number() OVER (PARTITION BY vec_id, (r - 1) // 2 ORDER BY score DESC, cy, cx, r) AS rank FROM h),
+    f AS (SELECT vec_id, avg(cx) AS cx, avg(cy) AS cy, count(*) AS circles FROM k WHERE rank = 1 AND score >= 10 GROUP BY vec_id),
+    o AS (SELECT *, sqrt((cx - 3.5) * (cx - 3.5) + (cy - 3.5) * (cy - 3.5)) / (3.0 / (1 + vec_id % 3)::DOUBLE) AS away FROM f)
+    SELECT vec_id, round(cx, 6) AS cx, round(cy, 6) AS cy, circles, round(away, 6) AS "offset", away <= 1 AS centred FROM o""")
+def q133_centring_gate(spark, sf_dir):
+    """The mean of the best circles of two bands of radii, and whether it is near the picture's middle."""
+    found = framing.circle_centre(edges.gradient(dots(spark, sf_dir), "vec_id"), "vec_id", 1, 4, 2, 10.0)
+    judged = framing.centred(found, "vec_id", (F.lit(3.5), F.lit(3.5)), 3.0, 1.0, (1 + F.col("vec_id") % 3).cast("double"))
+    return judged.select("vec_id", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "offset")), "circles", "centred")
+
+
+def framed(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"))
+
+
+def totals(df, side):
+    place = F.col("v").cast("long") * (side * F.col("y") + F.col("x"))
+    return df.groupBy("vec_id").agg(F.count("*").alias("n"), F.sum(F.col("v").cast("long")).alias("level"), F.sum(place).alias("placed"))
+
+
+@query(f"""
+    WITH {_PIXELS}, small AS (SELECT vec_id, y // 2 + 1 AS y, x // 2 + 1 AS x, floor(sum(v) / 4.0::DOUBLE + 0.5)::BIGINT AS v FROM g GROUP BY vec_id, y // 2, x // 2),
+    m AS (SELECT vec_id, y, x, CASE WHEN v >= 140 THEN 2 WHEN v >= 128 THEN 1 ELSE 0 END AS label FROM small), l AS (SELECT vec_id, min(label) FILTER (label > 0) AS first FROM m GROUP BY vec_id),
+    d AS (SELECT vec_id, floor(avg(x - 1) FILTER (label = first)) + 1 AS cx, floor(avg(y - 1) FILTER (label = first)) + 1 AS cy FROM m JOIN l USING (vec_id) GROUP BY vec_id),
+    c AS (SELECT vec_id, CASE WHEN vec_id % 3 < 2 THEN (vec_id % 5 + 2) // 2 + 1 ELSE cx END::INTEGER AS cx, CASE WHEN vec_id % 3 < 2 THEN (vec_id % 4 + 2) // 2 + 1 ELSE cy END::INTEGER AS cy FROM d)
+    SELECT vec_id, cx, cy, count(*) AS n, sum(v)::BIGINT AS level, sum(v * (4 * (y - greatest(0, cy - 2)) + x - greatest(0, cx - 2)))::BIGINT AS placed
+    FROM c JOIN small USING (vec_id) WHERE x >= cx - 2 AND x < cx + 2 AND y >= cy - 2 AND y < cy + 2 GROUP BY vec_id, cx, cy""")
+def q134_photo_windows(spark, sf_dir):
+    """Photos unzoomed, cut to a square of 6, then to 4 about a marked centre, or one found in a mask where there is no mark."""
+    sizes, i = framed(spark, sf_dir), F.col("vec_id")
+    outer = framing.photo_windows(dots(spark, sf_dir), sizes, "vec_id", 2, 6)
+    about = sizes.select(i, F.lit(3).alias("cx"), F.lit(3).alias("cy"))
+    mask = framing.window(outer, about, "vec_id", 4).select(i, "y", "x", F.when(F.col("v") >= 140, 2).when(F.col("v") >= 128, 1).otherwise(0).alias("label"))
+    marks = sizes.filter(i % 3 < 2).select(i, ((i % 5 + 2) / 8.0).alias("fx"), ((i % 4 + 2) / 8.0).alias("fy"))
+    centres = framing.photo_centres(sizes, "vec_id", 2, 6, 4, marks, mask)
+    return centres.join(totals(framing.window(outer, centres, "vec_id", 4), 4), "vec_id").select("vec_id", "cx", "cy", "n", "level", "placed")
+
+
+@query(f"""
+    WITH {_PIXELS}, m AS (SELECT vec_id, y - 1 AS y, x - 1 AS x, CASE WHEN v >= 150 THEN 2 WHEN v >= 135 THEN 1 ELSE 0 END AS label FROM g WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6), l AS (SELECT vec_id, min(label) FILTER (label > 0) AS first FROM m GROUP BY vec_id),
+    c AS (SELECT vec_id, (floor(avg(x) FILTER (label = first)) + 1)::INTEGER AS cx, (floor(avg(y) FILTER (label = first)) + 1)::INTEGER AS cy FROM m JOIN l USING (vec_id) GROUP BY vec_id),
+    w AS (SELECT vec_id, cx, cy, v, x - greatest(0, cx - 2) AS x, y - greatest(0, cy - 2) AS y FROM c JOIN g USING (vec_id) WHERE x >= cx - 2 AND x < cx + 2 AND y >= cy - 2 AND y < cy + 2)
+    SELECT vec_id, cx, cy, count(*) AS n, sum(v)::BIGINT AS level, sum(v * (4 * y + x))::BIGINT AS placed, sum(CASE WHEN v >= 125 THEN 0 ELSE 255 END)::BIGINT AS mire FROM w GROUP BY vec_id, cx, cy""")
+def q135_frame_windows(spark, sf_dir):
+    """Frames cut to a square of 4 about the centre that the mask of the square of 6 about their middle shows, and their masks."""
+    sizes, whole = framed(spark, sf_dir), dots(spark, sf_dir)
+    outer = framing.window(whole, framing.middles(sizes, "vec_id"), "vec_id", 6)
+    mask = outer.select("vec_id", "y", "x", F.when(F.col("v") >= 150, 2).when(F.col("v") >= 135, 1).otherwise(0).alias("label"))
+    inner, centres = framing.frame_window(whole, sizes, mask, "vec_id", 6, 4)
+    told = framing.frame_mask(inner, inner.select("vec_id", "y", "x", (F.col("v") >= 125).cast("int").alias("label")), "vec_id")
+    return centres.join(totals(inner, 4), "vec_id").join(told.groupBy("vec_id").agg(F.sum("mire").alias("mire")), "vec_id")
+
+
+#: Six rings of a sphere of radius r (7.4 to 8.2 mm by the customer's id) 75 mm before the camera.
+_SPHERES = "e AS (SELECT c_custkey, 7.4::DOUBLE + (c_custkey % 9) * 0.1::DOUBLE AS r FROM customer), q AS (SELECT c_custkey, r, m, 0.5::DOUBLE + m * 0.3::DOUBLE AS y FROM e, range(0, 6) t(m))"
+
+
+@query(f"""
+    WITH {_SPHERES} SELECT c_custkey, count(*) * 4 + 1 AS points, count(*) * 4 + 1 AS fitting, round(min(r), 1) AS radius, round(max(y), 2) AS norm, (floor(max(y / (r - sqrt(r * r - y * y) + 75.0)) * 2975.0::DOUBLE / 2) * 2)::INTEGER AS max_radius FROM q GROUP BY c_custkey""")
+def q136_spheres(spark, sf_dir):
+    """The spheres' radii out of the pixels of the rings they mirror."""
+    r, y = F.col("r"), F.col("up")
+    eyes = table(spark, sf_dir, "customer").select("c_custkey", (7.4 + F.col("c_custkey") % 9 * 0.1).alias("r"), F.lit(2000.0).alias("cx"), F.lit(1500.0).alias("cy"), F.lit(74.0).alias("distance"), F.lit(1.0).alias("gap"))
+    rings = eyes.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("mire_num")).withColumn("up", 0.5 + F.col("mire_num") * 0.3)
+    rings = rings.withColumn("z", r - F.sqrt(r * r - y * y)).withColumn("lean", y / F.sqrt(r * r - y * y)).withColumn("away", F.hypot(75.0 + F.col("z"), y))
+    back = 2 * ((75.0 + F.col("z")) - y * F.col("lean")) / (1 + F.col("lean") ** 2) / F.col("away")  # the ray's part along the normal, twice
+    out_z, out_y = -back + (75.0 + F.col("z")) / F.col("away"), back * F.col("lean") + y / F.col("away")
+    rings = rings.withColumn("object_height", F.col("z") + 40 * out_z + 74.0).withColumn("object_radius", y + 40 * out_y)
+    scale, turn = y / (75.0 + F.col("z")) * 2975.0, F.radians(F.col("angle").cast("double"))
+    points = rings.select("*", F.explode(F.array(*map(F.lit, (0, 90, 180, 270)))).alias("angle")).select("c_custkey", "mire_num", "angle", (2000 + scale * F.cos(turn)).alias("x"), (1500 + scale * F.sin(turn)).alias("y"))
+    found = surface.reconstructed(points, eyes.drop("r"), rings.select("c_custkey", "mire_num", "object_radius", "object_height"), "c_custkey", (6.4, 4.8), (4000, 3000), 4.76)
+    wide = F.hypot("x", "y") * F.col("norm")
+    fits = F.abs(r - F.sqrt(r * r - wide * wide) - F.col("z")) < 1e-3
+    told = found.join(eyes.select("c_custkey", "r"), "c_custkey").groupBy("c_custkey").agg(F.count("*").alias("points"), F.count_if(fits).alias("fitting"), F.round(F.avg("roc"), 1).alias("radius"), F.round(F.max("norm"), 2).alias("norm"), F.max("max_radius").alias("max_radius"))
+    return told
