@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, keep_texts, ship, staged
+from .common import chunks, discard, keep_texts, ship, staged
 
 WINDOW = 10
 PART_BYTES, PARTS_AT_ONCE = 4 << 20, 2
@@ -220,19 +220,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
             sizes, turns, items = (c.to_pylist() for c in batch.columns[1:])
             yield columns(batch.column(0), sizes, [_merged(t) for t in turns], [sorted(x) for x in items])
 
-    return rows.select("key", "row").join(met, "row").select("key", "n", "turns", "items").mapInArrow(union, result)
+    keys = staged(rows.select("key", "row"), "row-keys")
+    discard(rows)  # the texts
+    return keys.join(met, "row").select("key", "n", "turns", "items").mapInArrow(union, result)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of docs, all columns, in which no test string occurs."""
     spark = ship(docs.sparkSession)
     every = passes(benchmark, item_key, item_text, window, part_bytes)
-    now, later = next(every), next(every, None)
+    now, later, before = next(every), next(every, None), []
     while True:
         shared = spark.sparkContext.broadcast(now)
         docs = keep_texts(docs, lambda texts, shared=shared: [not t for t in _hits(shared.value, texts)[1]], text)
         if later is None:
             return docs
         docs = staged(docs, "clean-rows")
+        discard(*before)
+        before = [docs]
         shared.unpersist()
         now, later = later, next(every, None)
