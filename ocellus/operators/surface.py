@@ -93,7 +93,8 @@ def arc_step(points: DataFrame, key: str, p: str = "p") -> DataFrame:
             z, y, roc = (x[row, place] for x in reflections(float(pdf[p].iloc[0]) if len(pdf) else 0.0, *grid))
         return pdf[[key, "angle", "mire_num"]].assign(z=z, y=y, roc=roc)
 
-    return points.groupBy(key).applyInPandas(run, f"`{key}` {points.schema[key].dataType.simpleString()}, angle {points.schema['angle'].dataType.simpleString()}, mire_num int, z double, y double, roc double")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, long work: not to be coalesced by size
+    return points.repartition(tasks, key).groupBy(key).applyInPandas(run, f"`{key}` {points.schema[key].dataType.simpleString()}, angle {points.schema['angle'].dataType.simpleString()}, mire_num int, z double, y double, roc double")
 
 
 def cloud(surface: DataFrame, key: str, most_z: float = 2.0) -> DataFrame:
