@@ -169,7 +169,7 @@ def nearest_of_table(df: DataFrame, key: str, codes: Sequence[str], references:
 def _compared(rows: DataFrame, own: Sequence[str], index: NearIndex, names: Sequence[str], skip_same_key: bool, block: int) -> DataFrame:
     """q, m: rows against all references, block by block in numpy; the best of each pair of blocks meet in one aggregate."""
     n_rows, n_refs = max(1, -(-rows.count() // block)), max(1, -(-index.size // block))
-    dealt = lambda x, by, mine, others, n, m: x.withColumn(mine, F.pmod(F.xxhash64(*by), F.lit(n))).withColumn(others, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    dealt = lambda x, by, mine, others, n, m: x.withColumn(mine, F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")).withColumn(others, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))  # noqa: E731  (int on both sides: an int and a long of one value are dealt apart)
     left = dealt(rows.select("q", *own), ["q"], "x", "y", n_rows, n_refs)
     right, others = dealt(index.table, index.codes, "y", "x", n_refs, n_rows), list(index.codes)
 
