@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +60,10 @@ def _keyed(code: Column, bands: Sequence[tuple[int, int, int]], flips: Sequence[
     return F.flatten(F.array(*(F.transform(_flipped(_part(code, lo, w), w, k), named(i)) for (i, (lo, w, _)), k in zip(enumerate(bands), flips, strict=True) if k <= w)))
 
 
+#: A probe of an index costs about as much as comparing a row with so many others in a block.
+PROBE_COST = 256
+
+
 def hamming_pairs(df: DataFrame, key: str, code: str, most: int, bits: int = 64) -> DataFrame:
     """Pairs a < b at most `most` bits apart, each once.
 
@@ -66,18 +71,54 @@ def hamming_pairs(df: DataFrame, key: str, code: str, most: int, bits: int = 64)
     bands and the other by all words near its bands, an equality join finds all pairs, the distance is verified in the
     join, and a pair counts in the first band that finds it. How many bands there are follows the number of rows, with
     no limit: bands of about log2(rows) bits each, so that a key holds a few unrelated rows whatever the size of the table.
+    Where a row's words would cost more than comparing it with all rows, blocks of rows are compared instead. Both are
+    exact. Spark can't tell how many words a row has, so the join is by sorting: neither side is sent to the driver.
     """
-    bands = bands_for(df.count(), most, bits)
+    n = df.count()
+    bands = bands_for(n, most, bits)
+    if sum(_probes(w, r) for _, w, r in bands) * PROBE_COST > n:
+        return _pairs_in_blocks(df, key, code, most, n)
     c = F.col(code)
     a = df.select(F.col(key).alias("a"), c.alias("ca"), F.explode(_keyed(c, bands, [0] * len(bands))).alias("e")).select("a", "ca", "e.band", "e.part")
     probes = F.concat(*(_keyed(c, bands, [k if k <= r else 65 for _, _, r in bands]) for k in range(max(r for _, _, r in bands) + 1)))
     b = df.select(F.col(key).alias("b"), c.alias("cb"), F.explode(probes).alias("e")).select("b", "cb", "e.band", "e.part")
     apart = F.col("ca").bitwiseXOR(F.col("cb"))
     first = F.coalesce(*(F.when(F.bit_count(_part(apart, lo, w)) <= r, i) for i, (lo, w, r) in enumerate(bands)))
-    joined = a.join(b, ["band", "part"]).filter((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most) & (F.col("band") == first))
+    joined = a.join(b.hint("merge"), ["band", "part"]).filter((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most) & (F.col("band") == first))
     return joined.select("a", "b", F.bit_count(apart).alias("distance"))
 
 
+def _pairs_in_blocks(df: DataFrame, key: str, code: str, most: int, n: int, block: int = 4096) -> DataFrame:
+    """The pairs, by comparing every two blocks of about `block` rows: a block is one row of packed codes, and two of them
+    are compared a few hundred rows at a time, so a task holds two blocks and a part of their pairs, however many there are."""
+    blocks = max(1, -(-n // block))
+    rows = df.select(F.col(key).alias("k"), F.col(code).cast("long").alias("c")).dropna().withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    packed, _ = _written(rows.groupBy("block").agg(F.collect_list(F.struct("k", "c")).alias("r")), "code-blocks")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, long work: not to be coalesced by size
+    here, own = F.col("block"), [F.col("r.k").alias("ka"), F.col("r.c").alias("ca")]
+    left = packed.select(here.alias("i"), F.explode(F.sequence(here, F.lit(blocks - 1))).alias("j"), *own).repartition(tasks, "i", "j")
+    right = packed.select(F.explode(F.sequence(F.lit(0), here)).alias("i"), here.alias("j"), F.col("r.k").alias("kb"), F.col("r.c").alias("cb")).repartition(tasks, "i", "j")
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in (batch.slice(at, 1) for batch in batches for at in range(batch.num_rows)):
+            i, j = (cell[c][0].as_py() for c in ("i", "j"))
+            ka, kb = (cell[c].flatten() for c in ("ka", "kb"))
+            a, b = (cell[c].flatten().to_numpy().view(np.uint64) for c in ("ca", "cb"))
+            for at in range(0, a.size, 128):
+                far = np.bitwise_count(a[at : at + 128, None] ^ b)
+                x, y = np.nonzero(far <= most)
+                far, x = far[x, y], x + at
+                if i == j:
+                    once = x < y
+                    far, x, y = far[once], x[once], y[once]
+                if x.size:
+                    yield pa.RecordBatch.from_arrays([ka.take(pa.array(x)), kb.take(pa.array(y)), pa.array(far.astype(np.int32))], names=["x", "y", "distance"])
+
+    met = left.join(right.hint("merge"), ["i", "j"]).select("i", "j", "ka", "ca", "kb", "cb").mapInArrow(run, f"x {kind}, y {kind}, distance int")
+    return met.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+
+
 def nearest_reference(df: DataFrame, key: str, code: str, references: DataFrame, ref_key: str, ref_code: str, most_references: int = 1000) -> DataFrame:
     """The nearest reference, ties to the smaller key: by a list in the plan where there are few, else by nearest_of_table."""
     refs = references.select(F.col(ref_key).alias("reference"), F.col(ref_code).alias("rc")).limit(most_references + 1).collect()
@@ -88,10 +129,6 @@ def nearest_reference(df: DataFrame, key: str, code: str, references: DataFrame,
     return df.select(F.col(key), best.alias("m")).select(key, "m.reference", "m.distance")
 
 
-#: A probe of the index costs about as much as comparing a row with so many references in a block.
-PROBE_COST = 256
-
-
 class NearIndex:
     """Distinct reference codes, each with its two smallest keys, keyed by the bands of the first code; in the shared folder.
 
@@ -123,7 +160,7 @@ class NearIndex:
     def met(self, rows: DataFrame, codes: Sequence[str], flips: int) -> DataFrame:
         """rows (key `q` and codes) with every reference that one of their words at exactly `flips` flips meets."""
         word = F.explode(_keyed(F.col(codes[0]), self.bands, [flips] * len(self.bands))).alias("e")
-        return rows.select("*", word).select("q", *codes, "e.band", "e.part").join(self.home, ["band", "part"])
+        return rows.select("*", word).select("q", *codes, "e.band", "e.part").join(self.home.hint("merge"), ["band", "part"])
 
 
 def _best(found: DataFrame, codes: Sequence[str], others: Sequence[str], names: Sequence[str], skip_same_key: bool) -> DataFrame:
@@ -207,7 +244,7 @@ def _compared(rows: DataFrame, own: Sequence[str], index: NearIndex, names: Sequ
 def pair_status(pairs: DataFrame, decisions: DataFrame, exact: Column) -> DataFrame:
     """exact, confirmed, rejected or review_required. `decisions` has a, b, decision in any order of a and b."""
     known = decisions.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "decision").groupBy("a", "b").agg(F.min("decision").alias("decision"))
-    return pairs.join(known, ["a", "b"], "left").withColumn("status", F.when(exact, "exact").otherwise(F.coalesce("decision", F.lit("review_required")))).drop("decision")
+    return pairs.join(known.hint("merge"), ["a", "b"], "left").withColumn("status", F.when(exact, "exact").otherwise(F.coalesce("decision", F.lit("review_required")))).drop("decision")
 
 
 def _shared_folder(spark: SparkSession) -> str:
@@ -238,15 +275,15 @@ def connected(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     edges, _ = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels, at = written(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     while True:
-        around = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
-        lower = labels.join(around, labels["node"] == around["a"]).select("node", F.col("root").alias("old"), F.least("root", "m").alias("mid"))
+        around = edges.join(labels.hint("merge"), edges["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
+        lower = labels.join(around.hint("merge"), labels["node"] == around["a"]).select("node", F.col("root").alias("old"), F.least("root", "m").alias("mid"))
         of = labels.select(F.col("node").alias("mid"), F.col("root").alias("beyond"))
-        after, new = written(lower.join(of, "mid").select("node", "old", F.least("mid", "beyond").alias("root")))
+        after, new = written(lower.join(of.hint("merge"), "mid").select("node", "old", F.least("mid", "beyond").alias("root")))
         files.delete(spark._jvm.org.apache.hadoop.fs.Path(at), True)
         labels, at = after.select("node", "root"), new
         if after.filter("root <> old").isEmpty():
             every = nodes.select(F.col(key).alias("node")).distinct()
-            return every.join(labels, "node", "left").select(F.col("node").alias(key), F.coalesce("root", "node").alias("root"))
+            return every.join(labels.hint("merge"), "node", "left").select(F.col("node").alias(key), F.coalesce("root", "node").alias("root"))
 
 
 def named_groups(labels: DataFrame, key: str) -> DataFrame:
@@ -259,17 +296,18 @@ def shifted_correlation(pairs: DataFrame, first: str, second: str, side: int, re
 
     @F.pandas_udf("double")
     def best(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y, most = np.reshape(x, (side, side)), np.reshape(y, (side, side)), -1.0
+        out = np.full(len(a), -1.0)
+        for at in range(0, len(a), 256):  # so many pairs at once, shift by shift
+            x, y = (np.stack(c.iloc[at : at + 256].to_numpy()).reshape(-1, side, side).astype(float) for c in (a, b))
+            most = out[at : at + 256]
             for dy in range(-reach, reach + 1):
                 for dx in range(-reach, reach + 1):
-                    u = x[max(0, dy) : side + min(0, dy), max(0, dx) : side + min(0, dx)].ravel().astype(float)
-                    v = y[max(0, -dy) : side + min(0, -dy), max(0, -dx) : side + min(0, -dx)].ravel().astype(float)
-                    u, v = u - u.mean(), v - v.mean()
-                    scale = np.sqrt((u @ u) * (v @ v))
-                    most = max(most, float(u @ v / scale) if scale > 0 else -1.0)
-            out.append(most)
+                    u = x[:, max(0, dy) : side + min(0, dy), max(0, dx) : side + min(0, dx)].reshape(len(x), -1)
+                    v = y[:, max(0, -dy) : side + min(0, -dy), max(0, -dx) : side + min(0, -dx)].reshape(len(x), -1)
+                    u, v = u - u.mean(1, keepdims=True), v - v.mean(1, keepdims=True)
+                    scale = np.sqrt((u * u).sum(1) * (v * v).sum(1))
+                    fits = np.divide((u * v).sum(1), scale, out=np.full(len(x), -1.0), where=scale > 0)
+                    np.maximum(most, fits, out=most)
         return pd.Series(out)
 
     return pairs.withColumn("correlation", best(F.col(first), F.col(second)))

@@ -1,5 +1,6 @@
 """Cases that showed only on larger tables, cut down to a size that a test can hold."""
 
+import itertools
 import random
 
 import pytest
@@ -24,3 +25,29 @@ def test_blocks_of_rows_and_references_meet_in_any_partition(uncoalesced):
     df = uncoalesced.createDataFrame(data, "id long, p long, d long")
     got = {r["id"]: (r["d0"], r["d1"], r["reference"]) for r in neardup.nearest_of_table(df, "id", ["p", "d"], df, "id", ["p", "d"], True, block=20).collect()}
     assert got == {i: min(((p ^ q).bit_count(), (d ^ e).bit_count(), j) for j, q, e in data if j != i) for i, p, d in data}
+
+
+@pytest.mark.parametrize("cost", [0, 256, 10**9])
+def test_pairs_by_words_and_by_blocks(uncoalesced, monkeypatch, cost):
+    """Both ways find the same pairs, copies too, and broadcast no side."""
+    monkeypatch.setattr(neardup, "PROBE_COST", cost)
+    rng = random.Random(7)
+    codes = [rng.getrandbits(63) for _ in range(150)] + [5] * 40
+    codes += [c ^ sum(1 << b for b in rng.sample(range(63), 6)) for c in codes[:60]]
+    df = uncoalesced.createDataFrame([*enumerate(codes), (999, None)], "id long, code long")
+    want = [(i, j, d) for i, j in itertools.combinations(range(len(codes)), 2) if (d := (codes[i] ^ codes[j]).bit_count()) <= 7]
+    found = neardup.hamming_pairs(df, "id", "code", 7, 63)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    if cost:
+        small = neardup._pairs_in_blocks(df, "id", "code", 7, df.count(), block=30)
+        assert sorted(map(tuple, small.collect())) == want
+
+
+def test_labels_and_status_of_pairs_broadcast_nothing(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    status = neardup.pair_status(pairs, pairs.withColumn("decision", F.lit("confirmed")), F.lit(False))
+    groups = neardup.connected(pairs, spark.range(1, 5), "id")
+    for df in (status, groups):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, groups.collect())) == [(1, 1), (2, 1), (3, 1), (4, 4)]
