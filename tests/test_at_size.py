@@ -4,10 +4,11 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ocellus.operators import neardup, polar
+from ocellus.operators import neardup, polar, surface
 
 
 @pytest.fixture
@@ -66,3 +67,26 @@ def test_neighbours_at_the_limit_of_their_rule(spark):
                 ahead, behind = want.get((min(i, j), max(i, j)), (False, False))
                 want[min(i, j), max(i, j)] = ahead or i < j, behind or i > j
     assert {(r["a"], r["b"]): (r["ahead"], r["behind"]) for r in got.collect()} == want
+
+
+def test_meridians_of_many_pictures_are_solved_together(spark, monkeypatch):
+    """One call of the solver for all meridians of a partition, each at its picture's camera distance; the same as one by one."""
+    rng, sphere = np.random.default_rng(4), []
+    for k in range(40):
+        radius, p = 7.4 + 0.02 * k, 74.0 + k % 3
+        for angle in (0, 90, 180, 270):
+            for ring in range(int(rng.integers(3, 8))):
+                y = 0.3 + 0.25 * ring
+                z = radius - math.sqrt(radius**2 - y**2)
+                normal = np.array([-1.0, y / (radius - z)]) / math.hypot(1.0, y / (radius - z))
+                ray = np.array([p - z, -y]) / math.hypot(p - z, y)
+                out = 2 * (ray @ normal) * normal - ray
+                sphere.append((k, angle, ring, p, y / (z - p), float(z + 40 * out[0]), float(y + 40 * out[1])))
+    df = spark.createDataFrame(sphere, "id int, angle int, mire_num int, p double, slope double, object_z double, object_y double").repartition(7)
+    got = {(r["id"], r["angle"], r["mire_num"]): (r["z"], r["y"], r["roc"]) for r in surface.arc_step(df, "id", block=50).collect()}
+    assert len(got) == len(sphere)
+    for (k, angle), rings in itertools.groupby(sphere, lambda r: r[:2]):
+        rings = list(rings)
+        one = surface.reflections(rings[0][3], *(np.array([[r[c] for r in rings]]) for c in (4, 5, 6)))
+        assert [got[k, angle, r[2]] for r in rings] == list(zip(*(x[0].tolist() for x in one), strict=True))
+    assert "FlatMapGroupsInPandas" not in surface.arc_step(df, "id")._jdf.queryExecution().executedPlan().toString()
