@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, column, staged, unused
+from .common import ascii_lower, column, discard, staged, unused
 
 #: Characters in a block.
 BLOCK = 2048
@@ -94,7 +94,15 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = BLOCK) -> DataFrame:
     """The rows of docs, all columns, that stay; of rows that repeat both id and text one. Other columns may have any names."""
     mark, mine, theirs = unused(docs, "text_sha256", "keep_doc_id", "keep_sha256")
-    stay = exact_dedup(docs, key, text, size).filter("kept").select(F.col("doc_id").alias(mine), F.col("text_sha256").alias(theirs))
+    rows = staged(identities(docs, key, text, size), "identities")
+    last = staged(rows.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id")), "groups")
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    stay = staged(rows.join(last, ["n", "name"]).filter(same).select(F.col("doc_id").alias(mine), F.col("sha").alias(theirs), "copies"), "kept-rows")
+    discard(rows, last)
     marked = docs.withColumn(mark, F.sha2(ascii_lower(F.coalesce(column(text), F.lit(""))), 256))
-    found = marked.join(stay, column(key).eqNullSafe(column(mine)) & (column(mark) == column(theirs)), "left_semi")
-    return found.dropDuplicates([key, mark]).select(*map(column, docs.columns))
+    met = column(key).eqNullSafe(column(mine)) & (column(mark) == column(theirs))
+    out = marked.join(stay.filter("copies = 1"), met, "left_semi").select(*map(column, docs.columns))
+    again = stay.filter("copies > 1")  # whole rows are dealt a second time only where id and text repeat
+    if again.isEmpty():
+        return out
+    return out.unionByName(marked.join(again, met, "left_semi").dropDuplicates([key, mark]).select(*map(column, docs.columns)))
