@@ -31,7 +31,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays, known by its id and the digest of its text; a null id counts as the largest."""
+    """One row of each group stays, known by its id and the digest of its text; a null id counts as the largest. Linked SimHash
+    fingerprints give the first candidates, buckets of minimum hashes those that are further apart; each is decided exactly."""
     return simhash_dedup.without_similar(docs, shingle=5, similarity=0.8)
 
 

@@ -9,8 +9,8 @@ distance is verified in the join. Only distinct fingerprints take part, so copie
 fingerprint has at most 43,744 others within distance 3 whatever the corpus: links stay linear in it.
 
 `similar_groups` serves where documents count as near copies at a given Jaccard similarity of their shingle sets
-(0.8 of five-word shingles, say), which is many more than 3 bits of 64 apart. Documents meet in buckets of 42 bands
-of six minimum hashes: a pair at 0.8 has no common bucket about three times in a million. Each document is first
+(0.8 of five-word shingles, say), which is many more than 3 bits of 64 apart. Documents whose fingerprints link are compared
+first; those that fingerprints can't bring together meet in buckets of 42 bands of six minimum hashes: a pair at 0.8 has no common bucket about three times in a million. Each document is then
 compared with the smallest member of one of its buckets, then with those of its other buckets that are not yet in its
 group, then with the few members of its buckets whose sketches are most like its own; last, every two members of a
 bucket that this has not put into one group are compared, block by block. So a bucket of any size is whole, and one large
@@ -152,8 +152,9 @@ def linked(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         raise ValueError("the keys find pairs at 3 differing bits or fewer")
     home = _keyed(distinct, False).withColumnRenamed("fp", "a")
     probe = _keyed(distinct, True).withColumnRenamed("fp", "b")
+    # sorted, as no estimate of Spark shows how many keys a row has: the home keys of a small table would go through the driver
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return home.join(probe, (home["key"] == probe["key"]) & near).select("a", "b").distinct()
+    return home.join(probe.hint("merge"), (home["key"] == probe["key"]) & near).select("a", "b").distinct()
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -161,21 +162,24 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     fps = staged(fingerprints(docs, key, text), "fingerprints")
     owners = staged(fps.groupBy("fp").agg(F.min(key).alias("least")), "owners")
     roots = components(linked(owners, distance))
-    named = owners.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = owners.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = staged(named, "roots")
     smallest = staged(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
-    by_fp = staged(named.join(smallest, "root").select("fp", "component_id"), "labels")
-    return fps.join(by_fp, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = staged(named.join(smallest.hint("merge"), "root").select("fp", "component_id"), "labels")
+    discard(owners, named, smallest)
+    return fps.join(by_fp.hint("merge"), "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _signatures(shingle: int):
-    """Per text its SHA-256, the 64-bit keys of BANDS bands of ROWS minimum hashes, and a byte of each minimum."""
+    """Per text its SHA-256, the 64-bit keys of BANDS bands of ROWS minimum hashes, a byte of each minimum, and the fingerprint."""
     rng = np.random.default_rng(5)
     odd = rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     plus = rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
     def run(texts: list[bytes]) -> dict[str, object]:
-        hashes = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in texts]
+        lists = [np.array(shingle_hashes(t, shingle), np.uint64) for t in texts]
+        fp = majority_flat(np.concatenate(lists) if lists else np.zeros(0, np.uint64), np.fromiter(map(len, lists), np.int64, len(lists)))
+        hashes = [np.unique(x) for x in lists]
         sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
         flat = (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)).astype(np.uint32)
         full = np.flatnonzero(sizes)
@@ -193,7 +197,7 @@ def _signatures(shingle: int):
         bands ^= np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         sketch = (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
-        return {"sha": pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), "keys": keys, "sketch": pa.array([x.tobytes() for x in sketch], pa.binary())}
+        return {"sha": pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), "keys": keys, "sketch": pa.array([x.tobytes() for x in sketch], pa.binary()), "fp": pa.array(fp.astype(np.int64))}
 
     return run
 
@@ -262,6 +266,16 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, text: str, shi
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _near_fingerprints(sigs: DataFrame) -> DataFrame:
+    """Pairs (a < b) of nodes by the fingerprints of their shingles: the first node of each fingerprint with those that share it,
+    and with the first nodes of the fingerprints linked to it."""
+    owners = staged(sigs.groupBy("fp").agg(F.min("node").alias("first")), "owners")
+    same = sigs.select("fp", "node").join(owners.hint("merge"), "fp").filter("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    of = lambda side: owners.select(F.col("fp").alias(side), F.col("first").alias(f"n{side}")).hint("merge")
+    near = linked(owners).join(of("a"), "a").join(of("b"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    return same.unionByName(near)
+
+
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows (key, node, low, root) of buckets whose members are not yet in one group, with the root of the smallest
     member and the number of members."""
@@ -353,15 +367,19 @@ def _verified_cells(found: DataFrame, sigs: DataFrame, docs: DataFrame, text: st
 def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 500) -> DataFrame:
     """(doc_id, sha, group_id, group_sha) of the rows that are linked to others, a row being known by its id and the
     SHA-256 of its text; the group's name is its row of the smallest id, a null id counting as the largest."""
-    found = map_texts(docs, _signatures(shingle), "sha binary, keys array<long>, sketch binary", key, text).withColumnRenamed(key, "doc")
+    found = map_texts(docs, _signatures(shingle), "sha binary, keys array<long>, sketch binary, fp long", key, text).withColumnRenamed(key, "doc")
     sigs = staged(found.withColumn("node", F.monotonically_increasing_id()), "signatures")
     least = similarity - 0.12
     keyed = sigs.select("node", F.explode("keys").alias("key"))
     hubs = staged(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low"), "hubs")
     members = staged(keyed.join(hubs, "key").select("key", "node", "low"), "buckets")
-    # each node with one smallest member, then with those of its other buckets that are in another group, then any two members
-    tried = staged(_close(members.filter("low < node").groupBy(F.col("node").alias("b")).agg(F.min("low").alias("a")).select("a", "b"), sigs, least), "candidates")
-    links = staged(_verified(tried, sigs, docs, text, shingle, similarity), "links")
+    # the pairs of near fingerprints; each node with one smallest member, then with those of its other buckets that are in another group, then any two members
+    alike = staged(_close(_near_fingerprints(sigs), sigs, least), "candidates")
+    found = staged(_verified(alike, sigs, docs, text, shingle, similarity), "links")
+    first = members.filter("low < node").groupBy(F.col("node").alias("b")).agg(F.min("low").alias("a")).select("a", "b").join(alike, ["a", "b"], "left_anti")
+    tried = staged(_close(first, sigs, least), "candidates")
+    links = found.unionByName(staged(_verified(tried, sigs, docs, text, shingle, similarity), "links"))
+    tried = alike.unionByName(tried)
     labels = staged(components(links), "labels")
     open_ = _mixed(members, labels)
     hubs = open_.filter("low < node AND root <> low_root").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
