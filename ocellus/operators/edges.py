@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grid import tasks_for
+
 #: Tangent of 22.5 degrees in units of 2^-15 (fixed value).
 TANGENT = 13_573
 
@@ -112,14 +114,16 @@ def eroded(points: DataFrame, key: str, width: Column, height: Column, size: int
 
 def circles(edges: DataFrame, key: str, least: int, most: int, top: int = 1, jump: int | None = None) -> DataFrame:
     """The circles (cx, cy, r, score) that most edge points lie on, `top` a picture, or with `jump` a band of so many radii: every edge point votes, along its gradient
-    and against it, for a centre at each radius, and for the cells beside it; a score is votes by radius. Votes combine where
-    they are made, so what is shuffled is cells, and a picture of any size is spread over all tasks."""
+    and against it, for a centre at each radius, and for the cells beside it; a score is votes by radius. Points
+    are dealt by picture and radius, in numbers that follow theirs, and vote there; only the best of each radius are dealt on."""
     length = F.hypot(F.col("gx").cast("double"), F.col("gy").cast("double"))
     votes = edges.filter(length > 0).select(key, "x", "y", (F.col("gx") / length).alias("ux"), (F.col("gy") / length).alias("uy"), F.explode(F.sequence(F.lit(least), F.lit(most))).alias("r"))
+    votes = votes.repartition(tasks_for(edges, max(1, (1 << 18) // (most - least + 1))), key, "r")
     votes = votes.withColumn("way", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("s", F.explode(_around(3)))
     cell = lambda c, u, d: (F.round(F.col(c) + F.col("way") * F.col("r") * F.col(u)) + F.col(f"s.{d}")).cast("int")
     found = votes.groupBy(key, cell("x", "ux", "dx").alias("cx"), cell("y", "uy", "dy").alias("cy"), "r").agg(F.count("*").alias("n"))
     band = F.lit(0) if jump is None else F.floor((F.col("r") - least) / jump)
-    within = Window.partitionBy(key, "_band").orderBy(F.desc("score"), "cy", "cx", "r")
-    ranked = found.withColumn("score", F.col("n") / F.col("r")).withColumn("_band", band).withColumn("rank", F.row_number().over(within))
+    order = F.desc("score"), "cy", "cx", "r"
+    best = found.withColumn("score", F.col("n") / F.col("r")).withColumn("rank", F.row_number().over(Window.partitionBy(key, "r").orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = best.withColumn("_band", band).withColumn("rank", F.row_number().over(Window.partitionBy(key, "_band").orderBy(*order)))
     return ranked.filter(F.col("rank") <= top).select(key, "rank", "cx", "cy", "r", "score")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .edges import circles
-from .grid import centroid
+from .grid import centroid, tasks_for
 
 
 def _corner(centre: Column, side: int) -> Column:
@@ -79,7 +79,8 @@ def unzoomed(pixels: DataFrame, pictures: DataFrame, key: str, zoom: int, side:
         made = met.groupBy(key, other, (F.col("_to") + offset).cast("int").alias(axis), "width", "height")
         return made.agg((F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("v"))
 
-    rows = pixels.select(key, "y", "x", "v").join(pictures.select(key, "width", "height"), key)
+    tasks = tasks_for(pixels)  # dealt by picture once, for the join and both aggregates
+    rows = pixels.select(key, "y", "x", "v").repartition(tasks, key).join(pictures.select(key, "width", "height").repartition(tasks, key).hint("merge"), key)
     return along(along(rows, "x", "y", "width"), "y", "x", "height").select(key, "y", "x", F.floor(F.round("v", 9) + 0.5).alias("v"))
 
 
