@@ -40,6 +40,8 @@ from .components import components
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Bands of the near-copy keys, and minimum hashes in each.
 BANDS, ROWS = 42, 6
+#: Words of 64 bits in the bitmap of digests by which texts are chosen before they move.
+SLOTS = 1 << 18
 #: Generator polynomial of the [23, 12, 7] Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0xAE3
 
@@ -240,16 +242,28 @@ class _Shingles:
         return both * (1 + similarity) >= similarity * (x.size + y.size) - 1e-9
 
 
+def _likely(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows whose `sha` has its bit in a bitmap of the digests: all that are among them and, as the bitmap is bounded and
+    broadcast, a few others where there are few digests to its bits, so the join by `sha` itself is still to follow."""
+    word, bit = F.pmod(F.shiftright(F.xxhash64("sha"), 6), F.lit(SLOTS)), F.xxhash64("sha").bitwiseAND(63).cast("int")
+    bits = digests.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    return rows.join(F.broadcast(bits), (word == F.col("word")) & (F.getbit("bits", bit) == 1), "left_semi")
+
+
 def _texts(nodes: DataFrame, sigs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """(node, text) of the nodes. Only texts of these are moved."""
+    """(node, text) of the nodes. Only texts of these are moved, and of the few others that share their bits."""
     nodes = staged(nodes.distinct().join(sigs.select("node", "sha"), "node"), "candidate-nodes")
+    digests = staged(nodes.select("sha").distinct(), "candidate-digests")
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(F.unhex(F.sha2(whole, 256)).alias("sha"), whole.alias("text")).join(staged(nodes.select("sha").distinct(), "candidate-digests"), "sha", "left_semi").dropDuplicates(["sha"])
-    return staged(nodes.join(staged(found, "distinct-texts"), "sha").select("node", "text"), "candidate-texts")
+    rows = docs.select(F.unhex(F.sha2(whole, 256)).alias("sha"), whole.alias("text"))
+    found = staged(_likely(rows, digests).join(digests, "sha", "left_semi").dropDuplicates(["sha"]), "distinct-texts")
+    texts = staged(nodes.join(found, "sha").select("node", "text"), "candidate-texts")
+    discard(nodes, digests, found)
+    return texts
 
 
 def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the Jaccard similarity or more; exact."""
+    """The pairs (a, b) whose shingle sets have the Jaccard similarity or more; exact, and written."""
     texts = _texts(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), sigs, docs, text)
 
     def run(batches):
@@ -263,7 +277,9 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, text: str, shi
             yield batch.select([0, 1]).filter(pa.array(fits, pa.bool_()))
 
     of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"t{side}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    links = staged(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+    discard(texts)
+    return links
 
 
 def _near_fingerprints(sigs: DataFrame) -> DataFrame:
@@ -349,19 +365,21 @@ def _by_cell(one):
 
 
 def _verified_cells(found: DataFrame, sigs: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of members of a cell and their partners whose shingle sets have the similarity or more; exact. A cell's
+    """The pairs (a, b) of members of a cell and their partners whose shingle sets have the similarity or more; exact, and written. A cell's
     texts are brought to it, one for each member that has or is a partner, so no row is made for a pair."""
     texts = _texts(found.select("node"), sigs, docs, text)
     dealt = found.join(texts, "node").select("key", "i", "j", "node", "partners", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def links(cell: pa.Table) -> pa.RecordBatch:
+    def fitting(cell: pa.Table) -> pa.RecordBatch:
         held = _Shingles(shingle)
         node, partners, of = cell["node"].to_pylist(), cell["partners"].to_pylist(), cell["text"]
         place = {n: k for k, n in enumerate(node)}
         ab = [(n, p) for n, some in zip(node, partners, strict=True) for p in some if held.alike(n, p, lambda x: of[place[x]].as_py(), similarity)]
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in ab], pa.int64()), pa.array([b for _, b in ab], pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(_by_cell(links), "a long, b long")
+    links = staged(dealt.mapInArrow(_by_cell(fitting), "a long, b long"), "links")
+    discard(texts)
+    return links
 
 
 def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 500) -> DataFrame:
@@ -375,27 +393,28 @@ def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     members = staged(keyed.join(hubs, "key").select("key", "node", "low"), "buckets")
     # the pairs of near fingerprints; each node with one smallest member, then with those of its other buckets that are in another group, then any two members
     alike = staged(_close(_near_fingerprints(sigs), sigs, least), "candidates")
-    found = staged(_verified(alike, sigs, docs, text, shingle, similarity), "links")
+    found = _verified(alike, sigs, docs, text, shingle, similarity)
     first = members.filter("low < node").groupBy(F.col("node").alias("b")).agg(F.min("low").alias("a")).select("a", "b").join(alike, ["a", "b"], "left_anti")
     tried = staged(_close(first, sigs, least), "candidates")
-    links = found.unionByName(staged(_verified(tried, sigs, docs, text, shingle, similarity), "links"))
+    links = found.unionByName(_verified(tried, sigs, docs, text, shingle, similarity))
     tried = alike.unionByName(tried)
     labels = staged(components(links), "labels")
     open_ = _mixed(members, labels)
     hubs = open_.filter("low < node AND root <> low_root").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = staged(_close(hubs, sigs, least), "candidates")
-    tried, links = tried.unionByName(more), links.unionByName(staged(_verified(more, sigs, docs, text, shingle, similarity), "links"))
+    tried, links = tried.unionByName(more), links.unionByName(_verified(more, sigs, docs, text, shingle, similarity))
     labels = staged(components(links), "labels")
     # the most alike ones first: they join most groups that will be one, and those need no more pairs
     members = open_.select("key", "node", "low")
     near = staged(_across(members, sigs, labels, least, block, 4).distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
-    links = links.unionByName(staged(_verified(near, sigs, docs, text, shingle, similarity), "links"))
+    links = links.unionByName(_verified(near, sigs, docs, text, shingle, similarity))
     labels = staged(components(links), "labels")
     rest = staged(_across(members, sigs, labels, least, block), "cells")
-    links = links.unionByName(staged(_verified_cells(rest, sigs, docs, text, shingle, similarity), "links"))
+    links = links.unionByName(_verified_cells(rest, sigs, docs, text, shingle, similarity))
     labels = staged(components(links), "labels")
     discard(open_, rest)
     rows = staged(labels.join(sigs.select("node", "doc", "sha"), "node"), "similar-rows")
+    discard(sigs)
     names = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "sha")).alias("name"))
     return rows.join(staged(names, "names"), "root").select(F.col("doc").alias(key), "sha", F.col("name.doc").alias("group_id"), F.col("name.sha").alias("group_sha"))
 

@@ -44,3 +44,33 @@ def test_texts_are_dealt_once_where_no_row_repeats(spark):
     assert "HashAggregate" not in plan(kept) and "SortAggregate" not in plan(kept)
     twice = once.unionByName(once)
     assert sorted(str(r["doc_id"]) for r in exact_dedup.without_copies(twice).collect()) == ["2", "3", "9", "None"]
+
+
+def shuffled(spark):
+    """Bytes that each stage so far, of those that Spark still knows, has written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_only_texts_of_candidates_are_moved(spark):
+    """Also where the table of candidates is too large for Spark to broadcast it."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.randbytes(6).hex() for _ in range(4000)) for _ in range(120)]
+    docs = frame(spark, [*texts, texts[7] + " tail"])
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        last = max(shuffled(spark), default=-1)
+        assert {tuple(r) for r in simhash_dedup.similar_groups(docs).collect()} == {(7, 7), (120, 7)}
+        assert 0 < sum(n for stage, n in shuffled(spark).items() if stage > last) < 0.3 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_bitmap_of_digests_loses_none(spark):
+    rows = spark.range(3000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("sha"), "id")
+    got = {r["id"] for r in simhash_dedup._likely(rows, rows.filter("id % 3 = 0").select("sha")).collect()}
+    assert got >= set(range(0, 3000, 3)) and len(got) < 1100
+    assert simhash_dedup._likely(rows, rows.filter("id < 0").select("sha")).count() == 0
